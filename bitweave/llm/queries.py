@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ngram_join import op4_ngram_jaccard_join
 from .substring_dedup import op2_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}
