@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import op4_ngram_jaccard_join
+from .packing import op7_packing
 from .substring_dedup import op2_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op7_packing": op7_packing,
 }
 
 ORACLES: dict[str, str] = {}
