@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import op5_language_id
 from .ngram_join import op4_ngram_jaccard_join
 from .packing import op7_packing
+from .sharding import op6_sharding
 from .substring_dedup import op2_substring_dedup
+from .warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op7_packing": op7_packing,
+    "op5_language_id": op5_language_id,
+    "op6_sharding": op6_sharding,
+    "op8_warc": op8_warc,
 }
 
 ORACLES: dict[str, str] = {}
