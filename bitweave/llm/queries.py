@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_extraction import op10_html_extraction
 from .language_id import op5_language_id
 from .ngram_join import op4_ngram_jaccard_join
 from .packing import op7_packing
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_sharding": op6_sharding,
     "op8_warc": op8_warc,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES: dict[str, str] = {}
