@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import op9_embedding_dedup
 from .html_extraction import op10_html_extraction
 from .language_id import op5_language_id
 from .ngram_join import op4_ngram_jaccard_join
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op8_warc": op8_warc,
     "op10_html_extraction": op10_html_extraction,
+    "op9_embedding_dedup": op9_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {}
