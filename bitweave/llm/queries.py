@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import ORACLE_SQL as CHAT_SQL
+from .chat_format import op3_chat_formatting
+from .decontamination import op1_decontamination
 from .embedding_dedup import op9_embedding_dedup
 from .html_extraction import op10_html_extraction
 from .language_id import op5_language_id
@@ -16,6 +19,7 @@ from .substring_dedup import op2_substring_dedup
 from .warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op7_packing": op7_packing,
@@ -24,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op10_html_extraction": op10_html_extraction,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op3_chat_formatting": op3_chat_formatting,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT_SQL}

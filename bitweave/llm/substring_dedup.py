@@ -84,7 +84,7 @@ def _spans(gone: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _cut(size: int, bits: int, id_col: str, carry: list[str], schema: pa.Schema):
+def _cut(size: int, bits: int, id_col: str, carry: list[str], schema: pa.Schema, tidy: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs = docs.take(pa.compute.sort_indices(docs.column("_id"))) if docs.num_rows else docs
         ids = docs.column("_id")
@@ -110,7 +110,7 @@ def _cut(size: int, bits: int, id_col: str, carry: list[str], schema: pa.Schema)
             for i, text in enumerate(texts):
                 lo, hi = words.first[i], words.first[i + 1]
                 own = gone[lo:hi]
-                found = (text or "").encode().split()
+                found = (text or "").encode().split() if tidy or own.any() else ()
                 if own.any():
                     spans.append([{"start": x, "end": y} for x, y in _spans(own)])
                     found = [w for w, g in zip(found, own.tolist(), strict=True) if not g]
@@ -118,14 +118,14 @@ def _cut(size: int, bits: int, id_col: str, carry: list[str], schema: pa.Schema)
                     spans.append([])
                 n_words.append(hi - lo)
                 n_removed.append(int(own.sum()))
-                kept.append(b" ".join(found).decode())
+                kept.append(b" ".join(found).decode() if tidy or own.any() else text or "")
         return pa.Table.from_arrays([ids.combine_chunks().cast(schema.field(id_col).type), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, schema.field("removed").type), *(docs.column(f"_c{i}").cast(schema.field(c).type) for i, c in enumerate(carry))], schema=schema)
 
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Returns id, n_words, n_removed, kept (words joined by one space), removed (spans [start, end) of words), and ``carry``."""
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, carry: tuple[str, ...] = (), tidy: bool = True) -> DataFrame:
+    """Returns id, n_words, n_removed, kept (words joined by one space; texts that lose nothing stay as they are if not ``tidy``), removed (spans [start, end) of words), and ``carry``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     blocks = block_count(text_bytes(docs, text_col))
@@ -136,7 +136,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     answers = sent.groupBy("_bucket").applyInArrow(_answer, "_bucket int, _block int, _data binary")
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("removed", span), *(T.StructField(c, docs.schema[c].dataType) for c in carry)])
-    return source.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(_cut(size, bits, id_col, carry, to_arrow_schema(schema)), schema)
+    return source.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(_cut(size, bits, id_col, carry, to_arrow_schema(schema), tidy), schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,76 @@
-"""The corpus pipeline: stages over ``documents``, each calling one operator of bitweave.llm."""
+"""The corpus pipeline: from ``documents`` to packed training sequences.
+
+Five stages, each one operator of ``bitweave.llm`` over all that the stage before
+kept: language ID (documents without a language go), n-gram Jaccard join (one
+document of each group of near copies stays), substring dedup (repeated windows
+are cut out of the texts, and documents of which nothing is left go), benchmark
+decontamination (contaminated documents go), packing.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bitweave.llm._blocks import stored
+from bitweave.llm.decontamination import decontaminate
+from bitweave.llm.language_id import identify_language, train
+from bitweave.llm.ngram_join import ngram_jaccard_join
+from bitweave.llm.packing import TOKENIZER, pack_documents
+from bitweave.llm.substring_dedup import substring_dedup
+
+LEAST_SCORE = 0.5
+MOST_BROADCAST_IDS = 2_000_000  # of 8 bytes each
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter and those that no language claims."""
+    judged = identify_language(docs, train(docs), keep=tuple(docs.columns))
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group."""
+    gone = stored(ngram_jaccard_join(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    few = gone.count() <= MOST_BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated windows out of the texts; a document of which nothing is left goes."""
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    cut = substring_dedup(docs, carry=carry, tidy=False).where("n_removed = 0 or kept <> ''")
+    cut = cut.withColumn("text", F.col("kept")).withColumn("n_chars", F.char_length("kept").cast("bigint"))
+    return cut.select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns))
+    return judged.where("not contaminated").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("ngram_jaccard_join", ngram_join),
+    ("substring_dedup", substrings),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+ORACLE_SQL = None  # tokenising and packing have no SQL; tests/llm compares run() with a plain version
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
