@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .plans import stream_queries
+
+_PLANS = [stream_queries]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for plan in _PLANS for k, v in plan.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for plan in _PLANS for k, v in plan.ORACLES.items()}
