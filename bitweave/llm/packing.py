@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._blocks import stored
+from ._text import _LOWER, Words, column_bytes, slices
 
 CAPACITY = 4096
 END_ID = 2
@@ -38,53 +39,112 @@ PIECES = "id long, start long, length int, doc_tokens long, ids binary, ids_crc3
 
 # -- tokenising ---------------------------------------------------------------
 
-_TAIL = ".,;:!?%&#*$"
-_MOST_CACHED = 300_000
+_KIND = np.full(256, 3, np.uint8)  # 0 space, 1 ASCII letter, 2 digit, 3 other ASCII, 4 apostrophe, 5 beyond ASCII
+_KIND[[0x20, 0x0A]] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[39] = 4
+_KIND[128:] = 5
+_CUT = np.zeros((6, 6), bool)  # kinds between which a pre-token always ends
+for _x in (1, 2, 3):
+    for _y in (1, 2, 3):
+        _CUT[_x, _y] = _x != _y
+_CUT[0, :] = _CUT[:, 0] = True
+
+_SLOTS = 1 << 22
+_MOST_CACHED = 1_200_000
 _encoders: dict[str, _Encoder] = {}
 
 
+class _Segments(Words):
+    """Parts of texts whose ids don't depend on what stands around them, ASCII in lower case (which the tokenizer applies)."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):  # noqa: super().__init__ cuts at white space
+        kind = _KIND[raw]
+        edge = np.ones(len(raw) + 1, bool)
+        edge[1:-1] = _CUT[kind[:-1], kind[1:]]
+        if b"<|" in raw.tobytes():  # special tokens mix letters with signs
+            edge[1:-1] = (kind[:-1] == 0) | (kind[1:] == 0)
+        edge[offsets] = True
+        self.raw, self.offsets = _LOWER[raw], offsets
+        self.start = np.flatnonzero(edge[:-1] & (kind > 0))
+        self.end = np.flatnonzero(edge[1:] & (kind > 0)) + 1
+        self.row = np.searchsorted(offsets, self.start, side="right") - 1
+        self.hash = self._hashes()
+
+
 class _Encoder:
-    """A tokenizer whose pieces never span white space, with the ids of known words kept as bytes.
+    """A tokenizer, and a hash table (open addressing, in numpy) from segments met before to their ids.
 
-    A text is cut at spaces and line feeds; each chunk's ids depend on that chunk
-    alone.  A chunk of letters and then plain punctuation is two pre-tokens, each
-    looked up by itself, ASCII letters in lower case (which the tokenizer applies).
+    Segments are told apart by a 64-bit hash; with a million of them in a table
+    the odds that any two are confused are about 1 in 10 million.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > _MOST_CACHED:
-            self.chunks = {"": b""}
-        if len(self.parts) > _MOST_CACHED:
-            self.parts = {"": b""}
-        cut = {}
-        for chunk in chunks:
-            word = chunk.rstrip(_TAIL)
-            if word.isalpha():
-                cut[chunk] = word.lower() if word.isascii() else word, chunk[len(word) :]
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.refs = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32)
+        self.starts, self.lengths, self.known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Where each hash is known, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        left, slot = np.arange(len(h)), (h & np.uint64(_SLOTS - 1)).astype(np.int64)
+        while len(left):
+            there = self.keys[slot]
+            hit = there == h[left]
+            out[left[hit]] = self.refs[slot[hit]]
+            on = ~hit & (there != 0)
+            left, slot = left[on], (slot[on] + 1) & (_SLOTS - 1)
+        return out
+
+    def _add(self, h: np.ndarray, ids: list[list[int]]) -> None:
+        n, lengths = len(h), np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+        while len(self.starts) < self.known + n:
+            self.starts, self.lengths = np.concatenate([self.starts, self.starts * 0]), np.concatenate([self.lengths, self.lengths * 0])
+        while len(self.pool) < self.used + len(flat):
+            self.pool = np.concatenate([self.pool, self.pool * 0])
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.starts[self.known : self.known + n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.known : self.known + n] = lengths
+        refs, left, slot = np.arange(self.known, self.known + n), np.arange(n), (h & np.uint64(_SLOTS - 1)).astype(np.int64)
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[left[free]]
+            mine = free & (self.keys[slot] == h[left])  # of two that want one slot, the later got it
+            self.refs[slot[mine]] = refs[left[mine]]
+            left, slot = left[~mine], (slot[~mine] + 1) & (_SLOTS - 1)
+        self.known += n
+        self.used += len(flat)
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each text has)."""
+        part = _Segments(raw, offsets)
+        h = part.hash
+        h[h == 0] = 1
+        refs = self._find(h)
+        if (refs < 0).any():
+            new, first = np.unique(h[refs < 0], return_index=True)
+            if self.known + len(new) > _MOST_CACHED:
+                self._empty()
+                new, first = np.unique(h, return_index=True)
+                at = first
             else:
-                cut[chunk] = chunk, ""
-        new = [x for x in {y for pair in cut.values() for y in pair} if x not in self.parts]
-        for x, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[x] = np.array(found.ids, "<u4").tobytes()
-        for chunk, (word, tail) in cut.items():
-            self.chunks[chunk] = self.parts[word] + self.parts[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        new = set().union(*split) - self.chunks.keys()
-        if new:
-            self._learn(new)
-            if missing := set().union(*split) - self.chunks.keys():  # the cache was emptied just now
-                self._learn(missing)
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+                at = np.flatnonzero(refs < 0)[first]
+            data = part.raw.tobytes()
+            texts = [data[a:b].decode() for a, b in zip(part.start[at].tolist(), part.end[at].tolist(), strict=True)]
+            self._add(new, [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            refs = self._find(h)
+        lengths = self.lengths[refs]
+        total = np.cumsum(lengths)
+        ids = self.pool[np.repeat(self.starts[refs] - (total - lengths), lengths) + np.arange(total[-1] if len(total) else 0)]
+        return ids, np.bincount(part.row, weights=lengths, minlength=len(offsets) - 1).astype(np.int64)
 
 
 def _encoder(path: str) -> _Encoder:
@@ -102,11 +162,14 @@ def _tokenise(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
+            raw, offsets, _ = column_bytes(batch.column(1))
+            for a, b in slices(raw, offsets, 1 << 20):
+                found, counts = encoder.encode(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                data, at = found.astype("<u4").tobytes(), 0
                 out: list[list] = [[] for _ in range(6)]
-                for key, ids in zip(part.column(0).to_pylist(), encoder.encode([x or "" for x in part.column(1).to_pylist()]), strict=True):
-                    ids += end
+                for key, n in zip(batch.column(0).slice(a, b - a).to_pylist(), counts.tolist(), strict=True):
+                    ids = data[at : at + 4 * n] + end
+                    at += 4 * n
                     for start in range(0, len(ids), 4 * capacity):
                         piece = ids[start : start + 4 * capacity]
                         for column, value in zip(out, (key, start // 4, len(piece) // 4, len(ids) // 4, piece, zlib.crc32(piece)), strict=True):
@@ -205,7 +268,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = Plan(shortest_pack_first(histogram, capacity))
     local = sizes.withColumn("k", F.row_number().over(Window.partitionBy("length", "chunk").orderBy("piece")))
-    ranked = local.join(counts, ["length", "chunk"]).select("piece", "length", (F.col("before") + F.col("k") - 1).alias("rank"))
+    ranked = local.join(counts.hint("merge"), ["length", "chunk"]).select("piece", "length", (F.col("before") + F.col("k") - 1).alias("rank"))
     placed = ranked.mapInArrow(_place(spark.sparkContext.broadcast(plan)), "piece long, sequence_id long, offset long")
     return pieces.join(placed, "piece").drop("piece").withColumnRenamed("id", id_col).withColumn("length", F.col("length").cast("bigint"))
 
