@@ -54,7 +54,7 @@ def atc_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def atc_diff_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.atc_diff(emap.direct(spark, sf)).where("diff > 100000000").select("pkt_idx", "diff")
+    return reports.atc_diff(emap.direct(spark, sf)).where("diff > 35000000").select("pkt_idx", "diff")
 
 
 def atc_diff_compat(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,8 +107,7 @@ def atc_dts_asof(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def null_padding(spark: SparkSession, sf: str) -> DataFrame:
-    p = emap.direct(spark, sf).where("pid = 256")
-    n = p.count()
+    n = emap.direct(spark, sf).count()
     pad = ts.parse_packets(ts.null_packets(spark, n, n))
     return pad.agg(F.count(F.lit(1)).alias("n_null"), F.coalesce(F.sum((F.col("pid") == ts.NULL_PID).cast("int")), F.lit(0)).alias("n_null_pid"), F.lit(n).cast("bigint").alias("n_packets"))
 
@@ -143,7 +142,7 @@ ORACLES = {
         c AS (SELECT *, CASE WHEN lag(version) OVER (ORDER BY pkt_idx) <> version THEN 1 ELSE 0 END AS changed FROM v),
         s AS (SELECT *, CAST(sum(changed) OVER (ORDER BY pkt_idx) AS BIGINT) AS progseq FROM c)
         SELECT progseq, min(pkt_idx) AS first_pkt, max(pkt_idx) AS last_pkt, count(*) AS n FROM s GROUP BY progseq""",
-    "ts_null_padding": f"{_WITH} SELECT (32 - count(*) % 32) % 32 AS n_null, (32 - count(*) % 32) % 32 AS n_null_pid, count(*) AS n_packets FROM packets WHERE pid = 256",
+    "ts_null_padding": f"{_WITH} SELECT (32 - count(*) % 32) % 32 AS n_null, (32 - count(*) % 32) % 32 AS n_null_pid, count(*) AS n_packets FROM packets",
     "clock_points": f"""{_WITH} SELECT pkt_idx AS spn, 'ATC' AS kind, CAST(NULL AS INT) AS pid, atc AS ticks27 FROM packets
         UNION ALL SELECT pkt_idx, 'PCR', pid, pcr27 FROM packets WHERE pcr27 IS NOT NULL
         UNION ALL SELECT pkt_idx, 'PTS', pid, pts90 * 300 FROM packets WHERE pts90 IS NOT NULL
@@ -151,7 +150,7 @@ ORACLES = {
     "atc_diff": f"{_DIFF} SELECT pkt_idx, atc, diff, CAST(elapsed AS BIGINT) AS elapsed FROM e",
     "atc_diff_compat": f"""{_WITH}, l AS (SELECT pkt_idx, atc, lag(atc) OVER (ORDER BY pkt_idx) AS b FROM packets)
         SELECT pkt_idx, CASE WHEN b IS NULL THEN NULL WHEN atc > b THEN atc - b ELSE atc - b + 1073741824 END AS diff FROM l""",
-    "atc_diff_threshold": f"{_DIFF} SELECT pkt_idx, diff FROM d WHERE diff > 100000000",
+    "atc_diff_threshold": f"{_DIFF} SELECT pkt_idx, diff FROM d WHERE diff > 35000000",
     "atc_diff_per_pid": f"{_DIFF} SELECT pkt_idx, CAST(elapsed - lag(elapsed) OVER (ORDER BY pkt_idx) AS BIGINT) AS since FROM e WHERE pid = 260",
     "atc_minmax": f"{_DIFF} SELECT min(diff) AS min_diff, max(diff) AS max_diff, count(diff) AS n FROM d",
     "payload_unit_span": f"""{_DIFF}, a AS (SELECT *, coalesce(lead(diff) OVER (ORDER BY pkt_idx), 0) AS after, sum(CAST(pusi AS INT)) OVER (PARTITION BY pid ORDER BY pkt_idx) AS unit FROM e),
