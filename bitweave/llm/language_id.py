@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ._blocks import stored
 
 SAMPLE_DOCS = 20_000
-MOST_GRAMS = 200_000
+MOST_GRAMS = 100_000
 LENGTHS = (5, 4, 3, 2, 1)
 _WORD = re.compile(r"[^\W\d_]+")
 _MOST_CACHED = 250_000
@@ -63,9 +63,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Normalised log scores by word and by n-gram."""
+    """Normalised log scores by word (length 0) and by n-gram: for each length, rows by gram, and a matrix of them."""
 
-    def __init__(self, langs: list[str], tables: dict[int, dict[str, np.ndarray]]):
+    def __init__(self, langs: list[str], tables: dict[int, tuple[dict[str, int], np.ndarray]]):
         self.langs = langs
         self.tables = tables
         self.rows: dict[str, int] = {}
@@ -73,9 +73,10 @@ class Model:
 
     def _fallback(self, word: str) -> np.ndarray:
         for n in LENGTHS:
-            known = [v for g in grams(word, n) if (v := self.tables[n].get(g)) is not None]
+            place, scores = self.tables[n]
+            known = [k for g in grams(word, n) if (k := place.get(g)) is not None]
             if known:
-                return _normal(np.sum(known, axis=0))
+                return _normal(scores[known].sum(axis=0))
         return np.full(len(self.langs), -np.log(len(self.langs)))
 
     def _learn(self, new: set[str]) -> None:
@@ -85,12 +86,15 @@ class Model:
             bigger = np.zeros((2 * (len(self.rows) + len(new)), len(self.langs)))
             bigger[: len(self.rows)] = self.matrix[: len(self.rows)]
             self.matrix = bigger
+        place, scores = self.tables[0]
         for word in new:
-            vector = self.tables[0].get(word)
-            self.matrix[len(self.rows)] = self._fallback(word) if vector is None else vector
+            k = place.get(word)
+            self.matrix[len(self.rows)] = self._fallback(word) if k is None else scores[k]
             self.rows[word] = len(self.rows)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
         split = [words(x) for x in texts]
         every = set().union(*split)
         for new in (every - self.rows.keys(), every):
@@ -98,7 +102,7 @@ class Model:
                 self._learn(missing)
         get, out = self.rows.__getitem__, []
         for found in split:
-            if not self.langs or not any(map(str.isalpha, found)) and not any(c.isalpha() for w in found for c in w):
+            if not any(map(str.isalpha, found)) and not any(c.isalpha() for w in found for c in w):
                 out.append(("und", 0.0))
                 continue
             total = self.matrix[np.fromiter(map(get, found), np.int64, len(found))].sum(axis=0)
@@ -108,9 +112,9 @@ class Model:
 
 
 def _normal(scores: np.ndarray) -> np.ndarray:
-    """Log posteriors, no lower than -8: one word decides nothing alone."""
-    top = scores - scores.max()
-    return np.maximum(top - np.log(np.exp(top).sum()), -8.0)
+    """Log posteriors along the last axis, no lower than -8: one word decides nothing alone."""
+    top = scores - scores.max(axis=-1, keepdims=True)
+    return np.maximum(top - np.log(np.exp(top).sum(axis=-1, keepdims=True)), -8.0)
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, most_grams: int = MOST_GRAMS) -> Model:
@@ -120,19 +124,19 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         share = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("sample")), F.lit(1_000_000))
         rows = rows.where(share < int(1_000_000 * sample_docs / n))
     counts = rows.select("text", "lang").mapInArrow(_count, "n int, gram string, lang string, count long").groupBy("n", "gram", "lang").agg(F.sum("count").alias("count"))
-    by_gram = stored(counts.groupBy("n", "gram").agg(F.sum("count").alias("total"), F.collect_list(F.struct("lang", "count")).alias("counts")).where("total > 1"))
-    kept = [x for where in ("n = 0", "n > 0") for x in by_gram.where(where).orderBy(F.col("total").desc(), "n", "gram").limit(most_grams).collect()]
-    langs = sorted({c["lang"] for x in kept for c in x["counts"]})
-    place = {x: i for i, x in enumerate(langs)}
-    raw: dict[int, dict[str, np.ndarray]] = {k: {} for k in (0, *LENGTHS)}
-    for x in kept:
-        vector = raw[x["n"]][x["gram"]] = np.zeros(len(langs))
-        for c in x["counts"]:
-            vector[place[c["lang"]]] = c["count"]
-    tables = {}
-    for k, own in raw.items():
-        sums = sum(own.values()) if own else np.zeros(len(langs))
-        tables[k] = {g: _normal(np.log((v + 0.05) / (sums + 0.05 * len(own)))) for g, v in own.items()}
+    counts = stored(counts)
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    each = [F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)]
+    by_gram = counts.groupBy("n", "gram").agg(F.sum("count").alias("total"), *each).where("total > 1")
+    tables = {k: ({}, np.zeros((0, len(langs)))) for k in (0, *LENGTHS)}
+    for where in ("n = 0", "n > 0"):
+        kept = by_gram.where(where).orderBy(F.col("total").desc(), "n", "gram").limit(most_grams).toArrow()
+        lengths = np.asarray(kept.column("n"))
+        for k in np.unique(lengths):
+            own = kept.filter(pa.array(lengths == k))
+            seen = np.stack([np.asarray(own.column(f"c{i}")) for i in range(len(langs))], axis=1).astype(float)
+            grams_of = {g: i for i, g in enumerate(own.column("gram").to_pylist())}
+            tables[int(k)] = grams_of, _normal(np.log((seen + 0.05) / (seen.sum(axis=0) + 0.05 * len(seen))))
     return Model(langs, tables)
 
 
