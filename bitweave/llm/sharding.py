@@ -12,8 +12,7 @@ The main path is DataFrame operations only.  A row's shard is an expression over
 its own text and the cuts; its slot is its rank inside a bounded chunk of the
 shard plus the sizes of the chunks before, so no task holds a whole shard.
 
-Defined results: a null text has size 16 and crc 0 and belongs with the other
-null texts; ids may repeat (each row has its own slot); an empty table gives an
+Defined results: a null text is an empty one (size 16, crc 0, same group); ids may repeat (each row has its own slot); an empty table gives an
 empty result; columns other than id and text are ignored.
 """
 
@@ -82,7 +81,7 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Returns id, size, text_crc32, law, shard, slot, grown_shard (null: the law is ``bytes``), atom."""
     n_atoms = shards * atoms
     utf8 = F.col(text_col).cast("binary")
-    atom = F.pmod(F.shiftrightunsigned(F.xxhash64(F.coalesce(utf8, F.lit(bytearray(b"\xff")))), 1), F.lit(n_atoms)).cast("int")
+    atom = F.pmod(F.shiftrightunsigned(F.xxhash64(F.coalesce(utf8, F.lit(bytearray()))), 1), F.lit(n_atoms)).cast("int")
     rows = docs.select(F.col(id_col), (F.coalesce(F.octet_length(utf8), F.lit(0)) + F.lit(OVERHEAD)).cast("bigint").alias("size"), F.coalesce(F.crc32(utf8), F.lit(0)).cast("bigint").alias("text_crc32"), atom.alias("atom"))
     sums = rows.groupBy("atom").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # at most shards * atoms rows
     found = sorted((r["atom"], r["size"]) for r in sums)
