@@ -67,7 +67,7 @@ def _chrome(r: random.Random, kind: str) -> str:
     elif kind == "comments":
         out.append(f"<h3 data-y=0>{_words(r, 1, 3)}</h3>")
         for _ in range(r.randint(1, 6)):
-            inner = r.choice(["div", "div", "div", "li", "article"]) if tag != "ol" else "li"
+            inner = ("article" if r.random() < 0.03 else r.choice(["div", "div", "li"])) if tag != "ol" else "li"
             out.append(f"<{inner} data-y=0{r.choice([' class=comment', ' class=reply', '']) if inner != 'article' else ' class=comment'}><p data-y=0>{_words(r, 5, 60, True)}</p></{inner}>")
     else:
         parts = [f"<p data-y=0>{_words(r, 4, 40, True)}</p>", _words(r, 3, 30, True), f"<h4 data-y=0>{_words(r, 1, 5)}</h4>{_link(r, 3, 9)}", f"<div data-y=0>{_link(r, 2, 6)}</div>"]
@@ -80,11 +80,12 @@ def _body(r: random.Random) -> str:
     if r.random() < 0.8:
         title = f"<h1 data-y=1>{_words(r, 2, 9)}</h1>"
         out.append(r.choice([title, title, f"<header data-y=1>{title}<p data-y=1>{_words(r, 4, 15, True)}</p></header>"]))
-    drone = r.random() < 0.12  # some articles are lists of words without a full stop
-    for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9, 14])):
+    drone = r.random() < 0.3  # some articles are lists of words without a full stop, or of lines of a few words
+    short = 0.9 if r.random() < 0.2 else 0.15
+    for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9, 14, 25])):
         x = r.random()
         if x < 0.62:
-            text = _words(r, 1, 6, True) if r.random() < 0.15 else _words(r, 8, 110, not drone)
+            text = _words(r, 1, 6, True) if r.random() < short else _words(r, 8, 110, not drone)
             if r.random() < 0.25:
                 text += f" {_link(r)} {_words(r, 3, 20, True)}"
             out.append(f"<p data-y=1>{text}{'</p>' if r.random() < 0.8 else ''}")
