@@ -137,7 +137,7 @@ class Benchmark:
                 hashes.append(mix(h[keep] + _U(k)))
                 first.append(at[keep])
                 size.append(np.full(keep.sum(), k))
-        h, at, k = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, first, size))
+        h, at, k = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((hashes, _U), (first, np.int64), (size, np.int64)))
         order = np.argsort(h, kind="stable")
         self.hashes, self.at, self.size = h[order], at[order], k[order]
         self.bitmap = np.zeros(1 << 22, bool)
