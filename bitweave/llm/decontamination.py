@@ -207,7 +207,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k) if parts > 1 else items
         shared = spark.sparkContext.broadcast(Benchmark(sorted((r["id"], r["text"]) for r in own.collect()), window))
         # later passes read the text again, next to what was found so far
-        source = rows if found is None else found.withColumnRenamed("item_ids", "_before")
+        source = rows if found is None else found.withColumnRenamed("item_ids", "_before").select(*keep, "_before", "_text")
         names = fields + (", _before array<bigint>" if found is not None else "") + (", _text string" if k < parts - 1 else "")
         found = source.mapInArrow(_with_text(_judge(shared)) if k < parts - 1 else _judge(shared), f"{names}, item_ids array<bigint>")
         if "_before" in found.columns:
