@@ -21,7 +21,7 @@ _START = re.compile(rb"\x00\x00\x01")
 def nal_bounds(data: bytes) -> Iterator[tuple[int, int]]:
     """(start, end) of each unit between start codes of three or four bytes; trailing zeros belong to none."""
     starts = [m.end() for m in _START.finditer(data)]
-    for a, b in zip(starts, [*(s - 3 for s in starts[1:]), len(data)], strict=True):
+    for a, b in zip(starts, [*(s - 3 for s in starts[1:]), len(data)], strict=False):
         while b > a and not data[b - 1]:
             b -= 1
         if b > a:
@@ -223,7 +223,7 @@ def mpeg2_elements(data: bytes) -> Iterator[tuple]:
     vseq, gop, au, se, ended, fresh = -1, -1, -1, 0, True, False
     picture = None
     starts = [m.start() for m in _START.finditer(data)]
-    for a, b in zip(starts, [*starts[1:], len(data)], strict=True):
+    for a, b in zip(starts, [*starts[1:], len(data)], strict=False):
         if a + 3 >= len(data):
             return
         code = data[a + 3]
