@@ -140,3 +140,72 @@ def pes_units(packets: DataFrame, pids: list[int] | None = None) -> DataFrame:
     units = rows.groupBy("pid", "unit").agg(F.min("pkt_idx").alias("first_pkt"), F.max("pkt_idx").alias("last_pkt"), F.array_sort(F.collect_list(F.struct("pkt_idx", "payload"))).alias("parts"))
     units = units.withColumn("data", F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.payload))"))
     return parse_blobs(units, _pes, PES, ("pid", "unit", "first_pkt", "last_pkt"))
+
+
+def _patch(section: bytearray, mapping: dict[int, int]) -> bool:
+    """Replaces PIDs inside a PAT or PMT section and renews its checksum; False if nothing changes."""
+    before = bytes(section)
+
+    def put(at: int) -> None:
+        pid = (section[at] & 31) << 8 | section[at + 1]
+        if pid in mapping:
+            section[at] = section[at] & 0xE0 | mapping[pid] >> 8
+            section[at + 1] = mapping[pid] & 255
+
+    if section[0] == 0:
+        for k in range(8, len(section) - 7, 4):
+            put(k + 2)
+    elif section[0] == 2:
+        put(8)
+        at = 12 + ((section[10] & 15) << 8 | section[11])
+        while at + 5 <= len(section) - 4:
+            put(at + 1)
+            at += 5 + ((section[at + 3] & 15) << 8 | section[at + 4])
+    if bytes(section) == before:
+        return False
+    section[-4:] = crc(bytes(section[:-4]), "crc-32-mpeg").to_bytes(4, "big")
+    return True
+
+
+def _rewrite(rows: list[tuple[int, bool, int, bytes]], mapping: dict[int, int]) -> list[tuple[int, bytes]]:
+    """Packets of one table PID with the PIDs in their sections replaced, sections over several packets included."""
+    data, owner, out = bytearray(), [], [bytearray(raw) for _, _, _, raw in rows]
+
+    def flush() -> None:
+        at = 0
+        while at + 3 <= len(data) and data[at] != 0xFF:
+            size = 3 + ((data[at + 1] & 15) << 8 | data[at + 2])
+            if at + size > len(data):
+                break
+            section = bytearray(data[at : at + size])
+            if size >= 12 and crc(bytes(section), "crc-32-mpeg") == 0 and _patch(section, mapping):
+                for byte, (row, where) in zip(section, owner[at : at + size], strict=True):
+                    out[row][where] = byte
+            at += size
+
+    for k, (_, start, at, raw) in enumerate(rows):
+        begin = at
+        if start:
+            begin = at + 1 + raw[at]
+            data.extend(raw[at + 1 : begin])
+            owner.extend((k, x) for x in range(at + 1, begin))
+            flush()
+            data, owner = bytearray(), []
+        data.extend(raw[begin:])
+        owner.extend((k, x) for x in range(begin, len(raw)))
+    flush()
+    return [(idx, bytes(x)) for (idx, *_), x in zip(rows, out, strict=True)]
+
+
+def remap_tables(packets: DataFrame, table_pids: list[int], mapping: dict[int, int]) -> DataFrame:
+    """pkt_idx, raw of parsed packets without suffix: PIDs are replaced inside the sections of the table PIDs. Headers are not touched."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pkt_idx")
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("pkt_idx", "pusi", "payload_at", "raw")), strict=True))
+        found = _rewrite(rows, mapping)
+        return pa.table({"pkt_idx": pa.array([x for x, _ in found], pa.int64()), "raw": pa.array([x for _, x in found], pa.binary())})
+
+    tables = F.col("pid").isin(*table_pids) & (F.col("afc").bitwiseAND(F.lit(1)) > 0)
+    changed = packets.where(tables).select("pid", "pkt_idx", "pusi", "payload_at", "raw").groupBy("pid").applyInArrow(run, "pkt_idx long, raw binary")
+    return packets.where(~tables).select("pkt_idx", "raw").unionByName(changed)

@@ -224,3 +224,25 @@ def test_scalars(spark):
     row = spark.range(1).select(channel_layout(F.lit(63)).alias("a"), channel_layout(F.lit(3)).alias("b"), scalars.human_readable(F.lit(1_999_999)).alias("c"), scalars.gcd(F.lit(12), F.lit(18)).alias("d"), scalars.hex_lines(F.lit(bytearray(b"0123456789abcdefX"))).alias("e")).first()
     assert (row["a"], row["b"], row["c"], row["d"]) == ("5.1ch(L, R, C, LFE, Ls, Rs)", "2.0ch(L, R)", "1.99M", 6)
     assert [x["hex"] for x in row["e"]][1] == "58"
+
+
+def test_mmt_signalling(spark):
+    from bitweave.sources import mmt
+
+    stamp = struct.pack(">HB", 1, 24) + struct.pack(">IIIIII", 7, 100, 5, 8, 101, 6)
+    extended = struct.pack(">HB", 0x8026, 1 + 8 + 8) + bytes([2 << 1]) + struct.pack(">IBHB", 7, 0, 300, 2) + struct.pack(">HHHH", 1, 1501, 2, 1502)
+    descriptors = stamp + extended
+    asset = bytes([0]) + bytes(4) + b"\x02\xaa\xbb" + b"hev1" + bytes([0xFE, 1, 0]) + struct.pack(">H", 0xF100) + struct.pack(">H", len(descriptors)) + descriptors
+    body = b"\0" + b"\x01\x11" + b"\0\0" + b"\x01" + asset
+    table = bytes([0x20, 3]) + struct.pack(">H", len(body)) + body
+    packages = b"\x01" + b"\x01\x11" + b"\0" + struct.pack(">H", 0x8000) + b"\0"
+    listing = bytes([0x80, 0]) + struct.pack(">H", len(packages)) + packages
+    message = b"\0\0\x05" + struct.pack(">I", 0) + b"\x02" + bytes([0x80, 0]) + struct.pack(">H", len(listing)) + bytes([0x20, 3]) + struct.pack(">H", len(table)) + listing + table
+    tables = list(mmt.pa_tables(message))
+    assert [(t[3], t[4]) for t in tables] == [(0x80, 0), (0x20, 3)]
+    assert list(mmt.plt_packages(tables[0][5])) == [("11", 0x8000)]
+    assets = list(mmt.mpt_assets(tables[1][5]))
+    assert assets[0][:6] == ("11", 0, "aabb", "hev1", 0xF100, False)
+    assert list(mmt.mpu_times(assets[0][6])) == [(7, 100, 5, 90_000, 300, [{"dts_pts": 1, "pts": 1501}, {"dts_pts": 2, "pts": 1502}]), (8, 101, 6, 90_000, None, None)]
+    times = parse_blobs(spark.createDataFrame([("a", bytearray(assets[0][6]))], "path string, data binary"), mmt.mpu_times, mmt.TIME_ROWS)
+    assert times.where("mpu_seq = 7").first()["offsets"][1]["pts"] == 1502

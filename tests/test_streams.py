@@ -156,3 +156,19 @@ def test_streaming_units_equal_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sum(r["n_packets"] for r in spark.table("windows").collect()) == 90
+
+
+def test_remap_inside_tables(spark, stream):
+    path, raw = stream
+    packets = ts.parse_packets(read_packets(spark, path))
+    mapping = {0x100: 0x300, 0x101: 0x301, 0x10: 0x40, 0x102: 0x302, 0x120: 0x1320}
+    inner = psi.remap_tables(packets, [0, 0x100], mapping)
+    moved = ts.parse_packets(inner.select("pkt_idx", ts.remap_pid(F.col("raw"), mapping).alias("raw")))
+    found = psi.sections(moved, [0, 0x300])
+    assert [(r["version"], r["crc_ok"]) for r in found.where("pid = 768").orderBy("pkt_idx").collect()] == [(0, True), (1, True), (3, False), (2, True)]
+    assert {(r["program_number"], r["pmt_pid"]) for r in psi.pat_entries(found).collect()} == {(0, 0x40), (1, 0x300)}
+    streams = psi.pmt_streams(found)
+    assert {(r["version"], r["pcr_pid"], r["es_pid"]) for r in streams.where("version < 2").collect()} == {(0, 0x301, 0x301), (1, 0x301, 0x301), (1, 0x301, 0x302)}
+    assert 0x1320 in {r["es_pid"] for r in streams.where("version = 2").collect()}
+    back = psi.remap_tables(ts.parse_packets(inner), [0, 0x100], {v: k for k, v in mapping.items()})
+    assert [bytes(r["raw"]) for r in back.orderBy("pkt_idx").collect()] == raw
