@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import psi
 from ..operators.packets import parse_packets
+from ..operators.sequences import number_sequences
 from ..sources import audio, containers, video
 from ..sources.blobs import parse_blobs
 from . import emap
@@ -89,12 +90,48 @@ def psi_streams(spark: SparkSession, sf: str) -> DataFrame:
     return psi.pmt_streams(found).join(listed, ["program_number", "pmt_pid"]).select("program_number", "pmt_pid", "pcr_pid", "es_pid", "stream_type", F.hex("descriptors").alias("descriptors"))
 
 
-QUERIES = {"nal_units": nal_units, "av1_obus": av1_obus, "tlv_packets": tlv_packets, "adts_frames": adts_frames, "mp4_boxes": mp4_boxes, "pes_units": pes_units, "psi_streams": psi_streams}
+def mmt_packet_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Packets per context and packet id: every event is one MMTP packet in header-compressed IP, a file per user."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    hexed = lambda x, n: F.lpad(F.hex(x), n, "0")
+    mmtp = F.concat(F.lit("0001"), hexed(F.lit(0xF100) + F.col("user_id") % 3, 4), hexed(F.col("event_id"), 8), hexed(F.col("event_id"), 8), F.hex("props"))
+    body = F.concat(hexed(F.col("event_id") % 4 * 16 + F.col("event_id") % 16, 4), F.lit("61"), mmtp)
+    unit = F.unhex(F.concat(F.lit("7F03"), hexed(F.shiftright(F.length(body), 1), 4), body))
+    blobs = e.select("user_id", F.struct("event_id", unit.alias("u")).alias("x")).groupBy("user_id").agg(F.array_sort(F.collect_list("x")).alias("xs")).select("user_id", F.expr("aggregate(xs, cast('' as binary), (a, x) -> concat(a, x.u))").alias("data"))
+    rows = parse_blobs(blobs, containers.mmtp_packets, containers.MMTP_ROWS, ("user_id",))
+    return rows.groupBy("cid", "packet_id").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+def tlv_type_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tlv_packets(spark, sf).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("n_bytes"), F.sum("skipped").alias("skipped"))
+
+
+def video_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as streams, their orders as access units whose format follows priority and status."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    key = F.col("o_orderkey")
+    wide = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    none = F.lit(None).cast("int")
+    timed = F.col("o_orderstatus") != "P"
+    units = o.select(
+        F.col("o_custkey").alias("stream"), key.alias("au_no"), F.when(wide, 1920).otherwise(1280).alias("width"), F.when(wide, 1080).otherwise(720).alias("height"), F.when(timed, 255).alias("aspect_ratio_idc"), F.when(key % 2 == 0, 2).otherwise(4).alias("sar_width"), F.when(key % 2 == 0, 1).otherwise(2).alias("sar_height"),
+        none.alias("primaries"), none.alias("transfer"), none.alias("matrix"), F.when(timed, F.when(key % 3 == 0, 1001).otherwise(2002)).alias("num_units_in_tick"), F.when(timed, F.when(key % 3 == 0, 30_000).otherwise(60_000)).alias("time_scale"), (F.col("o_orderstatus") == "F").alias("is_idr"), (key % 5 == 0).alias("all_intra"), (key % 2 == 0).alias("has_sps"),
+    )
+    return number_sequences(units, ("stream",)).select("stream", "au_no", "vseq", "cvs")
+
+
+QUERIES = {"mmt_packet_counts": mmt_packet_counts, "tlv_type_counts": tlv_type_counts, "video_sequences": video_sequences, "nal_units": nal_units, "av1_obus": av1_obus, "tlv_packets": tlv_packets, "adts_frames": adts_frames, "mp4_boxes": mp4_boxes, "pes_units": pes_units, "psi_streams": psi_streams}
 
 _LINES = "l AS (SELECT l_orderkey, l_returnflag AS f, l_linenumber AS ln, length(CAST(l_partkey AS VARCHAR)) AS n, row_number() OVER w - 1 AS k FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag))"
 _BEFORE = "OVER (PARTITION BY l_orderkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 ORACLES = {
+    "mmt_packet_counts": "SELECT CAST(event_id % 4 AS INT) AS cid, CAST(61696 + user_id % 3 AS INT) AS packet_id, count(*) AS n, min(event_id) AS first_seq, max(event_id) AS last_seq FROM events GROUP BY ALL",
+    "tlv_type_counts": f"""WITH {_LINES} SELECT CASE f WHEN 'N' THEN 'HeaderCompressedIP' WHEN 'R' THEN 'IPv6' ELSE 'Null' END AS name, count(*) AS n, CAST(sum(n) AS BIGINT) AS n_bytes, CAST(sum(CASE WHEN ln = 3 THEN 1 ELSE 0 END) AS BIGINT) AS skipped FROM l GROUP BY f""",
+    "video_sequences": """WITH u AS (SELECT o_custkey AS stream, o_orderkey AS au_no, o_orderpriority IN ('1-URGENT', '2-HIGH') AS wide, o_orderstatus = 'F' OR o_orderkey % 10 = 0 AS key FROM orders),
+        l AS (SELECT *, lag(wide) OVER (PARTITION BY stream ORDER BY au_no) AS before FROM u), v AS (SELECT *, before IS NULL OR wide <> before AS fresh FROM l),
+        s AS (SELECT *, sum(CAST(fresh AS INT)) OVER w AS vs, sum(CAST(fresh OR key AS INT)) OVER w AS cs FROM v WINDOW w AS (PARTITION BY stream ORDER BY au_no))
+        SELECT stream, au_no, CAST(vs - 1 AS BIGINT) AS vseq, CAST(cs - min(cs) OVER (PARTITION BY stream, vs) AS BIGINT) AS cvs FROM s""",
     "nal_units": f"""WITH {_LINES}, t AS (SELECT *, CASE f WHEN 'N' THEN 1 WHEN 'R' THEN 5 ELSE 9 END AS kind, lag(f) OVER (PARTITION BY l_orderkey ORDER BY k) AS before FROM l)
         SELECT l_orderkey, CAST(sum(CASE WHEN kind = 9 AND before IN ('N', 'R') THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY k) AS BIGINT) AS au_no, k AS nu_no,
             CAST(coalesce(sum(n + 5) {_BEFORE}, 0) + 4 AS BIGINT) AS byte_off, n + 1 AS byte_len, kind AS nal_type, CASE kind WHEN 1 THEN 'non-IDR' WHEN 5 THEN 'IDR' ELSE 'AUD' END AS kind, kind <> 9 AS is_vcl FROM t""",

@@ -246,3 +246,25 @@ def test_mmt_signalling(spark):
     assert list(mmt.mpu_times(assets[0][6])) == [(7, 100, 5, 90_000, 300, [{"dts_pts": 1, "pts": 1501}, {"dts_pts": 2, "pts": 1502}]), (8, 101, 6, 90_000, None, None)]
     times = parse_blobs(spark.createDataFrame([("a", bytearray(assets[0][6]))], "path string, data binary"), mmt.mpu_times, mmt.TIME_ROWS)
     assert times.where("mpu_seq = 7").first()["offsets"][1]["pts"] == 1502
+
+
+def test_syntax_view(spark):
+    from bitweave.sources import syntax
+
+    for declaration in [*syntax.STRUCTURES.values(), *(x.partition(" ")[2] for x in syntax.DESCRIPTORS.values())]:
+        assert syntax.compiled(declaration)
+        list(syntax.fields(bytes(range(64)), declaration))
+        list(syntax.fields(b"", declaration))
+    rows = list(syntax.fields(bytes([0x40 | 2 << 3, 0xF8]) + b"?", syntax.STRUCTURES["avc_aud"]))
+    assert [(r[1], r[2], r[3]) for r in rows] == [("forbidden", 0, 1), ("nal_ref_idc", 1, 2), ("nal_unit_type", 3, 5), ("primary_pic_type", 8, 3)] and rows[3][5] == 7
+    loop = b"\x05\x04HDMV" + b"\x0a\x08eng\0fra\x01" + b"\x48\x09\x01\x03abc\x03xyz" + b"\x99\x02\xab\xcd" + b"\x0e\x03\xc0\x01\x00"
+    got = [(r[0], r[2], r[4], r[7]) for r in syntax.descriptor_fields(loop)]
+    assert (0, "registration", "format_identifier", "HDMV") in got and (1, "iso_639_language", "language[1]", "fra") in got
+    assert (2, "service", "name", "xyz") in got and (3, "unknown", "bytes", "abcd") in got and (4, "maximum_bitrate", "maximum_bitrate", "256") in got
+    avcc = bytes([1, 100, 0, 40, 0xFF, 0xE1, 0, 2]) + b"\x67\x64" + bytes([1, 0, 1]) + b"\x68"
+    assert {r[1]: r[4] for r in syntax.fields(avcc, syntax.STRUCTURES["box_avcC"])} | {} == {"version": "1", "profile_idc": "100", "constraints": "0", "level_idc": "40", "length_size_minus1": "3", "n_sps": "1", "sps_length[0]": "2", "sps[0]": "6764", "n_pps": "1", "pps_length[0]": "1", "pps[0]": "68"}
+    obu = list(syntax.fields(bytes([0x0E, 0x20, 0x05]), syntax.STRUCTURES["obu_header"]))
+    assert {r[1]: r[5] for r in obu} == {"forbidden": 0, "type": 1, "extension": 1, "has_size": 1, "temporal_id": 1, "spatial_id": 0, "size": 5}
+    blobs = spark.createDataFrame([("a", bytearray(struct.pack(">HHHHHHHHII", *range(8), 9, 10)))], "path string, data binary")
+    seen = {r["path"]: r["number"] for r in parse_blobs(blobs.withColumnRenamed("path", "file"), syntax.structure("sei_mastering_display"), syntax.FIELD_ROWS, ("file",)).collect()}
+    assert (seen["gx"], seen["white_y"], seen["max_luminance"]) == (0, 7, 9)
