@@ -9,6 +9,7 @@ no Python object per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,32 @@ _LOWER[65:91] += 32
 _powers = {"up": np.ones(1, dtype=_U), "down": np.ones(1, dtype=_U)}
 
 
+def trimmed(run):
+    """A function over one group of rows (or two, side by side), after which a worker gives its free memory back to the system."""
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            give_back()
+
+    return one if run.__code__.co_argcount == 1 else two
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps its free memory
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that every bit depends on every other."""
     h = h ^ (h >> _U(33))
@@ -113,7 +140,7 @@ class Words:
         return inside, mix(h[inside])
 
 
-def slices(raw: np.ndarray, offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(raw: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) whose texts hold about ``limit`` bytes; a longer text stands alone."""
     a, n = 0, len(offsets) - 1
     while a < n:
@@ -122,8 +149,8 @@ def slices(raw: np.ndarray, offsets: np.ndarray, limit: int = 4 << 20) -> Iterat
         a = b
 
 
-def words_of(column, lower: bool = False, limit: int = 4 << 20) -> Iterator[tuple[int, int, Words]]:
-    """(a, b, words of the rows [a, b)) over a whole column, a few MB at a time."""
+def words_of(column, lower: bool = False, limit: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
+    """(a, b, words of the rows [a, b)) over a whole column, about a MB at a time."""
     raw, offsets, _ = column_bytes(column)
     for a, b in slices(raw, offsets, limit):
         yield a, b, Words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower)

@@ -34,7 +34,7 @@ SAMPLE_DOCS = 20_000
 MOST_GRAMS = 100_000
 LENGTHS = (5, 4, 3, 2, 1)
 _WORD = re.compile(r"[^\W\d_]+")
-_MOST_CACHED = 250_000
+_MOST_CACHED = 150_000
 
 
 def words(text: str | None) -> list[str]:

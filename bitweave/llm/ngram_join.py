@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from ._blocks import block_count, bucket_bits, by_bucket, decode, encode, stored, text_bytes
 from ._components import components
-from ._text import words_of
+from ._text import trimmed, words_of
 
 SHINGLE = 5
 GROUP = 256
@@ -100,6 +100,7 @@ def _once(table: pa.Table) -> pa.Table:
 
 
 def _send(shingle: int, bits: int):
+    @trimmed
     def run(table: pa.Table) -> pa.Table:
         block = table.column("_block")[0].as_py()
         h, _ = _sets(_once(table).column("_text"), shingle)
@@ -127,6 +128,7 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return counts
 
 
+@trimmed
 def _answer(table: pa.Table) -> pa.Table:
     """In one bucket: the corpus frequency of each hash of each block."""
     parts = [decode(x.as_py()) for x in table.column("_data")]
@@ -141,6 +143,7 @@ CLASSES = "_key binary, n long, prefix array<long>, shingles binary, score doubl
 
 
 def _prefixes(shingle: int, bits: int, percent: int):
+    @trimmed
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         texts = _once(texts) if texts.num_rows else texts
         h, bounds = _sets(texts.column("_text"), shingle)
@@ -232,6 +235,7 @@ def merge_skip(lists: list[list[int]], need: int, after: int = -1) -> Iterator[t
 def _search(percent: int):
     """One bundle of groups: searches each group's queries, or each member against those after it, and returns a forest of links."""
 
+    @trimmed
     def run(table: pa.Table) -> pa.Table:
         groups: dict[tuple[int, int], tuple[list, list]] = {}
         rows = zip(*(table.column(c).to_pylist() for c in ("cluster", "part", "query", "cid", "root", "n", "shingles")), strict=True)

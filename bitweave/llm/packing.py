@@ -51,8 +51,8 @@ for _x in (1, 2, 3):
         _CUT[_x, _y] = _x != _y
 _CUT[0, :] = _CUT[:, 0] = True
 
-_SLOTS = 1 << 22
-_MOST_CACHED = 1_200_000
+_SLOTS = 1 << 21
+_MOST_CACHED = 900_000
 _encoders: dict[str, _Encoder] = {}
 
 

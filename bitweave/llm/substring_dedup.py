@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._blocks import block_count, bucket_bits, by_bucket, decode, encode, id_blocks, text_bytes
-from ._text import words_of
+from ._text import trimmed, words_of
 
 WINDOW = 13
 
@@ -46,6 +46,7 @@ def _block_windows(ids: pa.ChunkedArray, texts, size: int):
 
 
 def _send(size: int, bits: int):
+    @trimmed
     def run(table: pa.Table) -> pa.Table:
         block = table.column("_block")[0].as_py()
         found = [h for *_, h, _ in _block_windows(table.column("_id"), table.column("_text"), size)]
@@ -56,6 +57,7 @@ def _send(size: int, bits: int):
     return run
 
 
+@trimmed
 def _answer(table: pa.Table) -> pa.Table:
     """In one bucket: a bit for each hash of each block, set if a lower block has it."""
     table = table.sort_by("_block")
@@ -85,6 +87,7 @@ def _spans(gone: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _cut(size: int, bits: int, id_col: str, carry: list[str], schema: pa.Schema, tidy: bool):
+    @trimmed
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs = docs.take(pa.compute.sort_indices(docs.column("_id"))) if docs.num_rows else docs
         ids = docs.column("_id")
