@@ -144,8 +144,8 @@ def reachable(links: DataFrame) -> DataFrame:
     while state.where("to is not null").limit(1).count():
         there = state.select("archive", F.col("offset").alias("to"), F.col("to").alias("further"))
         newly = state.where("reached and to is not null").select("archive", F.col("to").alias("offset"), F.lit(True).alias("new"))
-        jumped = state.join(there, ["archive", "to"], "left").select("archive", "offset", F.col("further").alias("to"), "reached")
-        state = stored(jumped.join(newly.distinct(), ["archive", "offset"], "left").select("archive", "offset", "to", (F.col("reached") | F.coalesce("new", F.lit(False))).alias("reached")))
+        jumped = state.join(there.hint("merge"), ["archive", "to"], "left").select("archive", "offset", F.col("further").alias("to"), "reached")
+        state = stored(jumped.join(newly.distinct().hint("merge"), ["archive", "offset"], "left").select("archive", "offset", "to", (F.col("reached") | F.coalesce("new", F.lit(False))).alias("reached")))
     return state.where("reached").select("archive", "offset")
 
 
@@ -155,7 +155,7 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = False) -> Dat
     ddl = "archive string, offset long, next long, record_type string, page_id long, url string, refers_to long, payload_bytes long, payload_digest string, payload binary"
     found = files.mapInArrow(_scan(keep_payload), ddl)
     found = stored(found)
-    return found.join(reachable(found), ["archive", "offset"])
+    return found.join(reachable(found).hint("merge"), ["archive", "offset"])
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
