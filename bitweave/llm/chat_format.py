@@ -6,8 +6,9 @@ Assistant turns may hold calls, ``<tool_call>{"id": .., "name": .., "arguments":
 
 Calls and results are hash-joined by (conversation, id).  A result must follow
 its call, and a call the results that it names; turns that break this are moved
-behind the last turn that they need (longest path by relaxation, only over the
-conversations where something is out of order).  Arguments are validated against
+behind the last turn that they need (longest path of any length, by pointer
+jumping along chosen predecessors, only over the conversations where something is
+out of order).  Arguments are validated against
 schemas (tool, param, type, required).  Every message becomes canonical JSON:
 keys sorted at every level, no white space, numbers in their shortest form.
 
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 from ._blocks import stored
 
 SPAN = 256
-MOST_ROUNDS = 100
 _CALL = r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"
 _LAST = 2**62
 
@@ -87,22 +87,47 @@ def _errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return known.join(wrong, keys, "left").select(*keys, (F.col("lacking") + F.coalesce("wrong", F.lit(0))).alias("errors"))
 
 
+def _followed(state: DataFrame, most: int) -> DataFrame:
+    """state (conv, turn, pred, circle) with key, the largest along the chosen predecessors, and via, null unless they run in a circle: pointer jumping."""
+    state = state.withColumns({"via": F.col("pred"), "hops": F.col("pred").isNotNull().cast("int"), "key": F.struct(F.col("turn").alias("at"), F.lit(0).alias("depth"))})
+    # after k rounds via lies 2^k hops back, and no path is as long as a conversation has turns
+    for _ in range(most.bit_length()):
+        if state.where("via is not null").limit(1).count() == 0:
+            break
+        there = state.select("conv", F.col("turn").alias("via"), F.col("via").alias("next"), F.col("hops").alias("far"), F.col("key").alias("from"))
+        pushed = F.when(F.col("from").isNotNull(), F.struct(F.col("from.at").alias("at"), (F.col("from.depth") + F.col("hops")).alias("depth")))
+        state = stored(state.join(there, ["conv", "via"], "left").select("conv", "turn", "pred", "circle", F.col("next").alias("via"), (F.col("hops") + F.coalesce("far", F.lit(0))).alias("hops"), F.when(pushed > F.col("key"), pushed).otherwise(F.col("key")).alias("key")))
+    return state
+
+
 def _order(edges: DataFrame) -> DataFrame:
-    """edges (conv, before, after) of turns: (conv, turn, key (turn to stand at, depth), circle) for conversations out of order."""
+    """edges (conv, before, after) of turns: (conv, turn, key (turn to stand at, depth), circle) for conversations out of order.
+
+    Each turn chooses one predecessor, the keys along the choices are found at once, and turns that another predecessor
+    would move further choose that one, until none does.  Keys grow along every edge, so this ends unless the choices
+    run in a circle, and only a circle of edges makes them.
+    """
     loose = edges.where("before >= after").select("conv").distinct()
     edges = stored(edges.join(loose, "conv", "left_semi").where("before <> after").distinct())
     nodes = edges.select("conv", F.explode(F.array("before", "after")).alias("turn")).distinct()
-    key = lambda turn, depth: F.struct(turn.alias("at"), depth.alias("depth"))
-    state = stored(nodes.select("conv", "turn", key(F.col("turn"), F.lit(0)).alias("key"), F.lit(False).alias("moved")))
-    for k in range(MOST_ROUNDS if state.limit(1).count() else 0):
+    chosen = edges.groupBy("conv", F.col("after").alias("turn")).agg(F.max("before").alias("pred"))
+    state = stored(nodes.join(chosen, ["conv", "turn"], "left").select("conv", "turn", "pred", F.lit(False).alias("circle")))
+    most = state.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+    while True:
+        state = _followed(state, most)
+        circles = state.where("via is not null").select("conv").distinct()
+        if most and circles.limit(1).count():
+            circles = stored(circles.withColumn("found", F.lit(True)))
+            edges = stored(edges.join(circles, "conv", "left_anti"))
+            still = F.struct(F.col("turn").alias("at"), F.lit(0).alias("depth"))
+            state = state.join(circles, "conv", "left").select("conv", "turn", F.when(F.col("found").isNull(), F.col("pred")).alias("pred"), (F.col("circle") | F.col("found").isNotNull()).alias("circle"), F.when(F.col("found"), still).otherwise(F.col("key")).alias("key"))
         before = state.select("conv", F.col("turn").alias("before"), F.col("key").alias("from"))
-        pushed = edges.join(before, ["conv", "before"]).groupBy("conv", F.col("after").alias("turn")).agg(F.max(key(F.col("from.at"), F.col("from.depth") + 1)).alias("pushed"))
-        new = F.when(F.col("pushed") > F.col("key"), F.col("pushed")).otherwise(F.col("key"))
-        state = stored(state.join(pushed, ["conv", "turn"], "left").select("conv", "turn", new.alias("key"), F.coalesce(F.col("pushed") > F.col("key"), F.lit(False)).alias("moved")))
-        if state.where("moved").limit(1).count() == 0:
-            break
-    circles = state.where("moved").select("conv").distinct().withColumn("circle", F.lit(True))
-    return state.join(circles, "conv", "left").select("conv", "turn", F.when(F.col("circle"), key(F.col("turn"), F.lit(0))).otherwise(F.col("key")).alias("key"), F.coalesce("circle", F.lit(False)).alias("circle"))
+        offers = edges.join(before, ["conv", "before"]).groupBy("conv", F.col("after").alias("turn")).agg(F.max(F.struct(F.col("from.at").alias("at"), (F.col("from.depth") + 1).alias("depth"), F.col("before").alias("pred"))).alias("offer"))
+        moved = F.coalesce(F.struct(F.col("offer.at").alias("at"), F.col("offer.depth").alias("depth")) > F.col("key"), F.lit(False)) & F.col("offer").isNotNull()
+        state = stored(state.join(offers, ["conv", "turn"], "left").select("conv", "turn", F.when(moved, F.col("offer.pred")).otherwise(F.col("pred")).alias("pred"), "circle", "key", moved.alias("moved")))
+        if not most or state.where("moved").limit(1).count() == 0:
+            return state.select("conv", "turn", "key", "circle")
+        state = state.select("conv", "turn", "pred", "circle")
 
 
 def format_chats(conversations: DataFrame, schemas: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

@@ -240,3 +240,36 @@ def test_chats(spark):
         assert r[7] == json.dumps(json.loads(r[7]), separators=(",", ":"), sort_keys=True, ensure_ascii=False)
     assert [r[2] for r in got if r[0] == 4] == [0, 1] and got[-1][0] is None and got[-1][3] == "unknown"
     assert format_chats(chats.limit(0), tool_schemas(spark)).count() == 0
+
+
+def test_long_chains_are_no_circles(spark):
+    call = lambda i, need: "<tool_call>" + json.dumps({"id": i, "name": "fetch", "arguments": {"url": need}}) + "</tool_call>"
+    rows, n = [], 60
+    for k in range(n):  # stored in reverse: every call behind its result and behind the calls that need it
+        rows.append((1, 2 * (n - k), "tool", json.dumps({"tool_call_id": f"c{k}", "content": "x"})))
+        rows.append((1, 2 * (n - k) + 1, "assistant", call(f"c{k}", f"${{c{k - 1}}}" if k else "u")))
+    rows += [(2, turn, role, text) for _, turn, role, text in rows if turn > 2] + [(2, 0, "assistant", call("a", "${b}")), (2, 1, "tool", json.dumps({"tool_call_id": "a", "content": "x"})), (2, 2, "assistant", call("b", "${a}")), (2, 3, "tool", json.dumps({"tool_call_id": "b", "content": "x"}))]
+    got = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tool_schemas(spark)).collect()
+    first = sorted((r for r in got if r["conv_id"] == 1), key=lambda r: r["position"])
+    assert [r["turn"] for r in first] == [t for k in range(n) for t in (2 * (n - k) + 1, 2 * (n - k))]
+    assert all(r["n_invalid"] == 0 for r in first)
+    assert all(r["n_invalid"] == (r["role"] == "assistant") for r in got if r["conv_id"] == 2)  # a long chain next to a circle
+
+
+def test_order_equals_longest_paths(spark):
+    from bitweave.llm.chat_format import _order
+
+    r, edges = random.Random(11), []
+    for conv in range(12):
+        turns = r.sample(range(100), 40)
+        edges += [(conv, turns[i], turns[j]) for j in range(1, 40) for i in r.sample(range(max(0, j - 4), j), min(j, r.randint(1, 3)))]
+        if conv % 4 == 3:
+            edges.append((conv, turns[-1], turns[20]))
+            edges.append((conv, turns[20], turns[-1]))
+    got = {(x["conv"], x["turn"]): (tuple(x["key"]), x["circle"]) for x in _order(spark.createDataFrame(edges, "conv long, before long, after long")).collect()}
+    want = {(c, t): (t, 0) for c, *both in edges for t in both}
+    for _ in range(50):
+        for c, a, b in edges:
+            if c % 4 != 3:
+                want[c, b] = max(want[c, b], (want[c, a][0], want[c, a][1] + 1))
+    assert got == {(c, t): (key, c % 4 == 3) for (c, t), key in want.items()}
