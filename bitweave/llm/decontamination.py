@@ -5,10 +5,18 @@ units after a number and names (capitalised inside a sentence) are typed
 placeholders; the values they stand for are kept as slots.  Windows of eight
 template tokens are hash-joined with the benchmark's, once with names as
 placeholders and once as words.  The windows that match are aligned; an alignment
-counts only if its slots are consistent, that is, if each value of the benchmark
-item always stands for one value in the document.  So a question whose numbers,
-units or names were replaced throughout is found, and a text that merely has the
-same shape in places is not.
+counts if its slots are consistent, that is, if each value of the benchmark item
+always stands for one value in the document.  So a question whose numbers, units
+or names were replaced throughout is found, and a text that merely has the same
+shape in places is not.  Equal numbers before different words are different
+values (2 pens and 2 books), a unit's singular and plural are one.
+
+Of an alignment that contradicts itself the places that agree with most of their
+value's places are kept (none on a tie), and only the windows over the others are
+left out; apart from that, the windows whose slots equal the item's are kept.  A
+stretch of either kind counts if it is as long as the rule below asks, so that a
+contradiction elsewhere doesn't clear a long copy, and a short text that
+contradicts itself is clean.
 
 A document is contaminated by an item when consistent alignments cover
 ``min(13, max(8, 0.6 n))`` of the item's n tokens (an item of fewer than eight
@@ -119,6 +127,7 @@ def _unit_hashes() -> np.ndarray:
 
 
 _UNITS = _unit_hashes()
+_SINGULAR = {b"inches": b"inch", b"feet": b"foot"} | {f"{x}s".encode(): x.encode() for x in UNITS if len(x) > 1 and f"{x}s" in UNITS}
 
 
 class Benchmark:
@@ -145,7 +154,7 @@ class Benchmark:
 
     def judge(self, t: Template) -> dict[int, dict[int, int]]:
         """{row: {item position: covered tokens}} of contaminated rows."""
-        pairs: dict[tuple[int, int], dict[int, set[int]]] = {}
+        pairs: dict[tuple[int, int], dict[int, set[tuple[int, int]]]] = {}
         for tokens in (t.typed, t.plain):
             for k in self.sizes:
                 at, h = t.windows_of(tokens, k)
@@ -159,24 +168,58 @@ class Benchmark:
                     for x in range(int(low[j]), int(high[j])):
                         p = int(self.at[x])
                         lines = pairs.setdefault((int(t.row[q]), int(self.template.row[p])), {})
-                        lines.setdefault(q - p, set()).update(range(p, p + int(self.size[x])))
+                        lines.setdefault(q - p, set()).add((p, p + int(self.size[x])))
         out: dict[int, dict[int, int]] = {}
         for (row, item), lines in pairs.items():
-            covered: set[int] = set()
-            for shift, places in sorted(lines.items()):
-                if self._consistent(t, shift, places):
-                    covered |= places
             n = int(self.template.count[item])
             least = n if n < self.window else min(LONG_RUN, max(self.window, SHARE * n))
+            covered: set[int] = set()
+            for shift, windows in sorted(lines.items()):
+                covered |= self._agreeing(t, shift, windows, least)
             words = sum(not self.template.slot[p] for p in covered)
             if len(covered) >= least and words >= min(LEAST_WORDS, n):
                 out.setdefault(row, {})[item] = len(covered)
         return out
 
-    def _consistent(self, t: Template, shift: int, places: set[int]) -> bool:
-        """One value of the item, one value in the document."""
-        stands: dict[bytes, bytes] = {}
-        return all(stands.setdefault(self.template.value(p), x := t.value(p + shift)) == x for p in sorted(places) if self.template.slot[p])
+    def _agreeing(self, t: Template, shift: int, windows: set[tuple[int, int]], least: float) -> set[int]:
+        """Places of an alignment that count: one value of the item, one value in the document."""
+        places = _places(windows)
+        stands: dict[tuple, dict[bytes, list[int]]] = {}
+        for p in places:
+            if self.template.slot[p]:
+                stands.setdefault(self._thing(p), {}).setdefault(_one(t.value(p + shift)), []).append(p)
+        if all(len(x) == 1 for x in stands.values()):
+            return places
+        wrong: set[int] = set()
+        for values in stands.values():
+            most = max(map(len, values.values()))
+            kept = [x for x in values.values() if len(x) == most]
+            wrong.update(p for x in values.values() if len(kept) > 1 or len(x) < most for p in x)
+        changed = {p for p in places if self.template.slot[p] and self.template.value(p) != t.value(p + shift)}
+        out: set[int] = set()
+        for bad in (wrong, changed):
+            run: list[int] = []
+            for p in [*sorted(_places({(a, b) for a, b in windows if not any(x in bad for x in range(a, b))})), -1]:
+                if run and p != run[-1] + 1:
+                    out.update(run if len(run) >= least else ())
+                    run = []
+                run.append(p)
+        return out
+
+    def _thing(self, p: int) -> tuple[bytes, bytes]:
+        """What a slot of the item is about: its value, and for a number what it counts."""
+        t, value = self.template, self.template.value(p)
+        counts = value[:1].isdigit() and p + 1 < len(t.start) and t.row[p + 1] == t.row[p]
+        return _one(value), _one(t.value(p + 1)) if counts else b""
+
+
+def _places(windows: set[tuple[int, int]]) -> set[int]:
+    return {p for a, b in windows for p in range(a, b)}
+
+
+def _one(value: bytes) -> bytes:
+    """Units in the singular; other values as they are."""
+    return _SINGULAR.get(value, value)
 
 
 def _judge(shared):

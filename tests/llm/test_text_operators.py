@@ -130,6 +130,25 @@ def test_templates(text, hit):
     assert bool(found) == hit
 
 
+PENS = "She packed 2 pens and 2 books into the bag before walking to school with friends"
+RACE = "The first race took 5 hours and the second one took 3 hours in the rain"
+PASSAGE = " ".join(f"word{chr(97 + k)}" for k in range(24)) + " 12 apples and " + " ".join(f"thing{chr(97 + k)}" for k in range(16)) + " 12 apples in all"
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "hit"),
+    [
+        (PENS, PENS.replace("2 pens", "3 pens").replace("2 books", "5 books"), True),  # one value, two things
+        (RACE, RACE.replace("5 hours", "1 hour").replace("3 hours", "2 hours"), True),
+        (PASSAGE, PASSAGE.replace("12", "7", 1), True),  # a long verbatim run next to a contradiction
+        (PASSAGE.replace("and", "and 12 apples or"), PASSAGE.replace("and", "and 7 apples or").replace("12", "7", 1), True),
+        ("He saw 12 apples and she 12 apples", "He saw 12 apples and she 7 apples", False),
+    ],
+)
+def test_contradicting_slots_leave_the_rest(item, text, hit):
+    assert bool(Benchmark([(4, item)]).judge(_template([text]))) == hit
+
+
 def test_decontaminate(spark, monkeypatch):
     import bitweave.llm.decontamination as d
 
