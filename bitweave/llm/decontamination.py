@@ -20,7 +20,9 @@ contradicts itself is clean.
 
 A document is contaminated by an item when consistent alignments cover
 ``min(13, max(8, 0.6 n))`` of the item's n tokens (an item of fewer than eight
-tokens must be covered whole), at least ``LEAST_WORDS`` of them words.
+tokens must be covered whole), at least ``LEAST_WORDS`` of them words.  Of an item
+with fewer words than that all must be covered, and only by windows whose slots
+equal the item's: a template of so few words fits anything.
 
 The benchmark's windows go to every task in parts of at most ``MOST_TOKENS``
 tokens (about 100 MB); a larger benchmark takes several passes over the corpus,
@@ -136,6 +138,7 @@ class Benchmark:
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
         self.ids = [i for i, _ in items]
         self.template = t = _template([x for _, x in items])
+        self.words = np.bincount(t.row, weights=~t.slot, minlength=len(items)).astype(np.int64)
         self.window = window
         self.sizes = sorted({min(window, int(n)) for n in t.count if n})
         hashes, first, size = [], [], []
@@ -173,11 +176,15 @@ class Benchmark:
         for (row, item), lines in pairs.items():
             n = int(self.template.count[item])
             least = n if n < self.window else min(LONG_RUN, max(self.window, SHARE * n))
+            own = int(self.words[item])
             covered: set[int] = set()
             for shift, windows in sorted(lines.items()):
-                covered |= self._agreeing(t, shift, windows, least)
+                if own < LEAST_WORDS:
+                    covered |= _places(_clear(windows, self._changed(t, shift, _places(windows))))
+                else:
+                    covered |= self._agreeing(t, shift, windows, least)
             words = sum(not self.template.slot[p] for p in covered)
-            if len(covered) >= least and words >= min(LEAST_WORDS, n):
+            if len(covered) >= least and words >= min(LEAST_WORDS, own):
                 out.setdefault(row, {})[item] = len(covered)
         return out
 
@@ -195,17 +202,20 @@ class Benchmark:
             most = max(map(len, values.values()))
             kept = [x for x in values.values() if len(x) == most]
             wrong.update(p for x in values.values() if len(kept) > 1 or len(x) < most for p in x)
-        changed = {p for p in places if self.template.slot[p] and self.template.value(p) != t.value(p + shift)}
         out: set[int] = set()
-        for bad in (wrong, changed):
+        for bad in (wrong, self._changed(t, shift, places)):
             run: list[int] = []
-            for p in [*sorted(_places({(a, b) for a, b in windows if not any(x in bad for x in range(a, b))})), -1]:
+            for p in [*sorted(_places(_clear(windows, bad))), -1]:
                 if run and p != run[-1] + 1:
                     out.update(run if len(run) >= least else ())
                     run = []
                 run.append(p)
         return out
 
+    def _changed(self, t: Template, shift: int, places: set[int]) -> set[int]:
+        """Slots whose value isn't the item's."""
+        return {p for p in places if self.template.slot[p] and self.template.value(p) != t.value(p + shift)}
+
     def _thing(self, p: int) -> tuple[bytes, bytes]:
         """What a slot of the item is about: its value, and for a number what it counts."""
         t, value = self.template, self.template.value(p)
@@ -217,6 +227,10 @@ def _places(windows: set[tuple[int, int]]) -> set[int]:
     return {p for a, b in windows for p in range(a, b)}
 
 
+def _clear(windows: set[tuple[int, int]], bad: set[int]) -> set[tuple[int, int]]:
+    return {(a, b) for a, b in windows if not any(p in bad for p in range(a, b))}
+
+
 def _one(value: bytes) -> bytes:
     """Units in the singular; other values as they are."""
     return _SINGULAR.get(value, value)

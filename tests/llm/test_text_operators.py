@@ -149,6 +149,12 @@ def test_contradicting_slots_leave_the_rest(item, text, hit):
     assert bool(Benchmark([(4, item)]).judge(_template([text]))) == hit
 
 
+@pytest.mark.parametrize("item", ["What is 12 times 7?", "Convert 5 km to miles", "Solve 3 x + 5 = 20", "12 + 7 + 3 = 22, 12 - 7 - 3 = 2, so?"])
+def test_short_items_are_found_word_for_word(item):
+    judge = Benchmark([(4, item)]).judge
+    assert judge(_template([f"Now: {item} Yes."])) and not judge(_template([f"Now: {item.replace('5', '6').replace('7', '8')} Yes."]))
+
+
 def test_decontaminate(spark, monkeypatch):
     import bitweave.llm.decontamination as d
 
