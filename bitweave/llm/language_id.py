@@ -9,7 +9,9 @@ its whole text.
 The model is fitted on at most about ``sample_docs`` labelled rows, chosen by a
 hash of the id (a bound on the model, not on what is classified), and keeps at
 most ``most_grams`` words and as many n-grams: a size that doesn't depend on the
-corpus, which is why tasks may receive it whole.
+corpus, which is why tasks may receive it whole.  They are taken by their rank in
+the language where they rank best, so every language keeps its most frequent ones
+and none loses its share to one with more text.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter,
 and when nothing was learned; ties go to the language whose name sorts first;
@@ -25,13 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._blocks import stored
 
 SAMPLE_DOCS = 20_000
-MOST_GRAMS = 100_000
+MOST_GRAMS = 200_000
 LENGTHS = (5, 4, 3, 2, 1)
 _WORD = re.compile(r"[^\W\d_]+")
 _MOST_CACHED = 150_000
@@ -127,16 +129,18 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     counts = stored(counts)
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     each = [F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)]
-    by_gram = counts.groupBy("n", "gram").agg(F.sum("count").alias("total"), *each).where("total > 1")
+    rank = F.row_number().over(Window.partitionBy("lang", F.col("n") > 0).orderBy(F.col("count").desc(), "n", "gram"))
+    by_gram = counts.withColumn("rank", rank).groupBy("n", "gram").agg(F.sum("count").alias("total"), F.min("rank").alias("rank"), *each).where("total > 1")
     tables = {k: ({}, np.zeros((0, len(langs)))) for k in (0, *LENGTHS)}
     for where in ("n = 0", "n > 0"):
-        kept = by_gram.where(where).orderBy(F.col("total").desc(), "n", "gram").limit(most_grams).toArrow()
-        lengths = np.asarray(kept.column("n"))
-        for k in np.unique(lengths):
-            own = kept.filter(pa.array(lengths == k))
+        kept = stored(by_gram.where(where).orderBy("rank", F.col("total").desc(), "n", "gram").limit(most_grams).drop("total", "rank"))
+        for k in (0,) if where == "n = 0" else LENGTHS:  # the driver gets one length at a time
+            own = kept.where(F.col("n") == k).orderBy("gram").toArrow()
+            if not own.num_rows:
+                continue
             seen = np.stack([np.asarray(own.column(f"c{i}")) for i in range(len(langs))], axis=1).astype(float)
             grams_of = {g: i for i, g in enumerate(own.column("gram").to_pylist())}
-            tables[int(k)] = grams_of, _normal(np.log((seen + 0.05) / (seen.sum(axis=0) + 0.05 * len(seen))))
+            tables[k] = grams_of, _normal(np.log((seen + 0.05) / (seen.sum(axis=0) + 0.05 * len(seen))))
     return Model(langs, tables)
 
 

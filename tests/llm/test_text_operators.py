@@ -184,3 +184,14 @@ def test_language_id(spark):
     assert identify_language(docs.limit(0), empty).count() == 0
     bounded = train(docs, sample_docs=30, most_grams=40)
     assert sum(len(t[0]) for t in bounded.tables.values()) <= 80
+
+
+def test_a_small_language_keeps_its_words(spark):
+    import bitweave.llm.language_id as language_id
+
+    names = lambda first, n: [first + chr(97 + k // 26) + chr(97 + k % 26) for k in range(n)]
+    rows = [(i, " ".join(names("x", 60)), "hot") for i in range(20)] + [(100 + i, " ".join(names("y", 20)), "small") for i in range(2)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_grams=40)
+    assert len(model.tables[0][0]) == 40 and set(names("y", 20)) <= set(model.tables[0][0])
+    assert {g[-1] for g in model.tables[1][0]} >= {"x", "y"}
+    assert language_id.MOST_GRAMS == 200_000
