@@ -14,13 +14,14 @@ cut into parts on either side, so a block of at most ``PART`` indexed vectors
 meets at most ``PART`` searching ones in one matrix product; pairs are counted,
 not emitted, and only a spanning forest of links leaves a task.
 
-The codebooks are fitted on at most about ``sample`` vectors (a bound on the
-training, all vectors are indexed and all search), and grow with the table so
-that a cell holds a few dozen vectors of a label.
+The codebooks are fitted on at most about ``sample`` vectors, more only to give
+each vector length ``LEAST_SAMPLE`` (a bound on the training, all vectors are
+indexed and all search), and grow with the table so that a cell holds a few dozen
+vectors of a label.  Each vector length has a grid of its own.
 
 Defined results: rows whose vector or label or id is null, whose vector is zero,
-empty, or holds null or non-finite components, or has another length than most,
-link with nothing; rows with equal ids are one node; an empty table gives an
+empty, or holds null or non-finite components link with nothing; vectors of
+different lengths don't link with each other; -0.0 is 0.0; rows with equal ids are one node; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -39,6 +40,7 @@ from ._components import components
 THRESHOLD = 0.98
 RECALL = 0.9999
 SAMPLE = 20_000
+LEAST_SAMPLE = 1_000
 PART = 384
 OCCUPANCY = 32
 
@@ -105,6 +107,11 @@ class Grid:
         return near1 * k + near2, np.concatenate(rows), np.concatenate(cells)
 
 
+def _lengths(rows) -> np.ndarray:
+    """Components of each row's vector."""
+    return np.array([len(x) // 8 for x in rows.column("vec").to_pylist()], np.int64)
+
+
 def _unit(data: list[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(data), "<f8").reshape(len(data), -1)
     return x / np.linalg.norm(x, axis=1)[:, None]
@@ -115,11 +122,12 @@ _PLACED = "label string, cid long, copies long, vec binary, cell int, query bool
 
 def _place(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid = shared.value
+        grids = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                cell, row, visits = grid.visit(_unit(part.column("vec").to_pylist()))
+            lengths = _lengths(batch)
+            for d, at in ((d, at) for d in np.unique(lengths) for at in range(0, int((lengths == d).sum()), 1000)):
+                part = batch.take(pa.array(np.flatnonzero(lengths == d)[at : at + 1000]))
+                cell, row, visits = grids[int(d)].visit(_unit(part.column("vec").to_pylist()))
                 take = np.concatenate([np.arange(len(cell)), row])
                 rows = part.take(pa.array(take))
                 yield pa.record_batch([*(rows.column(c) for c in ("label", "cid", "copies", "vec")), pa.array(np.concatenate([cell, visits]), pa.int32()), pa.array(np.concatenate([np.zeros(len(cell), bool), np.ones(len(row), bool)]))], names=["label", "cid", "copies", "vec", "cell", "query"])
@@ -173,20 +181,25 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     """Returns id, n_links, component_id, kept."""
     spark = table.sparkSession
     v = F.col(vector_col)
-    rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("string").alias("label"), v.cast("array<double>").alias("vec"))
+    rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("string").alias("label"), F.transform(v.cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vec"))
     fine = F.coalesce(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0), F.lit(False))
-    good = rows.where(fine & F.col("label").isNotNull() & F.col("id").isNotNull())
-    most = good.groupBy(F.size("vec").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
-    if most is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    good = good.where(F.size("vec") == most["d"])
+    valid = fine & F.col("label").isNotNull() & F.col("id").isNotNull()
+    # only vectors of one length are compared: the length is part of the label
+    good = rows.where(valid).withColumn("label", F.concat_ws(":", F.size("vec"), "label"))
     classes = stored(good.groupBy("label", "vec").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("copies")).mapInArrow(_doubles, "label string, cid long, copies long, vec binary"))
-    total, crowd = classes.count(), classes.groupBy("label").count().agg(F.max("count")).first()[0]
-    share = F.pmod(F.xxhash64("cid", "vec"), F.lit(1_000_000)) < max(1, int(1_000_000 * sample / total))
-    chosen = [bytes(r["vec"]) for r in classes.where(share if total > sample else F.lit(True)).select("vec").collect()]
-    grid = Grid(_unit(chosen), int(min(256, max(8, (crowd / OCCUPANCY) ** 0.5))), threshold, recall)
-
-    placed = stored(classes.mapInArrow(_place(spark.sparkContext.broadcast(grid)), _PLACED))
+    length = (F.octet_length("vec") / 8).cast("int")
+    sizes = {r["d"]: (r["n"], r["crowd"]) for r in classes.groupBy(length.alias("d"), "label").count().groupBy("d").agg(F.sum("count").alias("n"), F.max("count").alias("crowd")).collect()}
+    if not sizes:
+        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    total = sum(n for n, _ in sizes.values())
+    grids = {}
+    for d, (n, crowd) in sizes.items():
+        wanted = max(sample * n / total, min(n, LEAST_SAMPLE))
+        share = F.pmod(F.xxhash64("cid", "vec"), F.lit(1_000_000)) < max(1, int(1_000_000 * wanted / n))
+        chosen = [bytes(r["vec"]) for r in classes.where((length == d) & (share if n > wanted else F.lit(True))).select("vec").collect()]
+        grids[d] = Grid(_unit(chosen), int(min(256, max(8, (crowd / OCCUPANCY) ** 0.5))), threshold, recall)
+
+    placed = stored(classes.mapInArrow(_place(spark.sparkContext.broadcast(grids)), _PLACED))
     crowds = placed.groupBy("label", "cell").agg(*(F.ceil(F.sum((F.col("query") == q).cast("int")) / PART).cast("int").alias(name) for name, q in (("parts_a", False), ("parts_b", True))))
     crowds = crowds.where("parts_a > 0 and parts_b > 0")
     spread = placed.join(crowds, ["label", "cell"])
@@ -204,7 +217,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     known = classes.select("label", "vec", "cid", "copies").join(links, "cid", "left").join(roots, "cid", "left")
     known = known.select("label", F.col("vec").alias("key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "cid").alias("root"))
     out = good.select("id", "label", "vec").mapInArrow(_keys, "id long, label string, key binary").join(known, ["label", "key"])
-    alone = rows.where(~(fine & F.col("label").isNotNull() & F.col("id").isNotNull() & (F.size("vec") == most["d"]))).select("id", F.lit(0).cast("bigint").alias("links"), F.col("id").alias("root"))
+    alone = rows.where(~valid).select("id", F.lit(0).cast("bigint").alias("links"), F.col("id").alias("root"))
     every = out.select("id", "links", "root").unionByName(alone)
     return every.select(F.col("id").alias(id_col), F.col("links").cast("bigint").alias("n_links"), F.col("root").alias("component_id"), F.coalesce(F.col("id") == F.col("root"), F.lit(True)).alias("kept"))
 
