@@ -18,7 +18,9 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""display\s*:\s*none|\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true""", re.I)
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -41,17 +43,28 @@ class Page:
     runs: list[tuple[int, int, str]] = field(default_factory=list)  # (block number, node, text)
 
 
+def _hides(tag: str, attributes: str) -> bool:
+    """Whether an element and all in it are unseen. A whole page that is hidden is one that a script shows."""
+    if not attributes or tag in {"html", "body"} or not _MAY_HIDE.search(attributes):
+        return False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _UNSHOWN.search(value):
+            return True
+    return False
+
+
 def parse(html: str, labelled: bool = False) -> Page:
     """Blocks end wherever a block-level tag starts or ends; an inline tag never ends one."""
     page = Page([Node("#root", -1, [])])
     nodes, runs = page.nodes, page.runs
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements; inline ones share their block's node
+    stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # open elements; inline ones share their block's node
     block, unseen, links, at, size = 0, 0, 0, 0, len(html)
 
     def pop() -> None:
         nonlocal unseen, links
-        tag, _ = stack.pop()
-        unseen -= tag in UNSEEN
+        tag, _, unshown = stack.pop()
+        unseen -= tag in UNSEEN or unshown
         links -= tag == "a"
 
     def close(tags: set[str] | frozenset[str], scope: set[str] | frozenset[str]) -> None:
@@ -103,12 +116,12 @@ def parse(html: str, labelled: bool = False) -> Page:
             continue
         tag = tag.lower()
         if m.group(1):
-            if tag == "p" and not any(t == "p" for t, _ in stack):
+            if tag == "p" and not any(t == "p" for t, *_ in stack):
                 block += 1
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
-                    block += any(t not in INLINE for t, _ in stack[k:])
+                    block += any(t not in INLINE for t, *_ in stack[k:])
                     while len(stack) > k:
                         pop()
                     break
@@ -122,8 +135,10 @@ def parse(html: str, labelled: bool = False) -> Page:
             continue
         if tag in INLINE:
             if tag not in VOID and not m.group(0).endswith("/>"):
-                stack.append((tag, stack[-1][1]))
+                unshown = _hides(tag, m.group(3))
+                stack.append((tag, stack[-1][1], unshown))
                 links += tag == "a"
+                unseen += unshown
             continue
         block += 1
         if tag in CLOSES_P:
@@ -137,10 +152,9 @@ def parse(html: str, labelled: bool = False) -> Page:
         if tag in VOID:
             continue
         attributes = m.group(3)
-        names, hidden = [], False
-        if attributes and "=" in attributes or " hidden" in attributes:
+        names, hidden = [], _hides(tag, attributes)
+        if attributes and "=" in attributes:
             names = [t.lower() for found in _NAMES.findall(attributes) for part in found if part for t in _TOKEN.findall(part)]
-            hidden = _HIDDEN.search(attributes) is not None
         node = Node(tag, stack[-1][1], names, hidden)
         if labelled:
             y = re.search(r"data-y=(\d)", attributes)
@@ -148,8 +162,8 @@ def parse(html: str, labelled: bool = False) -> Page:
         nodes.append(node)
         if m.group(0).endswith("/>") and tag in {"svg", "math", "path", "use"}:
             continue
-        stack.append((tag, len(nodes) - 1))
-        unseen += tag in UNSEEN
+        stack.append((tag, len(nodes) - 1, hidden))
+        unseen += tag in UNSEEN or hidden
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end.end() if end else size

@@ -207,6 +207,18 @@ def test_extraction_on_held_out_pages():
     assert found / lines > 0.95 and found / kept > 0.93 and right / len(pages) > 0.6
 
 
+def test_only_hidden_elements_are_unseen():
+    text = "A sentence of the article that is long enough. And another one that follows it."
+    for shown in ('class="overflow-hidden"', 'style="overflow:hidden"', "style='backface-visibility: hidden'", 'title="the hidden truth"', "data-hidden=1", 'aria-hidden="false"', 'data-x="display:none"'):
+        assert not any(n.hidden for n in parse(f"<article><p {shown}>{text}</p></article>").nodes), shown
+    for hides in ("hidden", "HIDDEN", 'hidden=""', 'style="color:red; display : none"', 'style="visibility:hidden"', "aria-hidden=true", "style=display:none"):
+        for tag in ("div", "span"):
+            page = parse(f"<article><p>{text}</p><{tag} {hides}>gone<b>gone</b><div>gone</div></{tag}><p>{text}</p></article>")
+            assert blocks(page, [True] * len(page.nodes)) == [text, text], (tag, hides)
+    page = '<article class="overflow-hidden">' + f"<div style='overflow:hidden'>{text}</div>" * 4 + "</article>"
+    assert extract(page, default_model()).split("\n") == [text] * 4
+
+
 def test_broken_html_never_fails():
     r, model = random.Random(7), default_model()
     parts = ["<p>", "</p>", "<", ">", "<div", " class='x", "'>", "text", "&amp;", "&#x41;", "&bogus;", "<!--", "-->", "<script>", "</script>", "<li>", "</ul>", "<b>", "</b>", "<br/>", "<td>", "<![CDATA[", "]]>", "é", "\x00", "<p/>", "</", "<>", "<select><option>"]
