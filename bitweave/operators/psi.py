@@ -114,7 +114,26 @@ def section_packets(section: bytes, pid: int) -> list[bytes]:
     return out
 
 
-PES = "stream_id int, pts90 long, dts90 long, header_len int, es binary"
+PES = "stream_id int, pts90 long, dts90 long, header_len int, es binary, stream_id_extension int"
+
+
+def _stream_id_extension(data: bytes, end: int) -> int | None:
+    """Of a PES header that ends at end: the fields before the extension are skipped by their flags."""
+    flags = data[7]
+    if not flags & 1:
+        return None
+    at = 9 + (0, 0, 5, 10)[flags >> 6] + sum(size for bit, size in ((0x20, 6), (0x10, 3), (0x08, 1), (0x04, 1), (0x02, 2)) if flags & bit)
+    head = data[:end]
+    if at >= len(head):
+        return None
+    extension, at = head[at], at + 1
+    at += 16 if extension & 0x80 else 0
+    if extension & 0x40 and at < len(head):
+        at += 1 + head[at]
+    at += (2 if extension & 0x20 else 0) + (2 if extension & 0x10 else 0)
+    if not extension & 1 or at + 1 >= len(head) or not head[at] & 127 or head[at + 1] & 128:
+        return None
+    return head[at + 1] & 127
 
 
 def _pes(data: bytes) -> Iterator[tuple]:
@@ -123,23 +142,31 @@ def _pes(data: bytes) -> Iterator[tuple]:
     sid, size = data[3], int.from_bytes(data[4:6], "big")
     end = 6 + size if size else len(data)
     if sid in (0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xFF, 0xF2, 0xF8):
-        yield sid, None, None, 6, data[6:end]
+        yield sid, None, None, 6, data[6:end], None
         return
     flags, body = data[7] >> 6, 9 + data[8]
     stamp = lambda b: ((b[0] >> 1) & 7) << 30 | (int.from_bytes(b[1:3], "big") >> 1) << 15 | int.from_bytes(b[3:5], "big") >> 1
     pts = stamp(data[9:14]) if flags & 2 and data[9] >> 4 == flags else None
     dts = stamp(data[14:19]) if flags == 3 and pts is not None else None
-    yield sid, pts, dts, body, data[body:end]
+    yield sid, pts, dts, body, data[body:end], _stream_id_extension(data, body)
 
 
-def pes_units(packets: DataFrame, pids: list[int] | None = None) -> DataFrame:
-    """pid, unit, first_pkt, last_pkt and the PES fields with the elementary stream of each unit; packets before a PID's first unit are dropped."""
+def pes_units(packets: DataFrame, pids: list[int] | None = None, stream_id: int | None = None, stream_id_extension: int | None = None) -> DataFrame:
+    """pid, unit, first_pkt, last_pkt and the PES fields with the elementary stream of each unit; packets before a PID's first unit are dropped.
+
+    A unit without stream_id_extension matches any that is asked for.
+    """
     rows = packets.where(F.col("pid").isin(*pids)) if pids else packets
     rows = rows.where(F.col("afc").bitwiseAND(F.lit(1)) > 0).select("pkt_idx", "pid", "pusi", F.expr("substring(raw, payload_at + 1)").alias("payload"))
     rows = with_running_sum(rows, {"unit": F.col("pusi").cast("int")}, "pkt_idx", ("pid",)).where("unit > 0")
     units = rows.groupBy("pid", "unit").agg(F.min("pkt_idx").alias("first_pkt"), F.max("pkt_idx").alias("last_pkt"), F.array_sort(F.collect_list(F.struct("pkt_idx", "payload"))).alias("parts"))
     units = units.withColumn("data", F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.payload))"))
-    return parse_blobs(units, _pes, PES, ("pid", "unit", "first_pkt", "last_pkt"))
+    found = parse_blobs(units, _pes, PES, ("pid", "unit", "first_pkt", "last_pkt"))
+    if stream_id is not None:
+        found = found.where(F.col("stream_id") == stream_id)
+    if stream_id_extension is not None:
+        found = found.where(F.coalesce(F.col("stream_id_extension") == stream_id_extension, F.lit(True)))
+    return found
 
 
 def _patch(section: bytearray, mapping: dict[int, int]) -> bool:

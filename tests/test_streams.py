@@ -103,6 +103,22 @@ def test_scan_parse_and_tables(spark, stream):
     assert len(unit) == 1 and bytes(unit[0]["es"]) == bytes(range(200)) and (unit[0]["pts90"], unit[0]["dts90"], unit[0]["stream_id"]) == (1, 0, 0xE0) or unit[0]["pts90"] is not None
 
 
+def test_stream_id_extension(spark):
+    plain = bytes([0, 0, 1, 0xFD, 0, 0, 0x80, 0x80, 5, 0x21, 0, 1, 0, 1]) + b"none"
+    short = bytes([0, 0, 1, 0xFD, 0, 0, 0x80, 0x81, 8, 0x21, 0, 1, 0, 1, 0x01, 0x81, 0x55]) + b"first"
+    # PTS and DTS, ESCR, rate, CRC; private data, pack header of 3, counter, buffer size
+    full = bytes([0, 0, 1, 0xFD, 0, 0, 0x80, 0xF3, 50, 0x31, 0, 1, 0, 1, 0x11, 0, 1, 0, 1]) + bytes(11) + b"\xf1" + bytes(16) + b"\x03" + bytes(3) + bytes(4) + b"\x81\x71"
+    full = full.ljust(59, b"\xff") + b"second"
+    other = bytes([0, 0, 1, 0xE0, 0, 0, 0x80, 0, 0]) + b"video"
+    rows = [(k, 0x101, True, 1, bytearray(x), 0) for k, x in enumerate((plain, short, full, other))]
+    packets = spark.createDataFrame(rows, "pkt_idx long, pid int, pusi boolean, afc int, raw binary, payload_at int")
+    found = lambda **only: [(bytes(r["es"]), r["stream_id_extension"]) for r in psi.pes_units(packets, **only).orderBy("unit").collect()]
+    every = [(b"none", None), (b"first", 0x55), (b"second", 0x71), (b"video", None)]
+    assert found() == every
+    assert found(stream_id=0xFD, stream_id_extension=0x71) == [every[0], every[2]]
+    assert found(stream_id=0xE0, stream_id_extension=0x71) == every[3:]
+
+
 def test_range_pushdown(spark, stream):
     path, raw = stream
     assert read_packets(spark, path, start=2, end=4).count() == 2
