@@ -45,12 +45,13 @@ def layout(nodes: DataFrame, most_levels: int = 32) -> DataFrame:
     raise ValueError("deeper than most_levels")
 
 
-def descendants_by_kind(nodes: DataFrame, ancestor_id, kind: str, most_levels: int = 32) -> DataFrame:
-    """Nodes of a kind anywhere below an ancestor."""
+def descendants_by_kind(nodes: DataFrame, ancestor_id, kind: str) -> DataFrame:
+    """Nodes of a kind anywhere below an ancestor, one join a level."""
     front, out = nodes.where(F.col("parent_id") == ancestor_id), None
-    for _ in range(most_levels):
+    while True:
+        # plans stay short however deep the tree is; only a circle leads back to the ancestor
+        front = front.where(F.col("node_id") != ancestor_id).localCheckpoint()
         out = front if out is None else out.unionByName(front)
+        if front.isEmpty():
+            return out.where(F.col("kind") == kind)
         front = nodes.join(front.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi")
-        if front.limit(1).count() == 0:
-            break
-    return out.where(F.col("kind") == kind)

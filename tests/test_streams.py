@@ -103,6 +103,14 @@ def test_scan_parse_and_tables(spark, stream):
     assert len(unit) == 1 and bytes(unit[0]["es"]) == bytes(range(200)) and (unit[0]["pts90"], unit[0]["dts90"], unit[0]["stream_id"]) == (1, 0, 0xE0) or unit[0]["pts90"] is not None
 
 
+def test_descendants_of_a_deep_tree(spark):
+    from bitweave.operators.trees import descendants_by_kind
+
+    rows = [(k, k - 1 if k else None, "a" if k % 10 else "b", 0, 0) for k in range(41)]
+    nodes = spark.createDataFrame(rows, "node_id long, parent_id long, kind string, ordinal int, pos int").coalesce(1)
+    assert sorted(r["node_id"] for r in descendants_by_kind(nodes, 0, "b").collect()) == [10, 20, 30, 40]
+
+
 def test_stream_id_extension(spark):
     plain = bytes([0, 0, 1, 0xFD, 0, 0, 0x80, 0x80, 5, 0x21, 0, 1, 0, 1]) + b"none"
     short = bytes([0, 0, 1, 0xFD, 0, 0, 0x80, 0x81, 8, 0x21, 0, 1, 0, 1, 0x01, 0x81, 0x55]) + b"first"
