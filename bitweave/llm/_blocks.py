@@ -6,7 +6,8 @@ bounded size; a block sends each hash bucket ONE row that holds its distinct
 sorted hashes, delta-coded (about six bytes a hash); the bucket answers each
 block with one bit, or one count, per hash.  Every step is a plain Spark shuffle
 over rows that can be recomputed, and no step holds more than one block or one
-bucket.
+bucket.  Buckets grow in number with the blocks, so that neither grows with the
+corpus; a block never sends more rows than it has hashes.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 LEAST_BLOCKS = 64
-MOST_BUCKETS = 4096
+HEAVY = 1000
+SALTS = 64
 _U = np.uint64
 
 
@@ -29,8 +31,8 @@ def block_count(n_bytes: int, block_bytes: int = BLOCK_BYTES) -> int:
 
 
 def bucket_bits(blocks: int) -> int:
-    """Buckets are a power of two, about as many as there are blocks: each holds a block's worth of hashes."""
-    return max(7, min(int(math.log2(MOST_BUCKETS)), math.ceil(math.log2(max(1, blocks)))))
+    """Buckets are a power of two, at least as many as there are blocks: each holds a block's worth of hashes at any size."""
+    return max(7, math.ceil(math.log2(max(1, blocks))))
 
 
 def text_bytes(df: DataFrame, text_col: str) -> int:
@@ -66,14 +68,15 @@ def by_bucket(values: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
     return [(int(part[0] >> _U(64 - bits)), part) for part in np.split(values, cut) if len(part)]
 
 
-def id_blocks(df: DataFrame, id_col: str, blocks: int) -> Column:
-    """A block number that never falls as the id grows: at most 256 approximate quantiles, each cut evenly by id."""
+def id_blocks(df: DataFrame, id_col: str, blocks: int, salt: Column) -> Column:
+    """A block number that never falls as the id grows: at most 256 approximate quantiles, each cut evenly by id. Null ids go to any block, by ``salt``."""
     n_q = min(256, blocks)
     inner = math.ceil(blocks / n_q)
     x = F.col(id_col)
     row = df.agg(F.min(x), F.max(x), F.percentile_approx(x, [k / n_q for k in range(1, n_q)] or [0.5], 4000)).first()
+    anywhere = F.pmod(F.xxhash64(salt), F.lit(blocks)).cast("int")
     if row[0] is None:
-        return F.lit(0)
+        return anywhere
     bounds = sorted({row[0], *row[2], row[1] + 1})
 
     def tree(lo: int, hi: int) -> Column:
@@ -84,13 +87,15 @@ def id_blocks(df: DataFrame, id_col: str, blocks: int) -> Column:
         mid = (lo + hi) // 2
         return F.when(x < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid, hi))
 
-    return F.when(x.isNull(), F.lit(0)).otherwise(tree(0, len(bounds) - 1)).cast("int")
+    return F.when(x.isNull(), anywhere).otherwise(tree(0, len(bounds) - 1)).cast("int")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that every executor sees: under spark.checkpoint.dir; a local one is set only where that is unset."""
+    """A new folder that every executor sees: under spark.checkpoint.dir; a temporary one is set only where that is unset and Spark is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         root = f"file://{tempfile.mkdtemp(prefix='shared-')}"
@@ -104,4 +109,31 @@ def stored(df: DataFrame, at: str | None = None) -> DataFrame:
     at = at or shared_dir(spark)
     schema = df.schema
     df.write.mode("overwrite").option("compression", "zstd").parquet(at)
-    return spark.read.schema(schema).parquet(at)
+    out = spark.read.schema(schema).parquet(at)
+    out._stored_at = at
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more, such as those of earlier rounds."""
+    for df in tables:
+        at = getattr(df, "_stored_at", None)
+        if at:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def heavy_keys(counts: DataFrame, key: str, n: str) -> list:
+    """Keys that hold more than a ``HEAVY``-th of all rows: fewer than ``HEAVY``, whatever the table holds. counts: a row per key."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(n) * F.lit(HEAVY) > F.lit(max(total, 100 * HEAVY))).select(key).collect()]
+
+
+def spread_join(rows: DataFrame, classes: DataFrame, key: str, salt: Column, heavy: list, how: str = "inner") -> DataFrame:
+    """Joins rows with a table of one row per key; rows of a heavy key are dealt over ``SALTS`` parts, and its one row is sent to each."""
+    if not heavy:
+        return rows.join(classes, key, how)
+    is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    left = rows.withColumn("_salt", F.when(is_heavy, F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).otherwise(0))
+    right = classes.withColumn("_salt", F.explode(F.when(is_heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -24,6 +24,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+STRETCH = 1 << 20
 _powers = {"up": np.ones(1, dtype=_U), "down": np.ones(1, dtype=_U)}
 
 
@@ -117,15 +118,30 @@ class Words:
         self.hash = self._hashes()
 
     def _hashes(self) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, _U)
-        values = _TABLE[self.raw]
-        values *= _power("up", len(self.raw))
-        sums = np.empty(len(self.raw) + 1, dtype=_U)
-        sums[0] = 0
-        np.cumsum(values, out=sums[1:])
-        poly = (sums[self.end] - sums[self.start]) * _power("down", len(self.raw))[self.start]
-        return mix(poly + (self.end - self.start).astype(_U) * _U(0xA0761D6478BD642F))
+        """The words' hashes, a stretch of about ``STRETCH`` bytes at a time, so that a long text needs no arrays of its own length."""
+        n, out, at = len(self.start), np.empty(len(self.start), dtype=_U), 0
+        while at < n:
+            begin = int(self.start[at])
+            to = max(at + 1, int(np.searchsorted(self.end, begin + STRETCH, side="right")))
+            if to == at + 1:
+                out[at] = self._one_hash(begin, int(self.end[at]))
+            else:
+                values = _TABLE[self.raw[begin : self.end[to - 1]]]
+                values *= _power("up", len(values))
+                sums = np.empty(len(values) + 1, dtype=_U)
+                sums[0] = 0
+                np.cumsum(values, out=sums[1:])
+                start = self.start[at:to] - begin
+                out[at:to] = (sums[self.end[at:to] - begin] - sums[start]) * _power("down", len(values))[start]
+            at = to
+        return mix(out + (self.end - self.start).astype(_U) * _U(0xA0761D6478BD642F))
+
+    def _one_hash(self, begin: int, end: int) -> int:
+        total = 0
+        for at in range(begin, end, STRETCH):
+            values = _TABLE[self.raw[at : min(end, at + STRETCH)]]
+            total += int((values * _power("up", len(values))).sum(dtype=_U)) * pow(_BASE, at - begin, 1 << 64)
+        return total % (1 << 64)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of each run of ``size`` words inside one text."""

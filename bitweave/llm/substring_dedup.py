@@ -5,7 +5,7 @@ every window are counted in Spark; a window is repeated when its word sequence
 also starts in a document with a smaller id.  Overlapping repeated windows merge
 into maximal removal intervals.
 
-How it runs: documents are shuffled once into id-ordered blocks of about 12 MB.
+How it runs: documents are shuffled once into id-ordered blocks of about 6 MB.
 Each block sends its distinct window hashes, delta-coded, to hash buckets; a
 bucket answers with a bit for every hash that a lower block holds too.  Repeats
 inside a block are found in the block.  Since blocks are ordered by id, nothing
@@ -49,8 +49,9 @@ def _send(size: int, bits: int):
     @trimmed
     def run(table: pa.Table) -> pa.Table:
         block = table.column("_block")[0].as_py()
-        found = [h for *_, h, _ in _block_windows(table.column("_id"), table.column("_text"), size)]
+        found = [np.unique(h) for *_, h, _ in _block_windows(table.column("_id"), table.column("_text"), size)]
         values = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        del found
         parts = by_bucket(values, bits)
         return pa.table({"_bucket": pa.array([k for k, _ in parts], pa.int32()), "_block": pa.array([block] * len(parts), pa.int32()), "_data": pa.array([encode(v) for _, v in parts], pa.binary())})
 
@@ -86,43 +87,60 @@ def _spans(gone: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
+def _hits(ids: pa.ChunkedArray, texts, answers: pa.Table, size: int, bits: int) -> np.ndarray:
+    """Of all windows of a block, in id order: whether a document with a smaller id has it too."""
+    hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for a, _, _, _, h, row in _block_windows(ids, texts, size):
+        hashes.append(h)
+        rows.append((a + row).astype(np.int32))
+    every, rows = np.concatenate(hashes), np.concatenate(rows)
+    del hashes
+    hit = np.zeros(len(every), bool)
+    if not len(every):
+        return hit
+    order = np.argsort(every, kind="stable").astype(np.int32)
+    every, rows = every[order], rows[order]
+    fresh = np.ones(len(every), bool)
+    fresh[1:] = every[1:] != every[:-1]
+    values, start = every[fresh], np.flatnonzero(fresh)
+    del every
+    held = dict(zip(answers.column("_bucket").to_pylist(), answers.column("_data").to_pylist(), strict=True)) if answers.num_rows else {}
+    repeated, at = np.zeros(len(values), bool), 0
+    for k, part in by_bucket(values, bits):
+        repeated[at : at + len(part)] = np.unpackbits(np.frombuffer(held[k], np.uint8), count=len(part)).astype(bool)
+        at += len(part)
+    numbers = np.asarray(ids.fill_null(0))
+    many = np.diff(np.append(start, len(rows)))
+    hit[order] = np.repeat(repeated, many) | (numbers[rows] > np.repeat(numbers[rows[start]], many))
+    return hit
+
+
 def _cut(size: int, bits: int, id_col: str, carry: list[str], schema: pa.Schema, tidy: bool):
     @trimmed
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs = docs.take(pa.compute.sort_indices(docs.column("_id"))) if docs.num_rows else docs
         ids = docs.column("_id")
-        slices = list(_block_windows(ids, docs.column("_text"), size))
-        every = np.concatenate([h for *_, h, _ in slices] or [np.zeros(0, np.uint64)])
-        values, first_seen, place = np.unique(every, return_index=True, return_inverse=True)
-        rows = np.concatenate([a + row for a, *_, row in slices] or [np.zeros(0, np.int64)])
-        numbers = np.asarray(ids.fill_null(0)) if docs.num_rows else np.zeros(0, np.int64)
-        repeated = np.zeros(len(values), dtype=bool)
-        if answers.num_rows and len(values):
-            held = dict(zip(answers.column("_bucket").to_pylist(), answers.column("_data").to_pylist(), strict=True))
-            at = 0
-            for k, part in by_bucket(values, bits):
-                repeated[at : at + len(part)] = np.unpackbits(np.frombuffer(held[k], np.uint8), count=len(part)).astype(bool)
-                at += len(part)
-        hit = repeated[place] | (numbers[rows] > numbers[rows[first_seen]][place]) if len(values) else np.zeros(0, bool)
-        del values, first_seen, place, rows
-        n_words, n_removed, kept, spans, at = [], [], [], [], 0
-        for a, b, words, first, h, _ in slices:
+        hit = _hits(ids, docs.column("_text"), answers, size, bits)
+        out, at = [], 0
+        # the words are read a second time, a slice at a time, rather than held for the whole block
+        for a, b, words, first, h, _ in _block_windows(ids, docs.column("_text"), size):
             gone = _cover(first[hit[at : at + len(h)]], size, len(words.start))
             at += len(h)
-            texts = docs.column("_text").slice(a, b - a).to_pylist()
-            for i, text in enumerate(texts):
-                lo, hi = words.first[i], words.first[i + 1]
-                own = gone[lo:hi]
-                found = (text or "").encode().split() if tidy or own.any() else ()
-                if own.any():
-                    spans.append([{"start": x, "end": y} for x, y in _spans(own)])
+            part = docs.slice(a, b - a)
+            n_removed, kept, spans = [], [], []
+            for i, text in enumerate(part.column("_text").to_pylist()):
+                own = gone[words.first[i] : words.first[i + 1]]
+                cut = own.any()
+                found = (text or "").encode().split() if tidy or cut else ()
+                if cut:
                     found = [w for w, g in zip(found, own.tolist(), strict=True) if not g]
-                else:
-                    spans.append([])
-                n_words.append(hi - lo)
+                spans.append([{"start": x, "end": y} for x, y in _spans(own)] if cut else [])
                 n_removed.append(int(own.sum()))
-                kept.append(b" ".join(found).decode() if tidy or own.any() else text or "")
-        return pa.Table.from_arrays([ids.combine_chunks().cast(schema.field(id_col).type), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, schema.field("removed").type), *(docs.column(f"_c{i}").cast(schema.field(c).type) for i, c in enumerate(carry))], schema=schema)
+                kept.append(b" ".join(found).decode() if tidy or cut else text or "")
+            columns = [part.column("_id").combine_chunks().cast(schema.field(id_col).type), pa.array(words.count, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, schema.field("removed").type)]
+            columns += [part.column(f"_c{i}").combine_chunks().cast(schema.field(c).type) for i, c in enumerate(carry)]
+            out.append(pa.record_batch(columns, schema=schema))
+        return pa.Table.from_batches(out, schema=schema)
 
     return run
 
@@ -134,7 +152,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = block_count(text_bytes(docs, text_col))
     bits = bucket_bits(blocks)
     carry = [c for c in carry if c not in (id_col, "n_words", "n_removed", "kept", "removed")]
-    source = docs.select(id_blocks(docs, id_col, blocks).alias("_block"), F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
+    source = docs.select(id_blocks(docs, id_col, blocks, F.col(text_col)).alias("_block"), F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
     sent = source.groupBy("_block").applyInArrow(_send(size, bits), "_bucket int, _block int, _data binary")
     answers = sent.groupBy("_bucket").applyInArrow(_answer, "_bucket int, _block int, _data binary")
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
