@@ -22,9 +22,10 @@ How it runs
    already; a spanning forest of links leaves the task.
 5. A cluster of more than one group is joined up by searching a few central
    classes of it in all its groups, and then, exactly, by searching every class
-   that is still outside the cluster's largest component in all its groups.
-   Pairs inside one component need no search, so no link is lost and no group
-   of copies is expanded into pairs.
+   that is still outside the cluster's largest component in each group that
+   shares a prefix shingle with it (no other can hold a link of it).  Pairs
+   inside one component need no search, so no link is lost and no group of
+   copies is expanded into pairs.
 
 Defined results: null, empty or blank text has an empty set, size 0, and links
 with nothing; fewer than five words make one shingle of all words; rows with
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import block_count, bucket_bits, by_bucket, decode, encode, stored, text_bytes
+from ._blocks import block_count, bucket_bits, by_bucket, decode, encode, heavy_keys, spread_join, stored, text_bytes
 from ._components import components
 from ._text import trimmed, words_of
 
@@ -290,7 +291,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sent = texts.groupBy("_block").applyInArrow(_send(shingle, bits), "_bucket int, _block int, _data binary, _many binary")
     answers = sent.groupBy("_bucket").applyInArrow(_answer, "_bucket int, _block int, _many binary")
     found = texts.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(_prefixes(shingle, bits, percent), CLASSES)
-    smallest = rows.where("_key is not null").groupBy("_key").agg(F.min("_id").alias("cid"))
+    smallest = rows.where("_key is not null").groupBy("_key").agg(F.min("_id").alias("cid"), F.count(F.lit(1)).alias("copies"))
     classes = stored(found.join(smallest, "_key"))
 
     live = classes.where("shingles is not null and cid is not null")
@@ -305,10 +306,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = stored(_links(members, _hubs(members) if (most or 0) > 1 else None, percent, bundles))
     roots = components(edges)
     if (most or 0) > 1:
-        roots = _outsiders(members, edges, roots, percent, bundles)
+        roots = _outsiders(members, postings, edges, roots, percent, bundles)
     by_class = classes.select("_key", "n", "cid").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("_key", "n", F.coalesce("root", "cid").alias("_component"))
-    out = rows.select("_id", "_key").join(by_class, "_key", "left")
-    return out.select(F.col("_id").alias(id_col), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_shingles"), F.when(F.coalesce("n", F.lit(0)) > 0, F.col("_component")).otherwise(F.col("_id")).alias("component_id"))
+    out = spread_join(rows.where("_key is not null").select("_id", "_key"), by_class, "_key", F.col("_id"), heavy_keys(classes, "_key", "copies"))
+    out = out.select("_id", "n", F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("_id")).alias("root"))
+    out = out.unionByName(rows.where("_text is null").select("_id", F.lit(0).cast("bigint").alias("n"), F.col("_id").alias("root")))
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
 
 
 def _hubs(members: DataFrame) -> DataFrame:
@@ -321,14 +324,16 @@ def _hubs(members: DataFrame) -> DataFrame:
     return sent.where("part <> own").withColumn("query", F.lit(1)).withColumn("root", F.lit(None).cast("bigint"))
 
 
-def _outsiders(members: DataFrame, edges: DataFrame, roots: DataFrame, percent: int, bundles: int) -> DataFrame:
-    """Exact completion of clusters with several groups: whatever is outside the largest component is searched everywhere."""
+def _outsiders(members: DataFrame, postings: DataFrame, edges: DataFrame, roots: DataFrame, percent: int, bundles: int) -> DataFrame:
+    """Exact completion of clusters with several groups: whatever is outside the largest component is searched wherever a link of it can be."""
     large = members.where("parts > 1").drop("root").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     large = stored(large)
     inside = large.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-    outside = large.join(inside, "cluster").where("root <> main")
-    queries = outside.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("query", F.lit(1))
-    touched = large.join(outside.select("cluster").distinct(), "cluster", "left_semi")
+    outside = stored(large.join(inside, "cluster").where("root <> main").drop("main"))
+    tokens = postings.join(large.select("cid", "part"), "cid").select("token", "part").distinct()  # a token lies in one cluster only
+    where = postings.join(outside.select("cid"), "cid", "left_semi").join(tokens, "token").select("cid", "part").distinct()
+    queries = outside.drop("part").join(where, "cid").withColumn("query", F.lit(1))
+    touched = large.join(queries.select("cluster", "part").distinct(), ["cluster", "part"], "left_semi")
     more = _links(touched, queries, percent, bundles)
     return components(edges.unionByName(more))
 
