@@ -182,16 +182,92 @@ def test_language_id(spark):
     empty = train(docs.limit(0))
     assert {r["lang_pred"] for r in identify_language(docs, empty).collect()} == {"und"}
     assert identify_language(docs.limit(0), empty).count() == 0
-    bounded = train(docs, sample_docs=30, most_grams=40)
-    assert sum(len(t[0]) for t in bounded.tables.values()) <= 80
+    sampled = train(docs, sample_docs=30)
+    assert 0 < len(sampled.tables[0][0]) <= len(train(docs).tables[0][0])
+    assert 0 < len(train(docs, sample_bytes=3000).tables[0][0])
 
 
-def test_a_small_language_keeps_its_words(spark):
-    import bitweave.llm.language_id as language_id
+def plain_language(rows, lengths=(5, 4, 3, 2, 1)):
+    """{id: (language, score)} by dictionaries, of rows (id, text, language or None, learned from)."""
+    import math
+    import re
+    from collections import Counter
 
+    words = lambda text: re.findall(r"[^\W\d_]+", (text or "").lower())
+    grams = lambda w, n: [w] if n == 0 else [x[k : k + n] for x in [w if n == 1 else f" {w} "] for k in range(len(x) - n + 1)]
+    langs = sorted({lang for *_, lang, learn in rows if lang and learn})
+    counts = {n: {x: Counter() for x in langs} for n in (0, *lengths)}
+    for _, text, lang, learn in rows:
+        for w in words(text) if lang and learn else ():
+            for n in (0, *lengths):
+                counts[n][lang].update(grams(w, n))
+
+    def normal(scores):
+        top = max(scores)
+        z = math.log(sum(math.exp(s - top) for s in scores))
+        return [max(s - top - z, -8.0) for s in scores]
+
+    tables = {}
+    for n, by in counts.items():
+        known = set().union(*by.values())
+        tables[n] = {g: normal([math.log((by[x][g] + 0.05) / (sum(by[x].values()) + 0.05 * len(known))) for x in langs]) for g in known}
+    out = {}
+    for i, text, *_ in rows:
+        total = [0.0] * len(langs)
+        for w in words(text):
+            for n in (0, *lengths):
+                own = [tables[n][g] for g in grams(w, n) if g in tables[n]]
+                if own:
+                    break
+            score = (own[0] if n == 0 else normal([sum(x) for x in zip(*own, strict=True)])) if own else [-math.log(len(langs))] * len(langs)
+            total = [a + b for a, b in zip(total, score, strict=True)]
+        best = max(range(len(langs)), key=lambda k: (total[k], -k))
+        out[i] = (langs[best], 1 / sum(math.exp(t - total[best]) for t in total)) if words(text) else ("und", 0.0)
+    return out
+
+
+def test_language_id_equals_a_plain_version(spark, tmp_path):
+    r = random.Random(6)
+    letters = {"aa": "abcdeéèüß", "bb": "efghiöñ", "cc": "ijklmaç"}
+    word = lambda lang: "".join(r.choice(letters[lang]) for _ in range(r.randint(1, 7)))
+    rows = []
+    for i in range(120):
+        lang = r.choice(list(letters))
+        rows.append((i, " ".join(r.choice([word(lang), word(lang).upper(), "12", "x_y", word(r.choice(list(letters)))]) for _ in range(r.randint(0, 40))), r.choice([lang, lang, None])))
+    rows += [(300, None, "aa"), (301, "... 5", "bb"), (302, "ab" * 200, None), (303, "ef" * 5000 + " ij", "cc"), (304, "日本 Ωμέγα", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumnRenamed("lang", "lang").write.parquet(str(tmp_path / "documents.parquet"))
+    from zlib import crc32
+
+    from bitweave.llm.queries import QUERIES
+
+    held = {i: crc32(str(i).encode()) % 4 == 2 for i, *_ in rows}
+    want = plain_language([(*row, not held[row[0]]) for row in rows])
+    got = {x["doc_id"]: x for x in QUERIES["op5_language_id"](spark, str(tmp_path)).collect()}
+    assert {i: x["held_out"] for i, x in got.items()} == held
+    assert {i: x["lang_pred"] for i, x in got.items()} == {i: x for i, (x, _) in want.items()}
+    assert all(abs(got[i]["score"] - x) < 1e-4 for i, (_, x) in want.items())
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    docs = spark.createDataFrame([(1, "same words", "b"), (2, "same words", "a"), (None, "same words", "c"), (4, "same", None)], "doc_id long, text string, lang string")
+    assert {x["lang_pred"] for x in identify_language(docs, train(docs)).collect()} == {"a"}
+
+
+def test_every_learned_word_is_kept(spark):
     names = lambda first, n: [first + chr(97 + k // 26) + chr(97 + k % 26) for k in range(n)]
-    rows = [(i, " ".join(names("x", 60)), "hot") for i in range(20)] + [(100 + i, " ".join(names("y", 20)), "small") for i in range(2)]
-    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_grams=40)
-    assert len(model.tables[0][0]) == 40 and set(names("y", 20)) <= set(model.tables[0][0])
-    assert {g[-1] for g in model.tables[1][0]} >= {"x", "y"}
-    assert language_id.MOST_GRAMS == 200_000
+    rows = [(i, " ".join(names("x", 60)), "hot") for i in range(20)] + [(100 + i, " ".join(names("y", 20)), "small") for i in range(2)] + [(200, "once", "small")]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.tables[0][0]) == 81
+
+
+def test_a_long_text_needs_little_memory():
+    """Words of a text that is longer than a stretch have the hashes that they have alone."""
+    import bitweave.llm._text as text
+
+    long = " ".join(["ab", "c" * 50, "d" * 7] * 20).encode()
+    whole = Words(np.frombuffer(long, np.uint8), np.array([0, len(long)])).hash
+    old, text.STRETCH = text.STRETCH, 16
+    try:
+        assert Words(np.frombuffer(long, np.uint8), np.array([0, len(long)])).hash.tolist() == whole.tolist()
+    finally:
+        text.STRETCH = old
