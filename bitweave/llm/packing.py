@@ -53,6 +53,7 @@ _CUT[0, :] = _CUT[:, 0] = True
 
 _SLOTS = 1 << 21
 _MOST_CACHED = 900_000
+_MOST_AT_ONCE = 500_000
 _encoders: dict[str, _Encoder] = {}
 
 
@@ -124,27 +125,35 @@ class _Encoder:
         self.used += len(flat)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, how many each text has)."""
+        """(ids of all texts, how many each text has). Segments are looked up ``_MOST_AT_ONCE`` at a time, so that a text of any length fits the table."""
         part = _Segments(raw, offsets)
-        h = part.hash
-        h[h == 0] = 1
+        part.hash[part.hash == 0] = 1
+        data = part.raw.tobytes()
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(part.hash), _MOST_AT_ONCE):
+            own, many = self._encode(part, data, at, at + _MOST_AT_ONCE)
+            ids.append(own)
+            lengths.append(many)
+        return np.concatenate(ids), np.bincount(part.row, weights=np.concatenate(lengths), minlength=len(offsets) - 1).astype(np.int64)
+
+    def _encode(self, part: _Segments, data: bytes, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the segments [low, high), how many each has)."""
+        h = part.hash[low:high]
         refs = self._find(h)
         if (refs < 0).any():
             new, first = np.unique(h[refs < 0], return_index=True)
             if self.known + len(new) > _MOST_CACHED:
                 self._empty()
                 new, first = np.unique(h, return_index=True)
-                at = first
+                at = low + first
             else:
-                at = np.flatnonzero(refs < 0)[first]
-            data = part.raw.tobytes()
+                at = low + np.flatnonzero(refs < 0)[first]
             texts = [data[a:b].decode() for a, b in zip(part.start[at].tolist(), part.end[at].tolist(), strict=True)]
             self._add(new, [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
             refs = self._find(h)
         lengths = self.lengths[refs]
         total = np.cumsum(lengths)
-        ids = self.pool[np.repeat(self.starts[refs] - (total - lengths), lengths) + np.arange(total[-1] if len(total) else 0)]
-        return ids, np.bincount(part.row, weights=lengths, minlength=len(offsets) - 1).astype(np.int64)
+        return self.pool[np.repeat(self.starts[refs] - (total - lengths), lengths) + np.arange(total[-1] if len(total) else 0)], lengths
 
 
 def _encoder(path: str) -> _Encoder:
