@@ -27,8 +27,8 @@ MOST_BROADCAST_IDS = 2_000_000  # of 8 bytes each
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and those that no language claims."""
-    judged = identify_language(docs, train(docs), keep=tuple(docs.columns))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    judged = identify_language(docs, train(docs), keep=tuple(docs.columns), names=("_lang_pred", "_lang_score"))
+    return judged.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +40,17 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated windows out of the texts; a document of which nothing is left goes."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = substring_dedup(docs, carry=carry, tidy=False).where("n_removed = 0 or kept <> ''")
-    cut = cut.withColumn("text", F.col("kept")).withColumn("n_chars", F.char_length("kept").cast("bigint"))
-    return cut.select(*docs.columns)
+    carry = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    renamed = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"_carried{i}") for i, c in enumerate(carry)))
+    cut = substring_dedup(renamed, carry=tuple(renamed.columns[2:]), tidy=False).where("n_removed = 0 or kept <> ''")
+    back = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.char_length("kept").cast("bigint")} | {c: F.col(f"_carried{i}") for i, c in enumerate(carry)}
+    return cut.select(*(back[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns))
-    return judged.where("not contaminated").select(*docs.columns)
+    renamed = docs.select(*(F.col(f"`{c}`").alias(f"_carried{i}") for i, c in enumerate(docs.columns)))
+    judged = decontaminate(renamed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(renamed.columns), text_col=f"_carried{docs.columns.index('text')}")
+    return judged.where("not contaminated").select(*(F.col(f"_carried{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
