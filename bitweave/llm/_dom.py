@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from html import unescape
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style noscript template iframe svg math object canvas audio video map button select textarea option datalist title head".split())
+UNSEEN = frozenset("script style noscript template iframe svg object canvas audio video map button select textarea option datalist title head".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+HOLLOW = (UNSEEN - {"title", "head"}) | {"math"}  # nothing in these ends a block
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
@@ -35,6 +37,7 @@ class Node:
     linked: int = 0  # of those, inside links
     own: int = 0  # characters directly in this block
     stops: int = 0  # sentence ends below
+    paragraphs: int = 0  # directly in this block
 
 
 @dataclass(slots=True)
@@ -55,27 +58,45 @@ def _hides(tag: str, attributes: str) -> bool:
 
 
 def parse(html: str, labelled: bool = False) -> Page:
-    """Blocks end wherever a block-level tag starts or ends; an inline tag never ends one."""
+    """Blocks end wherever a block-level tag starts or ends; an inline tag, and all in formulas and unseen elements, never ends one.
+
+    The places of open elements are kept by tag, so that the depth of the tree costs nothing.
+    """
     page = Page([Node("#root", -1, [])])
     nodes, runs = page.nodes, page.runs
     stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # open elements; inline ones share their block's node
-    block, unseen, links, at, size = 0, 0, 0, 0, len(html)
-
-    def pop() -> None:
-        nonlocal unseen, links
-        tag, _, unshown = stack.pop()
-        unseen -= tag in UNSEEN or unshown
-        links -= tag == "a"
+    places: dict[str, list[int]] = {}  # where each tag is open
+    walls: list[int] = [0]  # where blocks are open
+    block, unseen, hollow, links, at, size = 0, 0, 0, 0, 0, len(html)
+
+    def push(tag: str, node: int, unshown: bool, wall: bool) -> None:
+        nonlocal unseen, hollow, links
+        places.setdefault(tag, []).append(len(stack))
+        if wall:
+            walls.append(len(stack))
+        stack.append((tag, node, unshown))
+        unseen += tag in UNSEEN or unshown
+        hollow += tag in HOLLOW
+        links += tag == "a"
+
+    def shut(k: int) -> None:
+        """Closes the element at place k and all in it."""
+        nonlocal unseen, hollow, links
+        while len(stack) > k:
+            tag, _, unshown = stack.pop()
+            places[tag].pop()
+            if walls[-1] == len(stack):
+                walls.pop()
+            unseen -= tag in UNSEEN or unshown
+            hollow -= tag in HOLLOW
+            links -= tag == "a"
+
+    def last(tags: set[str] | frozenset[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close(tags: set[str] | frozenset[str], scope: set[str] | frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                while len(stack) > k:
-                    pop()
-                return close(tags, scope)
-            if stack[k][0] in scope:
-                return None
-        return None
+        while (k := last(tags)) > last(scope):
+            shut(k)
 
     def add(text: str) -> None:
         if unseen or not text or text.isspace():
@@ -116,29 +137,26 @@ def parse(html: str, labelled: bool = False) -> Page:
             continue
         tag = tag.lower()
         if m.group(1):
-            if tag == "p" and not any(t == "p" for t, *_ in stack):
+            k = last({tag})
+            if k and _is_wall(walls, k):
+                block += 1
+                shut(k)
+            elif k > walls[-1]:  # an inline end tag closes nothing outside its block
+                shut(k)
+            elif tag == "p" and not k and not hollow:
                 block += 1
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    block += any(t not in INLINE for t, *_ in stack[k:])
-                    while len(stack) > k:
-                        pop()
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break  # an inline end tag closes nothing outside its block
             continue
         if tag == "br":
             add(" ")
             if runs and runs[-1][0] == block:
                 runs.append((block, stack[-1][1], " "))
             continue
-        if tag in INLINE:
-            if tag not in VOID and not m.group(0).endswith("/>"):
-                unshown = _hides(tag, m.group(3))
-                stack.append((tag, stack[-1][1], unshown))
-                links += tag == "a"
-                unseen += unshown
+        if tag in INLINE or tag in HOLLOW or hollow:
+            if tag in RAW:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                at = end.end() if end else size
+            elif tag not in VOID and not m.group(0).endswith("/>"):
+                push(tag, stack[-1][1], _hides(tag, m.group(3)), False)
             continue
         block += 1
         if tag in CLOSES_P:
@@ -146,7 +164,7 @@ def parse(html: str, labelled: bool = False) -> Page:
         if tag in CLOSED_BY:
             close(CLOSED_BY[tag], SCOPES[tag])
         if tag[0] == "h" and tag[1:].isdigit() and len(stack) > 1 and stack[-1][0] in {"h1", "h2", "h3", "h4", "h5", "h6"}:
-            pop()
+            shut(len(stack) - 1)
         if tag == "body":
             close({"head"}, frozenset())
         if tag in VOID:
@@ -160,14 +178,12 @@ def parse(html: str, labelled: bool = False) -> Page:
             y = re.search(r"data-y=(\d)", attributes)
             node.label = int(y[1]) if y else -1
         nodes.append(node)
-        if m.group(0).endswith("/>") and tag in {"svg", "math", "path", "use"}:
-            continue
-        stack.append((tag, len(nodes) - 1, hidden))
-        unseen += tag in UNSEEN or hidden
+        nodes[node.parent].paragraphs += tag == "p"
+        push(tag, len(nodes) - 1, hidden, True)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end.end() if end else size
-            pop()
+            shut(len(stack) - 1)
     for node in reversed(nodes[1:]):
         up = nodes[node.parent]
         up.text += node.text
@@ -176,6 +192,11 @@ def parse(html: str, labelled: bool = False) -> Page:
     return page
 
 
+def _is_wall(walls: list[int], k: int) -> bool:
+    i = bisect_left(walls, k)
+    return i < len(walls) and walls[i] == k
+
+
 def blocks(page: Page, keep: list[bool]) -> list[str]:
     """The kept text of each block, white space as one space, empty blocks left out."""
     out: list[str] = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghklmnprstvwz"
 _CHROME = {
@@ -18,6 +19,8 @@ _CHROME = {
 _CONTENT = "article post entry content main story article-body post-content entry-content page-content body text main-content body-text story-body prose".split()
 _NEUTRAL = "container wrapper row col inner page wrap layout section block box outer grid clearfix site".split()
 
+_NAMED = re.compile(r' (?:class|id|role)=(?:"[^"]*"|[^\s>]+)')
+
 
 def labelled_pages(n: int, seed: int = 11) -> list[str]:
     r = random.Random(seed)
@@ -82,13 +85,14 @@ def _body(r: random.Random) -> str:
         out.append(r.choice([title, title, f"<header data-y=1>{title}<p data-y=1>{_words(r, 4, 15, True)}</p></header>"]))
     drone = r.random() < 0.3  # some articles are lists of words without a full stop, or of lines of a few words
     short = 0.9 if r.random() < 0.2 else 0.15
+    block = "div" if r.random() < 0.1 else "p"
     for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9, 14, 25])):
         x = r.random()
         if x < 0.62:
             text = _words(r, 1, 6, True) if r.random() < short else _words(r, 8, 110, not drone)
             if r.random() < 0.25:
                 text += f" {_link(r)} {_words(r, 3, 20, True)}"
-            out.append(f"<p data-y=1>{text}{'</p>' if r.random() < 0.8 else ''}")
+            out.append(f"<{block} data-y=1>{text}{f'</{block}>' if block == 'div' or r.random() < 0.8 else ''}")
         elif x < 0.70:
             out.append(f"<h{(k := r.randint(2, 4))} data-y=1>{_words(r, 1, 6)}</h{k}>")
         elif x < 0.78:
@@ -107,16 +111,18 @@ def _body(r: random.Random) -> str:
 
 
 def _page(r: random.Random) -> str:
-    tag = r.choice(["article", "article", "article", "main", "div", "section"])
+    plain = r.random() < 0.2  # a page without class or id words: what tells is where links and sentences are
+    tag = r.choice(["div", "div", "section"] if plain else ["article", "article", "article", "main", "div", "section"])
     names = [r.choice(_CONTENT)]
     bare = r.random() < 0.07
     content = _body(r) if bare else _open(r, tag, 1, names, 0.5 if tag in ("article", "main") else 0.95) + _body(r) + f"</{tag}>"
     if r.random() < 0.15:
         content = f"<main data-y=1>{content}</main>" if tag != "main" and not bare else content
-    before = [_chrome(r, k) for k in ("notice", "header", "nav", "ad", "form") if r.random() < 0.5]
-    after = [_chrome(r, k) for k in ("aside", "ad", "comments", "form", "nav", "footer") if r.random() < 0.5]
+    before = [_chrome(r, k) for k in (("nav", "form") if plain else ("notice", "header", "nav", "ad", "form")) if r.random() < 0.5]
+    after = [_chrome(r, k) for k in (("form", "nav") if plain else ("aside", "ad", "comments", "form", "nav", "footer")) if r.random() < 0.5]
     r.shuffle(before)
     page = "".join(before) + content + "".join(after)
     for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
         page = _open(r, "div", 0, [r.choice(_NEUTRAL)]) + page + "</div>"
+    page = _NAMED.sub("", page) if plain else page
     return f"<!DOCTYPE html><html data-y=0><head data-y=0><title data-y=0>x</title></head><body data-y=0>{page}</body></html>"

@@ -2,7 +2,7 @@
 
 Every block-level element has a hidden state, content or not.  A node potential
 scores the element's own evidence (tag, class and id words, text length, share
-of links, sentence ends) by logistic regression; a parent-child potential says
+of links, sentence ends, paragraphs) by logistic regression; a parent-child potential says
 how likely a child keeps its parent's state, given the parent's tag and whether
 its class words speak for or against content.  Sum-product messages pass from the
 leaves upward and from the root downward, and give each element's exact marginal
@@ -14,9 +14,12 @@ node weights by the gradient of the whole tree's likelihood; by default from the
 invented layouts of ``_labelled_pages``.  The model has a few hundred weights.
 
 Defined results: a null or empty page gives ''; white space inside a block is
-one space, which holds for ``<br>`` too; unclosed and stray tags are tolerated;
-scripts, styles, templates, buttons, selections and elements marked hidden are
-never text; rows with equal ids are read one by one; the whole page is read.
+one space, which holds for ``<br>`` too; unclosed and stray tags are tolerated,
+at any depth; scripts, styles, templates, buttons, selections, drawings, what
+stands in for scripts and media that don't run, and elements marked hidden (which
+a browser doesn't show either) are never text, and don't end the block that they
+are in; formulas are text; rows with equal ids are read one by one; the whole page
+is read.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._blocks import bounded_batches
 from ._dom import Node, Page, blocks, parse
 from ._labelled_pages import labelled_pages
 
@@ -44,7 +48,8 @@ def _evidence(node: Node) -> list[str]:
     links = "0" if not share else "1" if share < 0.3 else "2" if share < 0.7 else "3"
     stops = "0" if not node.stops else "1" if node.stops < 3 else "2"
     own = "0" if not node.own else "1" if node.own < 40 else "2"
-    return [f"tag:{node.tag}", f"size:{size}", f"links:{links}", f"stops:{stops}", f"own:{own}", f"{links}{stops}", f"{own}{links}{size}", *(f"name:{x}" for x in set(node.names))]
+    many = "0" if not node.paragraphs else "1" if node.paragraphs < 3 else "2"
+    return [f"tag:{node.tag}", f"paragraphs:{many}", f"size:{size}", f"links:{links}", f"stops:{stops}", f"own:{own}", f"{links}{stops}", f"{own}{links}{size}", *(f"name:{x}" for x in set(node.names))]
 
 
 class Model:
@@ -190,10 +195,11 @@ def _extract(shared):
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), model: Model | None = None) -> DataFrame:
-    """Returns the columns ``keep``, then text and n_chars."""
-    shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
-    fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
-    out = pages.select(*keep, F.col(html_col).alias("_html")).mapInArrow(_extract(shared), f"{fields}, text string")
+    """Returns the columns ``keep`` (one that has the name of a result is left out), then text and n_chars."""
+    shared = bounded_batches(pages.sparkSession).sparkContext.broadcast(model or default_model())
+    keep = [c for c in keep if c not in ("text", "n_chars")]
+    fields = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in keep)
+    out = pages.select(*keep, F.col(html_col).alias("_html")).mapInArrow(_extract(shared), f"{fields}text string")
     return out.withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
