@@ -18,7 +18,9 @@ responses; a null id is written as an empty field, read back as null, and never
 referred to; white space and controls in a URL are percent-encoded; an empty
 table writes an archive without records; other columns are ignored.  An archive
 is read by one task and may hold at most 2 GB; the writer starts a new one about
-every 16 MB.
+every 16 MB.  Records of up to 64 KB, of up to 4 MB and larger ones go to archives
+of their own, with so few records in each that however sizes are distributed none
+passes 256 MB, but for a single record that does.
 """
 
 from __future__ import annotations
@@ -32,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import shared_dir, stored
+from ._blocks import forget, heavy_keys, shared_dir, spread_join, stored
 
 ARCHIVE_BYTES = 16 << 20
+MOST_BYTES = 256 << 20
+CLASSES = (64 << 10, 4 << 20, 1 << 31)  # records up to these sizes share archives
 MOST_BROADCAST = 200_000  # groups of copies, of about 100 bytes each
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
@@ -58,10 +62,11 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("bytes", F.octet_length("payload")).withColumn("digest", base32_sha1(F.col("payload")))
     known = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("sum"))
-    groups = stored(known.where("n > 1 and first is not null").select("digest", "first"))
-    n_groups, n_rows, n_bytes = groups.count(), *rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    groups = F.broadcast(groups) if n_groups <= MOST_BROADCAST else groups  # beyond that a shuffled join, which may be split where it is skewed
-    rows = rows.join(groups, "digest", "left")
+    groups = stored(known.where("n > 1 and first is not null").select("digest", "first", "n"))
+    if groups.count() <= MOST_BROADCAST:
+        rows = rows.join(F.broadcast(groups.drop("n")), "digest", "left")
+    else:
+        rows = spread_join(rows, groups.drop("n"), "digest", F.col("id"), heavy_keys(groups, "digest", "n"), "left")
     revisit = F.col("first").isNotNull() & (F.col("bytes") >= least_bytes) & ~F.col("id").eqNullSafe(F.col("first"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(_BREAK))
     block_bytes = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("bytes"))
@@ -80,8 +85,17 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     ]
     head = F.concat(F.concat_ws("\r\n", *lines), F.lit(_BREAK), http).cast("binary")
     record = F.concat(head, F.when(revisit, F.lit(bytearray())).otherwise(F.col("payload"))).cast("string")
-    each = max(1, int(ARCHIVE_BYTES / (600 + n_bytes / max(1, n_rows))))
-    rows.select(record.alias("value")).write.option("lineSep", _BREAK).option("maxRecordsPerFile", each).mode("overwrite").text(path)
+    records = rows.select(record.alias("value"))
+    size = F.octet_length("value")
+    kind = sum((size > x).cast("int") for x in CLASSES[:-1])
+    sizes = {r["kind"]: (r["n"], r["bytes"]) for r in stored(records.select(size.alias("bytes"), kind.alias("kind"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).collect()}
+    mode = "overwrite"
+    for k in sorted(sizes) or [0]:
+        n, n_bytes = sizes.get(k, (1, 1))
+        each = max(1, min(MOST_BYTES // CLASSES[k], int(ARCHIVE_BYTES * n / n_bytes)))
+        own = records.where(kind == k) if len(sizes) > 1 else records
+        own.write.option("lineSep", _BREAK).option("maxRecordsPerFile", each).mode(mode).text(path)
+        mode = "append"
 
 
 def _record_id(column: str) -> Column:
@@ -145,7 +159,8 @@ def reachable(links: DataFrame) -> DataFrame:
         there = state.select("archive", F.col("offset").alias("to"), F.col("to").alias("further"))
         newly = state.where("reached and to is not null").select("archive", F.col("to").alias("offset"), F.lit(True).alias("new"))
         jumped = state.join(there.hint("merge"), ["archive", "to"], "left").select("archive", "offset", F.col("further").alias("to"), "reached")
-        state = stored(jumped.join(newly.distinct().hint("merge"), ["archive", "offset"], "left").select("archive", "offset", "to", (F.col("reached") | F.coalesce("new", F.lit(False))).alias("reached")))
+        before, state = state, stored(jumped.join(newly.distinct().hint("merge"), ["archive", "offset"], "left").select("archive", "offset", "to", (F.col("reached") | F.coalesce("new", F.lit(False))).alias("reached")))
+        forget(before)
     return state.where("reached").select("archive", "offset")
 
 
