@@ -5,7 +5,8 @@ more.  Two independent codebooks, one for each half of the (unit) vector, form a
 product grid of cells.  A vector looks in the nearest cells in order of a lower
 bound of the distance to anything in the cell - the sum, over the halves, of the
 squared distance to the cell's Voronoi boundary - until the bound passes a
-radius.  The radius is calibrated so that ``recall`` of the hardest links (exactly
+radius: the multi-sequence algorithm, a heap over pairs of places in the two
+ascending sequences of bounds.  The radius is calibrated so that ``recall`` of the hardest links (exactly
 at the threshold, in random directions) fall inside it; links closer than that
 are found more surely still.  Every candidate is verified in double precision.
 
@@ -15,9 +16,10 @@ meets at most ``PART`` searching ones in one matrix product; pairs are counted,
 not emitted, and only a spanning forest of links leaves a task.
 
 The codebooks are fitted on at most about ``sample`` vectors, more only to give
-each vector length ``LEAST_SAMPLE`` (a bound on the training, all vectors are
-indexed and all search), and grow with the table so that a cell holds a few dozen
-vectors of a label.  Each vector length has a grid of its own.
+each vector length ``LEAST_SAMPLE`` and each centre eight (a bound on the training,
+all vectors are indexed and all search), and grow with the table so that a cell
+holds a few dozen vectors of a label, up to ``MOST_CENTRES`` a half: enough for
+500 million vectors of a label.  Each vector length has a grid of its own.
 
 Defined results: rows whose vector or label or id is null, whose vector is zero,
 empty, or holds null or non-finite components link with nothing; vectors of
@@ -28,13 +30,14 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import stored
+from ._blocks import heavy_keys, spread_join, stored
 from ._components import components
 
 THRESHOLD = 0.98
@@ -43,6 +46,7 @@ SAMPLE = 20_000
 LEAST_SAMPLE = 1_000
 PART = 384
 OCCUPANCY = 32
+MOST_CENTRES = 4096
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -66,7 +70,6 @@ class Grid:
     def __init__(self, sample: np.ndarray, k: int, threshold: float, recall: float):
         self.half = sample.shape[1] // 2
         self.books = [kmeans(sample[:, : self.half], k), kmeans(sample[:, self.half :], k)] if self.half else [np.zeros((1, 0)), kmeans(sample, k)]
-        self.gaps = [np.sqrt(squared(b, b)) for b in self.books]
         rng = np.random.default_rng(6)
         x = sample[rng.integers(0, len(sample), 20_000)]
         y = rng.normal(size=x.shape)
@@ -81,10 +84,11 @@ class Grid:
     def bounds(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each half: the nearest centre, and a lower bound of the squared distance to what each centre owns."""
         out = []
-        for part, book, gap in zip((x[:, : self.half], x[:, self.half :]), self.books, self.gaps, strict=True):
+        for part, book in zip((x[:, : self.half], x[:, self.half :]), self.books, strict=True):
             d = squared(part, book)
             near = d.argmin(1)
-            low = (d - d[np.arange(len(d)), near][:, None]) / (2 * np.maximum(gap[near], 1e-9))
+            gap = np.sqrt(squared(book[near], book))
+            low = (d - d[np.arange(len(d)), near][:, None]) / (2 * np.maximum(gap, 1e-9))
             out.append((near, np.maximum(low, 0) ** 2))
         return out
 
@@ -95,18 +99,27 @@ class Grid:
         rows, cells = [], []
         order1, order2 = bound1.argsort(1), bound2.argsort(1)
         for i in range(len(x)):
-            b1, b2 = bound1[i, order1[i]], bound2[i, order2[i]]
-            n1 = int(np.searchsorted(b1, self.radius, side="right"))
-            stop = np.searchsorted(b2, self.radius - b1[:n1], side="right")  # both sequences ascend: each row of the grid ends here
-            first = np.repeat(order1[i, :n1], stop)
-            second = np.concatenate([order2[i, :s] for s in stop]) if n1 else np.zeros(0, np.int64)
-            cost = np.repeat(b1[:n1], stop) + bound2[i, second]
-            own = (first * k + second)[np.argsort(cost, kind="stable")]
-            rows.append(np.full(len(own), i))
-            cells.append(own)
+            place1, place2 = order1[i], order2[i]
+            found = np.array(list(traverse(bound1[i, place1].tolist(), bound2[i, place2].tolist(), self.radius)), np.int64).reshape(-1, 2)
+            rows.append(np.full(len(found), i))
+            cells.append(place1[found[:, 0]] * k + place2[found[:, 1]])
         return near1 * k + near2, np.concatenate(rows), np.concatenate(cells)
 
 
+def traverse(first: list[float], second: list[float], most: float) -> Iterator[tuple[int, int]]:
+    """The multi-sequence algorithm: pairs of places in two ascending sequences, by ascending sum, while it is at most ``most``."""
+    heap = [(first[0] + second[0], 0, 0)]
+    while heap:
+        cost, i, j = heappop(heap)
+        if cost > most:
+            return
+        yield i, j
+        if j + 1 < len(second):  # each pair has one predecessor, so none comes twice
+            heappush(heap, (first[i] + second[j + 1], i, j + 1))
+        if j == 0 and i + 1 < len(first):
+            heappush(heap, (first[i + 1] + second[0], i + 1, 0))
+
+
 def _lengths(rows) -> np.ndarray:
     """Components of each row's vector."""
     return np.array([len(x) // 8 for x in rows.column("vec").to_pylist()], np.int64)
@@ -125,8 +138,8 @@ def _place(shared):
         grids = shared.value
         for batch in batches:
             lengths = _lengths(batch)
-            for d, at in ((d, at) for d in np.unique(lengths) for at in range(0, int((lengths == d).sum()), 1000)):
-                part = batch.take(pa.array(np.flatnonzero(lengths == d)[at : at + 1000]))
+            for d, at in ((d, at) for d in np.unique(lengths) for at in range(0, int((lengths == d).sum()), 250)):
+                part = batch.take(pa.array(np.flatnonzero(lengths == d)[at : at + 250]))
                 cell, row, visits = grids[int(d)].visit(_unit(part.column("vec").to_pylist()))
                 take = np.concatenate([np.arange(len(cell)), row])
                 rows = part.take(pa.array(take))
@@ -194,10 +207,11 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     total = sum(n for n, _ in sizes.values())
     grids = {}
     for d, (n, crowd) in sizes.items():
-        wanted = max(sample * n / total, min(n, LEAST_SAMPLE))
-        share = F.pmod(F.xxhash64("cid", "vec"), F.lit(1_000_000)) < max(1, int(1_000_000 * wanted / n))
+        centres = int(min(MOST_CENTRES, max(8, (crowd / OCCUPANCY) ** 0.5)))
+        wanted = max(sample * n / total, min(n, max(LEAST_SAMPLE, 8 * centres)))
+        share = F.shiftrightunsigned(F.xxhash64("cid", "vec"), 1) < F.lit(min(2**63 - 1, int(wanted / n * 2**63)))
         chosen = [bytes(r["vec"]) for r in classes.where((length == d) & (share if n > wanted else F.lit(True))).select("vec").collect()]
-        grids[d] = Grid(_unit(chosen), int(min(256, max(8, (crowd / OCCUPANCY) ** 0.5))), threshold, recall)
+        grids[d] = Grid(_unit(chosen), centres, threshold, recall)
 
     placed = stored(classes.mapInArrow(_place(spark.sparkContext.broadcast(grids)), _PLACED))
     crowds = placed.groupBy("label", "cell").agg(*(F.ceil(F.sum((F.col("query") == q).cast("int")) / PART).cast("int").alias(name) for name, q in (("parts_a", False), ("parts_b", True))))
@@ -215,13 +229,19 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     links = found.where("n is not null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
     roots = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("cid"), "root")
     known = classes.select("label", "vec", "cid", "copies").join(links, "cid", "left").join(roots, "cid", "left")
-    known = known.select("label", F.col("vec").alias("key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "cid").alias("root"))
-    out = good.select("id", "label", "vec").mapInArrow(_keys, "id long, label string, key binary").join(known, ["label", "key"])
+    known = known.select(_key("vec"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "cid").alias("root"))
+    heavy = heavy_keys(classes.select(_key("vec"), "copies"), "key", "copies")
+    out = spread_join(good.select("id", "label", "vec").mapInArrow(_keys, "id long, label string, key binary").select("id", _key("key")), known, "key", F.col("id"), heavy)
     alone = rows.where(~valid).select("id", F.lit(0).cast("bigint").alias("links"), F.col("id").alias("root"))
     every = out.select("id", "links", "root").unionByName(alone)
     return every.select(F.col("id").alias(id_col), F.col("links").cast("bigint").alias("n_links"), F.col("root").alias("component_id"), F.coalesce(F.col("id") == F.col("root"), F.lit(True)).alias("kept"))
 
 
+def _key(vector: str) -> Column:
+    """Label and vector as one binary key."""
+    return F.concat(F.col("label").cast("binary"), F.lit(bytearray([0])), F.col(vector)).alias("key")
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.record_batch([batch.column("id"), batch.column("label"), pa.array([np.array(x, "<f8").tobytes() for x in batch.column("vec").to_pylist()], pa.binary())], names=["id", "label", "key"])
