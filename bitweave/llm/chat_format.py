@@ -16,7 +16,8 @@ One row per message comes out, with its position in the conversation.  Positions
 are ranks inside spans of 256 turns plus the sizes of the spans before, so that a
 conversation of any length needs no task to itself.
 
-Defined results: a null text has no content; a null turn comes last; a null role
+Defined results: rows of a null conversation are one conversation; a null text
+has no content; a null turn comes last; a null role
 is ``unknown``; messages with equal conversation and turn are ordered by role and
 text and move together; a call that isn't valid JSON stays content; of calls with
 one id in a conversation the first is linked, of results with one id the first
@@ -30,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._blocks import stored
+from ._blocks import forget, stored
 
 SPAN = 256
 _CALL = r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"
@@ -96,7 +97,8 @@ def _followed(state: DataFrame, most: int) -> DataFrame:
             break
         there = state.select("conv", F.col("turn").alias("via"), F.col("via").alias("next"), F.col("hops").alias("far"), F.col("key").alias("from"))
         pushed = F.when(F.col("from").isNotNull(), F.struct(F.col("from.at").alias("at"), (F.col("from.depth") + F.col("hops")).alias("depth")))
-        state = stored(state.join(there, ["conv", "via"], "left").select("conv", "turn", "pred", "circle", F.col("next").alias("via"), (F.col("hops") + F.coalesce("far", F.lit(0))).alias("hops"), F.when(pushed > F.col("key"), pushed).otherwise(F.col("key")).alias("key")))
+        before, state = state, stored(state.join(there, ["conv", "via"], "left").select("conv", "turn", "pred", "circle", F.col("next").alias("via"), (F.col("hops") + F.coalesce("far", F.lit(0))).alias("hops"), F.when(pushed > F.col("key"), pushed).otherwise(F.col("key")).alias("key")))
+        forget(before)
     return state
 
 
@@ -132,7 +134,8 @@ def _order(edges: DataFrame) -> DataFrame:
 
 def format_chats(conversations: DataFrame, schemas: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: conv, turn, position, role, n_calls, n_linked, n_invalid, message (canonical JSON)."""
-    messages = conversations.select(F.col(conv_col).alias("conv"), F.coalesce(F.col(turn_col).cast("bigint"), F.lit(_LAST)).alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.col(text_col).alias("text"))
+    # inside a struct a null conversation equals itself
+    messages = conversations.select(F.struct(F.col(conv_col).alias("id")).alias("conv"), F.coalesce(F.col(turn_col).cast("bigint"), F.lit(_LAST)).alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.col(text_col).alias("text"))
     calls, results = stored(_calls(messages)), stored(_results(messages))
     first_call = calls.where("id is not null").groupBy("conv", "id").agg(F.min(F.struct("turn", "ord")).alias("call"))
     first_result = results.groupBy("conv", "id").agg(F.min("turn").alias("answered"))
@@ -167,9 +170,9 @@ def format_chats(conversations: DataFrame, schemas: DataFrame, conv_col: str = "
     before = F.sum("n").over(Window.partitionBy("conv").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.select("conv", "span", F.coalesce(before, F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("conv", "span").orderBy("key", "turn", "role", "message"))
-    out = rows.withColumn("rank", rank).join(spans, (rows["conv"].eqNullSafe(spans["conv"])) & (rows["span"] == spans["span"])).drop(spans["conv"]).drop(spans["span"])
+    out = rows.withColumn("rank", rank).join(spans, ["conv", "span"])
     counts = [F.col(c).cast("bigint").alias(c) for c in ("n_calls", "n_linked", "n_invalid")]
-    return out.select(F.col("conv").alias(conv_col), F.when(F.col("turn") < _LAST, F.col("turn")).alias(turn_col), (F.col("before") + F.col("rank") - 1).cast("bigint").alias("position"), "role", *counts, "message")
+    return out.select(F.col("conv.id").alias(conv_col), F.when(F.col("turn") < _LAST, F.col("turn")).alias(turn_col), (F.col("before") + F.col("rank") - 1).cast("bigint").alias("position"), "role", *counts, "message")
 
 
 def _quoted(value: Column) -> Column:
