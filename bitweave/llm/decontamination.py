@@ -18,11 +18,18 @@ stretch of either kind counts if it is as long as the rule below asks, so that a
 contradiction elsewhere doesn't clear a long copy, and a short text that
 contradicts itself is clean.
 
-A document is contaminated by an item when consistent alignments cover
-``min(13, max(8, 0.6 n))`` of the item's n tokens (an item of fewer than eight
-tokens must be covered whole), at least ``LEAST_WORDS`` of them words.  Of an item
-with fewer words than that all must be covered, and only by windows whose slots
-equal the item's: a template of so few words fits anything.
+A document is contaminated by an item when alignments that agree with each other
+cover ``min(13, max(8, 0.6 n))`` of the item's n tokens (an item of fewer than
+eight tokens must be covered whole), at least ``LEAST_WORDS`` of them words.  The
+longest alignment comes first, and each is added to the first mapping of values
+that it doesn't contradict: one item is never put together from passages that
+stand for different values.  Of an item with fewer words than that all must be
+covered, and only by windows whose slots equal the item's: a template of so few
+words fits anything.
+
+Windows that are frequent on both sides (lines of numbers) make many alignments.
+Beyond ``MOST_MATCHES`` a document's matches are counted by alignment in parts and
+read one alignment at a time, so memory follows the lengths, not their product.
 
 The benchmark's windows go to every task in parts of at most ``MOST_TOKENS``
 tokens (about 100 MB); a larger benchmark takes several passes over the corpus,
@@ -42,6 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._blocks import bounded_batches
 from ._text import Words, column_bytes, mix, slices
 
 WINDOW = 8
@@ -49,6 +57,7 @@ LONG_RUN = 13
 SHARE = 0.6
 LEAST_WORDS = 5
 MOST_TOKENS = 1_000_000
+MOST_MATCHES = 1_000_000
 # Unit words and symbols that may follow a number.
 UNITS = "% $ € £ ° mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams kilogram kilograms oz ounce ounces lb lbs pound pounds ton tons tonne tonnes ml l liter liters litre litres gallon gallons cup cups s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years ms hz khz mhz ghz w kw watt watts v volt volts a amp amps j joule joules cal kcal calories k c f kelvin celsius degrees degree percent cent cents dollar dollars euro euros usd eur mph kph kmh rpm bit bits byte bytes kb mb gb tb pa kpa bar atm mol n newton newtons".split()
 
@@ -87,8 +96,8 @@ class Template(Words):
         self.hash = self._hashes()
         m = len(self.start)
         if not m:
-            self.typed = self.plain = self.hash
-            self.slot = np.zeros(0, bool)
+            self.typed = self.plain = self.one = self.hash
+            self.slot = self.number = np.zeros(0, bool)
             return
         number = kind[self.start] == 2
         same = np.zeros(m, bool)
@@ -96,25 +105,30 @@ class Template(Words):
         after = np.zeros(m, bool)
         after[1:] = number[:-1]
         unit = after & same & np.isin(self.hash, _UNITS)
-        stops = np.concatenate([[0], np.cumsum(_STOP[raw])])
+        stops = np.flatnonzero(_STOP[raw])
         quiet = np.zeros(m, bool)
-        quiet[1:] = stops[self.start[1:]] == stops[self.end[:-1]]
+        quiet[1:] = np.searchsorted(stops, self.start[1:]) == np.searchsorted(stops, self.end[:-1])
         first = raw[self.start]
         name = (first >= 65) & (first <= 90) & same & quiet & ~unit
         self.plain = self.hash.copy()
         self.plain[number], self.plain[unit] = _NUMBER, _UNIT
         self.typed = self.plain.copy()
         self.typed[name] = _NAME
-        self.slot = number | unit | name
-
-    def windows_of(self, tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        kept, self.hash = self.hash, tokens
-        out = self.windows(size)
+        self.slot, self.number = number | unit | name, number
+        self.one = _singular(self.hash)
+
+    def windows_of(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(first token, hash) of windows: of all with names as placeholders, and of those that hold a name with names as words."""
+        kept = self.hash
+        for tokens in (self.typed, self.plain):
+            self.hash = tokens
+            at, h = self.windows(size)
+            if tokens is self.plain:
+                names = np.concatenate([[0], np.cumsum(self.typed != self.plain)])
+                named = names[at + size] > names[at] if len(at) else np.zeros(0, bool)
+                at, h = at[named], h[named]
+            yield at, mix(h + _U(size))
         self.hash = kept
-        return out
-
-    def value(self, k: int) -> bytes:
-        return self.raw[self.start[k] : self.end[k]].tobytes()
 
 
 def _template(texts: list[str]) -> Template:
@@ -122,14 +136,22 @@ def _template(texts: list[str]) -> Template:
     return Template(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64))
 
 
-def _unit_hashes() -> np.ndarray:
-    raw = [x.encode() for x in UNITS]
-    words = Words(np.frombuffer(b" ".join(raw), np.uint8), np.array([0, len(b" ".join(raw))]), lower=True)
-    return words.hash
+def _word_hashes(words: list[str]) -> np.ndarray:
+    raw = " ".join(words).encode()
+    return Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), lower=True).hash
 
 
-_UNITS = _unit_hashes()
-_SINGULAR = {b"inches": b"inch", b"feet": b"foot"} | {f"{x}s".encode(): x.encode() for x in UNITS if len(x) > 1 and f"{x}s" in UNITS}
+_UNITS = _word_hashes(UNITS)
+_SINGULAR = {"inches": "inch", "feet": "foot"} | {f"{x}s": x for x in UNITS if len(x) > 1 and f"{x}s" in UNITS}
+_PLURALS, _SINGULARS = _word_hashes(list(_SINGULAR)), _word_hashes(list(_SINGULAR.values()))
+_BY_HASH = np.argsort(_PLURALS)
+_PLURALS, _SINGULARS = _PLURALS[_BY_HASH], _SINGULARS[_BY_HASH]
+
+
+def _singular(h: np.ndarray) -> np.ndarray:
+    """Units in the singular; other values as they are."""
+    at = np.minimum(np.searchsorted(_PLURALS, h), len(_PLURALS) - 1)
+    return np.where(_PLURALS[at] == h, _SINGULARS[at], h)
 
 
 class Benchmark:
@@ -141,99 +163,195 @@ class Benchmark:
         self.words = np.bincount(t.row, weights=~t.slot, minlength=len(items)).astype(np.int64)
         self.window = window
         self.sizes = sorted({min(window, int(n)) for n in t.count if n})
-        hashes, first, size = [], [], []
-        for tokens in (t.typed, t.plain):
-            for k in self.sizes:
-                at, h = t.windows_of(tokens, k)
+        hashes, first = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+        for k in self.sizes:
+            for at, h in t.windows_of(k):
                 keep = (t.count[t.row[at]] == k) | (k == window)  # a short item is one window
-                hashes.append(mix(h[keep] + _U(k)))
+                hashes.append(h[keep])
                 first.append(at[keep])
-                size.append(np.full(keep.sum(), k))
-        h, at, k = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((hashes, _U), (first, np.int64), (size, np.int64)))
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.at, self.size = h[order], at[order], k[order]
+        h, at = np.concatenate(hashes), np.concatenate(first)
+        order = np.lexsort((at, h))
+        self.hashes, self.at = h[order], at[order]
         self.bitmap = np.zeros(1 << 22, bool)
         self.bitmap[(self.hashes & _U((1 << 22) - 1)).astype(np.int64)] = True
+        # places of one hash are a run; run and place together ascend over the whole table
+        self.run = np.cumsum(np.concatenate([[0], (self.hashes[1:] != self.hashes[:-1]).astype(np.int64)]))[: len(self.at)]
+        self.stride = len(t.start) + 1
+        self.places = self.run * self.stride + self.at
+        counts = t.number.copy()  # what a slot is about: its value, and for a number what it counts
+        following = np.zeros(len(t.start), _U)
+        if len(counts):
+            counts[-1] = False
+            counts[:-1] &= t.row[1:] == t.row[:-1]
+            following[:-1] = t.one[1:]
+        self.thing = mix(t.one * _U(0x9FB21C651E98DF25) + np.where(counts, mix(following + _U(1)), _U(0)))
 
     def judge(self, t: Template) -> dict[int, dict[int, int]]:
         """{row: {item position: covered tokens}} of contaminated rows."""
-        pairs: dict[tuple[int, int], dict[int, set[tuple[int, int]]]] = {}
-        for tokens in (t.typed, t.plain):
-            for k in self.sizes:
-                at, h = t.windows_of(tokens, k)
-                h = mix(h + _U(k))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in self.sizes:
+            for at, h in t.windows_of(k):
                 maybe = np.flatnonzero(self.bitmap[(h & _U((1 << 22) - 1)).astype(np.int64)])
-                if not len(maybe):
-                    continue
-                low, high = np.searchsorted(self.hashes, h[maybe], "left"), np.searchsorted(self.hashes, h[maybe], "right")
-                for j in np.flatnonzero(high > low):
-                    q = int(at[maybe[j]])
-                    for x in range(int(low[j]), int(high[j])):
-                        p = int(self.at[x])
-                        lines = pairs.setdefault((int(t.row[q]), int(self.template.row[p])), {})
-                        lines.setdefault(q - p, set()).add((p, p + int(self.size[x])))
+                low = np.searchsorted(self.hashes, h[maybe])
+                hit = self.hashes[np.minimum(low, len(self.hashes) - 1)] == h[maybe]
+                found.append((at[maybe[hit]], self.run[low[hit]]))
+        q, run = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
         out: dict[int, dict[int, int]] = {}
-        for (row, item), lines in pairs.items():
-            n = int(self.template.count[item])
-            least = n if n < self.window else min(LONG_RUN, max(self.window, SHARE * n))
-            own = int(self.words[item])
-            covered: set[int] = set()
-            for shift, windows in sorted(lines.items()):
-                if own < LEAST_WORDS:
-                    covered |= _places(_clear(windows, self._changed(t, shift, _places(windows))))
-                else:
-                    covered |= self._agreeing(t, shift, windows, least)
-            words = sum(not self.template.slot[p] for p in covered)
-            if len(covered) >= least and words >= min(LEAST_WORDS, own):
-                out.setdefault(row, {})[item] = len(covered)
+        if not len(q):
+            return out
+        order = np.argsort(q, kind="stable")
+        q, run = q[order], run[order]
+        low, high = self._between(run, 0, self.stride - 1)
+        rows = t.row[q]
+        cuts = np.flatnonzero(np.diff(rows)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(q)], strict=True):
+            row = int(rows[a])
+            for item, alignments in self._aligned(q[a:b], run[a:b], low[a:b], high[a:b]):
+                covered = self._covered(t, item, alignments)
+                if covered:
+                    out.setdefault(row, {})[item] = covered
         return out
 
-    def _agreeing(self, t: Template, shift: int, windows: set[tuple[int, int]], least: float) -> set[int]:
-        """Places of an alignment that count: one value of the item, one value in the document."""
-        places = _places(windows)
-        stands: dict[tuple, dict[bytes, list[int]]] = {}
-        for p in places:
-            if self.template.slot[p]:
-                stands.setdefault(self._thing(p), {}).setdefault(_one(t.value(p + shift)), []).append(p)
-        if all(len(x) == 1 for x in stands.values()):
-            return places
-        wrong: set[int] = set()
-        for values in stands.values():
-            most = max(map(len, values.values()))
-            kept = [x for x in values.values() if len(x) == most]
-            wrong.update(p for x in values.values() if len(kept) > 1 or len(x) < most for p in x)
-        out: set[int] = set()
-        for bad in (wrong, self._changed(t, shift, places)):
-            run: list[int] = []
-            for p in [*sorted(_places(_clear(windows, bad))), -1]:
-                if run and p != run[-1] + 1:
-                    out.update(run if len(run) >= least else ())
-                    run = []
-                run.append(p)
-        return out
-
-    def _changed(self, t: Template, shift: int, places: set[int]) -> set[int]:
-        """Slots whose value isn't the item's."""
-        return {p for p in places if self.template.slot[p] and self.template.value(p) != t.value(p + shift)}
-
-    def _thing(self, p: int) -> tuple[bytes, bytes]:
-        """What a slot of the item is about: its value, and for a number what it counts."""
-        t, value = self.template, self.template.value(p)
-        counts = value[:1].isdigit() and p + 1 < len(t.start) and t.row[p + 1] == t.row[p]
-        return _one(value), _one(t.value(p + 1)) if counts else b""
-
-
-def _places(windows: set[tuple[int, int]]) -> set[int]:
-    return {p for a, b in windows for p in range(a, b)}
-
-
-def _clear(windows: set[tuple[int, int]], bad: set[int]) -> set[tuple[int, int]]:
-    return {(a, b) for a, b in windows if not any(p in bad for p in range(a, b))}
-
-
-def _one(value: bytes) -> bytes:
-    """Units in the singular; other values as they are."""
-    return _SINGULAR.get(value, value)
+    def _between(self, run: np.ndarray, first, end) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the table each run's places in [first, end) lie."""
+        base = run * self.stride
+        return np.searchsorted(self.places, base + first), np.searchsorted(self.places, base + end)
+
+    def _expand(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the range, place) of all entries in the ranges [low, high) of the table."""
+        many = high - low
+        ends = np.cumsum(many)
+        entry = np.repeat(low - (ends - many), many) + np.arange(int(many.sum()))
+        return np.repeat(np.arange(len(low)), many), self.at[entry]
+
+    def _aligned(self, q, run, low, high) -> Iterator[tuple[int, Iterator[tuple[int, np.ndarray]]]]:
+        """For each item that a document's windows meet: its alignments (shift, windows' first tokens in the item), those with most windows first."""
+        if int((high - low).sum()) <= MOST_MATCHES:
+            of, p = self._expand(low, high)
+            item, shift = self.template.row[p], q[of] - p
+            order = np.lexsort((p, shift, item))
+            item, shift, p = item[order], shift[order], p[order]
+            edge = np.flatnonzero((np.diff(item) != 0) | (np.diff(shift) != 0)) + 1
+            begin, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(p)]])
+            owner = item[begin]
+            for i in np.unique(owner):
+                own = np.flatnonzero(owner == i)
+                own = own[np.argsort(-(end[own] - begin[own]), kind="stable")]
+                yield int(i), ((int(shift[begin[k]]), np.unique(p[begin[k] : end[k]])) for k in own)
+            return
+        first = self.template.first
+        runs, where = np.unique(run, return_index=True)
+        met = np.zeros(len(self.ids), bool)
+        for k in where.tolist():
+            met[np.unique(self.template.row[self.at[low[k] : high[k]]])] = True
+        for i in np.flatnonzero(met):
+            yield int(i), self._large(q, run, int(first[i]), int(first[i + 1]))
+
+    def _large(self, q, run, first: int, end: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The alignments of one item, without ever holding all matches."""
+        low, high = self._between(run, first, end)
+        own = high > low
+        q, run, low, high = q[own], run[own], low[own], high[own]
+        least = int(q[0]) - end
+        many = np.zeros(int(q[-1]) - first - least + 1, np.int64)
+        ends = np.cumsum(high - low)
+        a = 0
+        while a < len(q):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + MOST_MATCHES, side="right")))
+            of, p = self._expand(low[a:b], high[a:b])
+            shift = q[a:b][of] - p - least
+            many[: int(shift.max()) + 1] += np.bincount(shift)
+            a = b
+        for k in np.argsort(-many, kind="stable"):
+            if not many[k]:
+                return
+            shift = int(k) + least
+            p = q - shift
+            inside = (p >= first) & (p < end)
+            at, _ = self._between(run[inside], p[inside], p[inside])
+            hit = self.places[np.minimum(at, len(self.places) - 1)] == run[inside] * self.stride + p[inside]
+            yield shift, np.unique(p[inside][hit])
+
+    def _covered(self, t: Template, item: int, alignments: Iterator[tuple[int, np.ndarray]]) -> int:
+        """How many of an item's tokens alignments that agree cover, or 0 if that is too little."""
+        first, n = int(self.template.first[item]), int(self.template.count[item])
+        size = min(self.window, n)
+        least = n if n < self.window else min(LONG_RUN, max(self.window, SHARE * n))
+        own = int(self.words[item])
+        slot, one = self.template.slot[first : first + n], self.template.hash[first : first + n]
+        thing = np.unique(self.thing[first : first + n], return_inverse=True)[1]
+        minds: list[tuple[np.ndarray, np.ndarray]] = []  # what each thing stands for, and which tokens are covered
+        for shift, windows in alignments:
+            windows = windows - first
+            there = np.arange(first + shift, first + shift + n)
+            there = np.where((there >= 0) & (there < len(t.start)), there, 0)
+            value, changed = t.one[there], slot & (t.hash[there] != one)
+            if own < LEAST_WORDS:
+                pieces = [_cover(_clear(windows, size, changed), size, n)]
+            else:
+                pieces = _agreeing(windows, size, n, slot, thing, value, changed, least)
+            for piece in pieces:
+                if not piece.any():
+                    continue
+                held = np.flatnonzero(piece & slot)
+                for values, covered in minds:
+                    if covered[piece].all():
+                        break
+                    known = values[thing[held]]
+                    if ((known == 0) | (known == value[held])).all():
+                        values[thing[held]] = value[held]
+                        covered |= piece
+                        break
+                else:
+                    values, covered = np.zeros(n, _U), piece.copy()
+                    values[thing[held]] = value[held]
+                    minds.append((values, covered))
+                if covered.sum() >= least and (covered & ~slot).sum() >= min(LEAST_WORDS, own):
+                    return int(covered.sum())
+        return 0
+
+
+def _cover(windows: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Which of n tokens the windows cover."""
+    depth = np.bincount(windows, minlength=n + 1)[: n + 1] - np.bincount(windows + size, minlength=n + 1)[: n + 1]
+    return np.cumsum(depth[:n]) > 0
+
+
+def _clear(windows: np.ndarray, size: int, bad: np.ndarray) -> np.ndarray:
+    before = np.concatenate([[0], np.cumsum(bad)])
+    return windows[before[windows + size] == before[windows]]
+
+
+def _agreeing(windows, size: int, n: int, slot, thing, value, changed, least: float) -> list[np.ndarray]:
+    """Parts of an alignment that count: one value of the item, one value in the document."""
+    places = _cover(windows, size, n)
+    held = np.flatnonzero(places & slot)
+    order = held[np.lexsort((value[held], thing[held]))]
+    if not len(order):
+        return [places]
+    new = np.concatenate([[True], (np.diff(thing[order]) != 0) | (value[order][1:] != value[order][:-1])])
+    start = np.flatnonzero(new)  # of each value of each thing
+    many = np.diff(np.append(start, len(order)))
+    of = thing[order[start]]
+    if (np.diff(of) != 0).all():
+        return [places]
+    most = np.zeros(n, np.int64)
+    np.maximum.at(most, of, many)
+    top = many == most[of]
+    ties = np.bincount(of[top], minlength=n)
+    right = top & (ties[of] == 1)
+    wrong = np.zeros(n, bool)
+    wrong[order[np.repeat(~right, many)]] = True
+    out = []
+    for bad in (wrong, changed & places):
+        kept = _cover(_clear(windows, size, bad), size, n)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], kept.astype(np.int8), [0]])))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if b - a >= least:
+                piece = np.zeros(n, bool)
+                piece[a:b] = True
+                out.append(piece)
+    return out
 
 
 def _judge(shared):
@@ -252,24 +370,27 @@ def _judge(shared):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Returns the columns ``keep``, contaminated, n_items and item_ids (ascending)."""
-    spark = docs.sparkSession
+    """Returns the columns ``keep`` (one that has the name of a result is left out), contaminated, n_items and item_ids (ascending)."""
+    spark = bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("bigint").alias("id"), F.col(item_text_col).alias("text")).where("id is not null and text is not null")
     size = int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 4
     parts = max(1, -(-size // MOST_TOKENS))
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    keep = [c for c in keep if c not in ("contaminated", "n_items", "item_ids")]
+    own_names = [f"_k{i}" for i in range(len(keep))]
+    fields = "".join(f"{k} {docs.schema[c].dataType.simpleString()}, " for k, c in zip(own_names, keep, strict=True))
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in zip(own_names, keep, strict=True)), F.col(text_col).alias("_text"))
     found = None
     for k in range(parts):
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k) if parts > 1 else items
         shared = spark.sparkContext.broadcast(Benchmark(sorted((r["id"], r["text"]) for r in own.collect()), window))
         # later passes read the text again, next to what was found so far
-        source = rows if found is None else found.withColumnRenamed("item_ids", "_before").select(*keep, "_before", "_text")
-        names = fields + (", _before array<bigint>" if found is not None else "") + (", _text string" if k < parts - 1 else "")
-        found = source.mapInArrow(_with_text(_judge(shared)) if k < parts - 1 else _judge(shared), f"{names}, item_ids array<bigint>")
+        source = rows if found is None else found.withColumnRenamed("item_ids", "_before").select(*own_names, "_before", "_text")
+        names = fields + ("_before array<bigint>, " if found is not None else "") + ("_text string, " if k < parts - 1 else "")
+        found = source.mapInArrow(_with_text(_judge(shared)) if k < parts - 1 else _judge(shared), f"{names}item_ids array<bigint>")
         if "_before" in found.columns:
             found = found.withColumn("item_ids", F.array_sort(F.array_union("_before", "item_ids"))).drop("_before")
-    return found.select(*keep, (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("bigint").alias("n_items"), "item_ids")
+    back = (F.col(k).alias(c) for k, c in zip(own_names, keep, strict=True))
+    return found.select(*back, (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("bigint").alias("n_items"), "item_ids")
 
 
 def _with_text(judge):

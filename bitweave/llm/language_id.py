@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import stored
+from ._blocks import bounded_batches, stored
 from ._text import column_bytes, give_back, mix, slices
 
 SAMPLE_DOCS = 20_000
@@ -224,7 +224,7 @@ def _predict(shared):
 
 def identify_language(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Returns the columns ``keep``, then the prediction and its score under ``names``, which replace columns of the same name."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bounded_batches(docs.sparkSession).sparkContext.broadcast(model)
     keep = [c for c in keep if c not in names]
     rows = docs.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("_text"))
     fields = "".join(f"_k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import block_count, bucket_bits, by_bucket, decode, encode, heavy_keys, spread_join, stored, text_bytes
+from ._blocks import block_count, bounded_batches, bucket_bits, by_bucket, decode, encode, heavy_keys, spread_join, stored, text_bytes
 from ._components import components
 from ._text import trimmed, words_of
 
@@ -282,7 +282,7 @@ def _links(members: DataFrame, queries: DataFrame | None, percent: int, bundles:
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 75) -> DataFrame:
     """Returns id, n_shingles, component_id (the smallest id reachable by links, its own included)."""
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     blocks = block_count(text_bytes(docs, text_col))
     bits = bucket_bits(blocks)
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("_key"), F.col(text_col).alias("_text"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._blocks import stored
+from ._blocks import bounded_batches, stored
 from ._text import _LOWER, Words, column_bytes, slices
 
 CAPACITY = 4096
@@ -268,7 +268,7 @@ def _place(shared):
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: id, start, length, doc_tokens, ids (little-endian 32-bit), ids_crc32, sequence_id, offset."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     pieces = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(_tokenise(tokenizer_path, capacity, end_id), PIECES)
     pieces = stored(pieces.withColumn("piece", F.monotonically_increasing_id()))
     sizes = pieces.select("piece", "length").withColumn("chunk", F.pmod(F.xxhash64("piece"), F.lit(_chunks(pieces))).cast("int"))

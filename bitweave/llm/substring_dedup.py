@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._blocks import block_count, bucket_bits, by_bucket, decode, encode, id_blocks, text_bytes
+from ._blocks import block_count, bounded_batches, bucket_bits, by_bucket, decode, encode, id_blocks, text_bytes
 from ._text import trimmed, words_of
 
 WINDOW = 13
@@ -149,6 +149,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Returns id, n_words, n_removed, kept (words joined by one space; texts that lose nothing stay as they are if not ``tidy``), removed (spans [start, end) of words), and ``carry``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    bounded_batches(docs.sparkSession)
     blocks = block_count(text_bytes(docs, text_col))
     bits = bucket_bits(blocks)
     carry = [c for c in carry if c not in (id_col, "n_words", "n_removed", "kept", "removed")]

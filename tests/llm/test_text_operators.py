@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import kept_words, near_groups
+from brute import contaminates, kept_words, near_groups
 
 import bitweave.llm.ngram_join as join
 from bitweave.llm._blocks import decode, encode
@@ -155,6 +155,66 @@ def test_short_items_are_found_word_for_word(item):
     assert judge(_template([f"Now: {item} Yes."])) and not judge(_template([f"Now: {item.replace('5', '6').replace('7', '8')} Yes."]))
 
 
+def invented_questions(r, n):
+    """Items and texts that hold them whole, in part, with other values, and with values that contradict each other."""
+    names, things, verbs = ["Alice", "Bob", "Carol", "Dave"], "apples pens books km hours dollars stones".split(), "buys sells holds finds counts paints".split()
+    value = lambda: str(r.choice([2, 3, 5, 12, 7]))
+
+    def item():
+        words = []
+        for _ in range(r.randint(1, 9)):
+            words += [r.choice(["then", "and", "so", "when"]), r.choice(names), r.choice(verbs), value(), r.choice(things)]
+        return words[: r.randint(3, len(words))]
+
+    items = [item() for _ in range(n)]
+    texts = []
+    for _ in range(8 * n):
+        own = list(r.choice(items))
+        swap = dict(zip(names, r.sample(names, 4), strict=True)) | {x: value() for x in ("2", "3", "5", "12", "7")}
+        own = [swap.get(w, w) for w in own] if r.random() < 0.6 else own
+        for _ in range(r.choice([0, 0, 1, 2])):
+            k = r.randrange(len(own))
+            own[k : k + r.choice([0, 1])] = [r.choice([value(), "quite", r.choice(names)])]
+        other = list(r.choice(items))
+        texts.append(" ".join(["the", *own[: r.randint(3, len(own) + 3)], *(other[r.randrange(len(other)) :] if r.random() < 0.5 else []), "end."]))
+    return [" ".join(x) for x in items], texts
+
+
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_judging_equals_brute_force(monkeypatch, most):
+    import bitweave.llm.decontamination as d
+
+    monkeypatch.setattr(d, "MOST_MATCHES", most)
+    for seed in range(6):
+        items, texts = invented_questions(random.Random(seed), 6)
+        found = Benchmark(list(enumerate(items))).judge(_template(texts))
+        got = {(k, i) for k, x in found.items() for i in x}
+        want = {(k, i) for k, t in enumerate(texts) for i, x in enumerate(items) if contaminates(x, t)}
+        assert got == want and 10 < len(want) < len(texts) * len(items)
+
+
+def test_one_item_is_not_put_together_from_contradicting_passages():
+    item = "When Alice takes 12 red apples from the old basket near her door then Alice gives 12 red apples to the tall man by the river and walks back home"
+    words = item.split()
+    a, b = " ".join(words[:12]).replace("Alice", "Carol").replace("12", "5"), " ".join(words[13:]).replace("Alice", "Dora").replace("12", "9")
+    short = " ".join(words[:11])
+    assert not Benchmark([(4, " ".join(words[:11] + words[13:24]))], 8).judge(_template([f"x {short.replace('12', '5')} zz yy {' '.join(words[13:22]).replace('12', '9')}"]))
+    assert Benchmark([(4, item)]).judge(_template([f"x {a} zz yy xx {b}"]))  # the second passage alone is long enough
+
+
+def test_lines_of_numbers_take_no_product():
+    r = random.Random(3)
+    numbers = lambda n: " ".join(str(r.randint(1, 99)) for _ in range(n))
+    lead = "Add up all of these numbers and say what their sum is now: "
+    bench = Benchmark([(1, numbers(3000)), (2, lead + numbers(3000))])
+    import time
+
+    began = time.time()
+    assert not bench.judge(_template([numbers(3000), " ".join(["7"] * 3000)]))
+    assert bench.judge(_template([numbers(500) + " " + lead + numbers(3000)])).keys() == {0}
+    assert time.time() - began < 90
+
+
 def test_decontaminate(spark, monkeypatch):
     import bitweave.llm.decontamination as d
 
