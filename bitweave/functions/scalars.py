@@ -48,15 +48,12 @@ def mjd_date(mjd: Column) -> Column:
 
 
 def hex_lines(data: Column, width: int = 16) -> Column:
-    """Rows of a hex view: array of (offset, hex, text)."""
-    n = F.ceil(F.length(data) / F.lit(width)).cast("int")
-
-    def line(k: Column) -> Column:
-        part = F.substring(data, k * width + 1, F.lit(width))
-        shown = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.length(part) - 1), lambda i: F.substring(F.hex(part), i * 2 + 1, F.lit(2))))
-        return F.struct((k * width).cast("bigint").alias("at"), shown.alias("hex"))
-
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), line)).otherwise(F.array())
+    """Rows of a hex view: array of (at, hex, text). Each view is made once for the whole object and cut into lines."""
+    digits = F.regexp_extract_all(F.hex(data), F.lit(f".{{1,{2 * width}}}"), F.lit(0))
+    shown = F.regexp_replace(F.decode(data, "ISO-8859-1"), r"[^\x20-\x7e]", ".")
+    lines = F.arrays_zip(digits.alias("digits"), F.regexp_extract_all(shown, F.lit(f".{{1,{width}}}"), F.lit(0)).alias("text"))
+    spaced = lambda x: F.rtrim(F.regexp_replace(x, "(..)", "$1 "))
+    return F.transform(lines, lambda x, k: F.struct((k * width).cast("bigint").alias("at"), spaced(x["digits"]).alias("hex"), x["text"].alias("text")))
 
 
 def spectrum_tuple(index: Column, signed: bool, dimension: int, lav: int) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.literals import parse_range
+from .ordered import with_rank
 
 # Level names of each scheme, shallow to deep, and subsets with the level that they narrow.
 LEVELS = {"nal": ["vseq", "cvs", "au", "nu", "seimsg", "seipl"], "av1": ["vseq", "cvs", "tu", "fu", "obu"], "mpv": ["vseq", "gop", "au", "se", "mb"], "audio": ["au"]}
@@ -87,7 +88,10 @@ def locate(elements: DataFrame, uri: str, scheme: str, order: dict[str, tuple[st
             inside = [*above, *(c for c in order.get(unit, ()) if c not in above)]
             columns = [c for c in columns if c not in inside]
         members = rows.where(flag).select(*inside, *columns).distinct()
-        members = members.withColumn(key, F.row_number().over(Window.partitionBy(*inside).orderBy(*columns)) - 1)
+        if inside:
+            members = members.withColumn(key, F.row_number().over(Window.partitionBy(*inside).orderBy(*columns)) - 1)
+        else:
+            members = with_rank(members, key, columns)
         members = members.where(s.accepts(F.col(key)))
         rows = rows.where(flag).join(members, [*inside, *columns])
         above = [*inside, *columns]

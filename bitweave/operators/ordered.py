@@ -1,4 +1,4 @@
-"""Order-dependent operators that need no single task: lag, running sum, last known value.
+"""Order-dependent operators that need no single task: lag, running sum and maximum, last known value, rank.
 
 Rows are cut into spans of 65,536 positions.  Inside a span an ordinary window
 does the work; across spans only one summary row each is ordered (a stream of
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 SPAN = 1 << 16
 
 
@@ -52,6 +54,28 @@ def with_running_sum(df: DataFrame, columns: dict[str, Column], order: str, by:
     return out.select(*df.columns, *((F.col(f"_w_{new}") + F.col(f"_b_{new}")).alias(new) for new in columns))
 
 
+def with_running_max(df: DataFrame, columns: dict[str, Column], order: str, by: tuple[str, ...] = (), span: int = SPAN) -> DataFrame:
+    """Adds, for {new: expression}, the largest value of the expression up to and with each row; nulls count for nothing."""
+    by = list(by)
+    rows = _spans(df, order, span).select("*", *(x.alias(f"_x_{new}") for new, x in columns.items()))
+    w = Window.partitionBy(*by, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    tops = rows.groupBy(*by, "_span").agg(*(F.max(f"_x_{new}").alias(f"_t_{new}") for new in columns))
+    before = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*by, "_span", *(F.max(f"_t_{new}").over(before).alias(f"_b_{new}") for new in columns))
+    out = _back(rows.select("*", *(F.max(f"_x_{new}").over(w).alias(f"_w_{new}") for new in columns)), tops, by)
+    return out.select(*df.columns, *(F.greatest(f"_w_{new}", f"_b_{new}").alias(new) for new in columns))
+
+
+def with_rank(df: DataFrame, new: str, order: list[str]) -> DataFrame:
+    """Adds the rank from 0 among all rows: sorted parts are written, and only one count of each is ordered."""
+    parts = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.withColumn("_rank", rank).join(F.broadcast(counts), "_part").select(*df.columns, (F.col("_before") + F.col("_rank")).alias(new))
+
+
 def with_last_known(df: DataFrame, columns: dict[str, Column], order: str, by: tuple[str, ...] = (), span: int = SPAN) -> DataFrame:
     """Adds, for {new: expression}, the latest non-null value up to and with each row: a backward as-of lookup."""
     by = list(by)

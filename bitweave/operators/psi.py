@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.crc import crc
 from ..sources.blobs import parse_blobs
 from .ordered import with_running_sum
+from .shared import written
 
 SECTIONS = "pkt_idx long, pid int, table_id int, extension int, version int, current boolean, section_number int, last_section int, crc_ok boolean, body binary"
 
 
-def _sections(rows: list[tuple[int, bool, bytes]], pid: int) -> Iterator[tuple]:
-    """Sections of one PID from (packet, starts a unit, payload): a section ends where its length says, stuffing is 0xFF."""
+def _sections(rows: list[tuple[int, bool, bytes, bool]], pid: int) -> Iterator[tuple]:
+    """Sections of one PID from (packet, starts a unit, payload, only ends what came before): a section ends where its length says, stuffing is 0xFF."""
     held = bytearray()
 
     def drain(idx: int) -> Iterator[tuple]:
@@ -35,31 +36,50 @@ def _sections(rows: list[tuple[int, bool, bytes]], pid: int) -> Iterator[tuple]:
         if held and held[0] == 0xFF:
             held = bytearray()
 
-    for idx, start, payload in rows:
+    for idx, start, payload, tail in rows:
         if start:
             pointer = payload[0] if payload else 0
             if held:
                 held += payload[1 : 1 + pointer]
                 yield from drain(idx)
+            if tail:
+                return
             held = bytearray(payload[1 + pointer :])
         elif held:
             held += payload
         yield from drain(idx)
 
 
+UNITS = 1024
+
+
+def _stretches(rows: DataFrame, lead: bool) -> DataFrame:
+    """Rows of table PIDs with ``stretch``, which holds ``UNITS`` units of a PID, and ``context``: rows of the neighbours that a stretch needs, too.
+
+    Those are the packet that starts the next stretch, which may end this one's
+    last section, and, if ``lead``, the last unit before.
+    """
+    rows = with_running_sum(rows, {"unit": F.col("pusi").cast("int")}, "pkt_idx", ("pid",)).where("unit > 0")
+    own, place = F.floor(F.col("unit") / UNITS).cast("bigint"), F.col("unit") % UNITS
+    to = lambda k, context: F.struct((own + k).alias("stretch"), F.lit(context).alias("context"))
+    homes = [to(0, False), F.when(F.col("pusi") & (place == 0), to(-1, True)), *([F.when(place == UNITS - 1, to(1, True))] if lead else [])]
+    return rows.select("*", F.explode(F.array_compact(F.array(*homes))).alias("_home")).select("*", "_home.stretch", "_home.context").drop("_home", "unit")
+
+
 def sections(packets: DataFrame, pids: list[int]) -> DataFrame:
-    """Sections of some table PIDs; tables are small, and each PID is one ordered group."""
+    """Sections of some table PIDs, a stretch of each PID at a time."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("pkt_idx")
         pid = table.column("pid")[0].as_py()
-        rows = list(_sections(list(zip(*(table.column(c).to_pylist() for c in ("pkt_idx", "pusi", "payload")), strict=True)), pid))
+        rows = list(_sections(list(zip(*(table.column(c).to_pylist() for c in ("pkt_idx", "pusi", "payload", "context")), strict=True)), pid))
         names = [x.split()[0] for x in SECTIONS.split(", ")]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
         return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, types, strict=True))})
 
     chosen = packets.where(F.col("pid").isin(*pids) & (F.col("afc").bitwiseAND(F.lit(1)) > 0))
-    return chosen.select("pkt_idx", "pid", "pusi", F.expr("substring(raw, payload_at + 1)").alias("payload")).groupBy("pid").applyInArrow(run, SECTIONS)
+    chosen = chosen.select("pkt_idx", "pid", "pusi", F.expr("substring(raw, payload_at + 1)").alias("payload"))
+    return _stretches(chosen, False).groupBy("pid", "stretch").applyInArrow(run, SECTIONS)
 
 
 def _pat(body: bytes) -> Iterator[tuple]:
@@ -159,8 +179,8 @@ def pes_units(packets: DataFrame, pids: list[int] | None = None, stream_id: int
     rows = packets.where(F.col("pid").isin(*pids)) if pids else packets
     rows = rows.where(F.col("afc").bitwiseAND(F.lit(1)) > 0).select("pkt_idx", "pid", "pusi", F.expr("substring(raw, payload_at + 1)").alias("payload"))
     rows = with_running_sum(rows, {"unit": F.col("pusi").cast("int")}, "pkt_idx", ("pid",)).where("unit > 0")
-    units = rows.groupBy("pid", "unit").agg(F.min("pkt_idx").alias("first_pkt"), F.max("pkt_idx").alias("last_pkt"), F.array_sort(F.collect_list(F.struct("pkt_idx", "payload"))).alias("parts"))
-    units = units.withColumn("data", F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.payload))"))
+    units = rows.groupBy("pid", "unit").agg(F.min("pkt_idx").alias("first_pkt"), F.max("pkt_idx").alias("last_pkt"), F.array_sort(F.collect_list(F.struct("pkt_idx", F.hex("payload").alias("payload")))).alias("parts"))
+    units = units.withColumn("data", F.unhex(F.array_join(F.transform("parts", lambda p: p["payload"]), "")))  # joined once: a unit costs its length
     found = parse_blobs(units, _pes, PES, ("pid", "unit", "first_pkt", "last_pkt"))
     if stream_id is not None:
         found = found.where(F.col("stream_id") == stream_id)
@@ -230,9 +250,10 @@ def remap_tables(packets: DataFrame, table_pids: list[int], mapping: dict[int, i
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("pkt_idx")
         rows = list(zip(*(table.column(c).to_pylist() for c in ("pkt_idx", "pusi", "payload_at", "raw")), strict=True))
-        found = _rewrite(rows, mapping)
+        found = [x for x, context in zip(_rewrite(rows, mapping), table.column("context").to_pylist(), strict=True) if not context]
         return pa.table({"pkt_idx": pa.array([x for x, _ in found], pa.int64()), "raw": pa.array([x for _, x in found], pa.binary())})
 
     tables = F.col("pid").isin(*table_pids) & (F.col("afc").bitwiseAND(F.lit(1)) > 0)
-    changed = packets.where(tables).select("pid", "pkt_idx", "pusi", "payload_at", "raw").groupBy("pid").applyInArrow(run, "pkt_idx long, raw binary")
-    return packets.where(~tables).select("pkt_idx", "raw").unionByName(changed)
+    chosen = written(with_running_sum(packets.where(tables).select("pid", "pkt_idx", "pusi", "payload_at", "raw"), {"_unit": F.col("pusi").cast("int")}, "pkt_idx", ("pid",)))
+    changed = _stretches(chosen.where("_unit > 0").drop("_unit"), True).groupBy("pid", "stretch").applyInArrow(run, "pkt_idx long, raw binary")
+    return packets.where(~tables).select("pkt_idx", "raw").unionByName(chosen.where("_unit = 0").select("pkt_idx", "raw")).unionByName(changed)

@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import with_last_known, with_running_sum
+
 
 def expand_runs(runs: DataFrame, chunks: DataFrame) -> DataFrame:
     """runs (track, first_chunk, per_chunk) over chunks (track, chunk, chunk_offset): each chunk with its sample count.
 
-    The run in force is the last one that starts at or before the chunk: a union
-    and a carried value, not a range join.
+    The run in force is the last one that starts at or before the chunk: an
+    equi-join and a carried value, not a range join.
     """
-    w = Window.partitionBy("track").orderBy("chunk", F.col("chunk_offset").isNull().desc()).rowsBetween(Window.unboundedPreceding, 0)
-    both = chunks.select("track", "chunk", "chunk_offset", F.lit(None).cast("bigint").alias("per_chunk")).unionByName(runs.select("track", F.col("first_chunk").alias("chunk"), F.lit(None).cast("bigint").alias("chunk_offset"), F.col("per_chunk").cast("bigint").alias("per_chunk")))
-    return both.withColumn("per_chunk", F.last("per_chunk", ignorenulls=True).over(w)).where("chunk_offset is not null")
+    starts = runs.groupBy("track", F.col("first_chunk").alias("chunk")).agg(F.max("per_chunk").cast("bigint").alias("_own"))
+    both = chunks.select("track", "chunk", "chunk_offset").join(starts, ["track", "chunk"], "full")  # a run may start at a chunk that is missing
+    return with_last_known(both, {"per_chunk": F.col("_own")}, "chunk", ("track",)).where("chunk_offset is not null").drop("_own")
 
 
 def sample_table(runs: DataFrame, chunks: DataFrame, sizes: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """track, sample, chunk, offset, size, is_key. sizes (track, sample, size), samples from 1; keys (track, sample): none given means every sample is a key."""
-    before = Window.partitionBy("track").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    filled = expand_runs(runs, chunks).withColumn("first", F.coalesce(F.sum("per_chunk").over(before), F.lit(0)) + 1)
+    filled = with_running_sum(expand_runs(runs, chunks), {"_to": F.col("per_chunk")}, "chunk", ("track",)).withColumn("first", F.col("_to") - F.col("per_chunk") + 1)
     placed = filled.select("track", "chunk", "chunk_offset", F.explode(F.when(F.col("per_chunk") > 0, F.sequence("first", F.col("first") + F.col("per_chunk") - 1))).alias("sample"))
     rows = placed.join(sizes, ["track", "sample"])  # a last chunk that is only partly filled keeps what it has
     inside = Window.partitionBy("track", "chunk").orderBy("sample").rowsBetween(Window.unboundedPreceding, -1)
@@ -40,8 +41,9 @@ def expand_times(runs: DataFrame) -> DataFrame:
     return flat.select("track", "sample", (F.col("start") + F.col("k") * F.col("delta")).alias("dts"))
 
 
-def moved_offsets(boxes: DataFrame, removed: DataFrame) -> DataFrame:
-    """boxes (box, offset, size) in file order without removed (box): each kept box with its new offset and shift."""
-    kept = boxes.join(removed, "box", "left_anti")
-    w = Window.orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)  # top-level boxes of one file: a handful
+def moved_offsets(boxes: DataFrame, removed: DataFrame, file_col: str | None = None) -> DataFrame:
+    """boxes (box, offset, size) in file order without removed (box): each kept box with its new offset and shift; ``file_col`` names the file of a box where there are several."""
+    file = [file_col] if file_col else []
+    kept = boxes.join(removed, [*file, "box"], "left_anti")
+    w = Window.partitionBy(*file).orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)  # top-level boxes of a file: a handful
     return kept.withColumn("new_offset", F.coalesce(F.sum("size").over(w), F.lit(0))).withColumn("shift", F.col("offset") - F.col("new_offset"))

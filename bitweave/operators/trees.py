@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 
 def with_ordinals(nodes: DataFrame) -> DataFrame:
     """ordinal: rank among the siblings of its kind; place: rank among all siblings."""
@@ -30,27 +32,26 @@ def find_path(nodes: DataFrame, path: str) -> DataFrame:
     return found
 
 
-def layout(nodes: DataFrame, most_levels: int = 32) -> DataFrame:
-    """Every node with level and path of kind[ordinal] steps, one join a level."""
-    numbered = with_ordinals(nodes)
+def layout(nodes: DataFrame) -> DataFrame:
+    """Every node below a root with level and path of kind[ordinal] steps, one join a level, down to the last."""
+    numbered = written(with_ordinals(nodes))
     name = F.concat("kind", F.lit("["), F.col("ordinal").cast("string"), F.lit("]"))
-    front = numbered.where("parent_id is null").select("node_id", "kind", F.lit(0).alias("level"), name.alias("path"))
-    out = front
-    for level in range(1, most_levels):
+    front = written(numbered.where("parent_id is null").select("node_id", "kind", F.lit(0).alias("level"), name.alias("path")))
+    out, level = front, 0
+    while not front.isEmpty():
+        level += 1
         up = front.select(F.col("node_id").alias("parent_id"), F.col("path").alias("_up"))
-        front = numbered.join(up, "parent_id").select("node_id", "kind", F.lit(level).alias("level"), F.concat("_up", F.lit("/"), name).alias("path"))
-        if front.limit(1).count() == 0:
-            return out
+        front = written(numbered.join(up, "parent_id").select("node_id", "kind", F.lit(level).alias("level"), F.concat("_up", F.lit("/"), name).alias("path")))
         out = out.unionByName(front)
-    raise ValueError("deeper than most_levels")
+    return out
 
 
 def descendants_by_kind(nodes: DataFrame, ancestor_id, kind: str) -> DataFrame:
-    """Nodes of a kind anywhere below an ancestor, one join a level."""
+    """Nodes of a kind anywhere below an ancestor, one join a level, down to the last."""
     front, out = nodes.where(F.col("parent_id") == ancestor_id), None
     while True:
         # plans stay short however deep the tree is; only a circle leads back to the ancestor
-        front = front.where(F.col("node_id") != ancestor_id).localCheckpoint()
+        front = written(front.where(F.col("node_id") != ancestor_id))
         out = front if out is None else out.unionByName(front)
         if front.isEmpty():
             return out.where(F.col("kind") == kind)

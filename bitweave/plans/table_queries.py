@@ -40,7 +40,7 @@ def crc_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def crc_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Three checks of each event's properties; SQL has none of them, so tests compare them with a bit-by-bit version."""
+    """Three checks of each event's properties."""
     data = F.col("props").cast("binary")
     return _read(spark, sf, "events").select("event_id", crc.crc_hex(data, "crc-32").alias("crc32"), crc.crc_hex(data, "crc-32-mpeg").alias("crc32_mpeg"), crc.crc_hex(data, "crc-64-jones").alias("crc64"))
 
@@ -56,7 +56,7 @@ def huffman_spectrum(spark: SparkSession, sf: str) -> DataFrame:
 
 def hex_view(spark: SparkSession, sf: str) -> DataFrame:
     pages = _read(spark, sf, "pages").select("page_id", F.explode(scalars.hex_lines(F.col("html").cast("binary"))).alias("line"))
-    return pages.select("page_id", "line.at", "line.hex")
+    return pages.select("page_id", "line.at", "line.hex", "line.text")
 
 
 def start_code_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,7 +112,7 @@ def clock_sync(spark: SparkSession, sf: str) -> DataFrame:
     """Signed difference of two readings of a clock that wraps, in 100 ns units."""
     p = emap.direct(spark, sf).where("pts90 is not null")
     d = clocks.signed_difference(F.col("pts90"), F.coalesce("dts90", F.lit(8_589_930_000)), clocks.PTS_WRAP)
-    return p.select("pkt_idx", d.alias("diff90"), F.expr("0").cast("bigint").alias("zero"), clocks.same_pts(F.col("pts90"), F.col("pts90") + 511).alias("close"))
+    return p.select("pkt_idx", d.alias("diff90"), clocks.same_pts(F.col("pts90"), F.col("pts90") + 511).alias("close"))
 
 
 def ellipsis(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,6 +138,19 @@ _CHECKS = "F4 15 7E A1 A1 D0 25 BB3D FEE8 9ECF 007E EA82 C2B7 D64E 44C2 6F91 63D
 _OWN = "F4 15 7E A4 A1 D0 25 BB3D FEE8 9ECF 1ED5 95E3 4449 CE3C B4C8 6F91 DB52 D0DB 0FB3 44C2 DE76 31C3 4B37 2189 29B1 E5CC 21CF02 7979BD 1F23B8 CBF43926 0376E6E7 A71C05DF 69EA3735 0376E6E7 FC891918 3010BF7F 340BC6D9 BD0BE338 46A5A9388A5BEFFE 93BF20A0F4B68CB8 CAA717168609F281".split()
 _UE = "SELECT i, i + 1 AS code, 2 * length(bin(i + 1)) - 1 AS n FROM range(500) t(i)"
 
+
+
+def _crc_sql() -> str:
+    """The checks byte by byte, from tables that are made bit by bit."""
+    right = lambda poly: f"list_reduce(list_prepend(CAST(i AS UBIGINT), CAST(range(8) AS UBIGINT[])), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, CAST({poly} AS UBIGINT)) ELSE r >> 1 END)"
+    left = "list_reduce(list_prepend(CAST(i << 24 AS UBIGINT), CAST(range(8) AS UBIGINT[])), lambda r, k: CASE WHEN r & 2147483648 > 0 THEN xor((r << 1) & 4294967295, CAST(79764919 AS UBIGINT)) ELSE (r << 1) & 4294967295 END)"
+    low = lambda t, init: f"list_reduce(list_prepend(CAST({init} AS UBIGINT), bytes), lambda r, b: xor({t}[CAST(xor(r, b) & 255 AS INT) + 1], r >> 8))"
+    high = "list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), bytes), lambda r, b: xor(t_mpeg[CAST(xor(r >> 24, b) AS INT) + 1], (r << 8) & 4294967295))"
+    return f"""WITH t AS (SELECT list({right(0xEDB88320)} ORDER BY i) AS t_32, list({left} ORDER BY i) AS t_mpeg, list({right(0x95AC9329AC4BC9B5)} ORDER BY i) AS t_64 FROM range(256) r(i)),
+        e AS (SELECT event_id, CAST(list_transform(regexp_extract_all(hex(encode(props)), '..'), lambda x: CAST('0x' || x AS INT)) AS UBIGINT[]) AS bytes FROM events)
+        SELECT event_id, lpad(hex(xor({low("t_32", 4294967295)}, CAST(4294967295 AS UBIGINT))), 8, '0') AS crc32, lpad(hex({high}), 8, '0') AS crc32_mpeg, lpad(hex({low("t_64", 0xFFFFFFFFFFFFFFFF)}), 16, '0') AS crc64 FROM e, t"""
+
+
 ORACLES = {
     "mp4_sample_table": """WITH l AS (SELECT o_custkey AS track, o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
         s AS (SELECT *, dense_rank() OVER (PARTITION BY track ORDER BY o_orderkey) AS chunk, row_number() OVER w AS sample, CAST(l_quantity AS BIGINT) AS size FROM l WINDOW w AS (PARTITION BY track ORDER BY o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag))
@@ -152,7 +165,9 @@ ORACLES = {
     "huffman_spectrum": """SELECT p_partkey, CAST(p_partkey % 81 // 27 - 1 AS INT) AS w, CAST(p_partkey % 27 // 9 - 1 AS INT) AS x, CAST(p_partkey % 9 // 3 - 1 AS INT) AS y, CAST(p_partkey % 3 - 1 AS INT) AS z,
         CAST(p_partkey % 81 % 64 // 8 AS INT) AS pair_y, CAST(p_partkey % 81 % 64 % 8 AS INT) AS pair_z FROM part""",
     "hex_view": """WITH h AS (SELECT page_id, hex(encode(html)) AS x FROM pages), l AS (SELECT page_id, x, unnest(range(0, length(x), 32)) AS k FROM h)
-        SELECT page_id, k // 2 AS at, rtrim(regexp_replace(substr(x, CAST(k AS INT) + 1, 32), '(..)', '\\1 ', 'g')) AS hex FROM l""",
+        SELECT page_id, k // 2 AS at, rtrim(regexp_replace(substr(x, CAST(k AS INT) + 1, 32), '(..)', '\\1 ', 'g')) AS hex,
+            array_to_string(list_transform(regexp_extract_all(substr(x, CAST(k AS INT) + 1, 32), '..'), lambda b: CASE WHEN b BETWEEN '20' AND '7E' THEN decode(unhex(b)) ELSE '.' END), '') AS text FROM l""",
+    "crc_events": _crc_sql(),
     "start_code_scan": """WITH s AS (SELECT page_id, string_split(html, '<p>') AS parts FROM pages), u AS (SELECT page_id, parts, unnest(range(1, len(parts))) AS k FROM s)
         SELECT page_id, CAST(k - 1 AS INT) AS unit, CAST(list_sum(list_transform(parts[:k], lambda x: strlen(x))) + 3 * (k - 1) AS INT) AS byte_off, CAST(strlen(parts[k + 1]) + 3 AS INT) AS byte_len FROM u""",
     "message_reassembly": """WITH t AS (SELECT conv_id AS flow, turn AS seq, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 3 END AS part, text AS data FROM conversations),
@@ -175,7 +190,7 @@ ORACLES = {
     + ", ".join(f"CASE WHEN x < {b} THEN x::VARCHAR WHEN x < {b**2} THEN (x // {b}) || '.' || lpad(CAST(x % {b} * 100 // {b} AS VARCHAR), 2, '0') || 'K' WHEN x < {b**3} THEN (x // {b**2}) || '.' || lpad(CAST(x % {b**2} * 100 // {b**2} AS VARCHAR), 2, '0') || 'M' ELSE (x // {b**3}) || '.' || lpad(CAST(x % {b**3} * 100 // {b**3} AS VARCHAR), 2, '0') || 'G' END AS k{b}" for b in (1000, 1024))
     + ", format('{:,}', x) AS grouped FROM x",
     "ticks_to_ms": f"WITH {emap.SQL} SELECT pkt_idx, (atc // 27000) || '.' || lpad(CAST(atc % 27000 // 27 AS VARCHAR), 3, '0') AS ms, atc // 300 AS t90k, atc // 600 AS t45k, CAST(CAST(atc AS HUGEINT) * 10000000 // 27000000 AS BIGINT) AS hns FROM packets",
-    "clock_sync": f"WITH {emap.SQL}, d AS (SELECT pkt_idx, pts90, (pts90 - coalesce(dts90, 8589930000) + 8589934592) % 8589934592 AS d FROM packets WHERE pts90 IS NOT NULL) SELECT pkt_idx, CASE WHEN d >= 4294967296 THEN d - 8589934592 ELSE d END AS diff90, CAST(0 AS BIGINT) AS zero, pts90 >> 9 = (pts90 + 511) >> 9 AS close FROM d",
+    "clock_sync": f"WITH {emap.SQL}, d AS (SELECT pkt_idx, pts90, (pts90 - coalesce(dts90, 8589930000) + 8589934592) % 8589934592 AS d FROM packets WHERE pts90 IS NOT NULL) SELECT pkt_idx, CASE WHEN d >= 4294967296 THEN d - 8589934592 ELSE d END AS diff90, pts90 >> 9 = (pts90 + 511) >> 9 AS close FROM d",
     "scalar_text": """SELECT p_partkey, CASE WHEN length(p_name) + 3 <= 12 THEN p_name ELSE left(p_name, 9) || '...' END AS short, CAST(CASE WHEN p_size = 0 THEN 0 ELSE gcd(p_partkey, p_size) END AS BIGINT) AS gcd,
         CAST(DATE '1858-11-17' + CAST(p_partkey + 50000 AS INT) AS VARCHAR) AS day, strftime(TIMESTAMP '1904-01-01' + to_seconds(p_partkey * 1000003 + 2000000000), '%Y-%m-%d %H:%M:%S') AS at FROM part""",
     "int_literals": "SELECT text, CAST(value AS BIGINT) AS value FROM (VALUES ('10', 10), ('010', 8), ('0x1F', 31), ('1Fh', 31), ('0b101', 5), ('101b', 5), ('17o', 15), ('ff', 255), ('-12', -12), ('zz', NULL)) t(text, value)",
