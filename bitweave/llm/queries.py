@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ._oracles import ARCHIVES, NEAR_TEXTS, NEAR_VECTORS, SUBSTRINGS
 from .chat_format import ORACLE_SQL as CHAT_SQL
 from .chat_format import op3_chat_formatting
 from .decontamination import op1_decontamination
@@ -31,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_formatting": op3_chat_formatting,
 }
 
-ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT_SQL}
+ORACLES: dict[str, str] = {"op2_substring_dedup": SUBSTRINGS, "op3_chat_formatting": CHAT_SQL, "op4_ngram_jaccard_join": NEAR_TEXTS, "op8_warc": ARCHIVES, "op9_embedding_dedup": NEAR_VECTORS}
