@@ -16,9 +16,13 @@ from . import emap
 def _order_blobs(spark: SparkSession, sf: str, unit: Column) -> DataFrame:
     """One blob per order: its lines' units in order."""
     items = spark.read.parquet(f"{sf}/lineitem.parquet")
-    lines = items.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", unit.alias("u")).alias("x"))
-    grouped = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return grouped.select("l_orderkey", F.expr("aggregate(xs, cast('' as binary), (a, x) -> concat(a, x.u))").alias("data"))
+    return joined(items, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"], F.hex(unit))
+
+
+def joined(rows: DataFrame, key: str, order: list[str], digits: Column) -> DataFrame:
+    """key, data: the bytes that the hex digits of a key's rows spell, in order."""
+    grouped = rows.select(key, F.struct(*order, digits.alias("_digits")).alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return grouped.select(key, F.unhex(F.array_join(F.transform("xs", lambda x: x["_digits"]), "")).alias("data"))
 
 
 def _by_flag(n: str, r: str, a: str) -> Column:
@@ -51,8 +55,7 @@ def adts_frames(spark: SparkSession, sf: str) -> DataFrame:
     """One stream per user: a frame for each event, its properties as payload."""
     size = F.length("props") + 7
     head = F.concat(F.lit("FFF14C"), F.lpad(F.hex(F.lit(128) + F.shiftright(size, 11)), 2, "0"), F.lpad(F.hex(F.shiftright(size, 3).bitwiseAND(F.lit(255))), 2, "0"), F.lpad(F.hex(size.bitwiseAND(F.lit(7)) * 32 + 31), 2, "0"), F.lit("FC"))
-    e = spark.read.parquet(f"{sf}/events.parquet").select("user_id", F.struct("event_id", F.unhex(F.concat(head, F.hex("props"))).alias("u")).alias("x"))
-    blobs = e.groupBy("user_id").agg(F.array_sort(F.collect_list("x")).alias("xs")).select("user_id", F.expr("aggregate(xs, cast('' as binary), (a, x) -> concat(a, x.u))").alias("data"))
+    blobs = joined(spark.read.parquet(f"{sf}/events.parquet"), "user_id", ["event_id"], F.concat(head, F.hex("props")))
     return parse_blobs(blobs, audio.adts_frames, audio.FRAME_ROWS, ("user_id",)).select("user_id", "frame", "byte_off", "byte_len", "sample_rate", "channels")
 
 
@@ -64,9 +67,7 @@ def mp4_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """One file per nation: ftyp, then moov with a trak for each customer, which holds a tkhd with the customer's name."""
     c = spark.read.parquet(f"{sf}/customer.parquet")
     trak = _box("trak", _box("tkhd", F.col("c_name").cast("binary")))
-    files = c.select("c_nationkey", F.struct("c_custkey", trak.alias("u")).alias("x")).groupBy("c_nationkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    traks = F.expr("aggregate(xs, cast('' as binary), (a, x) -> concat(a, x.u))")
-    files = files.select("c_nationkey", F.concat(_box("ftyp", F.lit("isom").cast("binary")), _box("moov", traks)).alias("data"))
+    files = joined(c, "c_nationkey", ["c_custkey"], F.hex(trak)).select("c_nationkey", F.concat(_box("ftyp", F.lit("isom").cast("binary")), _box("moov", F.col("data"))).alias("data"))
     return parse_blobs(files, containers.boxes, containers.BOX_ROWS, ("c_nationkey",)).select("c_nationkey", "node_id", "parent_id", "level", "type", "ordinal", "offset", "size")
 
 
@@ -96,8 +97,7 @@ def mmt_packet_counts(spark: SparkSession, sf: str) -> DataFrame:
     hexed = lambda x, n: F.lpad(F.hex(x), n, "0")
     mmtp = F.concat(F.lit("0001"), hexed(F.lit(0xF100) + F.col("user_id") % 3, 4), hexed(F.col("event_id"), 8), hexed(F.col("event_id"), 8), F.hex("props"))
     body = F.concat(hexed(F.col("event_id") % 4 * 16 + F.col("event_id") % 16, 4), F.lit("61"), mmtp)
-    unit = F.unhex(F.concat(F.lit("7F03"), hexed(F.shiftright(F.length(body), 1), 4), body))
-    blobs = e.select("user_id", F.struct("event_id", unit.alias("u")).alias("x")).groupBy("user_id").agg(F.array_sort(F.collect_list("x")).alias("xs")).select("user_id", F.expr("aggregate(xs, cast('' as binary), (a, x) -> concat(a, x.u))").alias("data"))
+    blobs = joined(e, "user_id", ["event_id"], F.concat(F.lit("7F03"), hexed(F.shiftright(F.length(body), 1), 4), body))
     rows = parse_blobs(blobs, containers.mmtp_packets, containers.MMTP_ROWS, ("user_id",))
     return rows.groupBy("cid", "packet_id").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 

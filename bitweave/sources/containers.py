@@ -14,33 +14,31 @@ BOX_ROWS = "node_id long, parent_id long, level int, type string, ordinal long,
 
 
 def boxes(data: bytes) -> Iterator[tuple]:
-    """The box tree, parents before children; ``ordinal`` counts siblings of one type."""
+    """The box tree, parents before children; ``ordinal`` counts siblings of one type. A box that doesn't fit its parent ends the parent."""
     serial = 0
-
-    def walk(at: int, end: int, parent: int | None, level: int) -> Iterator[tuple]:
-        nonlocal serial
-        seen: dict[str, int] = {}
-        while at + 8 <= end:
-            size, kind, head = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8].decode("latin-1"), 8
-            if size == 1:
-                size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
-            elif size == 0:
-                size = end - at
-            if kind == "uuid":
-                head += 16
-            if size < head or at + size > end:
-                return
-            me, serial = serial, serial + 1
-            yield me, parent, level, kind, seen.setdefault(kind, 0), at, size, head, at + head
-            seen[kind] += 1
-            if kind in _BOX_PARENTS:
-                own = _BOX_PARENTS[kind]
-                if kind == "meta" and data[at + head + 4 : at + head + 8] == b"hdlr":
-                    own = 0  # the QuickTime form has no version and flags
-                yield from walk(at + head + own, at + size, me, level + 1)
-            at += size
-
-    yield from walk(0, len(data), None, 0)
+    open_boxes: list[list] = [[0, len(data), None, 0, {}]]  # next offset, end, node, level, siblings by type
+    while open_boxes:
+        at, end, parent, level, seen = open_boxes[-1]
+        size, head = int.from_bytes(data[at : at + 4], "big"), 8
+        kind = data[at + 4 : at + 8].decode("latin-1")
+        if size == 1:
+            size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
+        elif size == 0:
+            size = end - at
+        head += 16 if kind == "uuid" else 0
+        if at + 8 > end or size < head or at + size > end:
+            open_boxes.pop()
+            continue
+        ordinal = seen.get(kind, 0)
+        seen[kind] = ordinal + 1
+        yield serial, parent, level, kind, ordinal, at, size, head, at + head
+        open_boxes[-1][0] = at + size
+        if kind in _BOX_PARENTS:
+            own = _BOX_PARENTS[kind]
+            if kind == "meta" and data[at + head + 4 : at + head + 8] == b"hdlr":
+                own = 0  # the QuickTime form has no version and flags
+            open_boxes.append([at + head + own, at + size, serial, level + 1, {}])
+        serial += 1
 
 
 #: Runs of the sample tables: box type, the row's ordinal in its box, and up to four numbers.
@@ -48,44 +46,55 @@ TABLE_ROWS = "node_id long, type string, row long, a long, b long, c long, d lon
 
 
 def box_tables(data: bytes) -> Iterator[tuple]:
-    """Rows of stts, ctts, stsc, stsz, stz2, stco, co64, stss, sdtp, elst and trun boxes."""
+    """Rows of stts, ctts, stsc, stsz, stz2, stco, co64, stss, sdtp, elst and trun boxes.
+
+    A box yields no more rows than its bytes hold, whatever it claims; rows that
+    take no bytes (samples of one size) are as many as the file may hold.
+    """
     for node, _, _, kind, _, at, size, head, _ in boxes(data):
         body, end = at + head, at + size
         word = lambda k, n=4: int.from_bytes(data[k : k + n], "big")
         signed = lambda k: int.from_bytes(data[k : k + 4], "big", signed=True)
         version = data[body] if body < end else 0
+
+        def claimed(at: int, first: int, row_bits: int) -> range:
+            """Rows by the count at ``at``, as far as the box holds them from ``first`` on."""
+            if at + 4 > end:  # noqa: B023
+                return range(0)
+            return range(min(word(at), max(0, end - first) * 8 // row_bits if row_bits else len(data)))  # noqa: B023
+
         if kind in ("stts", "ctts"):
-            for k in range(word(body + 4)):
+            for k in claimed(body + 4, body + 8, 64):
                 p = body + 8 + 8 * k
                 yield node, kind, k, word(p), signed(p + 4) if kind == "ctts" and version else word(p + 4), None, None
         elif kind == "stsc":
-            for k in range(word(body + 4)):
+            for k in claimed(body + 4, body + 8, 96):
                 p = body + 8 + 12 * k
                 yield node, kind, k, word(p), word(p + 4), word(p + 8), None
         elif kind == "stsz":
             fixed = word(body + 4)
-            for k in range(word(body + 8)):
+            for k in claimed(body + 8, body + 12, 0 if fixed else 32):
                 yield node, kind, k, fixed or word(body + 12 + 4 * k), None, None, None
-        elif kind == "stz2":
+        elif kind == "stz2" and body + 12 <= end and data[body + 7] in (4, 8, 16):
             r = Bits(data[body + 12 : end])
-            for k in range(word(body + 8)):
+            for k in claimed(body + 8, body + 12, data[body + 7]):
                 yield node, kind, k, r.u(data[body + 7]), None, None, None
         elif kind in ("stco", "stss", "co64"):
             n = 8 if kind == "co64" else 4
-            for k in range(word(body + 4)):
+            for k in claimed(body + 4, body + 8, 8 * n):
                 yield node, kind, k, word(body + 8 + n * k, n), None, None, None
         elif kind == "sdtp":
             for k in range(body + 4, end):
                 yield node, kind, k - body - 4, data[k] >> 6, (data[k] >> 4) & 3, (data[k] >> 2) & 3, data[k] & 3
         elif kind == "elst":
             n = 8 if version else 4
-            for k in range(word(body + 4)):
+            for k in claimed(body + 4, body + 8, 8 * (2 * n + 4)):
                 p = body + 8 + (2 * n + 4) * k
                 yield node, kind, k, word(p, n), int.from_bytes(data[p + n : p + 2 * n], "big", signed=True), word(p + 2 * n, 2), None
         elif kind == "trun":
             flags, p = word(body + 1, 3), body + 8
             p += 4 * bool(flags & 1) + 4 * bool(flags & 4)
-            for k in range(word(body + 4)):
+            for k in claimed(body + 4, p, 32 * (flags >> 8 & 15).bit_count()):
                 row = []
                 for bit in (0x100, 0x200, 0x400, 0x800):
                     row.append(word(p) if flags & bit else None)
@@ -109,54 +118,51 @@ def length_to_start_code(sample: bytes, length_size: int = 4, lead: bytes = b"")
 _MASTERS = {0x1A45DFA3: "EBML", 0x18538067: "Segment", 0x114D9B74: "SeekHead", 0x4DBB: "Seek", 0x1549A966: "Info", 0x1F43B675: "Cluster", 0xA0: "BlockGroup", 0x75A1: "BlockAdditions", 0xA6: "BlockMore", 0x1654AE6B: "Tracks", 0xAE: "TrackEntry", 0xE0: "Video", 0xE1: "Audio", 0x55B0: "Colour", 0x6D80: "ContentEncodings", 0x6240: "ContentEncoding", 0x5034: "ContentCompression", 0x1C53BB6B: "Cues", 0xBB: "CuePoint", 0xB7: "CueTrackPositions", 0x1941A469: "Attachments", 0x61A7: "AttachedFile", 0x1043A770: "Chapters", 0x45B9: "EditionEntry", 0xB6: "ChapterAtom", 0x80: "ChapterDisplay", 0x1254C367: "Tags", 0x7373: "Tag", 0x63C0: "Targets", 0x67C8: "SimpleTag"}
 _LEAVES = {0x4286: ("EBMLVersion", "uint"), 0x4282: ("DocType", "ascii"), 0x4287: ("DocTypeVersion", "uint"), 0x2AD7B1: ("TimestampScale", "uint"), 0x4489: ("Duration", "float"), 0x4461: ("DateUTC", "date"), 0x7BA9: ("Title", "utf8"), 0x4D80: ("MuxingApp", "utf8"), 0x5741: ("WritingApp", "utf8"), 0xE7: ("Timestamp", "uint"), 0xA3: ("SimpleBlock", "binary"), 0xA1: ("Block", "binary"), 0x9B: ("BlockDuration", "uint"), 0xD7: ("TrackNumber", "uint"), 0x73C5: ("TrackUID", "uint"), 0x83: ("TrackType", "uint"), 0x86: ("CodecID", "ascii"), 0x63A2: ("CodecPrivate", "binary"), 0x22B59C: ("Language", "ascii"), 0xB0: ("PixelWidth", "uint"), 0xBA: ("PixelHeight", "uint"), 0xB5: ("SamplingFrequency", "float"), 0x9F: ("Channels", "uint"), 0xEC: ("Void", "binary"), 0xBF: ("CRC-32", "binary"), 0x23E383: ("DefaultDuration", "uint"), 0xFB: ("ReferenceBlock", "int")}
 EBML_ROWS = "node_id long, parent_id long, level int, ebml_id long, name string, data_type string, ordinal long, offset long, size long, payload_at long, payload_size long, value string"
-_TOP = {0x1A45DFA3, 0x18538067}
-_LEVEL_1 = {0x114D9B74, 0x1549A966, 0x1F43B675, 0x1654AE6B, 0x1C53BB6B, 0x1941A469, 0x1043A770, 0x1254C367}
+_TOP = frozenset({0x1A45DFA3, 0x18538067})
+_LEVEL_1 = frozenset({0x114D9B74, 0x1549A966, 0x1F43B675, 0x1654AE6B, 0x1C53BB6B, 0x1941A469, 0x1043A770, 0x1254C367})
 
 
 def ebml(data: bytes) -> Iterator[tuple]:
-    """The element tree, parents before children; elements of unknown size end where their kind of sibling begins."""
-    serial = 0
-
-    def walk(at: int, end: int, parent: int | None, level: int, stop: set[int]) -> Iterator[tuple]:
-        nonlocal serial
-        seen: dict[int, int] = {}
-        while at < end:
+    """The element tree, parents before children; elements of unknown size end where their kind of sibling begins.
+
+    Rows wait only while an element of unknown size is open above them.
+    """
+    serial, unknown = 0, 0
+    rows: list[list] = []
+    # next offset, end, node, level, kinds that end it, siblings by kind, and of an element of unknown size its row
+    open_elements: list[list] = [[0, len(data), None, 0, frozenset(), {}, None]]
+    while open_elements:
+        at, end, parent, level, stop, seen, waiting = open_elements[-1]
+        kind = size = None
+        if at < end:
             r = Bits(data, at * 8)
             try:
                 kind, size = r.vint(keep_marker=True), r.vint()
             except EOFError:
-                return at
-            if kind in stop:
-                return at
+                kind = None
+        if kind is None or kind in stop:
+            open_elements.pop()
+            if waiting is not None:
+                waiting[8], waiting[10] = at - waiting[7], at - waiting[9]
+                open_elements[-1][0] = at
+                unknown -= 1
+        else:
             body = r.at >> 3
             last = end if size is None else min(end, body + size)
-            me, serial = serial, serial + 1
             name, form = (_MASTERS[kind], "master") if kind in _MASTERS else _LEAVES.get(kind, ("unknown", "binary"))
             ordinal = seen.get(kind, 0)
             seen[kind] = ordinal + 1
+            rows.append([serial, parent, level, kind, name, form, ordinal, at, last - at, body, last - body, None if form == "master" else _value(form, data[body:last])])
+            open_elements[-1][0] = last
             if form == "master":
                 # an open element is closed by the next one of its level
-                ends = set() if size is not None else _TOP if level == 0 else _TOP | _LEVEL_1
-                row = [me, parent, level, kind, name, form, ordinal, at, None, body, None, None]
-                rows: list[tuple] = []
-                stopped = yield_into(rows, walk(body, last, me, level + 1, ends or stop))
-                last = stopped if size is None else last
-                row[8], row[10] = last - at, last - body
-                yield tuple(row)
-                yield from rows
-            else:
-                yield me, parent, level, kind, name, form, ordinal, at, last - at, body, last - body, _value(form, data[body:last])
-            at = last
-        return at
-
-    def yield_into(rows: list[tuple], source) -> int:
-        while True:
-            try:
-                rows.append(next(source))
-            except StopIteration as done:
-                return done.value
-
-    yield from walk(0, len(data), None, 0, set())
+                ends = stop if size is not None else _TOP if level == 0 else _TOP | _LEVEL_1
+                open_elements.append([body, last, serial, level + 1, ends, {}, rows[-1] if size is None else None])
+                unknown += size is None
+            serial += 1
+        if not unknown:
+            yield from map(tuple, rows)
+            rows = []
 
 
 def _value(form: str, data: bytes) -> str | None:

@@ -268,3 +268,35 @@ def test_syntax_view(spark):
     blobs = spark.createDataFrame([("a", bytearray(struct.pack(">HHHHHHHHII", *range(8), 9, 10)))], "path string, data binary")
     seen = {r["path"]: r["number"] for r in parse_blobs(blobs.withColumnRenamed("path", "file"), syntax.structure("sei_mastering_display"), syntax.FIELD_ROWS, ("file",)).collect()}
     assert (seen["gx"], seen["white_y"], seen["max_luminance"]) == (0, 7, 9)
+
+
+def test_broken_objects_are_bounded_and_reported(spark):
+    def box(kind, body):
+        return (len(body) + 8).to_bytes(4, "big") + kind + body
+
+    claim = (200_000).to_bytes(4, "big")
+    for kind, held in ((b"stss", 3), (b"stco", 3), (b"stts", 1), (b"ctts", 1), (b"stsc", 1), (b"elst", 1)):
+        assert len(list(containers.box_tables(box(kind, b"\0\0\0\0" + claim + b"\1" * 12) + box(b"free", b"x" * 100)))) == held, kind
+    assert len(list(containers.box_tables(box(b"stsz", b"\0" * 8 + claim + b"\1" * 8)))) == 2
+    assert len(list(containers.box_tables(box(b"trun", b"\0\0\3\0" + claim + b"\1" * 16)))) == 2
+
+    deep = b""
+    for _ in range(20_000):
+        deep = box(b"moov", deep)
+        if len(deep) > 60_000:
+            break
+    assert len(list(containers.boxes(deep))) == len(deep) // 8
+    segment = b"\x18\x53\x80\x67\xff" + b"\x1f\x43\xb6\x75\xff" * 3000
+    assert len(list(containers.ebml(segment))) == 3001
+    nested = b"\xae\xff" * 3000
+    assert [x[2] for x in containers.ebml(nested)][-1] == 2999
+
+    def parser(data):
+        yield (len(data),)
+        if data.startswith(b"bad"):
+            raise ValueError("odd")
+
+    blobs = spark.createDataFrame([("a", bytearray(b"good")), ("b", bytearray(b"bad"))], "path string, data binary")
+    got = [(r["path"], r["n"], r["error"]) for r in parse_blobs(blobs, parser, "n int", error_col="error").collect()]
+    assert sorted(got, key=str) == sorted([("a", 4, None), ("b", 3, None), ("b", None, "ValueError: odd")], key=str)
+    assert parse_blobs(blobs, parser, "n int").count() == 2
