@@ -41,7 +41,7 @@ def parse_ranges(text: str) -> list[tuple[int, int | None]]:
 def parse_rational(text: str) -> Fraction | None:
     """``30000/1001``, ``25`` or ``29.97`` exactly."""
     m = re.fullmatch(r"\s*([+-]?\d+(?:\.\d+)?)\s*(?:[/:]\s*(\d+))?\s*", text)
-    return Fraction(m[1]) / (int(m[2]) or 1) if m and m[2] != "0" else None
+    return Fraction(m[1]) / int(m[2] or 1) if m and (m[2] is None or int(m[2])) else None
 
 
 def split_set(text: str, delimiters: str = ",;.:") -> list[str]:

@@ -8,9 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.crc import crc
+from ..functions.crc import crc, crc_hex
 from ..sources.blobs import parse_blobs
 from .ordered import with_running_sum
+from .packets import pid_name
 from .shared import written
 
 SECTIONS = "pkt_idx long, pid int, table_id int, extension int, version int, current boolean, section_number int, last_section int, crc_ok boolean, body binary"
@@ -120,6 +121,50 @@ def descriptors(streams: DataFrame) -> DataFrame:
     return parse_blobs(streams, _descriptors, "ordinal int, tag int, length int, content binary", ("pmt_pid", "es_pid"), "descriptors")
 
 
+def table_descriptors(found: DataFrame, table_id: int) -> DataFrame:
+    """Descriptors of conditional access (1) and stream description (3) tables: pkt_idx, version, ordinal, tag, length, content."""
+    return parse_blobs(_in_force(found, table_id), _descriptors, "ordinal int, tag int, length int, content binary", ("pkt_idx", "version"), "body")
+
+
+def _sit(body: bytes) -> Iterator[tuple]:
+    at = 2 + ((body[0] & 15) << 8 | body[1])
+    yield None, None, body[2:at]
+    while at + 4 <= len(body):
+        n = (body[at + 2] & 15) << 8 | body[at + 3]
+        yield body[at] << 8 | body[at + 1], (body[at + 2] >> 4) & 7, body[at + 4 : at + 4 + n]
+        at += 4 + n
+
+
+def sit_services(found: DataFrame) -> DataFrame:
+    """Services of selection information tables; the first row of a section, without a service, holds the transmission's descriptors."""
+    return parse_blobs(_in_force(found, 0x7F), _sit, "service_id int, running_status int, descriptors binary", ("pkt_idx", "version"), "body")
+
+
+def pid_report(packets: DataFrame, found: DataFrame) -> DataFrame:
+    """Every PID with its packets and units, the stream types that any PMT gives it, whether it carries a PCR or a PMT, and its use."""
+    counts = packets.groupBy("pid").agg(F.count(F.lit(1)).alias("n_packets"), F.sum(F.col("pusi").cast("int")).alias("n_units"))
+    streams = pmt_streams(found)
+    types = streams.groupBy(F.col("es_pid").alias("pid")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("stream_type")), lambda x: F.concat(F.lit("0x"), F.lpad(F.hex(x), 2, "0"))), ",").alias("stream_types"))
+    marked = streams.select(F.col("pcr_pid").alias("pid"), F.lit("pcr").alias("mark")).unionByName(pat_entries(found).select(F.col("pmt_pid").alias("pid"), F.lit("pmt").alias("mark")))
+    marks = marked.groupBy("pid").agg(F.max(F.col("mark") == "pcr").alias("is_pcr"), F.max(F.col("mark") == "pmt").alias("is_pmt"))
+    out = counts.join(types, "pid", "left").join(marks, "pid", "left")
+    is_pcr, is_pmt = F.coalesce("is_pcr", F.lit(False)), F.coalesce("is_pmt", F.lit(False))
+    use = F.coalesce(pid_name(F.col("pid")), F.when(is_pmt, "PMT"), F.when(F.col("stream_types").isNotNull(), "ES"), F.when(is_pcr, "PCR"), F.lit("other"))
+    return out.select("pid", "n_packets", "n_units", "stream_types", is_pcr.alias("is_pcr"), is_pmt.alias("is_pmt"), use.alias("use"))
+
+
+def pack_sections(tables: DataFrame) -> DataFrame:
+    """tables (place, pid, table_id, extension, version, body BINARY): pkt_idx, raw of 188-byte packets; a table's first packet is number 64 * place."""
+    digits = lambda x, n: F.lpad(F.hex(x.cast("bigint")), n, "0")
+    head = F.concat(digits(F.col("table_id"), 2), digits(F.length("body") + 0xB009, 4), digits(F.col("extension"), 4), digits(F.col("version") * 2 + 0xC1, 2), F.lit("0000"), F.hex("body"))
+    rows = tables.select("place", "pid", head.alias("_head"))
+    rows = rows.select("place", "pid", F.concat(F.lit("00"), F.col("_head"), crc_hex(F.unhex("_head"), "crc-32-mpeg")).alias("_data"))
+    parts = rows.select("place", "pid", F.posexplode(F.regexp_extract_all("_data", F.lit(".{1,368}"), F.lit(0))).alias("k", "part"))
+    start = F.when(F.col("k") == 0, 0x4000).otherwise(0)
+    raw = F.concat(F.lit("47"), digits(F.col("pid") + start, 4), digits(F.col("k") % 16 + 16, 2), F.rpad("part", 368, "F"))
+    return parts.select((F.col("place") * 64 + F.col("k")).cast("bigint").alias("pkt_idx"), F.unhex(raw).alias("raw"))
+
+
 def make_section(table_id: int, extension: int, body: bytes, version: int = 0) -> bytes:
     head = bytes([table_id]) + (0xB000 | (len(body) + 9)).to_bytes(2, "big") + extension.to_bytes(2, "big") + bytes([0xC1 | version << 1, 0, 0]) + body
     return head + crc(head, "crc-32-mpeg").to_bytes(4, "big")
