@@ -41,3 +41,31 @@ r AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.b, r.root FROM
 m AS (SELECT node, min(root) AS root FROM r GROUP BY node), d AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, vec_id = root AS kept FROM v JOIN m ON m.node = vec_id LEFT JOIN d ON d.a = vec_id
 """
+
+# The smallest capacity by binary search over greedy filling, then cuts nearest to an equal share of what is left: no earlier than the
+# rest can be held by the shards that are left (b: filled from the end), and no later than the capacity allows.
+SHARDS = """
+WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(CAST(i AS UBIGINT), CAST(range(8) AS UBIGINT[])), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, CAST(3988292384 AS UBIGINT)) ELSE r >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT doc_id, coalesce(text, '') AS x, CAST(doc_id AS VARCHAR) AS id FROM documents),
+y AS (SELECT doc_id, CAST(strlen(x) + 16 AS BIGINT) AS size, CAST('0x' || substr(md5(x), 1, 12) AS BIGINT) % 163840 AS atom,
+  list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), CAST(list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: CAST('0x' || h AS INT)) AS UBIGINT[])), lambda r, b: xor(t[CAST(xor(r, b) & 255 AS INT) + 1], r >> 8)) AS r,
+  list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), CAST(list_transform(regexp_extract_all(hex(encode(id)), '..'), lambda h: CAST('0x' || h AS INT)) AS UBIGINT[])), lambda r, b: xor(t[CAST(xor(r, b) & 255 AS INT) + 1], r >> 8)) AS q FROM d, crc),
+z AS (SELECT doc_id, size, atom, CAST(xor(r, CAST(4294967295 AS UBIGINT)) AS BIGINT) AS crc, CAST(xor(q, CAST(4294967295 AS UBIGINT)) AS BIGINT) % greatest(64, (SELECT count(*) FROM d) // 10000000) AS chunk FROM y),
+a AS (SELECT atom, CAST(sum(size) AS BIGINT) AS s FROM z GROUP BY atom),
+e AS (SELECT list(s ORDER BY atom) AS sizes, list(atom ORDER BY atom) AS atoms FROM a),
+f AS (SELECT sizes, atoms, list_transform(range(1, len(sizes) + 1), lambda i: CAST(list_sum(sizes[:i]) AS BIGINT)) AS ends, list_transform(sizes, lambda v: {'s': v, 'n': CAST(1 AS BIGINT)}) AS parts FROM e),
+g AS (SELECT greatest(list_max(sizes), (ends[-1] + 39) // 40) AS lo, ends[-1] AS hi FROM f
+  UNION ALL SELECT CASE WHEN n <= 40 THEN lo ELSE (lo + hi) // 2 + 1 END, CASE WHEN n <= 40 THEN (lo + hi) // 2 ELSE hi END
+  FROM (SELECT lo, hi, list_reduce(parts, lambda u, v: CASE WHEN u.s + v.s <= (lo + hi) // 2 THEN {'s': u.s + v.s, 'n': u.n} ELSE {'s': v.s, 'n': u.n + 1} END).n AS n FROM g, f WHERE lo < hi)),
+cap AS (SELECT min(hi) AS c FROM g),
+b AS (SELECT 0 AS j, CAST(len(ends) AS BIGINT) AS i FROM f
+  UNION ALL SELECT j + 1, CASE WHEN i = 0 OR ends[CAST(i AS INT)] <= c THEN 0 ELSE len(list_filter(ends, lambda v: v < ends[CAST(i AS INT)] - c)) + 1 END FROM b, f, cap WHERE j < 40),
+cuts AS (SELECT 40 AS remaining, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS done FROM f
+  UNION ALL SELECT remaining - 1, cut, CASE WHEN cut = 0 THEN 0 ELSE ends[CAST(cut AS INT)] END
+  FROM (SELECT remaining, ends, greatest(least(CASE WHEN near < stop AND near < len(ends) AND ends[CAST(near AS INT) + 1] - share < share - CASE WHEN near = 0 THEN 0 ELSE ends[CAST(near AS INT)] END THEN near + 1 ELSE near END, stop), i) AS cut
+    FROM (SELECT remaining, ends, share, stop, b.i, greatest(pos, len(list_filter(ends, lambda v: v <= share))) AS near
+      FROM (SELECT remaining, pos, ends, done + (ends[-1] - done) / remaining AS share, len(list_filter(ends, lambda v: v <= done + c)) AS stop FROM cuts, f, cap WHERE remaining > 1), b WHERE b.j = remaining - 1))),
+k AS (SELECT CASE WHEN pos < len(atoms) THEN atoms[CAST(pos AS INT) + 1] ELSE 163840 END AS first FROM cuts, f WHERE remaining < 40),
+p AS (SELECT z.*, (SELECT count(*) FROM k WHERE first <= z.atom) AS shard FROM z)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY chunk, atom, doc_id, crc) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM p
+"""

@@ -198,3 +198,40 @@ SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, rol
        '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' AS message
 FROM conversations
 """
+
+
+def chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator over conversations made of calls: each turn of the table becomes two calls, a result for four in five, and a note.
+
+    In every other conversation results are stored before their calls; some calls
+    name the result before theirs, some lack an argument, have one of the wrong
+    type, or name no tool.
+    """
+    k, c = F.col("k"), F.col("conv_id")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg((F.count(F.lit(1)) * 2).alias("n"))
+    steps = turns.select("conv_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k"))
+    text = k.cast("string")
+    arguments = (
+        F.when(k % 4 == 0, F.concat(F.lit('{"query": "q'), text, F.lit('", "limit": '), text, F.lit("}")))
+        .when(k % 4 == 1, F.concat(F.lit('{"url": "${c'), (k - 1).cast("string"), F.lit('}"}')))
+        .when(k % 4 == 2, F.lit('{"limit": "many"}')).otherwise(F.lit("{}"))
+    )
+    name = F.when(k % 2 == 0, "search").when(k % 4 == 1, "fetch").otherwise("nope")
+    call = F.concat(F.lit("do "), text, F.lit('<tool_call>{"name": "'), name, F.lit('", "id": "c'), text, F.lit('", "arguments": '), arguments, F.lit("}</tool_call>"))
+    result = F.concat(F.lit('{"tool_call_id": "c'), text, F.lit('", "content": "r'), text, F.lit('"}'))
+    row = lambda turn, role, body: F.struct(turn.alias("turn"), F.lit(role).alias("role"), body.alias("text"))
+    rows = F.array(row(k * 3 + c % 2, "assistant", call), row(k * 3 + 1 - c % 2, "tool", F.when(k % 5 < 4, result)), row(k * 3 + 2, "user", F.concat(F.lit("note "), text)))
+    made = steps.select("conv_id", F.explode(rows).alias("x")).select("conv_id", "x.*").where("text is not null")
+    return format_chats(made, tool_schemas(spark))
+
+
+CALLS_SQL = """
+WITH t AS (SELECT conv_id, count(*) * 2 AS n FROM conversations GROUP BY conv_id), s AS (SELECT conv_id, unnest(range(n)) AS k FROM t),
+x AS (
+  SELECT conv_id, 3 * k + conv_id % 2 AS turn, k, 0 AS o, 'assistant' AS role, 1 AS n_calls, CASE WHEN k % 5 < 4 THEN 1 ELSE 0 END AS n_linked, CASE WHEN k % 4 >= 2 OR k % 4 = 1 AND (k - 1) % 5 = 4 THEN 1 ELSE 0 END AS n_invalid,
+    '{"content":"do ' || k || '","role":"assistant","tool_calls":[{"arguments":' || CASE k % 4 WHEN 0 THEN '{"limit":' || k || ',"query":"q' || k || '"}' WHEN 1 THEN '{"url":"${c' || (k - 1) || '}"}' WHEN 2 THEN '{"limit":"many"}' ELSE '{}' END
+      || ',"id":"c' || k || '","name":"' || CASE k % 4 WHEN 1 THEN 'fetch' WHEN 3 THEN 'nope' ELSE 'search' END || '"}]}' AS message FROM s
+  UNION ALL SELECT conv_id, 3 * k + 1 - conv_id % 2, k, 1, 'tool', 0, 0, 0, '{"content":"r' || k || '","role":"tool","tool_call_id":"c' || k || '"}' FROM s WHERE k % 5 < 4
+  UNION ALL SELECT conv_id, 3 * k + 2, k, 2, 'user', 0, 0, 0, '{"content":"note ' || k || '","role":"user"}' FROM s)
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY k, o) - 1 AS position, role, CAST(n_calls AS BIGINT) AS n_calls, CAST(n_linked AS BIGINT) AS n_linked, CAST(n_invalid AS BIGINT) AS n_invalid, message FROM x
+"""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ._oracles import ARCHIVES, NEAR_TEXTS, NEAR_VECTORS, SUBSTRINGS
+from ._oracles import ARCHIVES, NEAR_TEXTS, NEAR_VECTORS, SHARDS, SUBSTRINGS
+from .chat_format import CALLS_SQL, chat_tool_calls, op3_chat_formatting
 from .chat_format import ORACLE_SQL as CHAT_SQL
-from .chat_format import op3_chat_formatting
 from .decontamination import op1_decontamination
 from .embedding_dedup import op9_embedding_dedup
 from .html_extraction import op10_html_extraction
@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op3_chat_formatting": op3_chat_formatting,
+    "chat_tool_calls": chat_tool_calls,
 }
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": SUBSTRINGS, "op3_chat_formatting": CHAT_SQL, "op4_ngram_jaccard_join": NEAR_TEXTS, "op8_warc": ARCHIVES, "op9_embedding_dedup": NEAR_VECTORS}
+ORACLES: dict[str, str] = {"op2_substring_dedup": SUBSTRINGS, "op3_chat_formatting": CHAT_SQL, "op4_ngram_jaccard_join": NEAR_TEXTS, "op6_sharding": SHARDS, "op8_warc": ARCHIVES, "op9_embedding_dedup": NEAR_VECTORS, "chat_tool_calls": CALLS_SQL}

@@ -1,6 +1,6 @@
 """Sharding: minimax contiguous partition of groups of equal texts.
 
-Groups of equal texts are atomic.  They are ordered by a hash of the text and
+Groups of equal texts are atomic.  They are ordered by a digest of the text and
 summed into at most ``shards * ATOMS`` ordered atoms (a group is never divided
 between atoms), so the driver sees a bounded list of sizes however large the
 corpus is.  The smallest feasible shard capacity over that ordered list is found
@@ -81,14 +81,15 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Returns id, size, text_crc32, law, shard, slot, grown_shard (null: the law is ``bytes``), atom."""
     n_atoms = shards * atoms
     utf8 = F.col(text_col).cast("binary")
-    atom = F.pmod(F.shiftrightunsigned(F.xxhash64(F.coalesce(utf8, F.lit(bytearray()))), 1), F.lit(n_atoms)).cast("int")
+    digest = F.md5(F.coalesce(utf8, F.lit(bytearray())))
+    atom = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") % n_atoms).cast("int")
     rows = docs.select(F.col(id_col), (F.coalesce(F.octet_length(utf8), F.lit(0)) + F.lit(OVERHEAD)).cast("bigint").alias("size"), F.coalesce(F.crc32(utf8), F.lit(0)).cast("bigint").alias("text_crc32"), atom.alias("atom"))
     sums = rows.groupBy("atom").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # at most shards * atoms rows
     found = sorted((r["atom"], r["size"]) for r in sums)
     cuts = [found[k][0] if k < len(found) else n_atoms for k in (balanced_cuts([s for _, s in found], shards) if found else [])]
     placed = rows.withColumn("shard", _shard(F.col("atom"), cuts))
     chunks = max(64, sum(r["n"] for r in sums) // (shards * 250_000))
-    placed = placed.withColumn("_chunk", F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(chunks)).cast("int"))
+    placed = placed.withColumn("_chunk", (F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % chunks).cast("int"))
     counts = placed.groupBy("shard", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
     counts = stored(counts.select("shard", "_chunk", F.coalesce(before, F.lit(0)).alias("_before")))
