@@ -88,3 +88,23 @@ def program_sequences(packets: DataFrame, version_col: str = "version") -> DataF
     rows = with_lag(packets, {"_before": version_col}, "pkt_idx")
     changed = F.col("_before").isNotNull() & (F.col("_before") != F.col(version_col))
     return with_running_sum(rows, {"progseq": changed.cast("int")}, "pkt_idx").drop("_before")
+
+
+def discontinuities(packets: DataFrame, most_ms: int = 100) -> DataFrame:
+    """PCRs of a PID that don't follow from the one before: further than ``most_ms`` after it, or back (which is nearly a whole wrap on)."""
+    clocks = with_lag(packets.where("pcr27 is not null"), {"_pcr": "pcr27"}, "pkt_idx", ("pid",))
+    gap = step(F.col("pcr27"), F.col("_pcr"), PCR_WRAP)
+    return clocks.where(gap > most_ms * 27_000).select("pkt_idx", "pid", F.col("_pcr").alias("before27"), "pcr27", gap.alias("gap27"))
+
+
+def unit_edges(packets: DataFrame) -> DataFrame:
+    """Payload units as rows: pid, unit, edge (start or end), pkt_idx, elapsed (27 MHz ticks since the first packet)."""
+    rows = with_running_sum(atc_diff(packets).withColumn("elapsed", F.coalesce("elapsed", F.lit(0))), {"unit": F.col("pusi").cast("int")}, "pkt_idx", ("pid",)).where("unit > 0")
+    ends = rows.groupBy("pid", "unit").agg(F.min(F.struct("pkt_idx", "elapsed")).alias("start"), F.max(F.struct("pkt_idx", "elapsed")).alias("end"))
+    return ends.select("pid", "unit", F.explode(F.array(F.struct(F.lit("start").alias("edge"), "start.*"), F.struct(F.lit("end").alias("edge"), "end.*"))).alias("x")).select("pid", "unit", "x.*")
+
+
+def versions_in_force(packets: DataFrame, tables: DataFrame) -> DataFrame:
+    """Packets with the version of the latest table at or before them. tables (pkt_idx, version)."""
+    both = packets.join(tables.groupBy("pkt_idx").agg(F.max("version").alias("_version")), "pkt_idx", "left")
+    return with_last_known(both, {"version": F.col("_version")}, "pkt_idx").drop("_version")

@@ -47,3 +47,10 @@ def moved_offsets(boxes: DataFrame, removed: DataFrame, file_col: str | None = N
     kept = boxes.join(removed, [*file, "box"], "left_anti")
     w = Window.partitionBy(*file).orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)  # top-level boxes of a file: a handful
     return kept.withColumn("new_offset", F.coalesce(F.sum("size").over(w), F.lit(0))).withColumn("shift", F.col("offset") - F.col("new_offset"))
+
+
+def composition_times(times: DataFrame, offsets: DataFrame) -> DataFrame:
+    """times of ``expand_times``, offsets (track, run, n, offset) in decoding order: track, sample, dts, cts; a sample without an offset is shown when it is decoded."""
+    before = Window.partitionBy("track").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = offsets.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).where("n > 0").select("track", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("sample"), "offset")
+    return times.join(runs, ["track", "sample"], "left").select("track", "sample", "dts", (F.col("dts") + F.coalesce("offset", F.lit(0))).alias("cts"))

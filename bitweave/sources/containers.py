@@ -112,6 +112,107 @@ def length_to_start_code(sample: bytes, length_size: int = 4, lead: bytes = b"")
     return bytes(out)
 
 
+SAMPLE_ROWS = "track int, sample long, chunk long, offset long, size long, dts long, is_key boolean"
+
+
+def _tracks(data: bytes) -> list[dict]:
+    """Per track: its sample tables by box type, its length size and its parameter sets."""
+    parents: dict[int, int | None] = {}
+    homes: dict[int, dict] = {}
+    out: list[dict] = []
+    for node, parent, _, kind, _, at, size, _, body in boxes(data):
+        parents[node] = parent
+        if kind == "trak":
+            out.append({"rows": {}, "length_size": 4, "sets": b"", "fixed": 0})
+            homes[node] = out[-1]
+        elif parent in homes:
+            homes[node] = homes[parent]
+            if kind == "avcC":
+                homes[node]["length_size"], homes[node]["sets"] = _avc_sets(data[body : at + size])
+    for node, kind, _, *row in box_tables(data):
+        if node in homes:
+            homes[node]["rows"].setdefault(kind, []).append(row)
+    return out
+
+
+def _avc_sets(config: bytes) -> tuple[int, bytes]:
+    """Length size, and the parameter sets of an avcC box as Annex B."""
+    if len(config) < 7:
+        return 4, b""
+    out, at = b"", 5
+    for mask in (31, 255):
+        n, at = config[at] & mask if at < len(config) else 0, at + 1
+        for _ in range(n):
+            size = int.from_bytes(config[at : at + 2], "big")
+            out += b"\0\0\0\1" + config[at + 2 : at + 2 + size]
+            at += 2 + size
+    return (config[4] & 3) + 1, out
+
+
+def _samples(rows: dict) -> Iterator[tuple]:
+    """(sample, chunk, offset, size, dts, is_key) from one track's tables, samples and chunks from 1."""
+    sizes = [r[0] for r in rows.get("stsz", rows.get("stz2", []))]
+    offsets = [r[0] for r in rows.get("stco", rows.get("co64", []))]
+    keys = {r[0] for r in rows["stss"]} if "stss" in rows else None
+    runs = sorted((r[0], r[1]) for r in rows.get("stsc", []))
+    deltas = iter([(n, d) for n, d, *_ in rows.get("stts", [])])
+    left, delta, dts, sample, run = 0, 0, 0, 0, 0
+    for chunk, at in enumerate(offsets, 1):
+        while run + 1 < len(runs) and runs[run + 1][0] <= chunk:
+            run += 1
+        for _ in range(runs[run][1] if runs and runs[run][0] <= chunk else 0):
+            if sample >= len(sizes):
+                return
+            while not left:
+                left, delta = next(deltas, (len(sizes), delta))
+            yield sample + 1, chunk, at, sizes[sample], dts, keys is None or sample + 1 in keys
+            at, dts, left, sample = at + sizes[sample], dts + delta, left - 1, sample + 1
+
+
+def mp4_samples(data: bytes) -> Iterator[tuple]:
+    """Every sample of every track of one file."""
+    for track, own in enumerate(_tracks(data), 1):
+        for sample, chunk, at, size, dts, key in _samples(own["rows"]):
+            yield track, sample, chunk, at, size, dts, key
+
+
+def mp4_track_es(track: int):
+    """Parser of one track's elementary stream, a row per sample: H.264 samples as Annex B, parameter sets again before each key sample."""
+
+    def parse(data: bytes) -> Iterator[tuple]:
+        tracks = _tracks(data)
+        if track > len(tracks):
+            return
+        own = tracks[track - 1]
+        for sample, _, at, size, _, key in _samples(own["rows"]):
+            body = data[at : at + size]
+            yield sample, length_to_start_code(body, own["length_size"], own["sets"] if key else b"") if own["sets"] else body
+
+    return parse
+
+
+ES_ROWS = "sample long, es binary"
+
+
+def mkv_track_es(track: int):
+    """Parser of one Matroska track's elementary stream, a row per frame: H.264 frames as Annex B, parameter sets before key frames; others as they are."""
+
+    def parse(data: bytes) -> Iterator[tuple]:
+        size, sets, mine = 4, b"", False
+        for _, _, _, kind, _, _, _, _, _, at, n, value in ebml(data):
+            if kind == 0xAE:
+                mine = False
+            elif kind == 0xD7:
+                mine = value == str(track)
+            elif kind == 0x63A2 and mine and data[at : at + 1] == b"\1":
+                size, sets = _avc_sets(data[at : at + n])
+        for k, row in enumerate(r for r in blocks(data) if r[0] == track):
+            body = data[row[9] : row[9] + row[10]]
+            yield k + 1, length_to_start_code(body, size, sets if row[5] else b"") if sets else body
+
+    return parse
+
+
 # -- Matroska -------------------------------------------------------------------
 
 # Master elements (id: name) and the named leaves that queries use.
