@@ -26,7 +26,7 @@ def name_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clock_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.discontinuities(emap.packed(spark, sf), 14_400_000)
+    return reports.discontinuities(emap.packed(spark, sf), 14_400)
 
 
 def unit_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,7 +148,7 @@ ORACLES = {
         SELECT t.code, n, a.name AS h264, b.name AS av1 FROM t LEFT JOIN {_names_sql("h264")} a(code, name) ON a.code = t.code LEFT JOIN {_names_sql("av1")} b(code, name) ON b.code = t.code""",
     "name_counts": "SELECT * FROM (VALUES " + ", ".join(f"('{d}', CAST({len(codes)} AS BIGINT), CAST({len(codes)} AS BIGINT))" for d, codes in _DICTIONARIES.items()) + ") t(dictionary, n, n_codes)",
     "clock_gaps": f"""WITH {emap.SQL}, p AS (SELECT pkt_idx, pid, pcr27, lag(pcr27) OVER (PARTITION BY pid ORDER BY pkt_idx) AS before27 FROM packets WHERE pcr27 IS NOT NULL), g AS (SELECT *, (pcr27 - before27 + 2576980377600) % 2576980377600 AS gap27 FROM p)
-        SELECT pkt_idx, pid, before27, pcr27, gap27 FROM g WHERE gap27 > 388800000000""",
+        SELECT pkt_idx, pid, before27, pcr27, gap27 FROM g WHERE gap27 > 388800000""",
     "unit_edges": f"""WITH {emap.SQL}, d AS (SELECT *, (atc - lag(atc) OVER (ORDER BY pkt_idx) + 1073741824) % 1073741824 AS step FROM packets),
         t AS (SELECT pid, pkt_idx, CAST(sum(coalesce(step, 0)) OVER (ORDER BY pkt_idx) AS BIGINT) AS elapsed, CAST(sum(CAST(pusi AS INT)) OVER (PARTITION BY pid ORDER BY pkt_idx) AS BIGINT) AS unit FROM d)
         SELECT pid, unit, 'start' AS edge, min(pkt_idx) AS pkt_idx, min(elapsed) AS elapsed FROM t WHERE unit > 0 GROUP BY pid, unit UNION ALL SELECT pid, unit, 'end', max(pkt_idx), max(elapsed) FROM t WHERE unit > 0 GROUP BY pid, unit""",
