@@ -41,3 +41,9 @@ def swap_bytes(value: Column, size: int) -> Column:
     digits = F.lpad(F.hex(value.cast("bigint")), 2 * size, "0")
     turned = F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))))
     return F.conv(turned, 16, 10).cast("bigint")
+
+
+def fixed_width(columns: dict[str, tuple[Column, int]]) -> Column:
+    """A line of text for a listing: each value in its width, numbers (a negative width) to the right; longer values are cut."""
+    cells = [F.lpad(x.cast("string"), -n, " ") if n < 0 else F.rpad(F.coalesce(x.cast("string"), F.lit("")), n, " ") for x, n in columns.values()]
+    return F.rtrim(F.concat_ws("  ", *cells))

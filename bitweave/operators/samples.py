@@ -33,11 +33,15 @@ def sample_table(runs: DataFrame, chunks: DataFrame, sizes: DataFrame, keys: Dat
     return rows.select("track", "sample", "chunk", "offset", "size", "is_key")
 
 
+def _numbered_runs(runs: DataFrame, value: str) -> DataFrame:
+    """runs (track, run, n, value) with ``first``, the number of each run's first sample, and ``start``, the sum of the values before it."""
+    sums = with_running_sum(runs, {"_to": F.col("n"), "_sum": F.col("n") * F.col(value)}, "run", ("track",))
+    return sums.where("n > 0").select("track", value, "n", (F.col("_to") - F.col("n") + 1).alias("first"), (F.col("_sum") - F.col("n") * F.col(value)).alias("start"))
+
+
 def expand_times(runs: DataFrame) -> DataFrame:
     """runs (track, run, n, delta): one row per sample with its decoding time, the sum of the deltas before it."""
-    before = Window.partitionBy("track").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    rows = runs.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).withColumn("start", F.coalesce(F.sum(F.col("n") * F.col("delta")).over(before), F.lit(0)))
-    flat = rows.where("n > 0").select("track", "first", "start", "delta", F.posexplode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k", "sample"))
+    flat = _numbered_runs(runs, "delta").select("track", "start", "delta", F.posexplode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k", "sample"))
     return flat.select("track", "sample", (F.col("start") + F.col("k") * F.col("delta")).alias("dts"))
 
 
@@ -51,6 +55,5 @@ def moved_offsets(boxes: DataFrame, removed: DataFrame, file_col: str | None = N
 
 def composition_times(times: DataFrame, offsets: DataFrame) -> DataFrame:
     """times of ``expand_times``, offsets (track, run, n, offset) in decoding order: track, sample, dts, cts; a sample without an offset is shown when it is decoded."""
-    before = Window.partitionBy("track").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = offsets.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).where("n > 0").select("track", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("sample"), "offset")
-    return times.join(runs, ["track", "sample"], "left").select("track", "sample", "dts", (F.col("dts") + F.coalesce("offset", F.lit(0))).alias("cts"))
+    shown = _numbered_runs(offsets, "offset").select("track", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("sample"), "offset")
+    return times.join(shown, ["track", "sample"], "left").select("track", "sample", "dts", (F.col("dts") + F.coalesce("offset", F.lit(0))).alias("cts"))

@@ -63,8 +63,8 @@ def reassemble(pieces: DataFrame) -> DataFrame:
     return counted.select("flow", F.col("message").cast("int").alias("message"), "first_seq", "last_seq", "data")
 
 
-def changed_only(rows: DataFrame, order: str, data: str) -> DataFrame:
-    """Rows whose payload differs from the row before, by SHA-1."""
-    marked = with_lag(rows.withColumn("_sha", F.sha1(F.col(data).cast("binary"))), {"_before": "_sha"}, order)
+def changed_only(rows: DataFrame, order: str, data: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose payload differs from the row before (with the same ``by``), by SHA-1."""
+    marked = with_lag(rows.withColumn("_sha", F.sha1(F.col(data).cast("binary"))), {"_before": "_sha"}, order, by)
     return marked.where(~F.col("_sha").eqNullSafe(F.col("_before"))).withColumn("sha1", F.col("_sha")).drop("_sha", "_before")
 

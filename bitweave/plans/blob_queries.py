@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import psi
 from ..operators.packets import parse_packets
 from ..operators.sequences import number_sequences
+from ..operators.shared import written
 from ..sources import audio, containers, video
 from ..sources.blobs import parse_blobs
 from . import emap
@@ -78,15 +79,17 @@ def pes_units(spark: SparkSession, sf: str) -> DataFrame:
 
 def psi_streams(spark: SparkSession, sf: str) -> DataFrame:
     """Regions as programs with a table each, nations as their streams: sections packed, reassembled and joined to the PAT."""
-    regions = [r["r_regionkey"] for r in spark.read.parquet(f"{sf}/region.parquet").orderBy("r_regionkey").collect()]  # five rows
-    nations = [(r["n_nationkey"], r["n_regionkey"]) for r in spark.read.parquet(f"{sf}/nation.parquet").orderBy("n_nationkey").collect()]
-    word = lambda x: x.to_bytes(2, "big")
-    raw = psi.section_packets(psi.make_section(0, 1, b"".join(word(k + 1) + word(0xE000 | 0x100 + k) for k in regions)), 0)
-    for k in regions:
-        streams = b"".join(bytes([0x1B if n % 2 else 0x0F]) + word(0xE000 | 0x200 + n) + word(0xF006) + b"\x0a\x04eng\0" for n, r in nations if r == k)
-        raw += psi.section_packets(psi.make_section(2, k + 1, word(0xE000 | 0x200) + word(0xF000) + streams), 0x100 + k)
-    packets = parse_packets(spark.createDataFrame(list(enumerate(map(bytearray, raw))), "pkt_idx long, raw binary"))
-    found = psi.sections(packets, [0, *(0x100 + k for k in regions)])
+    word = lambda x: F.lpad(F.hex(x.cast("bigint")), 4, "0")
+    region, nation = spark.read.parquet(f"{sf}/region.parquet"), spark.read.parquet(f"{sf}/nation.parquet")
+    r, n = F.col("r_regionkey"), F.col("n_nationkey")
+    row = lambda place, pid, kind, extension, body: (place.alias("place"), pid.alias("pid"), F.lit(kind).alias("table_id"), extension.alias("extension"), F.lit(0).alias("version"), F.unhex(body).alias("body"))
+    listed = region.agg(F.array_join(F.array_sort(F.collect_list(F.concat(word(r + 1), word(r + 0xE100)))), "").alias("x"))
+    pat = listed.select(*row(F.lit(0), F.lit(0), 0, F.lit(1), F.col("x")))
+    stream = F.struct(n.alias("n"), F.concat(F.when(n % 2 == 1, "1B").otherwise("0F"), word(n + 0xE200), F.lit("F0060A04656E6700")).alias("x"))
+    streams = nation.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(stream)), lambda s: s["x"]), "").alias("x"))
+    pmt = region.join(streams, r == F.col("n_regionkey"), "left").select(*row(r + 1, r + 0x100, 2, r + 1, F.concat(F.lit("E200F000"), F.coalesce("x", F.lit("")))))
+    packets = parse_packets(psi.pack_sections(pat.unionByName(pmt)))
+    found = written(psi.sections(packets, [0, *range(0x100, 0x105)]))
     listed = psi.pat_entries(found).select("program_number", "pmt_pid")
     return psi.pmt_streams(found).join(listed, ["program_number", "pmt_pid"]).select("program_number", "pmt_pid", "pcr_pid", "es_pid", "stream_type", F.hex("descriptors").alias("descriptors"))
 

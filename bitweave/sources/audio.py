@@ -135,6 +135,49 @@ def dts_frames(data: bytes) -> Iterator[tuple]:
         at, n = at + max(size, 4), n + 1
 
 
+# Sampling frequencies and channel groups of the MLP major sync.
+_MLP_RATES = {0: 48000, 1: 96000, 2: 192000, 8: 44100, 9: 88200, 10: 176400}
+_MLP_CHANNELS = [1, 2, 3, 4, 3, 4, 5, 3, 4, 5, 4, 5, 6, 4, 5, 4, 5, 6, 5, 5, 6]
+_TRUEHD_GROUPS = [2, 1, 1, 2, 2, 2, 2, 1, 1, 2, 2, 1, 1]
+
+
+def mlp_frames(data: bytes) -> Iterator[tuple]:
+    """Access units of MLP and TrueHD; the latest major sync says rate and channels."""
+    at, n, info = 0, 0, None
+    while at + 8 <= len(data):
+        size, sync = (int.from_bytes(data[at : at + 2], "big") & 0xFFF) * 2, int.from_bytes(data[at + 4 : at + 8], "big")
+        if sync == 0xF8726FBA and at + 14 <= len(data):
+            r = Bits(data, (at + 8) * 8)
+            rate = _MLP_RATES.get(r.u(4))
+            r.skip(8)
+            six = r.u(5)
+            r.skip(2)
+            groups = r.u(13) or six
+            info = "TrueHD", rate, sum(c for k, c in enumerate(_TRUEHD_GROUPS) if groups >> k & 1)
+        elif sync == 0xF8726FBB and at + 12 <= len(data):
+            r = Bits(data, (at + 8) * 8)
+            r.skip(8)
+            rate = _MLP_RATES.get(r.u(4))
+            r.skip(4 + 11)
+            kind = r.u(5)
+            info = "MLP", rate, _MLP_CHANNELS[kind] if kind < len(_MLP_CHANNELS) else None
+        elif info is None:
+            at += 1
+            continue
+        if size < 4:
+            at, info = at + 1, None
+            continue
+        yield n, at, size, info[0], info[1], info[2], None, None
+        at, n = at + size, n + 1
+
+
+def latm_to_loas(element: bytes) -> bytes:
+    """An audio mux element of up to 8,191 bytes with the sync header in front."""
+    if len(element) >= 1 << 13:
+        raise ValueError("element too long for its length field")
+    return (0x2B7 << 13 | len(element)).to_bytes(3, "big") + element
+
+
 def hdmv_lpcm(data: bytes) -> Iterator[tuple]:
     """The four-byte header of one HDMV LPCM payload."""
     if len(data) >= 4:

@@ -204,6 +204,72 @@ def avc_slice(unit: bytes, log2_max_frame_num: int = 4) -> dict:
     return {"first_mb": r.ue(), "slice_type": SLICE_TYPES[r.ue() % 5], "pps_id": r.ue(), "frame_num": r.u(log2_max_frame_num)}
 
 
+SLICE_ROWS = "nu_no long, nal_type int, first_mb long, slice_type string, pps_id long, sps_id long, frame_num long, width int, height int"
+
+
+def avc_slices(data: bytes) -> Iterator[tuple]:
+    """Slice headers with the parameter sets that they refer to: the latest of their id before them. Without those there is no frame number and no size."""
+    sps: dict[int, dict] = {}
+    pps: dict[int, int] = {}
+    for n, (a, b) in enumerate(nal_bounds(data)):
+        unit = data[a:b]
+        kind = unit[0] & 31
+        if kind == 7:
+            f = avc_sps(unit)
+            sps[f["sps_id"]] = f
+        elif kind == 8:
+            r = Bits(unescape_nal(unit[1:]))
+            pps[r.ue()] = r.ue()
+        elif kind in (1, 2, 5):
+            r = Bits(unescape_nal(unit[1:64]))
+            first, slice_type, own = r.ue(), SLICE_TYPES[r.ue() % 5], r.ue()
+            f = sps.get(pps.get(own, -1))
+            yield n, kind, first, slice_type, own, pps.get(own), r.u(f["log2_max_frame_num"]) if f else None, f["width"] if f else None, f["height"] if f else None
+
+
+PARAMETER_ROWS = "nu_no long, kind string, unit binary"
+
+
+def parameter_sets(codec: str):
+    """Parser of the parameter sets of a stream, whole units in order."""
+    kinds = {"avc": (7, 8, 13, 15), "hevc": (32, 33, 34), "vvc": (13, 14, 15, 16, 17, 18)}[codec]
+
+    def parse(data: bytes) -> Iterator[tuple]:
+        for n, (a, b) in enumerate(nal_bounds(data)):
+            kind = nal_type(data[a:b], codec)
+            if kind in kinds:
+                yield n, NAMES[codec][kind], data[a:b]
+
+    return parse
+
+
+def vvc_sps(unit: bytes) -> dict:
+    """Fields of an H.266 sequence parameter set up to the bit depth, which subpicture data hides."""
+    r = Bits(unescape_nal(unit[2:]))
+    f = {"sps_id": r.u(4), "vps_id": r.u(4), "max_sublayers": r.u(3) + 1, "chroma_format_idc": r.u(2), "ctu_size": 32 << r.u(2), "profile_idc": None, "tier": None, "level_idc": None}
+    if r.flag():
+        f["profile_idc"], f["tier"], f["level_idc"] = r.u(7), r.u(1), r.u(8)
+        r.skip(2)
+        if r.flag():
+            r.skip(71)
+            r.skip(r.u(8))
+        r.align()
+        levels = [r.flag() for _ in range(f["max_sublayers"] - 1)]
+        r.align()
+        r.skip(8 * sum(levels))
+        r.skip(32 * r.u(8))
+    r.skip(1)
+    if r.flag():
+        r.skip(1)
+    f["width"], f["height"] = r.ue(), r.ue()
+    if r.flag():
+        x, y = (2 if f["chroma_format_idc"] in (1, 2) else 1), (2 if f["chroma_format_idc"] == 1 else 1)
+        left, right, top, bottom = r.ue(), r.ue(), r.ue(), r.ue()
+        f["width"], f["height"] = f["width"] - (left + right) * x, f["height"] - (top + bottom) * y
+    f["bit_depth"] = None if r.flag() else r.ue() + 8
+    return f
+
+
 def picture_type(slice_types: list[str]) -> str:
     """The least type that holds all slices: I, then P, then B; SI and SP alike with switching."""
     kinds = set(slice_types)
@@ -348,3 +414,34 @@ def av1_sequence_header(payload: bytes) -> dict:
     w, h = r.u(4) + 1, r.u(4) + 1
     f["max_width"], f["max_height"] = r.u(w) + 1, r.u(h) + 1
     return f
+
+
+AV1_FRAMES = ["KEY", "INTER", "INTRA_ONLY", "SWITCH"]
+AV1_FRAME_ROWS = "tu long, fu long, obu long, frame_type string, shown boolean, existing int"
+
+
+def av1_frames(data: bytes) -> Iterator[tuple]:
+    """Frame headers of the low-overhead format: type, whether shown, and which stored frame is shown again; a frame unit ends with a shown frame."""
+    reduced, fu, now = False, 0, 0
+    for tu, n, kind, _, _, _, at, size in av1_obus(data):
+        head = Bits(data, at * 8)
+        head.skip(5)
+        extended, sized = head.u(1), head.u(1)
+        head.skip(1 + 8 * extended)
+        if sized:
+            head.leb128()
+        if tu != now:
+            now, fu = tu, 0
+        if kind == 1:
+            reduced = bool(data[head.at >> 3] & 8)
+        elif kind in (3, 6) and head.at < (at + size) * 8:
+            if reduced:
+                yield tu, fu, n, "KEY", True, None
+                fu += 1
+            elif head.flag():
+                yield tu, fu, n, None, True, head.u(3)
+                fu += 1
+            else:
+                frame, shown = AV1_FRAMES[head.u(2)], head.flag()
+                yield tu, fu, n, frame, shown, None
+                fu += shown
