@@ -81,8 +81,7 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Returns id, size, text_crc32, law, shard, slot, grown_shard (null: the law is ``bytes``), atom."""
     n_atoms = shards * atoms
     utf8 = F.col(text_col).cast("binary")
-    digest = F.md5(F.coalesce(utf8, F.lit(bytearray())))
-    atom = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") % n_atoms).cast("int")
+    atom = _atom(text_col, n_atoms)
     rows = docs.select(F.col(id_col), (F.coalesce(F.octet_length(utf8), F.lit(0)) + F.lit(OVERHEAD)).cast("bigint").alias("size"), F.coalesce(F.crc32(utf8), F.lit(0)).cast("bigint").alias("text_crc32"), atom.alias("atom"))
     sums = rows.groupBy("atom").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # at most shards * atoms rows
     found = sorted((r["atom"], r["size"]) for r in sums)
@@ -110,11 +109,16 @@ def _shard(atom: Column, cuts: list[int]) -> Column:
     return tree(0, len(cuts)).cast("int")
 
 
-def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> None:
-    """Writes the documents themselves, a folder for each shard."""
-    placed = assign_shards(docs, id_col, text_col, shards).select(F.col(id_col).alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot").dropDuplicates(["_id", "_crc"])
-    crc = F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("bigint")
-    docs.join(placed, F.col(id_col).eqNullSafe(F.col("_id")) & (crc == F.col("_crc"))).drop("_id", "_crc", "slot").write.partitionBy("shard").parquet(path)
+def _atom(text_col: str, n_atoms: int) -> Column:
+    digest = F.md5(F.coalesce(F.col(text_col).cast("binary"), F.lit(bytearray())))
+    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") % n_atoms).cast("int")
+
+
+def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, atoms: int = ATOMS) -> None:
+    """Writes the documents themselves, a folder for each shard. A shard follows from the atom, of which there are ``shards * atoms``."""
+    homes = stored(assign_shards(docs, id_col, text_col, shards, atoms).select("atom", "shard").distinct()).select(F.col("atom").alias("_atom"), F.col("shard").alias("_shard"))
+    placed = docs.withColumn("_atom", _atom(text_col, shards * atoms)).join(F.broadcast(homes), "_atom").drop("_atom")
+    placed.write.partitionBy("_shard").parquet(path)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,6 +122,18 @@ def test_assign_shards(spark):
     assert assign_shards(docs.limit(0)).count() == 0
 
 
+def test_write_shards(spark, tmp_path):
+    from bitweave.llm.sharding import write_shards
+
+    rows = [(i, None if i % 10 == 0 else f"text {i % 60} " * (i % 7 + 1), i % 3) for i in range(200)] + [(7, "other text", 1), (None, "no id", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")  # a column of the result's name
+    write_shards(docs, f"file://{tmp_path}/out", shards=5, atoms=64)
+    got = spark.read.parquet(f"file://{tmp_path}/out").collect()
+    assert Counter((x["doc_id"], x["text"], x["shard"]) for x in got) == Counter(rows)
+    home = {x["text"] or "": x["shard"] for x in assign_shards(docs, shards=5, atoms=64).join(docs.select("doc_id", "text"), "doc_id").collect()}
+    assert len({x["_shard"] for x in got}) == 5 and len({(x["text"], x["_shard"]) for x in got}) == len({x["text"] for x in got}) and home
+
+
 # -- WARC ---------------------------------------------------------------------
 
 MAGIC = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Page-ID: 99\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
