@@ -90,6 +90,14 @@ def program_sequences(packets: DataFrame, version_col: str = "version") -> DataF
     return with_running_sum(rows, {"progseq": changed.cast("int")}, "pkt_idx").drop("_before")
 
 
+def sequence_copy(packets: DataFrame, progseq: int, table_pids: list[int], version_col: str = "version") -> DataFrame:
+    """The packets of one program sequence, after the last packet of each table PID from before it: a stream that can be played by itself."""
+    rows = program_sequences(packets, version_col)
+    tables = rows.where(F.col("pid").isin(*table_pids) & (F.col("progseq") < progseq))
+    held = tables.groupBy("pid").agg(F.max_by(F.struct(*rows.columns), "pkt_idx").alias("x")).select("x.*")  # a packet for each table PID
+    return rows.where(F.col("progseq") == progseq).withColumn("deferred", F.lit(False)).unionByName(held.withColumn("deferred", F.lit(True)))
+
+
 def discontinuities(packets: DataFrame, most_ms: int = 100) -> DataFrame:
     """PCRs of a PID that don't follow from the one before: further than ``most_ms`` after it, or back (which is nearly a whole wrap on)."""
     clocks = with_lag(packets.where("pcr27 is not null"), {"_pcr": "pcr27"}, "pkt_idx", ("pid",))

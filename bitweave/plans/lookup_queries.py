@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import crc, names
 from ..operators import clock_reports as reports
 from ..operators import mmt, samples
-from ..sources import containers
+from ..operators.packets import parse_packets
+from ..operators.shared import shared_folder
+from ..sources import audio, containers, video
 from ..sources.blobs import parse_blobs
+from ..sources.packets import probe, read_packets, write_ordered
+from ..streaming import units as streaming
 from . import emap, parser_queries
 from .blob_queries import joined
 from .parser_queries import _digits, _read
@@ -121,7 +125,88 @@ def mkv_track_es(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("c_nationkey", "sample", F.decode("es", "UTF-8").alias("es"))
 
 
+# -- files and sinks -------------------------------------------------------------
+
+
+def ts_file_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as packets in a file of ordered parts, of which a range is scanned."""
+    at = shared_folder(spark)
+    write_ordered(emap.pack(emap.direct(spark, sf)), at, "pkt_idx", "raw").collect()  # a row for each part
+    packets = parse_packets(read_packets(spark, at, 192, start=100).where("pkt_idx < 9000"), prefix=4)
+    return packets.select("pkt_idx", "pid", "atc", "pusi", "pts90")
+
+
+def _probed(data: bytes):
+    yield (probe(data),)
+
+
+def probes(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    packet = F.when(k == 3, F.lit("00000000" + "47" + "01" * 187)).when(k == 4, F.lit("0102030405")).otherwise(F.rpad(F.lit("47"), F.when(k == 0, 376).when(k == 1, 408).otherwise(416).cast("int"), F.lit("01")))
+    return parse_blobs(_read(spark, sf, "part").select("p_partkey", F.unhex(F.repeat(packet, 6)).alias("data")), _probed, "format string", ("p_partkey",))
+
+
+def wav_files(spark: SparkSession, sf: str) -> DataFrame:
+    def wrap(samples: bytes):
+        yield (audio.lpcm_to_wav(samples, 48000, 2, 16).hex().upper(),)
+
+    return parse_blobs(_read(spark, sf, "events").select("event_id", F.col("props").cast("binary").alias("data")), wrap, "wav string", ("event_id",))
+
+
+def ntp_packets(spark: SparkSession, sf: str) -> DataFrame:
+    """A file per user of NTP packets, every other one with a hop limit that isn't NTP's."""
+    e = _read(spark, sf, "events")
+    head = F.concat(F.lit("7F020060" + "60000000" + "0038" + "11"), F.when(F.col("event_id") % 2 == 0, "20").otherwise("10"), F.lit("00" * 32 + "01C8007B00380000" + "00" * 40))
+    unit = F.concat(head, _digits(F.col("event_id") + 3_900_000_000, 8), _digits(F.col("event_id") * 400_009, 8))
+    return parse_blobs(joined(e, "user_id", ["event_id"], unit), containers.ntp_packets, containers.NTP_ROWS, ("user_id",)).select("user_id", "idx", "ntp_sec", "ntp_frac", "hop_limit")
+
+
+def mmt_asset_es(spark: SparkSession, sf: str) -> DataFrame:
+    """One asset's payloads out of all packets."""
+    e = _read(spark, sf, "events")
+    mmtp = F.concat(F.lit("0001"), _digits(F.col("user_id") % 3 + 0xF100, 4), _digits(F.col("event_id"), 8), _digits(F.col("event_id"), 8), F.hex("props"))
+    body = F.concat(_digits(F.col("event_id") % 4 * 16, 4), F.lit("61"), mmtp)
+    blobs = joined(e, "user_id", ["event_id"], F.concat(F.lit("7F03"), _digits(F.length(body) / 2, 4), body))
+    return parse_blobs(blobs, containers.mmt_asset(2, 0xF101), containers.ASSET_ES_ROWS, ("user_id",)).select("user_id", "seq", F.decode("payload", "UTF-8").alias("payload"))
+
+
+def ts_sequence_copy(spark: SparkSession, sf: str) -> DataFrame:
+    """The third day's packets, led by the last ones of two PIDs before it."""
+    e = _read(spark, sf, "events")
+    p = e.select(F.col("event_id").alias("pkt_idx"), (F.lit(256) + F.col("user_id") % 16).cast("int").alias("pid"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts) div 864000000000").alias("version"))
+    return reports.sequence_copy(p, 2, [256, 257]).select("pkt_idx", "pid", "progseq", "deferred")
+
+
+def streamed_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Version changes per PID by the streaming operator."""
+    source, sink = shared_folder(spark), shared_folder(spark)
+    e = _read(spark, sf, "events").select((F.lit(256) + F.col("user_id") % 16).cast("int").alias("pid"), F.col("event_id").alias("pkt_idx"), F.floor(F.col("event_id") / 500).cast("bigint").alias("version"))
+    e.write.parquet(source)
+    stream = spark.readStream.schema("pid int, pkt_idx long, version long").parquet(source)
+    streaming.version_changes(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", shared_folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("pid int, pkt_idx long, before long, version long").parquet(sink)
+
+
+def hrd_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    """Timing and buffer parameters out of the VUI of sequence parameter sets."""
+    k = F.col("c_custkey")
+    start = "010000100000000000011110" + "11" + "011" + "010" + "0"
+    vui = F.concat(F.lit("0" + "0" + "0" + "0" + "1"), F.lpad(F.bin(k + 0x11111111), 32, F.lit("0")), F.lpad(F.bin(k * 2 + 0x22222222), 32, F.lit("0")), F.lit("1"))
+    hrd = F.concat(F.lit("1"), F.lit("1"), F.lit("0001"), F.lit("0010"), parser_queries._ue(k % 900 + 99), parser_queries._ue(k % 700 + 49), F.when(k % 2 == 0, "1").otherwise("0"), F.lit("10111" + "10011" + "01111" + "11000"))
+    bits = F.concat(F.lit(start), parser_queries._ue(F.lit(19)), parser_queries._ue(F.lit(14)), F.lit("1" + "1" + "0" + "1"), vui, hrd, F.lit("0" + "0" + "1" + "0" + "1"))
+
+    def read(unit: bytes):
+        f = video.avc_sps(unit)
+        bucket = f["cpb"]["buckets"][0]
+        yield f["num_units_in_tick"], f["time_scale"], f["cpb"]["kind"], bucket["bit_rate"], bucket["cpb_size"], bucket["cbr"], f["cpb"]["initial_delay_len"], f["cpb"]["removal_delay_len"], f["cpb"]["output_delay_len"], f["cpb"]["time_offset_len"]
+
+    ddl = "num_units_in_tick long, time_scale long, kind string, bit_rate long, cpb_size long, cbr boolean, initial_delay_len int, removal_delay_len int, output_delay_len int, time_offset_len int"
+    data = F.unhex(F.concat(F.lit("67"), parser_queries._packed(bits)))
+    return parse_blobs(_read(spark, sf, "customer").select("c_custkey", data.alias("data")), read, ddl, ("c_custkey",))
+
+
 QUERIES = {
+    "ts_file_scan": ts_file_scan, "probes": probes, "wav_files": wav_files, "ntp_packets": ntp_packets, "mmt_asset_es": mmt_asset_es, "ts_sequence_copy": ts_sequence_copy, "streamed_versions": streamed_versions, "hrd_parameters": hrd_parameters,
     "code_names": code_names, "name_counts": name_counts, "clock_gaps": clock_gaps, "unit_edges": unit_edges, "versions_in_force": versions_in_force, "mp4_composition_times": mp4_composition_times, "moved_boxes": moved_boxes,
     "file_checks": file_checks, "asset_counts": asset_counts, "mp4_samples": mp4_samples, "mp4_track_es": mp4_track_es, "mkv_track_es": mkv_track_es,
 }
@@ -144,6 +229,19 @@ def _file_checks_sql() -> str:
 _LINES = "l AS (SELECT *, CAST(l_partkey AS VARCHAR) AS key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem)"
 
 ORACLES = {
+    "ts_file_scan": f"WITH {emap.SQL} SELECT pkt_idx, pid, atc, pusi, pts90 FROM packets WHERE pkt_idx >= 100 AND pkt_idx < 9000",
+    "probes": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'ts188' WHEN 1 THEN 'ts204' WHEN 2 THEN 'ts208' WHEN 3 THEN 'm2ts192' END AS format FROM part",
+    "wav_files": """WITH e AS (SELECT event_id, hex(encode(props)) AS x, length(props) // 4 * 4 AS n FROM events), h AS (SELECT *, lpad(hex(n + 36), 8, '0') AS a, lpad(hex(n), 8, '0') AS b FROM e)
+        SELECT event_id, '52494646' || a[7:8] || a[5:6] || a[3:4] || a[1:2] || '57415645666D7420100000000100020080BB000000EE020004001000' || '64617461' || b[7:8] || b[5:6] || b[3:4] || b[1:2] || regexp_replace(x[1:2 * n], '(..)(..)', '\\2\\1', 'g') AS wav FROM h""",
+    "ntp_packets": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events)
+        SELECT user_id, k AS idx, event_id + 3900000000 AS ntp_sec, event_id * 400009 AS ntp_frac, 32 AS hop_limit FROM e WHERE event_id % 2 = 0""",
+    "mmt_asset_es": "SELECT user_id, event_id AS seq, props AS payload FROM events WHERE event_id % 4 = 2 AND user_id % 3 = 1",
+    "ts_sequence_copy": """WITH p AS (SELECT event_id AS pkt_idx, CAST(256 + user_id % 16 AS INT) AS pid, epoch_us(ts) // 864000000000 AS v FROM events), l AS (SELECT *, lag(v) OVER (ORDER BY pkt_idx) AS b FROM p), s AS (SELECT pkt_idx, pid, CAST(sum(CASE WHEN b <> v THEN 1 ELSE 0 END) OVER (ORDER BY pkt_idx) AS BIGINT) AS progseq FROM l)
+        SELECT pkt_idx, pid, progseq, false AS deferred FROM s WHERE progseq = 2 UNION ALL SELECT max(pkt_idx), pid, arg_max(progseq, pkt_idx), true FROM s WHERE progseq < 2 AND pid IN (256, 257) GROUP BY pid""",
+    "streamed_versions": """WITH p AS (SELECT event_id AS pkt_idx, CAST(256 + user_id % 16 AS INT) AS pid, event_id // 500 AS version FROM events), l AS (SELECT *, lag(version) OVER (PARTITION BY pid ORDER BY pkt_idx) AS before FROM p)
+        SELECT pid, pkt_idx, before, version FROM l WHERE before IS DISTINCT FROM version""",
+    "hrd_parameters": """SELECT c_custkey, 286331153 + c_custkey AS num_units_in_tick, 572662306 + c_custkey * 2 AS time_scale, 'nal' AS kind, (c_custkey % 900 + 100) * 128 AS bit_rate, (c_custkey % 700 + 50) * 64 AS cpb_size, c_custkey % 2 = 0 AS cbr,
+        24 AS initial_delay_len, 20 AS removal_delay_len, 16 AS output_delay_len, 24 AS time_offset_len FROM customer""",
     "code_names": f"""WITH t AS (SELECT l_partkey % 24 AS code, count(*) AS n FROM lineitem GROUP BY 1)
         SELECT t.code, n, a.name AS h264, b.name AS av1 FROM t LEFT JOIN {_names_sql("h264")} a(code, name) ON a.code = t.code LEFT JOIN {_names_sql("av1")} b(code, name) ON b.code = t.code""",
     "name_counts": "SELECT * FROM (VALUES " + ", ".join(f"('{d}', CAST({len(codes)} AS BIGINT), CAST({len(codes)} AS BIGINT))" for d, codes in _DICTIONARIES.items()) + ") t(dictionary, n, n_codes)",

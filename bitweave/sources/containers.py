@@ -376,6 +376,20 @@ def mmtp_packets(data: bytes) -> Iterator[tuple]:
         yield n, at, cid, sn, packet_id, seq, stamp, payload_type, rap, fragment, mpu, q, end - q
 
 
+ASSET_ES_ROWS = "seq long, payload binary"
+
+
+def mmt_asset(cid: int, packet_id: int):
+    """Parser of the payloads of one asset, in order of arrival."""
+
+    def parse(data: bytes) -> Iterator[tuple]:
+        for row in mmtp_packets(data):
+            if row[2] == cid and row[4] == packet_id:
+                yield row[5], data[row[11] : row[11] + row[12]]
+
+    return parse
+
+
 NTP_ROWS = "idx long, ntp_sec long, ntp_frac long, hop_limit int"
 
 

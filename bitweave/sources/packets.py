@@ -30,12 +30,14 @@ def _open(path: str):
 
 
 class PacketPartition(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+    """Packets [first, last) of one file, whose first packet is number ``base`` of the stream."""
+
+    def __init__(self, path: str, first: int, last: int, base: int = 0):
+        self.path, self.first, self.last, self.base = path, first, last, base
 
 
 class PacketReader(DataSourceReader):
-    """Splits a file by packet ranges; ranges that a filter on pkt_idx excludes are never read."""
+    """Splits a file, or the parts of a folder in the order of their names, by packet ranges; ranges that a filter on pkt_idx excludes are never read."""
 
     def __init__(self, options: dict[str, str]):
         self.path, self.size = options["path"], int(options.get("packet_size", 188))
@@ -58,13 +60,27 @@ class PacketReader(DataSourceReader):
                     self.last = value + 1 if self.last is None else min(self.last, value + 1)
             yield f  # Spark checks every row again
 
-    def partitions(self) -> list[PacketPartition]:
+    def _files(self) -> list[tuple[str, int]]:
+        """(path, bytes) of each part."""
         system, at = _open(self.path)
-        n = system.get_file_info(at).size // self.size
-        last = n if self.last is None else min(n, self.last)
-        return [PacketPartition(self.path, k, min(last, k + self.split)) for k in range(max(0, self.first), last, self.split)] or [PacketPartition(self.path, 0, 0)]
+        info = system.get_file_info(at)
+        if info.type != fs.FileType.Directory:
+            return [(self.path, info.size)]
+        parts = sorted((f.base_name, f.size) for f in system.get_file_info(fs.FileSelector(at)) if f.type == fs.FileType.File and f.base_name[0] not in "._")
+        return [(f"{self.path.rstrip('/')}/{name}", size) for name, size in parts]
+
+    def partitions(self) -> list[PacketPartition]:
+        out, base = [], 0
+        for path, size in self._files():
+            n = size // self.size
+            first, last = max(0, self.first - base), n if self.last is None else max(0, min(n, self.last - base))
+            out += [PacketPartition(path, k, min(last, k + self.split), base) for k in range(first, last, self.split)]
+            base += n
+        return out or [PacketPartition(self.path, 0, 0)]
 
     def read(self, partition: PacketPartition) -> Iterator[pa.RecordBatch]:
+        if partition.first >= partition.last:
+            return
         system, at = _open(partition.path)
         with system.open_input_file(at) as f:
             for k in range(partition.first, partition.last, 8192):
@@ -72,7 +88,7 @@ class PacketReader(DataSourceReader):
                 data = f.read_at(n * self.size, k * self.size)
                 n = len(data) // self.size
                 rows = pa.Array.from_buffers(pa.binary(self.size), n, [None, pa.py_buffer(data)]).cast(pa.binary())
-                yield pa.record_batch([pa.array(range(k, k + n), pa.int64()), rows], names=["pkt_idx", "raw"])
+                yield pa.record_batch([pa.array(range(partition.base + k, partition.base + k + n), pa.int64()), rows], names=["pkt_idx", "raw"])
 
 
 class PacketSource(DataSource):
