@@ -28,16 +28,31 @@ STRETCH = 1 << 20
 _powers = {"up": np.ones(1, dtype=_U), "down": np.ones(1, dtype=_U)}
 
 
+#: What operators keep in a worker from one task to the next, by operator.
+kept: dict[str, dict] = {}
+
+
+def make_room(own: str = "") -> None:
+    """Empties what other operators have kept in this worker; tasks of several operators share workers."""
+    full = [cache for name, cache in kept.items() if name != own and cache]
+    for cache in full:
+        cache.clear()
+    if full:
+        give_back()
+
+
 def trimmed(run):
     """A function over one group of rows (or two, side by side), after which a worker gives its free memory back to the system."""
 
     def one(table: pa.Table) -> pa.Table:
+        make_room()
         try:
             return run(table)
         finally:
             give_back()
 
     def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        make_room()
         try:
             return run(left, right)
         finally:

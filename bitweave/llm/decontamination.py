@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import bounded_batches
-from ._text import Words, column_bytes, mix, slices
+from ._text import Words, column_bytes, make_room, mix, slices
 
 WINDOW = 8
 LONG_RUN = 13
@@ -356,6 +356,7 @@ def _agreeing(windows, size: int, n: int, slot, thing, value, changed, least: fl
 
 def _judge(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         benchmark = shared.value
         for batch in batches:
             raw, offsets, _ = column_bytes(batch.column("_text"))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import bounded_batches, stored
-from ._text import column_bytes, give_back, mix, slices
+from ._text import column_bytes, give_back, make_room, mix, slices
 
 SAMPLE_DOCS = 20_000
 SAMPLE_BYTES = 32 << 20
@@ -113,6 +113,7 @@ def _texts(column) -> Iterator[tuple[int, int, pa.Array]]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    make_room()
     for batch in batches:
         langs = batch.column("lang").dictionary_encode()
         of_row = np.asarray(langs.indices)
@@ -210,6 +211,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         model = shared.value
         for batch in batches:
             for a, b, texts in _texts(batch.column("_text")):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._blocks import bounded_batches, stored
-from ._text import _LOWER, Words, column_bytes, slices
+from ._text import _LOWER, Words, column_bytes, kept, make_room, slices
 
 CAPACITY = 4096
 END_ID = 2
@@ -55,6 +55,7 @@ _SLOTS = 1 << 21
 _MOST_CACHED = 900_000
 _MOST_AT_ONCE = 500_000
 _encoders: dict[str, _Encoder] = {}
+kept["packing"] = _encoders
 
 
 class _Segments(Words):
@@ -169,6 +170,7 @@ def _tokenise(path: str, capacity: int, end_id: int):
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("packing")
         encoder = _encoder(path)
         for batch in batches:
             raw, offsets, _ = column_bytes(batch.column(1))
