@@ -13,12 +13,13 @@ corpus; a block never sends more rows than it has hashes.
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import shared_folder as shared_dir
+
 BLOCK_BYTES = 6 << 20
 LEAST_BLOCKS = 64
 HEAVY = 1000
@@ -98,19 +99,6 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that every executor sees: under spark.checkpoint.dir; a temporary one is set only where that is unset and Spark is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        import tempfile
-
-        root = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, at: str | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
