@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import timing
-from ..sources import audio, syntax, video
+from ..operators import timing, trees
+from ..sources import audio, containers, syntax, video
 from ..sources.blobs import parse_blobs
 from .blob_queries import joined
-from .parser_queries import _digits, _packed, _read, _sps, _ue
+from .parser_queries import _MKV, _digits, _packed, _read, _sps, _ue, mkv_elements
 
 
 def _avc_streams(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,6 +43,33 @@ def vvc_sps(spark: SparkSession, sf: str) -> DataFrame:
     return parse_blobs(_read(spark, sf, "customer").select("c_custkey", F.unhex(F.concat(F.lit("0079"), _packed(bits))).alias("data")), read, ddl, ("c_custkey",))
 
 
+def hevc_sps(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    bits = F.concat(F.lit("0001" + "000" + "1" + "00" + "0" + "00010" + "1" * 80 + "01011101" + "1" + "010"), _ue((k % 120 + 1) * 16), _ue((k % 67 + 1) * 16), F.lit("0"), _ue(k % 3), _ue(k % 3), F.lit("1"))
+
+    def read(unit: bytes):
+        f = video.hevc_sps(unit)
+        yield f["vps_id"], f["profile_idc"], f["level_idc"], f["chroma_format_idc"], f["width"], f["height"], f["bit_depth_luma"], f["bit_depth_chroma"]
+
+    ddl = "vps_id int, profile_idc int, level_idc int, chroma_format_idc int, width int, height int, bit_depth_luma int, bit_depth_chroma int"
+    return parse_blobs(_read(spark, sf, "customer").select("c_custkey", F.unhex(F.concat(F.lit("4201"), _packed(bits))).alias("data")), read, ddl, ("c_custkey",))
+
+
+def mmt_packet_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Every MMTP packet with its header fields, those of its MPU included."""
+    e = _read(spark, sf, "events")
+    payload = F.concat(_digits(F.length("props") + 6, 4), F.lit("24"), F.lit("00"), _digits(F.col("event_id") % 50, 8), F.hex("props"))
+    mmtp = F.concat(F.when(F.col("event_id") % 4 == 0, "0100").otherwise("0000"), _digits(F.col("user_id") % 3 + 0xF100, 4), _digits(F.col("event_id") * 90, 8), _digits(F.col("event_id"), 8), payload)
+    body = F.concat(_digits(F.col("user_id") % 5 * 16 + F.col("event_id") % 16, 4), F.lit("61"), mmtp)
+    return parse_blobs(joined(e, "user_id", ["event_id"], F.concat(F.lit("7F03"), _digits(F.length(body) / 2, 4), body)), containers.mmtp_packets, containers.MMTP_ROWS, ("user_id",)).drop("payload_at")
+
+
+def mkv_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks anywhere below the segment of one file, by the tree's rows."""
+    nodes = mkv_elements(spark, sf).where("c_nationkey = 0").select("node_id", "parent_id", F.col("name").alias("kind"), F.col("ordinal"), F.col("offset").alias("pos"))
+    return trees.descendants_by_kind(nodes, 2, "SimpleBlock").select("node_id", "parent_id", "pos")
+
+
 def av1_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as streams: lines are temporal delimiters (A), sequence headers (R) and frames (N)."""
     flag, k = F.col("l_returnflag"), F.col("l_partkey")
@@ -99,7 +126,7 @@ def listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "avc_slices": avc_slices, "parameter_sets": parameter_sets, "vvc_sps": vvc_sps, "av1_frames": av1_frames, "truehd_frames": truehd_frames, "loas_elements": loas_elements, "descriptor_fields": descriptor_fields, "structure_fields": structure_fields, "listing": listing,
+    "avc_slices": avc_slices, "parameter_sets": parameter_sets, "vvc_sps": vvc_sps, "hevc_sps": hevc_sps, "mmt_packet_list": mmt_packet_list, "mkv_descendants": mkv_descendants, "av1_frames": av1_frames, "truehd_frames": truehd_frames, "loas_elements": loas_elements, "descriptor_fields": descriptor_fields, "structure_fields": structure_fields, "listing": listing,
 }
 
 _STREAM = """o AS (SELECT o_custkey, o_orderkey AS k, o_orderkey % 4 = 0 AS sets, row_number() OVER w - 1 + 2 * sum(CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END) OVER w AS nu FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))"""
@@ -119,6 +146,11 @@ ORACLES = {
         SELECT o_custkey, CAST(nu - 2 AS BIGINT) AS nu_no, 'SPS' AS kind, {_sps_hex("(k % 90 + 1)", "(k % 50 + 1)")} AS unit FROM p WHERE before IS NULL OR before % 90 <> k % 90 OR before % 50 <> k % 50
         UNION ALL SELECT o_custkey, CAST(nu - 1 AS BIGINT), 'PPS', '68E0' FROM p WHERE before IS NULL""",
     "vvc_sps": "SELECT c_custkey, 1 AS profile_idc, 51 AS level_idc, 1 AS chroma_format_idc, 64 AS ctu_size, CAST((c_custkey % 120 + 1) * 16 AS INT) AS width, CAST((c_custkey % 67 + 1) * 16 AS INT) AS height, CAST(c_custkey % 3 + 8 AS INT) AS bit_depth FROM customer",
+    "hevc_sps": "SELECT c_custkey, 1 AS vps_id, 2 AS profile_idc, 93 AS level_idc, 1 AS chroma_format_idc, CAST((c_custkey % 120 + 1) * 16 AS INT) AS width, CAST((c_custkey % 67 + 1) * 16 AS INT) AS height, CAST(c_custkey % 3 + 8 AS INT) AS bit_depth_luma, CAST(c_custkey % 3 + 8 AS INT) AS bit_depth_chroma FROM customer",
+    "mmt_packet_list": """WITH e AS (SELECT *, length(props) AS n, row_number() OVER w - 1 AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+        SELECT user_id, k AS idx, CAST(coalesce(sum(n + 27) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_off, CAST(user_id % 5 AS INT) AS cid, CAST(event_id % 16 AS INT) AS sn, CAST(user_id % 3 + 61696 AS INT) AS packet_id, event_id AS seq,
+            event_id * 90 AS "timestamp", 0 AS payload_type, event_id % 4 = 0 AS rap, 2 AS fragment, event_id % 50 AS mpu_seq, n AS payload_len FROM e""",
+    "mkv_descendants": f"WITH {_MKV} SELECT 5 + 3 * k AS node_id, 3 + 3 * k AS parent_id, pos + 14 AS pos FROM t WHERE c_nationkey = 0",
     "av1_frames": """WITH l AS (SELECT l_orderkey, l_returnflag AS f, l_partkey AS p, row_number() OVER w - 1 AS obu, CAST(greatest(sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) OVER w - 1, 0) AS BIGINT) AS tu FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag))
         SELECT l_orderkey, tu, obu, CASE WHEN p % 10 <> 0 THEN ['KEY', 'INTER', 'INTRA_ONLY', 'SWITCH'][CAST(p % 4 + 1 AS INT)] END AS frame_type, p % 10 = 0 OR p // 4 % 2 = 1 AS shown, CAST(CASE WHEN p % 10 = 0 THEN p % 8 END AS INT) AS existing FROM l WHERE f = 'N'""",
     "truehd_frames": """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame, CAST((length(props) + 15) // 2 * 2 AS BIGINT) AS byte_len, 'TrueHD' AS codec, [48000, 44100, 96000][CAST(event_id % 3 + 1 AS INT)] AS sample_rate FROM events""",
