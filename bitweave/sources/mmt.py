@@ -1,10 +1,11 @@
-"""MMT signalling: package access messages, package lists, package tables with their assets, and MPU times."""
+"""MMT signalling: package access messages, package lists, package tables with their assets, MPU times; data units and messages of packets."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 from ..functions.bits import Bits
+from .containers import mmtp_packets
 
 PLT, MPT = 0x80, range(0x11, 0x21)
 MPU_TIMESTAMP, MPU_EXTENDED = 0x0001, 0x8026
@@ -116,3 +117,38 @@ def mpu_times(descriptors: bytes) -> Iterator[tuple]:
                 extended[seq] = scale, decode, [{"dts_pts": r.u(16), "pts": r.u(16) if kind == 2 else default} for _ in range(n)]
     for seq, (sec, frac) in stamps.items():
         yield seq, sec, frac, *extended.get(seq, (90_000, None, None))
+
+
+UNIT_ROWS = "idx long, cid int, packet_id int, seq long, kind string, fragment int, ordinal int, mpu_seq long, movie_fragment long, sample long, offset long, priority int, dependency int, item_id long, data binary"
+
+
+def mmtp_units(data: bytes) -> Iterator[tuple]:
+    """Data units of media fragments and signalling messages, one row each; what an aggregated payload claims beyond its end is left out."""
+    for idx, _, cid, _, packet_id, seq, _, payload_type, _, fragment, mpu, at, size in mmtp_packets(data):
+        head = idx, cid, packet_id, seq
+        if payload_type == 2 and fragment is not None:
+            flags = data[at - 2]
+            for k, message in enumerate(_parts(data, at, at + size, bool(flags & 1), 4 if flags & 2 else 2)):
+                yield *head, "message", fragment, k, *(None,) * 7, message
+        elif payload_type == 0 and mpu is not None and data[at - 6] >> 4 == 2:
+            timed, aggregated = data[at - 6] & 8, data[at - 6] & 1
+            for k, unit in enumerate(_parts(data, at, at + size, bool(aggregated), 2)):
+                r = Bits(unit)
+                if len(unit) < (14 if timed else 4):
+                    break
+                fields = (r.u(32), r.u(32), r.u(32), r.u(8), r.u(8), None) if timed else (*(None,) * 5, r.u(32))
+                yield *head, "unit", fragment, k, mpu, *fields, unit[r.at >> 3 :]
+
+
+def _parts(data: bytes, at: int, end: int, aggregated: bool, width: int) -> Iterator[bytes]:
+    """The one part of a payload, or each that an aggregated one leads with its length."""
+    if not aggregated:
+        yield data[at:end]
+        return
+    while at + width < end:
+        size = int.from_bytes(data[at : at + width], "big")
+        at += width
+        if at + size > end:
+            return
+        yield data[at : at + size]
+        at += size

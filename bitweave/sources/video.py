@@ -385,34 +385,56 @@ def av1_container(data: bytes) -> str:
     return "obu"
 
 
-def av1_sequence_header(payload: bytes) -> dict:
+def av1_sequence_header(payload: bytes, tools: bool = False) -> dict:
+    """Profile, level, timing and size; with ``tools`` also what the parsing of frame headers depends on."""
     r = Bits(payload)
     f = {"profile": r.u(3), "still_picture": r.flag(), "reduced": r.flag()}
+    decoder_model = equal = False
+    delay_len = removal_len = time_len = 0
+    points = []
     if f["reduced"]:
         f["level"] = r.u(5)
     else:
         if r.flag():
             f["num_units_in_tick"], f["time_scale"] = r.u(32), r.u(32)
-            if r.flag():
+            if equal := r.flag():
                 f["ticks_per_picture"] = r.uvlc() + 1
             if decoder_model := r.flag():
                 delay_len = r.u(5) + 1
-                r.skip(32 + 5 + 5)
-        else:
-            decoder_model, delay_len = False, 0
+                r.skip(32)
+                removal_len, time_len = r.u(5) + 1, r.u(5) + 1
         display = r.flag()
         for k in range(r.u(5) + 1):
-            r.skip(12)
-            level = r.u(5)
+            layers, level = r.u(12), r.u(5)
             tier = r.u(1) if level > 7 else 0
             if not k:
                 f["level"], f["tier"] = level, tier
-            if decoder_model and r.flag():
+            modelled = decoder_model and r.flag()
+            if modelled:
                 r.skip(2 * delay_len + 1)
+            points.append((layers, modelled))
             if display and r.flag():
                 r.skip(4)
     w, h = r.u(4) + 1, r.u(4) + 1
     f["max_width"], f["max_height"] = r.u(w) + 1, r.u(h) + 1
+    if not tools:
+        return f
+    f |= {"removal_len": removal_len, "time_len": 0 if equal or not decoder_model else time_len, "decoder_model": decoder_model, "points": points}
+    f |= {"id_len": 0, "delta_id_len": 0, "screen_content": None, "integer_mv": None, "order_bits": 0}
+    if not f["reduced"] and r.flag():
+        f["delta_id_len"] = r.u(4) + 2
+        f["id_len"] = r.u(3) + 1 + f["delta_id_len"]
+    r.skip(3)
+    if not f["reduced"]:
+        r.skip(4)
+        ordered = r.flag()
+        r.skip(2 * ordered)
+        if not r.flag():
+            f["screen_content"] = r.u(1)
+        if f["screen_content"] != 0 and not r.flag():
+            f["integer_mv"] = r.u(1)
+        if ordered:
+            f["order_bits"] = r.u(3) + 1
     return f
 
 

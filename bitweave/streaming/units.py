@@ -1,6 +1,6 @@
-"""Streaming: payload units closed by the next start, version changes, and windowed statistics.
+"""Streaming: payload units closed by the next start, version changes, header windows, and windowed statistics.
 
-The first two keep per-PID state and are closed by data, not by time.  The last
+The first three keep per-PID state and are closed by data, not by time.  The last
 one adds event time and watermarks, which packet files have no use for, as an
 extension for live sources.
 """
@@ -59,6 +59,36 @@ def version_changes(tables: DataFrame) -> DataFrame:
     return tables.select("pid", "pkt_idx", F.col("version").cast("long")).groupBy("pid").applyInPandasWithState(_changes, "pid int, pkt_idx long, before long, version long", "known long", "append", GroupStateTimeout.NoTimeout)
 
 
+HEADERS = "pid int, unit long, first_pkt long, head binary"
+
+
+def header_windows(packets: DataFrame, size: int = 1024) -> DataFrame:
+    """The first ``size`` bytes of each payload unit, as soon as they are there or the next unit starts.
+
+    packets (pkt_idx, pid, pusi, payload) of a PID must arrive in order across
+    batches.  A PID's state is one window; what follows a full one isn't kept.
+    """
+
+    def collect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        unit, first, held, done = state.get if state.exists else (0, -1, b"", True)
+        out = []
+        for r in pd.concat(list(batches)).sort_values("pkt_idx").itertuples(index=False):
+            if r.pusi:
+                if not done:
+                    out.append((key[0], unit, first, bytes(held)))
+                unit, first, held, done = unit + 1, int(r.pkt_idx), b"", False
+            if not done:
+                held = bytes(held) + (r.payload or b"")[: size - len(held)]
+                if done := len(held) >= size:
+                    out.append((key[0], unit, first, held))
+                    held = b""
+        state.update((unit, first, bytes(held), done))
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in HEADERS.split(", ")])
+
+    rows = packets.select("pkt_idx", "pid", "pusi", "payload")
+    return rows.groupBy("pid").applyInPandasWithState(collect, HEADERS, "unit long, first long, held binary, done boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def windowed_counts(packets: DataFrame, time_col: str = "ts", window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Extension: packets and bytes per PID and tumbling window of event time, late packets up to the watermark."""
     rows = packets.withWatermark(time_col, late)

@@ -300,3 +300,78 @@ def test_broken_objects_are_bounded_and_reported(spark):
     got = [(r["path"], r["n"], r["error"]) for r in parse_blobs(blobs, parser, "n int", error_col="error").collect()]
     assert sorted(got, key=str) == sorted([("a", 4, None), ("b", 3, None), ("b", None, "ValueError: odd")], key=str)
     assert parse_blobs(blobs, parser, "n int").count() == 2
+
+
+def _av1(*units):
+    """OBUs of (type, bits)."""
+    out = b"\x12\x00"
+    for kind, bits in units:
+        body = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+        out += bytes([kind << 3 | 2, len(body)]) + body
+    return out
+
+
+AV1_SEQUENCE = "000" + "0" * 2 + "0" * 2 + "0" * 5 + "0" * 12 + "00101" + "1000" * 2 + "1" * 18 + "0" + "000" + "0000" + "100" + "1" + "1" + "110" + "0" * 8
+
+
+def test_av1_reference_state():
+    from bitweave.sources.av1_state import av1_reference_state, short_references
+
+    assert short_references([0, 8, 2, 1, 3, 6, 5, 7], 4, 7, 4, 0) == [4, 2, 3, 0, 6, 5, 1]
+    assert short_references([0] * 8, 1, 7, 0, 0) == [0, 7, 6, 0, 5, 4, 3]
+    assert short_references([127] * 8, 1, 7, 0, 0)[0] == 0  # hints wrap round
+    assert short_references([9] * 8, 1, 7, 2, 5) == [2, 0, 0, 5, 0, 1, 7]  # nothing behind: the earliest is the first slot
+    key = "0" + "00" + "1" + "000" + f"{5:07b}"
+    inter = lambda hint, refresh, refs, resilient="": "0" + "01" + "1" + ("1" if resilient else "0") + "000" + f"{hint:07b}" + ("" if resilient else "000") + f"{refresh:08b}" + resilient + refs + "0" * 8
+    plain = "0" + "".join(f"{k:03b}" for k in range(7))
+    shown = "1" + f"{3:03b}" + "0000"
+    rows = list(av1_reference_state(_av1((1, AV1_SEQUENCE), (6, key), (6, inter(6, 0b1000, plain)), (3, shown), (6, inter(7, 1, "1" + "000" + "011")), (3, "1" + f"{7:03b}" + "0000"))))
+    assert [r[2:8] for r in rows] == [(0, "KEY", True, None, 5, 255), (1, "INTER", True, None, 6, 8), (1, "INTER", True, 3, 6, 0), (2, "INTER", True, None, 7, 1), (0, "KEY", True, 7, 5, 255)]
+    assert rows[1][8] == [0] * 7 and rows[1][9] == [0, 0, 0, 1, 0, 0, 0, 0]
+    assert rows[3][8] == [0, 0, 0, 1, 0, 0, 0] and rows[3][9] == [2, 0, 0, 1, 0, 0, 0, 0]
+    assert rows[4][9] == [0] * 8  # a key frame shown again fills every slot
+    hints = "".join(f"{5 if k else 9:07b}" for k in range(8))  # slot 0 should hold hint 9: that frame is missing
+    rows = list(av1_reference_state(_av1((1, AV1_SEQUENCE), (6, key), (6, inter(6, 0b10, plain, hints)))))
+    assert rows[1][8] == [None, 0, 0, 0, 0, 0, 0] and rows[1][9] == [None, 1, 0, 0, 0, 0, 0, 0]
+    assert list(av1_reference_state(_av1((6, key)))) == [] == list(av1_reference_state(b""))
+
+
+def test_message_checks_and_units(spark):
+    from bitweave.functions.crc import crc
+    from bitweave.operators import mmt
+    from bitweave.sources.mmt import mmtp_units
+
+    def message(kind, section, size=None):
+        whole = section + crc(section, "crc-32-mpeg").to_bytes(4, "big")
+        return kind.to_bytes(2, "big") + b"\0" + (len(whole) if size is None else size).to_bytes(2, "big") + whole
+
+    good = message(0x8000, b"\x8bxyz")
+    cases = [good, good[:-1] + b"?", message(0x8001, b"\x8bxyz"), message(0x8004, b"\xa6"), message(0x8004, b"\xa7x"), message(0x8002, b"\x8bxyz", 4000), message(0x8002, b"", 4), b"", b"\x80", None, good]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(cases)], "k int, data binary")
+    assert [(r.k, r.ok) for r in mmt.message_checks(df).orderBy("k").collect()] == [(0, True), (1, False), (3, True), (10, True)]
+    assert mmt.message_checks(df.limit(0)).count() == 0
+
+    def packet(kind, payload):
+        body = b"\x00\x10\x61" + b"\0" + bytes([kind]) + b"\xf1\x00" + bytes(8) + payload
+        return b"\x7f\x03" + len(body).to_bytes(2, "big") + body
+
+    long = b"\x03\x00" + (2).to_bytes(4, "big") + b"ab" + (900).to_bytes(4, "big") + b"lost"
+    assert [(r[4], r[6], r[-1]) for r in mmtp_units(packet(2, long) + packet(2, b"\x00\x00whole"))] == [("message", 0, b"ab"), ("message", 0, b"whole")]
+    short = b"\0\0" + b"\x28\0" + bytes(4) + b"too short"
+    assert list(mmtp_units(packet(0, short))) == []
+
+
+def test_header_windows_across_batches(spark, tmp_path):
+    from bitweave.streaming import units
+
+    source, rows = str(tmp_path / "in"), [(0, False, b"lost"), (1, True, b"abc"), (2, False, None), (3, False, b"defgh"), (4, False, b"more"), (5, True, b"xy"), (6, True, b""), (7, True, b"0123456789")]
+    schema = "pid int, pkt_idx long, pusi boolean, payload binary"
+    out, batches = [], [rows[:2], rows[2:5], rows[5:]]
+    for k, batch in enumerate(batches):
+        spark.createDataFrame([(9, *r) for r in batch], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        run = units.header_windows(stream, 6).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        out = [(r.unit, r.first_pkt, bytes(r.head)) for r in spark.read.schema(units.HEADERS).parquet(str(tmp_path / "out")).orderBy("unit").collect()]
+        assert len(out) == [0, 1, 4][k]
+    assert out == [(1, 1, b"abcdef"), (2, 5, b"xy"), (3, 6, b""), (4, 7, b"012345")]
