@@ -8,7 +8,9 @@ squared distance to the cell's Voronoi boundary - until the bound passes a
 radius: the multi-sequence algorithm, a heap over pairs of places in the two
 ascending sequences of bounds.  The radius is calibrated so that ``recall`` of the hardest links (exactly
 at the threshold, in random directions) fall inside it; links closer than that
-are found more surely still.  Every candidate is verified in double precision.
+are found more surely still.  Of two cells only the vectors of the lower one
+look into the other, and a link found counts for both its ends; within a cell
+each vector looks for itself.  Every candidate is verified in double precision.
 
 Equal vectors of a label are one class with a multiplicity.  A crowded cell is
 cut into parts on either side, so a block of at most ``PART`` indexed vectors
@@ -93,17 +95,23 @@ class Grid:
         return out
 
     def visit(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(own cell of each row; then row and cell of every visit, nearest cells first): the multi-sequence traversal."""
+        """(own cell of each row; then row and cell of every visit, nearest cells first): the multi-sequence traversal.
+
+        Cells below the own one aren't returned: their vectors come from the other side.
+        """
         (near1, bound1), (near2, bound2) = self.bounds(x)
         k = len(self.books[1])
+        own = near1 * k + near2
         rows, cells = [], []
         order1, order2 = bound1.argsort(1), bound2.argsort(1)
         for i in range(len(x)):
             place1, place2 = order1[i], order2[i]
             found = np.array(list(traverse(bound1[i, place1].tolist(), bound2[i, place2].tolist(), self.radius)), np.int64).reshape(-1, 2)
-            rows.append(np.full(len(found), i))
-            cells.append(place1[found[:, 0]] * k + place2[found[:, 1]])
-        return near1 * k + near2, np.concatenate(rows), np.concatenate(cells)
+            seen = place1[found[:, 0]] * k + place2[found[:, 1]]
+            seen = seen[seen >= own[i]]
+            rows.append(np.full(len(seen), i))
+            cells.append(seen)
+        return own, np.concatenate(rows), np.concatenate(cells)
 
 
 def traverse(first: list[float], second: list[float], most: float) -> Iterator[tuple[int, int]]:
@@ -130,7 +138,7 @@ def _unit(data: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-_PLACED = "label string, cid long, copies long, vec binary, cell int, query boolean"
+_PLACED = "label string, cid long, copies long, vec binary, cell int, query boolean, guest boolean"
 
 
 def _place(shared):
@@ -143,7 +151,9 @@ def _place(shared):
                 cell, row, visits = grids[int(d)].visit(_unit(part.column("vec").to_pylist()))
                 take = np.concatenate([np.arange(len(cell)), row])
                 rows = part.take(pa.array(take))
-                yield pa.record_batch([*(rows.column(c) for c in ("label", "cid", "copies", "vec")), pa.array(np.concatenate([cell, visits]), pa.int32()), pa.array(np.concatenate([np.zeros(len(cell), bool), np.ones(len(row), bool)]))], names=["label", "cid", "copies", "vec", "cell", "query"])
+                at_cell, query = np.concatenate([cell, visits]), np.concatenate([np.zeros(len(cell), bool), np.ones(len(row), bool)])
+                placed = [pa.array(at_cell, pa.int32()), pa.array(query), pa.array(at_cell != cell[take])]
+                yield pa.record_batch([*(rows.column(c) for c in ("label", "cid", "copies", "vec")), *placed], names=["label", "cid", "copies", "vec", "cell", "query", "guest"])
 
     return run
 
@@ -158,8 +168,8 @@ def _doubles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compare(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         groups: dict[tuple, tuple[list, list]] = {}
-        for *key, query, cid, copies, vec in zip(*(table.column(c).to_pylist() for c in ("label", "cell", "a", "b", "query", "cid", "copies", "vec")), strict=True):
-            groups.setdefault(tuple(key), ([], []))[query].append((cid, copies, vec))
+        for *key, query, cid, copies, vec, guest in zip(*(table.column(c).to_pylist() for c in ("label", "cell", "a", "b", "query", "cid", "copies", "vec", "guest")), strict=True):
+            groups.setdefault(tuple(key), ([], []))[query].append((cid, copies, vec, guest))
         node, links, a, b = [], [], [], []
         up: dict[int, int] = {}
 
@@ -176,9 +186,11 @@ def _compare(threshold: float):
             cosine = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1))
             near = (cosine >= threshold) & (ids[:, None] != others)
             counts = near @ np.array([r[1] for r in held], dtype=np.int64)
+            back = np.array([r[1] * r[3] for r in seeking], dtype=np.int64) @ near
+            for who, count in ((ids, counts), (others, back)):
+                node.extend(who[count > 0].tolist())
+                links.extend(count[count > 0].tolist())
             for k in np.flatnonzero(counts):
-                node.append(int(ids[k]))
-                links.append(int(counts[k]))
                 for j in np.flatnonzero(near[k]):
                     p, q = find(int(ids[k])), find(int(others[j]))
                     if p != q:
@@ -221,7 +233,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     def across(own: str, other: str) -> DataFrame:
         side = spread.where(F.col("query") == F.lit(own == "b"))
         mine = F.pmod(F.xxhash64("cid"), F.col(f"parts_{own}")).cast("int").alias(own)
-        return side.select("label", "cell", "query", "cid", "copies", "vec", mine, F.explode(F.sequence(F.lit(0), F.col(f"parts_{other}") - 1)).alias(other))
+        return side.select("label", "cell", "query", "cid", "copies", "vec", "guest", mine, F.explode(F.sequence(F.lit(0), F.col(f"parts_{other}") - 1)).alias(other))
 
     blocks = across("a", "b").unionByName(across("b", "a"))
     bundles = max(256, total // 1000)
