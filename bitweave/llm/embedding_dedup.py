@@ -12,6 +12,9 @@ are found more surely still.  Of two cells only the vectors of the lower one
 look into the other, and a link found counts for both its ends; within a cell
 each vector looks for itself.  Every candidate is verified in double precision.
 
+Vectors travel as bytes, of floats where the column has floats and of doubles
+otherwise; all sums are in double precision.
+
 Equal vectors of a label are one class with a multiplicity.  A crowded cell is
 cut into parts on either side, so a block of at most ``PART`` indexed vectors
 meets at most ``PART`` searching ones in one matrix product; pairs are counted,
@@ -38,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._blocks import heavy_keys, spread_join, stored
 from ._components import components
@@ -128,27 +132,31 @@ def traverse(first: list[float], second: list[float], most: float) -> Iterator[t
             heappush(heap, (first[i + 1] + second[0], i + 1, 0))
 
 
-def _lengths(rows) -> np.ndarray:
+def _lengths(rows, form: np.dtype) -> np.ndarray:
     """Components of each row's vector."""
-    return np.array([len(x) // 8 for x in rows.column("vec").to_pylist()], np.int64)
+    return np.array([len(x) // form.itemsize for x in rows.column("vec").to_pylist()], np.int64)
+
+
+def _matrix(data: list[bytes], form: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(data), form).reshape(len(data), -1).astype(np.float64)
 
 
-def _unit(data: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(data), "<f8").reshape(len(data), -1)
+def _unit(data: list[bytes], form: np.dtype) -> np.ndarray:
+    x = _matrix(data, form)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
 _PLACED = "label string, cid long, copies long, vec binary, cell int, query boolean, guest boolean"
 
 
-def _place(shared):
+def _place(shared, form: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grids = shared.value
         for batch in batches:
-            lengths = _lengths(batch)
+            lengths = _lengths(batch, form)
             for d, at in ((d, at) for d in np.unique(lengths) for at in range(0, int((lengths == d).sum()), 250)):
                 part = batch.take(pa.array(np.flatnonzero(lengths == d)[at : at + 250]))
-                cell, row, visits = grids[int(d)].visit(_unit(part.column("vec").to_pylist()))
+                cell, row, visits = grids[int(d)].visit(_unit(part.column("vec").to_pylist(), form))
                 take = np.concatenate([np.arange(len(cell)), row])
                 rows = part.take(pa.array(take))
                 at_cell, query = np.concatenate([cell, visits]), np.concatenate([np.zeros(len(cell), bool), np.ones(len(row), bool)])
@@ -158,14 +166,18 @@ def _place(shared):
     return run
 
 
-def _doubles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as the bytes of their doubles."""
-    for batch in batches:
-        vectors = [np.array(x, "<f8").tobytes() for x in batch.column("vec").to_pylist()]
-        yield pa.record_batch([batch.column("label"), batch.column("cid"), batch.column("copies"), pa.array(vectors, pa.binary())], names=["label", "cid", "copies", "vec"])
+def _packed(form: np.dtype, names: tuple[str, ...], out: str):
+    """Those columns, and the vector as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [np.array(x, form).tobytes() for x in batch.column("vec").to_pylist()]
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(vectors, pa.binary())], names=[*names, out])
+
+    return run
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, form: np.dtype):
     def run(table: pa.Table) -> pa.Table:
         groups: dict[tuple, tuple[list, list]] = {}
         for *key, query, cid, copies, vec, guest in zip(*(table.column(c).to_pylist() for c in ("label", "cell", "a", "b", "query", "cid", "copies", "vec", "guest")), strict=True):
@@ -182,7 +194,7 @@ def _compare(threshold: float):
             if not held or not seeking:
                 continue
             ids, others = np.array([r[0] for r in seeking]), np.array([r[0] for r in held])
-            x, y = (np.frombuffer(b"".join(r[2] for r in side), "<f8").reshape(len(side), -1) for side in (seeking, held))
+            x, y = (_matrix([r[2] for r in side], form) for side in (seeking, held))
             cosine = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1))
             near = (cosine >= threshold) & (ids[:, None] != others)
             counts = near @ np.array([r[1] for r in held], dtype=np.int64)
@@ -206,13 +218,15 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     """Returns id, n_links, component_id, kept."""
     spark = table.sparkSession
     v = F.col(vector_col)
+    single = table.schema[vector_col].dataType == T.ArrayType(T.FloatType(), table.schema[vector_col].dataType.containsNull)
+    form = np.dtype("<f4" if single else "<f8")
     rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("string").alias("label"), F.transform(v.cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vec"))
     fine = F.coalesce(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0), F.lit(False))
     valid = fine & F.col("label").isNotNull() & F.col("id").isNotNull()
     # only vectors of one length are compared: the length is part of the label
     good = rows.where(valid).withColumn("label", F.concat_ws(":", F.size("vec"), "label"))
-    classes = stored(good.groupBy("label", "vec").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("copies")).mapInArrow(_doubles, "label string, cid long, copies long, vec binary"))
-    length = (F.octet_length("vec") / 8).cast("int")
+    classes = stored(good.groupBy("label", "vec").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("copies")).mapInArrow(_packed(form, ("label", "cid", "copies"), "vec"), "label string, cid long, copies long, vec binary"))
+    length = (F.octet_length("vec") / form.itemsize).cast("int")
     sizes = {r["d"]: (r["n"], r["crowd"]) for r in classes.groupBy(length.alias("d"), "label").count().groupBy("d").agg(F.sum("count").alias("n"), F.max("count").alias("crowd")).collect()}
     if not sizes:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -223,9 +237,9 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
         wanted = max(sample * n / total, min(n, max(LEAST_SAMPLE, 8 * centres)))
         share = F.shiftrightunsigned(F.xxhash64("cid", "vec"), 1) < F.lit(min(2**63 - 1, int(wanted / n * 2**63)))
         chosen = [bytes(r["vec"]) for r in classes.where((length == d) & (share if n > wanted else F.lit(True))).select("vec").collect()]
-        grids[d] = Grid(_unit(chosen), centres, threshold, recall)
+        grids[d] = Grid(_unit(chosen, form), centres, threshold, recall)
 
-    placed = stored(classes.mapInArrow(_place(spark.sparkContext.broadcast(grids)), _PLACED))
+    placed = stored(classes.mapInArrow(_place(spark.sparkContext.broadcast(grids), form), _PLACED))
     crowds = placed.groupBy("label", "cell").agg(*(F.ceil(F.sum((F.col("query") == q).cast("int")) / PART).cast("int").alias(name) for name, q in (("parts_a", False), ("parts_b", True))))
     crowds = crowds.where("parts_a > 0 and parts_b > 0")
     spread = placed.join(crowds, ["label", "cell"])
@@ -237,13 +251,13 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     blocks = across("a", "b").unionByName(across("b", "a"))
     bundles = max(256, total // 1000)
-    found = stored(blocks.groupBy(F.pmod(F.xxhash64("label", "cell", "a", "b"), F.lit(bundles)).alias("bundle")).applyInArrow(_compare(threshold), "a long, b long, n long"))
+    found = stored(blocks.groupBy(F.pmod(F.xxhash64("label", "cell", "a", "b"), F.lit(bundles)).alias("bundle")).applyInArrow(_compare(threshold, form), "a long, b long, n long"))
     links = found.where("n is not null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
     roots = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("cid"), "root")
     known = classes.select("label", "vec", "cid", "copies").join(links, "cid", "left").join(roots, "cid", "left")
     known = known.select(_key("vec"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "cid").alias("root"))
     heavy = heavy_keys(classes.select(_key("vec"), "copies"), "key", "copies")
-    out = spread_join(good.select("id", "label", "vec").mapInArrow(_keys, "id long, label string, key binary").select("id", _key("key")), known, "key", F.col("id"), heavy)
+    out = spread_join(good.select("id", "label", "vec").mapInArrow(_packed(form, ("id", "label"), "key"), "id long, label string, key binary").select("id", _key("key")), known, "key", F.col("id"), heavy)
     alone = rows.where(~valid).select("id", F.lit(0).cast("bigint").alias("links"), F.col("id").alias("root"))
     every = out.select("id", "links", "root").unionByName(alone)
     return every.select(F.col("id").alias(id_col), F.col("links").cast("bigint").alias("n_links"), F.col("root").alias("component_id"), F.coalesce(F.col("id") == F.col("root"), F.lit(True)).alias("kept"))
@@ -254,10 +268,5 @@ def _key(vector: str) -> Column:
     return F.concat(F.col("label").cast("binary"), F.lit(bytearray([0])), F.col(vector)).alias("key")
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.record_batch([batch.column("id"), batch.column("label"), pa.array([np.array(x, "<f8").tobytes() for x in batch.column("vec").to_pylist()], pa.binary())], names=["id", "label", "key"])
-
-
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

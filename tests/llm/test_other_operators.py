@@ -257,11 +257,12 @@ def test_heavy_keys_are_dealt_out(spark, monkeypatch):
         assert Counter(map(tuple, plain.select("id", "key", "n").collect())) == Counter(map(tuple, dealt.select("id", "key", "n").collect()))
 
 
-def test_negative_zeros_and_several_lengths(spark):
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_negative_zeros_and_several_lengths(spark, kind):
     r = np.random.default_rng(4)
     rows = [(i, [float(x) for x in r.normal(size=16)], 0) for i in range(40)]
     rows += [(100, [0.0, 1.0], 0), (101, [-0.0, 1.0], 0), (102, [0.001, 1.0], 0), (103, [1.0, 0.0], 0), (104, [2.0], 0), (105, [3.0], 0), (106, [-0.0, 0.0], 0), (107, [0.0, 1.0], 1)]
-    got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in dedup.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")).collect()}
     assert len(got) == len(rows) and all(got[i] == (0, i, True) for i in [*range(40), 103, 106, 107])
     assert got[100] == (2, 100, True) and got[101] == got[102] == (2, 100, False)
     assert got[104] == (1, 104, True) and got[105] == (1, 104, False)
