@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..functions.crc import crc_hex
 from ..operators import mmt, psi
 from ..operators.packets import parse_packets
@@ -74,6 +75,33 @@ def mmt_data_units(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("user_id", "cid", "seq", "ordinal", "mpu_seq", "movie_fragment", "sample", "offset", "priority", "dependency", "item_id", F.decode("data", "UTF-8").alias("text"))
 
 
+def mmt_events(spark: SparkSession, sf: str) -> DataFrame:
+    """A message with one event per order: its day, a time and a duration, and its text as a short event descriptor."""
+    o = _read(spark, sf, "orders")
+    k, bcd = F.col("o_orderkey"), lambda x: F.lpad(x.cast("string"), 2, "0")
+    day = F.datediff(F.col("o_orderdate"), F.lit("1858-11-17").cast("date"))
+    name = F.hex(F.concat(F.lit("Nr "), k.cast("string")))
+    short = F.concat(F.lit("6A706E"), _digits(F.length(name) / 2, 2), name, _digits(F.length("o_orderpriority"), 4), F.hex("o_orderpriority"))
+    loop = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("80040100"), F.lit("F001"), _digits(F.length(short) / 2, 4), short))
+    event = F.concat(_digits(k % 65536, 4), _digits(day, 4), bcd(k % 24), bcd(k % 60), F.lit("30"), F.when(k % 5 == 0, "FFFFFF").otherwise(F.concat(F.lit("01"), bcd(k % 59), F.lit("00"))), _digits(F.length(loop) / 2 + (k % 8) * 8192 + (k % 2) * 4096, 4), loop)
+    body = F.concat(_digits(F.col("o_custkey") % 65536, 4), F.lit("C7"), F.lit("0000"), F.lit("0007"), F.lit("0004"), F.lit("008B"), event, F.lit("00000000"))
+    section = F.concat(F.lit("8B"), _digits(F.length(body) / 2 + 0xB000, 4), body)
+    message = F.concat(F.lit("800000"), _digits(F.length(section) / 2 + 3, 4), F.lit("8C0000"), section)
+    rows = parse_blobs(o.select("o_orderkey", F.unhex(message).alias("data")), mmt_sources.events, mmt_sources.EVENT_ROWS, ("o_orderkey",))
+    return rows.withColumn("day", scalars.mjd_date(F.col("start_mjd")).cast("string")).drop("start_mjd")
+
+
+def mmt_access(spark: SparkSession, sf: str) -> DataFrame:
+    """A CA message per part: an access control descriptor, and another with a length of two bytes."""
+    k = F.col("p_partkey")
+    control = F.concat(F.lit("8004"), F.lit("06"), _digits(k % 65536, 4), F.lit("00"), _digits(k % 8192, 4), F.lit("AA"))
+    other = F.concat(F.lit("F123"), _digits(F.length("p_name"), 4), F.hex("p_name"))
+    table = F.concat(control, other)
+    message = F.concat(F.lit("0001"), _digits(k % 256, 2), _digits(F.length(table) / 2 + 4, 4), F.lit("86"), _digits(k % 7, 2), _digits(F.length(table) / 2, 4), table)
+    rows = parse_blobs(_read(spark, sf, "part").select("p_partkey", F.unhex(message).alias("data")), mmt_sources.ca_descriptors, mmt_sources.CA_ROWS, ("p_partkey",))
+    return rows.withColumn("body", F.hex("body"))
+
+
 def mmt_filters(spark: SparkSession, sf: str) -> DataFrame:
     return mmt.select_packets(mmt_packet_list(spark, sf), 2, 0xF101, 7, 100, 9000).select("user_id", "idx", "cid", "packet_id", "mpu_seq", "seq")
 
@@ -108,7 +136,7 @@ def streamed_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "av1_references": av1_references, "mmt_message_checks": mmt_message_checks, "mmt_data_units": mmt_data_units, "mmt_filters": mmt_filters,
+    "av1_references": av1_references, "mmt_message_checks": mmt_message_checks, "mmt_data_units": mmt_data_units, "mmt_filters": mmt_filters, "mmt_events": mmt_events, "mmt_access": mmt_access,
     "pes_filters": pes_filters, "streamed_headers": streamed_headers, "streamed_windows": streamed_windows,
 }
 
@@ -129,6 +157,11 @@ ORACLES = {
         UNION ALL SELECT user_id, 2, k, 0, k % 50, NULL, NULL, NULL, NULL, NULL, k + 7, props FROM e WHERE k % 2 = 1""",
     "mmt_filters": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events)
         SELECT user_id, k AS idx, 2 AS cid, 61697 AS packet_id, CAST(7 AS BIGINT) AS mpu_seq, event_id AS seq FROM e WHERE user_id % 5 = 2 AND user_id % 3 = 1 AND event_id % 50 = 7 AND event_id >= 100 AND event_id < 9000""",
+    "mmt_events": """SELECT o_orderkey, CAST(o_custkey % 65536 AS INT) AS service_id, 3 AS version, 0 AS section, 7 AS stream_id, 4 AS network_id, CAST(o_orderkey % 65536 AS INT) AS event_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CAST(o_orderkey % 24 * 3600 + o_orderkey % 60 * 60 + 30 AS INT) AS start_sec,
+        CAST(CASE WHEN o_orderkey % 5 <> 0 THEN 3600 + o_orderkey % 59 * 60 END AS INT) AS duration_sec, CAST(o_orderkey % 8 AS INT) AS running_status, o_orderkey % 2 = 1 AS free_ca,
+        CASE WHEN o_orderkey % 3 <> 0 THEN 'jpn' END AS language, CASE WHEN o_orderkey % 3 <> 0 THEN 'Nr ' || o_orderkey END AS name, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS text FROM orders""",
+    "mmt_access": """SELECT p_partkey, CAST(p_partkey % 256 AS INT) AS message_version, CAST(p_partkey % 7 AS INT) AS table_version, 0 AS ordinal, 32772 AS tag, lpad(hex(p_partkey % 65536), 4, '0') || '00' || lpad(hex(p_partkey % 8192), 4, '0') || 'AA' AS body, CAST(p_partkey % 65536 AS INT) AS ca_system_id, CAST(p_partkey % 8192 AS INT) AS packet_id FROM part
+        UNION ALL SELECT p_partkey, CAST(p_partkey % 256 AS INT), CAST(p_partkey % 7 AS INT), 1, 61731, hex(encode(p_name)), NULL, NULL FROM part""",
     "pes_filters": """WITH e AS (SELECT event_id, CAST(256 + user_id % 16 AS INT) AS pid, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS unit FROM events)
         SELECT pid, unit, event_id AS first_pkt, 253 AS stream_id, CAST(CASE WHEN event_id % 4 = 0 THEN 85 END AS INT) AS stream_id_extension FROM e WHERE event_id % 4 IN (0, 2)""",
     "streamed_headers": """WITH p AS (SELECT event_id AS k, CAST(256 + user_id % 16 AS INT) AS pid, props, event_type = 'signup' AS pusi FROM events), u AS (SELECT *, sum(CAST(pusi AS INT)) OVER (PARTITION BY pid ORDER BY k) AS unit FROM p),

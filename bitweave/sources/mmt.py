@@ -152,3 +152,73 @@ def _parts(data: bytes, at: int, end: int, aggregated: bool, width: int) -> Iter
             return
         yield data[at : at + size]
         at += size
+
+
+CA_TABLE, EVENT_TABLE = 0x86, 0x8B
+ACCESS_CONTROL, SHORT_EVENT = 0x8004, 0xF001
+CA_ROWS = "message_version int, table_version int, ordinal int, tag int, body binary, ca_system_id int, packet_id int"
+EVENT_ROWS = "service_id int, version int, section int, stream_id int, network_id int, event_id int, start_mjd int, start_sec int, duration_sec int, running_status int, free_ca boolean, language string, name string, text string"
+
+
+def si_descriptors(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(tag, body); the tag's range says how wide the length is. One that the bytes don't hold in full ends the list."""
+    at = 0
+    while at + 3 <= len(data):
+        tag = int.from_bytes(data[at : at + 2], "big")
+        width = 2 if 0x4000 <= tag < 0x7000 or tag >= 0xF000 else 4 if 0x7000 <= tag < 0x8000 else 1
+        start = at + 2 + width
+        at = start + int.from_bytes(data[at + 2 : start], "big")
+        if at > len(data):
+            return
+        yield tag, data[start:at]
+
+
+def ca_descriptors(message: bytes) -> Iterator[tuple]:
+    """Descriptors of the conditional-access table in a CA message (id 1)."""
+    if len(message) < 9 or message[:2] != b"\0\1" or message[5] != CA_TABLE:
+        return
+    size = int.from_bytes(message[7:9], "big")
+    for k, (tag, body) in enumerate(si_descriptors(message[9 : 9 + size])):
+        system = packet = None
+        if tag == ACCESS_CONTROL and len(body) >= 3:
+            system, packet = int.from_bytes(body[:2], "big"), _location(Bits(body, 16))
+        yield message[2], message[6], k, tag, body, system, packet
+
+
+def _bcd_seconds(value: int) -> int | None:
+    """Six decimal digits of hours, minutes and seconds; all ones: unknown."""
+    digits = f"{value:06X}"
+    return int(digits[:2]) * 3600 + int(digits[2:4]) * 60 + int(digits[4:]) if digits.isdecimal() else None
+
+
+def events(message: bytes) -> Iterator[tuple]:
+    """Events of the event information sections in an M2 section message (id 0x8000), with the first short event descriptor of each."""
+    if message[:2] != b"\x80\0":
+        return
+    at, end = 5, min(len(message), 5 + int.from_bytes(message[3:5], "big"))
+    while at + 3 <= end:
+        table, size = message[at], int.from_bytes(message[at + 1 : at + 3], "big") & 0xFFF
+        section, at = message[at : at + 3 + size], at + 3 + size
+        if at > end:
+            return
+        if table != EVENT_TABLE or size < 15:
+            continue
+        r = Bits(section[:-4], 24)
+        service = r.u(16)
+        r.skip(2)
+        version = r.u(5)
+        r.skip(1)
+        number = r.u(8)
+        r.skip(8)
+        stream, network = r.u(16), r.u(16)
+        r.skip(16)
+        while r.left() >= 96:
+            event, mjd, start, duration, status, free = r.u(16), r.u(16), r.u(24), r.u(24), r.u(3), r.flag()
+            language = name = text = None
+            for tag, body in si_descriptors(r.bytes(r.u(12))):
+                if tag == SHORT_EVENT and len(body) >= 6 and name is None:
+                    split = 4 + body[3]
+                    language, name = body[:3].decode("latin-1"), body[4:split].decode("utf-8", "replace")
+                    text = body[split + 2 : split + 2 + int.from_bytes(body[split : split + 2], "big")].decode("utf-8", "replace")
+            known = (mjd, start) != (0xFFFF, 0xFFFFFF)
+            yield service, version, number, stream, network, event, mjd if known else None, _bcd_seconds(start), _bcd_seconds(duration), status, free, language, name, text

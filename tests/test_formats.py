@@ -190,6 +190,32 @@ def test_parsers_survive_noise():
                 pass  # parse_blobs takes these as the end of the blob
 
 
+def test_broken_messages_and_streams():
+    """Every cut and every changed byte of a valid object is survived."""
+    from bitweave.sources import av1_state, mmt
+    from bitweave.sources.blobs import BROKEN
+
+    short = b"jpn\x02hi\x00\x03abc"
+    loop = b"\x80\x04\x01\x00" + b"\xf0\x01" + len(short).to_bytes(2, "big") + short
+    event = b"\x00\x09\xe0\x00\x12\x34\x56\xff\xff\xff" + (0x8000 + len(loop)).to_bytes(2, "big") + loop
+    body = b"\x00\x05\xc7\x00\x00\x00\x07\x00\x04\x00\x8b" + event * 2 + bytes(4)
+    section = b"\x8b" + (0xB000 + len(body)).to_bytes(2, "big") + body
+    message = b"\x80\x00\x00" + len(section).to_bytes(2, "big") + section
+    assert list(mmt.events(message)) == [(5, 3, 0, 7, 4, 9, 0xE000, 45296, None, 4, False, "jpn", "hi", "abc")] * 2
+    access = b"\0\1\0" + b"\0\x0d" + b"\x86\x01\0\x09" + b"\x80\x04\x06\x00\x05\x00\x01\x02\xaa"
+    assert [x[5:] for x in mmt.ca_descriptors(access)] == [(5, 0x102)]
+    stream = _av1((1, AV1_SEQUENCE), (6, "0" + "00" + "1" + "000" + f"{5:07b}" + "0" * 8))
+    assert len(list(av1_state.av1_reference_state(stream))) == 1
+    r = random.Random(8)
+    for parser, whole in ((mmt.events, message), (mmt.ca_descriptors, access), (av1_state.av1_reference_state, stream)):
+        broken = [whole[:k] for k in range(len(whole))] + [whole[:k] + bytes([r.randrange(256)]) + whole[k + 1 :] for k in range(len(whole)) for _ in range(4)]
+        for data in broken:
+            try:
+                list(parser(data))
+            except BROKEN:
+                pass  # parse_blobs takes these as the end of the blob
+
+
 @pytest.mark.parametrize("uri", ["au5.nu1", "nu1.vcl0", "bogus1", "http://au1", "au1-x"])
 def test_locator_errors(uri):
     with pytest.raises(LocatorError):
