@@ -10,8 +10,9 @@ from ..functions.crc import crc_hex
 from ..operators import mmt, psi
 from ..operators.packets import parse_packets
 from ..operators.shared import shared_folder
-from ..sources import av1_state
+from ..sources import av1_state, containers
 from ..sources import mmt as mmt_sources
+from ..sources import packets as packet_sources
 from ..sources.blobs import parse_blobs
 from ..streaming import units as streaming
 from . import emap
@@ -135,7 +136,28 @@ def streamed_windows(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("start timestamp, pid int, n_packets long, n_bytes long").parquet(sink).select(F.unix_micros("start").alias("start_us"), "pid", "n_packets", "n_bytes")
 
 
+def file_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """Formats by file name, for extensions in any case, unknown ones and none."""
+    names = F.array(*(F.lit(x) for x in ("clip.TS", "a.b/c.m2ts", "x.Mp4", "x.webm", "x.tlv", "x.265", "x.obu", "x.aifc", "x.vob", "x.txt", "mkv", "dir.mkv/none")))
+    path = F.concat(F.lit("s3a://b/"), F.col("p_partkey").cast("string"), F.lit("/"), F.get(names, (F.col("p_partkey") % 12).cast("int")))
+    return _read(spark, sf, "part").select("p_partkey", packet_sources.format_by_extension(path).alias("format"))
+
+
+def aiff_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """An AIFF-C file per part, with a version, a marker of the part's name, a comment and an instrument."""
+    k, size = F.col("p_partkey"), F.length("p_name")
+    chunk = lambda name, body: F.concat(F.hex(F.lit(name)), _digits(F.length(body) / 2, 8), body, F.when(F.length(body) / 2 % 2 == 1, "00").otherwise(""))
+    version = F.lit("A2805140")
+    marks = F.concat(F.lit("0002"), F.lit("FFFF"), _digits(k, 8), F.lit("00" + "00"), F.lit("0001"), _digits(k * 3, 8), _digits(size, 2), F.hex("p_name"), F.when(size % 2 == 0, "00").otherwise(""))
+    comment = F.concat(F.lit("0001"), _digits(k + 3000000000, 8), F.lit("FFFF"), _digits(F.length("p_type"), 4), F.hex("p_type"), F.when(F.length("p_type") % 2 == 1, "00").otherwise(""))
+    instrument = F.concat(_digits(k % 128, 2), F.lit("FE"), F.lit("007F017F"), F.lit("FFFA"), F.lit("0001"), _digits(k % 100, 4), F.lit("0002" + "0000" * 3))
+    body = F.concat(F.hex(F.lit("AIFC")), chunk("FVER", version), chunk("MARK", marks), chunk("COMT", comment), chunk("INST", instrument))
+    data = F.unhex(F.concat(F.hex(F.lit("FORM")), _digits(F.length(body) / 2, 8), body))
+    return parse_blobs(_read(spark, sf, "part").select("p_partkey", data.alias("data")), containers.aiff_fields, containers.AIFF_FIELD_ROWS, ("p_partkey",))
+
+
 QUERIES = {
+    "file_formats": file_formats, "aiff_fields": aiff_fields,
     "av1_references": av1_references, "mmt_message_checks": mmt_message_checks, "mmt_data_units": mmt_data_units, "mmt_filters": mmt_filters, "mmt_events": mmt_events, "mmt_access": mmt_access,
     "pes_filters": pes_filters, "streamed_headers": streamed_headers, "streamed_windows": streamed_windows,
 }
@@ -162,6 +184,14 @@ ORACLES = {
         CASE WHEN o_orderkey % 3 <> 0 THEN 'jpn' END AS language, CASE WHEN o_orderkey % 3 <> 0 THEN 'Nr ' || o_orderkey END AS name, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS text FROM orders""",
     "mmt_access": """SELECT p_partkey, CAST(p_partkey % 256 AS INT) AS message_version, CAST(p_partkey % 7 AS INT) AS table_version, 0 AS ordinal, 32772 AS tag, lpad(hex(p_partkey % 65536), 4, '0') || '00' || lpad(hex(p_partkey % 8192), 4, '0') || 'AA' AS body, CAST(p_partkey % 65536 AS INT) AS ca_system_id, CAST(p_partkey % 8192 AS INT) AS packet_id FROM part
         UNION ALL SELECT p_partkey, CAST(p_partkey % 256 AS INT), CAST(p_partkey % 7 AS INT), 1, 61731, hex(encode(p_name)), NULL, NULL FROM part""",
+    "file_formats": "SELECT p_partkey, ['ts', 'm2ts192', 'isobmff', 'matroska', 'mmt', 'hevc', 'av1', 'aiff', 'ps', NULL, NULL, NULL][CAST(p_partkey % 12 + 1 AS INT)] AS format FROM part",
+    "aiff_fields": """WITH p AS (SELECT *, p_partkey AS k FROM part), f AS (
+        SELECT k, 'FVER' AS chunk, 0 AS ordinal, 'timestamp' AS field, 2726318400 AS number, NULL AS text FROM p
+        UNION ALL SELECT k, 'MARK', o, f, CASE WHEN f = 'id' THEN 2 * o - 1 WHEN f = 'position' THEN k * (2 * o + 1) END, CASE WHEN f = 'text' THEN CASE WHEN o = 1 THEN p_name ELSE '' END END FROM p, range(2) r(o), unnest(['id', 'position', 'text']) u(f)
+        UNION ALL SELECT k, 'COMT', 0, f, CASE WHEN f = 'time' THEN k + 3000000000 WHEN f = 'marker' THEN -1 END, CASE WHEN f = 'text' THEN p_type END FROM p, unnest(['time', 'marker', 'text']) u(f)
+        UNION ALL SELECT k, 'INST', 0, f, CASE f WHEN 'base_note' THEN k % 128 WHEN 'detune' THEN -2 WHEN 'high_note' THEN 127 WHEN 'low_velocity' THEN 1 WHEN 'high_velocity' THEN 127 WHEN 'gain' THEN -6 WHEN 'sustain_mode' THEN 1 WHEN 'sustain_begin' THEN k % 100 WHEN 'sustain_end' THEN 2 ELSE 0 END, NULL
+            FROM p, unnest(['base_note', 'detune', 'low_note', 'high_note', 'low_velocity', 'high_velocity', 'gain', 'sustain_mode', 'sustain_begin', 'sustain_end', 'release_mode', 'release_begin', 'release_end']) u(f))
+        SELECT k AS p_partkey, chunk, CAST(ordinal AS INT) AS ordinal, field, CAST(number AS BIGINT) AS number, CAST(text AS VARCHAR) AS text FROM f""",
     "pes_filters": """WITH e AS (SELECT event_id, CAST(256 + user_id % 16 AS INT) AS pid, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS unit FROM events)
         SELECT pid, unit, event_id AS first_pkt, 253 AS stream_id, CAST(CASE WHEN event_id % 4 = 0 THEN 85 END AS INT) AS stream_id_extension FROM e WHERE event_id % 4 IN (0, 2)""",
     "streamed_headers": """WITH p AS (SELECT event_id AS k, CAST(256 + user_id % 16 AS INT) AS pid, props, event_type = 'signup' AS pusi FROM events), u AS (SELECT *, sum(CAST(pusi AS INT)) OVER (PARTITION BY pid ORDER BY k) AS unit FROM p),

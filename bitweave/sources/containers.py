@@ -419,6 +419,51 @@ def aiff_chunks(data: bytes) -> Iterator[tuple]:
         at += 8 + size + (size & 1)
 
 
+AIFF_FIELD_ROWS = "chunk string, ordinal int, field string, number long, text string"
+_NOTES = ["base_note", "detune", "low_note", "high_note", "low_velocity", "high_velocity"]
+_LOOPS = [f"{loop}_{name}" for loop in ("sustain", "release") for name in ("mode", "begin", "end")]
+
+
+def _signed(data: bytes) -> int:
+    return int.from_bytes(data, "big", signed=True)
+
+
+def aiff_fields(data: bytes) -> Iterator[tuple]:
+    """Fields of format version, compression, sound data, marker, comment and instrument chunks; ordinal counts markers and comments.
+
+    An entry that its chunk doesn't hold in full is left out.
+    """
+    for kind, at, size, *_ in aiff_chunks(data):
+        body = data[at + 8 : at + 8 + size]
+        number = lambda a, n: int.from_bytes(body[a : a + n], "big")  # noqa: E731, B023
+        if kind == "FVER" and len(body) >= 4:
+            yield kind, 0, "timestamp", number(0, 4), None
+        elif kind == "COMM" and len(body) >= 23:
+            yield kind, 0, "compression", None, body[18:22].decode("latin-1")
+            yield kind, 0, "compression_name", None, body[23 : 23 + body[22]].decode("latin-1")
+        elif kind == "SSND" and len(body) >= 8:
+            yield kind, 0, "offset", number(0, 4), None
+            yield kind, 0, "block_size", number(4, 4), None
+        elif kind in ("MARK", "COMT") and len(body) >= 2:
+            p = 2
+            for k in range(number(0, 2)):
+                head, length = (p + 7, number(p + 6, 1)) if kind == "MARK" else (p + 8, number(p + 6, 2))
+                if head + length > len(body):
+                    break
+                if kind == "MARK":
+                    fields, p = (("id", _signed(body[p : p + 2])), ("position", number(p + 2, 4))), head + length + (length + 1) % 2
+                else:
+                    fields, p = (("time", number(p, 4)), ("marker", _signed(body[p + 4 : p + 6]))), head + length + length % 2
+                for name, value in fields:
+                    yield kind, k, name, value, None
+                yield kind, k, "text", None, body[head : head + length].decode("latin-1")
+        elif kind == "INST" and len(body) >= 20:
+            for k, name in enumerate(_NOTES):
+                yield kind, 0, name, _signed(body[k : k + 1]), None
+            for k, name in enumerate(["gain", *_LOOPS]):
+                yield kind, 0, name, _signed(body[6 + 2 * k : 8 + 2 * k]), None
+
+
 # -- program streams ----------------------------------------------------------------
 
 PS_ROWS = "unit long, stream_id int, byte_off long, byte_len long, scr27 long, pts90 long, dts90 long, sub_stream int, payload_at long, payload_len long"

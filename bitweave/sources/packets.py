@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: (name, packet size, bytes before the sync byte), in the order of the probe.
@@ -15,6 +16,12 @@ FORMATS = [("ts188", 188, 0), ("ts204", 204, 0), ("ts208", 208, 0), ("m2ts192",
 EXTENSIONS = {"ts": "ts", "m2ts": "m2ts192", "mts": "m2ts192", "tts": "m2ts192", "mp4": "isobmff", "m4a": "isobmff", "m4v": "isobmff", "mov": "isobmff", "heic": "isobmff", "heif": "isobmff", "mkv": "matroska", "mka": "matroska", "mks": "matroska", "webm": "matroska", "mmts": "mmt", "tlv": "mmt", "vob": "ps", "mpg": "ps", "mpeg": "ps", "m2v": "mpv", "mpv": "mpv", "h264": "avc", "264": "avc", "avc": "avc", "h265": "hevc", "265": "hevc", "hevc": "hevc", "h266": "vvc", "266": "vvc", "vvc": "vvc", "obu": "av1", "av1": "av1", "ivf": "ivf", "aac": "adts", "adts": "adts", "loas": "loas", "latm": "loas", "aif": "aiff", "aiff": "aiff", "aifc": "aiff"}
 
 
+def format_by_extension(path: Column) -> Column:
+    """The format that a file name's extension stands for, in whatever case; null if it has none that is known."""
+    known = F.create_map(*(F.lit(x) for pair in EXTENSIONS.items() for x in pair))
+    return F.element_at(known, F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1)))
+
+
 def probe(head: bytes, whole: bool = False) -> str | None:
     """The packet format that the first bytes fit: a sync byte where each of the first packets should have one. whole: the file ends with ``head``."""
     for name, size, lead in FORMATS:

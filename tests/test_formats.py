@@ -207,7 +207,10 @@ def test_broken_messages_and_streams():
     stream = _av1((1, AV1_SEQUENCE), (6, "0" + "00" + "1" + "000" + f"{5:07b}" + "0" * 8))
     assert len(list(av1_state.av1_reference_state(stream))) == 1
     r = random.Random(8)
-    for parser, whole in ((mmt.events, message), (mmt.ca_descriptors, access), (av1_state.av1_reference_state, stream)):
+    marks = b"\0\3" + b"\xff\xff\0\0\0\7\2hi\0" + b"\0\1\0\0\0\x09\3abc" + b"\0\2\0\0\0\0\x50x"
+    aiff = b"FORM\0\0\1\0AIFCCOMM" + (28).to_bytes(4, "big") + bytes(18) + b"sowt\4Soft\0" + b"MARK" + len(marks).to_bytes(4, "big") + marks + b"\0" * (len(marks) % 2) + b"SSND\0\0\0\x08\0\0\0\1\0\0\0\2"
+    assert [x[2:] for x in containers.aiff_fields(aiff)] == [("compression", None, "sowt"), ("compression_name", None, "Soft"), ("id", -1, None), ("position", 7, None), ("text", None, "hi"), ("id", 1, None), ("position", 9, None), ("text", None, "abc"), ("offset", 1, None), ("block_size", 2, None)]
+    for parser, whole in ((containers.aiff_fields, aiff), (mmt.events, message), (mmt.ca_descriptors, access), (av1_state.av1_reference_state, stream)):
         broken = [whole[:k] for k in range(len(whole))] + [whole[:k] + bytes([r.randrange(256)]) + whole[k + 1 :] for k in range(len(whole)) for _ in range(4)]
         for data in broken:
             try:
