@@ -11,7 +11,7 @@ from ..sources import audio, video
 from ..sources.blobs import parse_blobs
 
 # Stream types (ISO/IEC 13818-1 table 2-34, and those of Blu-ray and ATSC) by the parser that reads them.
-_AUDIO = {0x03: audio.mpeg_audio_frames, 0x04: audio.mpeg_audio_frames, 0x0F: audio.adts_frames, 0x11: audio.loas_frames, 0x80: audio.hdmv_lpcm, 0x81: audio.ac3_frames, 0x82: audio.dts_frames, 0x83: audio.ac3_frames, 0x84: audio.ac3_frames, 0x85: audio.dts_frames, 0x86: audio.dts_frames, 0x87: audio.ac3_frames, 0xA1: audio.ac3_frames, 0xA2: audio.dts_frames}
+_AUDIO = {0x03: audio.mpeg_audio_frames, 0x04: audio.mpeg_audio_frames, 0x0F: audio.adts_frames, 0x11: audio.loas_frames, 0x80: audio.hdmv_lpcm, 0x81: audio.ac3_frames, 0x82: audio.dts_frames, 0x83: audio.ac3_frames, 0x84: audio.ac3_frames, 0x85: audio.dts_any_frames, 0x86: audio.dts_any_frames, 0x87: audio.ac3_frames, 0xA1: audio.ac3_frames, 0xA2: audio.dts_any_frames}
 _MPEG_VIDEO = {0x01: "MPEG-1 video", 0x02: "MPEG-2 video"}
 _NAL_VIDEO = {0x1B: ("avc", "H.264", 7, video.avc_sps), 0x24: ("hevc", "H.265", 33, video.hevc_sps)}
 _FRAME_RATES = {1: (24000, 1001), 2: (24, 1), 3: (25, 1), 4: (30000, 1001), 5: (30, 1), 6: (50, 1), 7: (60000, 1001), 8: (60, 1)}

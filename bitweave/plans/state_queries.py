@@ -10,7 +10,7 @@ from ..functions.crc import crc_hex
 from ..operators import mmt, psi
 from ..operators.packets import parse_packets
 from ..operators.shared import shared_folder
-from ..sources import av1_state, containers
+from ..sources import audio, av1_state, containers
 from ..sources import mmt as mmt_sources
 from ..sources import packets as packet_sources
 from ..sources.blobs import parse_blobs
@@ -156,7 +156,24 @@ def aiff_fields(spark: SparkSession, sf: str) -> DataFrame:
     return parse_blobs(_read(spark, sf, "part").select("p_partkey", data.alias("data")), containers.aiff_fields, containers.AIFF_FIELD_ROWS, ("p_partkey",))
 
 
+def dts_hd_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream per user: every event is an extension substream, with static fields unless its number divides by seven."""
+    k = F.col("event_id")
+    number = lambda x, n: F.lpad(F.bin(x), n, F.lit("0"))
+    asset = F.concat(F.lit("0" * 9 + "000"), F.when(k % 2 == 0, "10101").otherwise("0"), F.when(k % 3 == 0, F.lit("1" + "011001010110111001100111")).otherwise("0"), F.lit("0"), F.lit("10111"), number(k % 16, 4), number(k % 8, 8), F.lit("0" * 16))
+    static = F.concat(F.lit("1" + "00" + "001"), F.when(k % 5 == 0, F.lit("1" + "0" * 36)).otherwise("0"), F.lit("000" + "000" + "1" + "00000001" + "0"), F.lit("0" * 20), asset)
+    fields = F.when(k % 7 == 0, "0" * 64).otherwise(static)
+    text = F.hex("props")
+    head = (F.ceil((4 * 8 + 8 + 2 + 1 + 12 + 20 + F.length(fields)) / 8)).cast("bigint")
+    size = head + F.length("props")
+    bits = F.concat(F.lit("0" * 8 + "00" + "1"), number(head - 1, 12), number(size - 1, 20), fields)
+    frame = F.concat(F.lit("64582025"), _packed(bits), text)
+    rows = parse_blobs(joined(_read(spark, sf, "events"), "user_id", ["event_id"], frame), audio.dts_hd_frames, audio.FRAME_ROWS, ("user_id",))
+    return rows.select("user_id", "frame", "codec", "sample_rate", "channels")
+
+
 QUERIES = {
+    "dts_hd_frames": dts_hd_frames,
     "file_formats": file_formats, "aiff_fields": aiff_fields,
     "av1_references": av1_references, "mmt_message_checks": mmt_message_checks, "mmt_data_units": mmt_data_units, "mmt_filters": mmt_filters, "mmt_events": mmt_events, "mmt_access": mmt_access,
     "pes_filters": pes_filters, "streamed_headers": streamed_headers, "streamed_windows": streamed_windows,
@@ -192,6 +209,8 @@ ORACLES = {
         UNION ALL SELECT k, 'INST', 0, f, CASE f WHEN 'base_note' THEN k % 128 WHEN 'detune' THEN -2 WHEN 'high_note' THEN 127 WHEN 'low_velocity' THEN 1 WHEN 'high_velocity' THEN 127 WHEN 'gain' THEN -6 WHEN 'sustain_mode' THEN 1 WHEN 'sustain_begin' THEN k % 100 WHEN 'sustain_end' THEN 2 ELSE 0 END, NULL
             FROM p, unnest(['base_note', 'detune', 'low_note', 'high_note', 'low_velocity', 'high_velocity', 'gain', 'sustain_mode', 'sustain_begin', 'sustain_end', 'release_mode', 'release_begin', 'release_end']) u(f))
         SELECT k AS p_partkey, chunk, CAST(ordinal AS INT) AS ordinal, field, CAST(number AS BIGINT) AS number, CAST(text AS VARCHAR) AS text FROM f""",
+    "dts_hd_frames": """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame, 'DTS-HD' AS codec, CASE WHEN event_id % 7 <> 0 THEN [8000, 16000, 32000, 64000, 128000, 22050, 44100, 88200, 176400, 352800, 12000, 24000, 48000, 96000, 192000, 384000][CAST(event_id % 16 + 1 AS INT)] END AS sample_rate,
+        CAST(CASE WHEN event_id % 7 <> 0 THEN event_id % 8 + 1 END AS INT) AS channels FROM events""",
     "pes_filters": """WITH e AS (SELECT event_id, CAST(256 + user_id % 16 AS INT) AS pid, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS unit FROM events)
         SELECT pid, unit, event_id AS first_pkt, 253 AS stream_id, CAST(CASE WHEN event_id % 4 = 0 THEN 85 END AS INT) AS stream_id_extension FROM e WHERE event_id % 4 IN (0, 2)""",
     "streamed_headers": """WITH p AS (SELECT event_id AS k, CAST(256 + user_id % 16 AS INT) AS pid, props, event_type = 'signup' AS pusi FROM events), u AS (SELECT *, sum(CAST(pusi AS INT)) OVER (PARTITION BY pid ORDER BY k) AS unit FROM p),

@@ -135,6 +135,60 @@ def dts_frames(data: bytes) -> Iterator[tuple]:
         at, n = at + max(size, 4), n + 1
 
 
+# Sampling frequencies by code in an extension substream's asset descriptor (ETSI TS 102 114).
+_DTS_HD_RATES = [8000, 16000, 32000, 64000, 128000, 22050, 44100, 88200, 176400, 352800, 12000, 24000, 48000, 96000, 192000, 384000]
+
+
+def _first_asset(r: Bits, static: bool, index: int, size_bits: int) -> tuple[int | None, int | None]:
+    """Sampling frequency and channels of the first asset, from after the substream's sizes; only static fields tell them."""
+    if not static:
+        return None, None
+    r.skip(2 + 3)
+    if r.flag():
+        r.skip(36)
+    presentations, assets = r.u(3) + 1, r.u(3) + 1
+    masks = [r.u(index + 1) for _ in range(presentations)]
+    r.skip(8 * sum(m.bit_count() for m in masks))
+    if r.flag():
+        r.skip(2)
+        width, configs = (r.u(2) + 1) * 4, r.u(2) + 1
+        r.skip(width * configs)
+    r.skip(size_bits * assets)
+    r.skip(9 + 3)
+    if r.flag():
+        r.skip(4)
+    if r.flag():
+        r.skip(24)
+    if r.flag():
+        r.skip(8 * (r.u(10) + 1))
+    r.skip(5)
+    rate, channels = r.u(4), r.u(8) + 1
+    return _DTS_HD_RATES[rate], channels
+
+
+def dts_hd_frames(data: bytes) -> Iterator[tuple]:
+    """DTS-HD extension substreams, each with the sampling frequency and channels of its first asset."""
+    at, n = 0, 0
+    while (at := data.find(b"\x64\x58\x20\x25", at)) >= 0 and at + 10 <= len(data):
+        r = Bits(data, (at + 4) * 8)
+        r.skip(8)
+        index, wide = r.u(2), r.flag()
+        head_bits, size_bits = (12, 20) if wide else (8, 16)
+        head, size = r.u(head_bits) + 1, r.u(size_bits) + 1
+        try:
+            rate, channels = _first_asset(Bits(data[: at + head], r.at + 1), r.flag(), index, size_bits)
+        except EOFError:  # a header that is cut off or lies
+            rate = channels = None
+        yield n, at, size, "DTS-HD", rate, channels, None, None
+        at, n = at + max(size, head, 4), n + 1
+
+
+def dts_any_frames(data: bytes) -> Iterator[tuple]:
+    """Extension substreams before core frames, which tell less where both are."""
+    yield from dts_hd_frames(data)
+    yield from dts_frames(data)
+
+
 # Sampling frequencies and channel groups of the MLP major sync.
 _MLP_RATES = {0: 48000, 1: 96000, 2: 192000, 8: 44100, 9: 88200, 10: 176400}
 _MLP_CHANNELS = [1, 2, 3, 4, 3, 4, 5, 3, 4, 5, 4, 5, 6, 4, 5, 4, 5, 6, 5, 5, 6]

@@ -180,7 +180,7 @@ def test_aiff_ps_and_audio(spark, tmp_path):
 
 def test_parsers_survive_noise():
     r = random.Random(5)
-    parsers = [containers.boxes, containers.box_tables, containers.ebml, containers.blocks, containers.tlv_packets, containers.mmtp_packets, containers.ntp_packets, containers.aiff_chunks, containers.program_stream, video.mpeg2_elements, video.av1_obus, video.av1_annexb, video.ivf_frames, audio.adts_frames, audio.loas_frames, audio.mpeg_audio_frames, audio.ac3_frames, audio.dts_frames, audio.hdmv_lpcm, *(video.nal_units(c) for c in ("avc", "hevc", "vvc")), *(video.sei_messages(c) for c in ("avc", "hevc", "vvc"))]
+    parsers = [containers.boxes, containers.box_tables, containers.ebml, containers.blocks, containers.tlv_packets, containers.mmtp_packets, containers.ntp_packets, containers.aiff_chunks, containers.program_stream, video.mpeg2_elements, video.av1_obus, video.av1_annexb, video.ivf_frames, audio.adts_frames, audio.loas_frames, audio.mpeg_audio_frames, audio.ac3_frames, audio.dts_frames, audio.dts_hd_frames, audio.hdmv_lpcm, *(video.nal_units(c) for c in ("avc", "hevc", "vvc")), *(video.sei_messages(c) for c in ("avc", "hevc", "vvc"))]
     for parser in parsers:
         for _ in range(40):
             data = bytes(r.choice([0, 0, 1, 3, 0x47, 0x7F, 0x0B, 0x77, 255, r.randrange(256)]) for _ in range(r.randint(0, 200)))
@@ -210,6 +210,8 @@ def test_broken_messages_and_streams():
     marks = b"\0\3" + b"\xff\xff\0\0\0\7\2hi\0" + b"\0\1\0\0\0\x09\3abc" + b"\0\2\0\0\0\0\x50x"
     aiff = b"FORM\0\0\1\0AIFCCOMM" + (28).to_bytes(4, "big") + bytes(18) + b"sowt\4Soft\0" + b"MARK" + len(marks).to_bytes(4, "big") + marks + b"\0" * (len(marks) % 2) + b"SSND\0\0\0\x08\0\0\0\1\0\0\0\2"
     assert [x[2:] for x in containers.aiff_fields(aiff)] == [("compression", None, "sowt"), ("compression_name", None, "Soft"), ("id", -1, None), ("position", 7, None), ("text", None, "hi"), ("id", 1, None), ("position", 9, None), ("text", None, "abc"), ("offset", 1, None), ("block_size", 2, None)]
+    core = bytes.fromhex("7FFE8001FC3C0FF0B5E000000000000000")
+    assert [x[3] for x in audio.dts_any_frames(bytes.fromhex("64582025003FFFFFFFFF") + core)] == ["DTS-HD", "DTS"]
     for parser, whole in ((containers.aiff_fields, aiff), (mmt.events, message), (mmt.ca_descriptors, access), (av1_state.av1_reference_state, stream)):
         broken = [whole[:k] for k in range(len(whole))] + [whole[:k] + bytes([r.randrange(256)]) + whole[k + 1 :] for k in range(len(whole)) for _ in range(4)]
         for data in broken:
