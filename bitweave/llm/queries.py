@@ -17,6 +17,7 @@ from .html_extraction import op10_html_extraction
 from .language_id import op5_language_id
 from .ngram_join import op4_ngram_jaccard_join
 from .packing import op7_packing
+from .personal_data import op13_personal_data
 from .prefix_trie import ORACLE_SQL as TRIE_SQL
 from .prefix_trie import op11_prefix_trie
 from .sharding import op6_sharding
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_personal_data": op13_personal_data,
     "op3_chat_formatting": op3_chat_formatting,
     "chat_tool_calls": chat_tool_calls,
 }
