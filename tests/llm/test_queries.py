@@ -12,6 +12,7 @@ TABLES = "documents embeddings pages benchmark conversations".split()
 COLUMNS = {
     "op1_decontamination": ("documents", {"doc_id", "contaminated", "n_items", "item_ids"}), "op5_language_id": ("documents", {"doc_id", "held_out", "lang_pred", "score"}),
     "op7_packing": (None, {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}), "op10_html_extraction": ("pages", {"page_id", "url", "text", "n_chars"}),
+    "op13_personal_data": ("documents", {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"}),
 }
 
 
