@@ -241,7 +241,7 @@ def test_disclosing_terms_equal_the_definition(spark):
         if r.random() < 0.3:
             words.insert(r.randrange(len(words)), "\n")
         texts.append(" ".join(words))
-    texts += ["", "Anneliese without her address", "mail ann@x.org now é ANNELIESE!", texts[0], texts[0]]
+    texts += ["", "Anneliese without her address", "mail ann@x.org now é ANNELIESE!", texts[0], texts[0], "Abel Cain Eve 17 " * 200]
     rows = [(k, t) for k, t in enumerate(texts)] + [(3, None), (None, "bob@y.net"), (3, "bob@y.net w1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"term": F.lit("clash"), "entity": F.lit(1), "base": F.lit(2)}).repartition(5)
     found = personal.personal_data(docs).collect()
