@@ -87,6 +87,7 @@ def _table(width: int, poly: int) -> list[int]:
     return out
 
 
+LANE = 1 << 14
 _MIRRORED = bytes(_mirror(x, 8) for x in range(256))
 
 
@@ -100,14 +101,24 @@ def crc(data: bytes, name: str, standard: bool = False) -> int:
     return _mirror(r, width) ^ last if reflected else r ^ last
 
 
-def crc_many(rows: list[bytes], name: str, standard: bool = False) -> np.ndarray:
-    """The checks of many byte strings side by side: one step a byte position over all that reach it."""
-    width, poly, init, last, reflected = parameters()[name]
-    if standard:
-        init, last = PUBLISHED.get(name, (init, last))
+def _start(name: str, standard: bool) -> tuple[int, int]:
+    """(initial register, final xor)."""
+    _, _, init, last, _ = parameters()[name]
+    return PUBLISHED.get(name, (init, last)) if standard else (init, last)
+
+
+def registers(rows: list[bytes], name: str, init: int = 0) -> np.ndarray:
+    """The register after each of many byte strings, side by side: one step a byte position over all that reach it."""
+    width, poly, _, _, reflected = parameters()[name]
     lengths = np.array([len(x) for x in rows], np.int64)
-    if not len(rows) or int(lengths.max()) * 2_000 > int(lengths.sum()) + 20_000_000:  # a few long ones
-        return np.array([crc(x, name, standard) for x in rows], np.uint64)
+    long = np.flatnonzero(lengths > 2 * LANE)
+    if len(long):
+        out = np.empty(len(rows), np.uint64)
+        short = np.flatnonzero(lengths <= 2 * LANE)
+        out[short] = registers([rows[k] for k in short.tolist()], name, init)
+        for k in long.tolist():
+            out[k] = _long_register(rows[k], name, init)
+        return out
     order = np.argsort(-lengths, kind="stable")
     starts, ordered = (np.cumsum(lengths) - lengths)[order], lengths[order]
     data = b"".join(rows)
@@ -115,20 +126,122 @@ def crc_many(rows: list[bytes], name: str, standard: bool = False) -> np.ndarray
     table, u = np.array(_table(width, poly), np.uint64), np.uint64
     mask, shift = u((1 << width) - 1), u(width - 8)
     register = np.full(len(rows), init, np.uint64)
-    for k in range(int(ordered[0])):
+    for k in range(int(ordered[0]) if len(rows) else 0):
         n = int(np.searchsorted(-ordered, -k, side="left"))  # so many are longer than k bytes
         r = register[:n]
         register[:n] = ((r << u(8)) & mask) ^ table[((r >> shift) ^ flat[starts[:n] + k]).astype(np.int64)]
-    if reflected:
-        mirrored = np.zeros(len(rows), np.uint64)
-        for k in range(width):
-            mirrored |= ((register >> u(k)) & u(1)) << u(width - 1 - k)
-        register = mirrored
     out = np.empty(len(rows), np.uint64)
-    out[order] = register ^ u(last)
+    out[order] = register
+    return out
+
+
+def _long_register(data: bytes, name: str, init: int) -> int:
+    """One long byte string, cut into lanes that run side by side; their registers are shifted to its end and added."""
+    lanes = [data[k : k + LANE] for k in range(0, len(data), LANE)]
+    after = len(data) - np.minimum(np.arange(1, len(lanes) + 1) * LANE, len(data))
+    whole = np.bitwise_xor.reduce(shifted(registers(lanes, name), after, name))
+    return int(whole ^ shifted(np.array([init], np.uint64), np.array([len(data)]), name)[0])
+
+
+@cache
+def shifts(width: int, poly: int) -> list[list[int]]:
+    """Matrices over GF(2) that move a register past 2**k zero bytes, for k up to 62; a matrix is what becomes of each bit."""
+    table, mask = _table(width, poly), (1 << width) - 1
+    one = [((1 << b << 8) & mask) ^ table[1 << b >> (width - 8)] for b in range(width)]
+    out = [one]
+    for _ in range(62):
+        m = out[-1]
+        square = []
+        for column in m:
+            total = 0
+            for b in range(width):
+                if column >> b & 1:
+                    total ^= m[b]
+            square.append(total)
+        out.append(square)
+    return out
+
+
+def shifted(register: np.ndarray, n_bytes: np.ndarray, name: str) -> np.ndarray:
+    """Each register after as many zero bytes as ``n_bytes`` says: what a chunk adds to the check of a stream that goes on so far after it."""
+    width, poly = parameters()[name][:2]
+    r, left, u = register.astype(np.uint64), np.asarray(n_bytes, np.int64), np.uint64
+    for k in range(int(left.max(initial=0)).bit_length()):
+        moving = np.flatnonzero(left >> k & 1)
+        if len(moving):
+            old, new = r[moving], np.zeros(len(moving), np.uint64)
+            for b, column in enumerate(shifts(width, poly)[k]):
+                new ^= ((old >> u(b)) & u(1)) * u(column)
+            r[moving] = new
+    return r
+
+
+def _mirror_many(register: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros(len(register), np.uint64)
+    for k in range(width):
+        out |= ((register >> np.uint64(k)) & np.uint64(1)) << np.uint64(width - 1 - k)
     return out
 
 
+def crc_many(rows: list[bytes], name: str, standard: bool = False) -> np.ndarray:
+    """The checks of many byte strings."""
+    init, last = _start(name, standard)
+    register = registers(rows, name, init)
+    return (_mirror_many(register, parameters()[name][0]) if parameters()[name][4] else register) ^ np.uint64(last)
+
+
+def crc_aggregate(rows: DataFrame, data: str, after: str, by: tuple[str, ...] = (), names: tuple[str, ...] | None = None, standard: bool = False) -> DataFrame:
+    """The checks of streams whose chunks are rows: by, name, n_bytes, check (upper-case hex).
+
+    ``after``: how many bytes of the stream follow a chunk.  The register of a
+    stream is the sum (xor) of what each chunk adds, so this is an ordinary
+    aggregate: chunks may stand in any order and partition, partial sums are made
+    before the shuffle, and a group never meets in one place.  A null chunk is empty.
+    """
+    names = tuple(names or parameters())
+
+    @F.pandas_udf("array<bigint>")
+    def adds(chunk: pd.Series, n: pd.Series) -> pd.Series:
+        values = [x or b"" for x in chunk]
+        columns = [shifted(registers(values, name), n.to_numpy(), name).view(np.int64) for name in names]
+        return pd.Series(list(np.stack(columns, 1)))
+
+    parts = rows.select(*by, F.coalesce(F.octet_length(data), F.lit(0)).cast("bigint").alias("_n"), adds(F.col(data), F.col(after)).alias("_add"))
+    sums = parts.groupBy(*by).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_bytes"), *(F.coalesce(F.bit_xor(F.col("_add")[k]), F.lit(0).cast("bigint")).alias(f"_r{k}") for k in range(len(names))))
+
+    @F.pandas_udf("array<string>")
+    def checks(n: pd.Series, added: pd.Series) -> pd.Series:
+        out = []
+        for k, name in enumerate(names):
+            (width, _, _, _, reflected), (init, last) = parameters()[name], _start(name, standard)
+            r = np.array([x[k] for x in added], np.int64).view(np.uint64) ^ shifted(np.full(len(n), init, np.uint64), n.to_numpy(), name)
+            r = (_mirror_many(r, width) if reflected else r) ^ np.uint64(last)
+            out.append([format(int(x), f"0{width // 4}X") for x in r])
+        return pd.Series([list(x) for x in zip(*out, strict=True)])
+
+    found = F.explode(F.arrays_zip(F.lit(list(names)).alias("name"), checks("n_bytes", F.array(*(f"_r{k}" for k in range(len(names))))).alias("check")))
+    return sums.select(*by, "n_bytes", found.alias("_x")).select(*by, "_x.name", "n_bytes", "_x.check")
+
+
+def crc_in_order(rows: DataFrame, data: str, order: str, by: tuple[str, ...] = (), names: tuple[str, ...] | None = None, standard: bool = False) -> DataFrame:
+    """``crc_aggregate`` of the rows' bytes one after the other by an integer column, that has no two equal values in a stream."""
+    from ..operators.ordered import with_running_sum
+
+    size = F.coalesce(F.octet_length(data), F.lit(0)).cast("bigint")
+    upto = with_running_sum(rows.select(*by, order, data), {"_upto": size}, order, by)
+    totals = rows.groupBy(*by).agg(F.sum(size).alias("_total"))
+    both = upto.join(totals, list(by)) if by else upto.crossJoin(F.broadcast(totals))  # a row a stream
+    return crc_aggregate(both.withColumn("_after", F.col("_total") - F.col("_upto")), data, "_after", by, names, standard)
+
+
+def file_crc(spark: SparkSession, path: str, names: tuple[str, ...] | None = None, split_bytes: int = 64 << 20, standard: bool = False) -> DataFrame:
+    """name, n_bytes, check of a stream of any size, each byte range by itself."""
+    from ..sources.byte_streams import read_ranges
+
+    chunks = read_ranges(spark, path, split_bytes).select("data", (F.col("total") - F.col("start") - F.col("own")).alias("_after"))
+    return crc_aggregate(chunks, "data", "_after", (), names, standard)
+
+
 def crc_hex(data: Column, name: str, standard: bool = False) -> Column:
     """Upper-case hex of a check over a binary column; crc-32 runs in the JVM, others over Arrow batches."""
     digits = parameters()[name][0] // 4

@@ -12,7 +12,8 @@ from ..operators.packets import parse_packets
 from ..operators.shared import shared_folder
 from ..sources import audio, containers, video
 from ..sources.blobs import parse_blobs
-from ..sources.packets import probe, read_packets, write_ordered
+from ..sources.byte_streams import write_stream
+from ..sources.packets import probe, read_packets
 from ..streaming import units as streaming
 from . import emap, parser_queries
 from .blob_queries import joined
@@ -131,7 +132,7 @@ def mkv_track_es(spark: SparkSession, sf: str) -> DataFrame:
 def ts_file_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The events as packets in a file of ordered parts, of which a range is scanned."""
     at = shared_folder(spark)
-    write_ordered(emap.pack(emap.direct(spark, sf)), at, "pkt_idx", "raw").collect()  # a row for each part
+    write_stream(emap.pack(emap.direct(spark, sf)), at, ["pkt_idx"], "raw")
     packets = parse_packets(read_packets(spark, at, 192, start=100).where("pkt_idx < 9000"), prefix=4)
     return packets.select("pkt_idx", "pid", "atc", "pusi", "pts90")
 

@@ -1,15 +1,16 @@
-"""Scans of fixed-length packets: format probe, a data source with packet-range pushdown, and ordered byte sinks."""
+"""Scans of fixed-length packets: format probe, and a data source with packet-range pushdown."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .byte_streams import opened, parts_of
+
 #: (name, packet size, bytes before the sync byte), in the order of the probe.
 FORMATS = [("ts188", 188, 0), ("ts204", 204, 0), ("ts208", 208, 0), ("m2ts192", 192, 4)]
 # File extensions and the format they stand for.
@@ -31,11 +32,6 @@ def probe(head: bytes, whole: bool = False) -> str | None:
     return None
 
 
-def _open(path: str):
-    system, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    return system, at
-
-
 class PacketPartition(InputPartition):
     """Packets [first, last) of one file, whose first packet is number ``base`` of the stream."""
 
@@ -67,18 +63,9 @@ class PacketReader(DataSourceReader):
                     self.last = value + 1 if self.last is None else min(self.last, value + 1)
             yield f  # Spark checks every row again
 
-    def _files(self) -> list[tuple[str, int]]:
-        """(path, bytes) of each part."""
-        system, at = _open(self.path)
-        info = system.get_file_info(at)
-        if info.type != fs.FileType.Directory:
-            return [(self.path, info.size)]
-        parts = sorted((f.base_name, f.size) for f in system.get_file_info(fs.FileSelector(at)) if f.type == fs.FileType.File and f.base_name[0] not in "._")
-        return [(f"{self.path.rstrip('/')}/{name}", size) for name, size in parts]
-
     def partitions(self) -> list[PacketPartition]:
         out, base = [], 0
-        for path, size in self._files():
+        for path, size in parts_of(self.path):
             n = size // self.size
             first, last = max(0, self.first - base), n if self.last is None else max(0, min(n, self.last - base))
             out += [PacketPartition(path, k, min(last, k + self.split), base) for k in range(first, last, self.split)]
@@ -88,7 +75,7 @@ class PacketReader(DataSourceReader):
     def read(self, partition: PacketPartition) -> Iterator[pa.RecordBatch]:
         if partition.first >= partition.last:
             return
-        system, at = _open(partition.path)
+        system, at = opened(partition.path)
         with system.open_input_file(at) as f:
             for k in range(partition.first, partition.last, 8192):
                 n = min(8192, partition.last - k)
@@ -118,26 +105,3 @@ def read_packets(spark: SparkSession, path: str, packet_size: int = 188, start:
     reader = spark.read.format("packets").option("packet_size", packet_size).option("start", start)
     return (reader.option("end", end) if end is not None else reader).load(path)
 
-
-def write_ordered(rows: DataFrame, path: str, order: str, data: str) -> DataFrame:
-    """Writes a binary column in the order of another as parts whose names sort in that order; returns (part, n_bytes).
-
-    Range partitioning keeps every part contiguous, so the parts joined by name
-    are the stream, and no task holds more than its range.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = f"part-{TaskContext.get().partitionId():06d}.bin"
-        system, at = _open(path)
-        system.create_dir(at, recursive=True)
-        n = 0
-        with system.open_output_stream(f"{at}/{part}") as f:
-            for batch in batches:
-                for x in batch.column(0):
-                    n += len(x.as_py() or b"")
-                    f.write(x.as_py() or b"")
-        yield pa.record_batch([pa.array([part]), pa.array([n])], names=["part", "n_bytes"])
-
-    return rows.repartitionByRange(order).sortWithinPartitions(order).select(data).mapInArrow(run, "part string, n_bytes long")

@@ -9,7 +9,8 @@ from bitweave.operators import packets as ts
 from bitweave.operators import psi
 from bitweave.operators.ordered import with_lag, with_last_known, with_running_sum
 from bitweave.plans import emap
-from bitweave.sources.packets import probe, read_packets, write_ordered
+from bitweave.sources.byte_streams import write_stream
+from bitweave.sources.packets import probe, read_packets
 
 
 def bitwise_crc(data, width, poly, init, last, reflected):
@@ -143,7 +144,7 @@ def test_rewrites(spark, stream, tmp_path):
     assert [r["atc"] for r in back] == [(0x1951D2E + k * 0x1F2) & 0x3FFFFFFF for k in range(len(raw))]
     undone = rows.select("pkt_idx", ts.remap_pid(ts.strip_prefix(F.col("raw")), {0x1234: 0x101}).alias("raw"))
     out = tmp_path / "out"
-    assert sum(r["n_bytes"] for r in write_ordered(undone, str(out), "pkt_idx", "raw").collect()) == 188 * len(raw)
+    assert sum(n for _, n in write_stream(undone, str(out), ["pkt_idx"], "raw")) == 188 * len(raw)
     assert b"".join(p.read_bytes() for p in sorted(out.iterdir()) if p.name.endswith(".bin")) == b"".join(raw)
     assert ts.null_packets(spark, 33, 33).count() == 31 and ts.null_packets(spark, 64, 64).count() == 0
 
