@@ -10,19 +10,17 @@ from html import unescape
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style noscript template iframe svg object canvas audio video map button select textarea option datalist title head".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
-HOLLOW = (UNSEEN - {"title", "head"}) | {"math"}  # nothing in these ends a block
+UNSEEN = frozenset("script style template iframe noembed noframes textarea select option datalist title head".split())  # scripts, styles, form fields, and what stands for other pages
+INLINE = frozenset("a abbr acronym audio b bdi bdo big br button canvas cite code data del dfn em font i img input ins kbd label map mark nobr noscript object q rp rt ruby s samp small span strike strong sub sup time tt u var video wbr".split())
+HOLLOW = (UNSEEN - {"title", "head"}) | {"math", "svg"}  # nothing in these ends a block
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+_COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_MAY_HIDE = re.compile(r"hidden|display", re.I)
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -31,7 +29,6 @@ class Node:
     tag: str
     parent: int
     names: list[str]
-    hidden: bool = False
     label: int = -1
     text: int = 0  # characters of text below
     linked: int = 0  # of those, inside links
@@ -46,36 +43,28 @@ class Page:
     runs: list[tuple[int, int, str]] = field(default_factory=list)  # (block number, node, text)
 
 
-def _hides(tag: str, attributes: str) -> bool:
-    """Whether an element and all in it are unseen. A whole page that is hidden is one that a script shows."""
-    if not attributes or tag in {"html", "body"} or not _MAY_HIDE.search(attributes):
-        return False
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), "".join(values)
-        if name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _UNSHOWN.search(value):
-            return True
-    return False
-
-
 def parse(html: str, labelled: bool = False) -> Page:
     """Blocks end wherever a block-level tag starts or ends; an inline tag, and all in formulas and unseen elements, never ends one.
 
-    The places of open elements are kept by tag, so that the depth of the tree costs nothing.
+    Every element shows its text, also one that a browser would hide, but for ``UNSEEN`` ones.  The places of open elements are kept
+    by tag, so that the depth of the tree costs nothing.  A quote inside a tag protects a ``>``, until a tag is met that doesn't end for
+    its quotes: from there on none does, and every tag is read once.
     """
     page = Page([Node("#root", -1, [])])
     nodes, runs = page.nodes, page.runs
-    stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # open elements; inline ones share their block's node
+    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements; inline ones share their block's node
     places: dict[str, list[int]] = {}  # where each tag is open
     walls: list[int] = [0]  # where blocks are open
     block, unseen, hollow, links, at, size = 0, 0, 0, 0, 0, len(html)
+    quoted, last_end = True, html.rfind(">")
 
-    def push(tag: str, node: int, unshown: bool, wall: bool) -> None:
+    def push(tag: str, node: int, wall: bool) -> None:
         nonlocal unseen, hollow, links
         places.setdefault(tag, []).append(len(stack))
         if wall:
             walls.append(len(stack))
-        stack.append((tag, node, unshown))
-        unseen += tag in UNSEEN or unshown
+        stack.append((tag, node))
+        unseen += tag in UNSEEN
         hollow += tag in HOLLOW
         links += tag == "a"
 
@@ -83,11 +72,11 @@ def parse(html: str, labelled: bool = False) -> Page:
         """Closes the element at place k and all in it."""
         nonlocal unseen, hollow, links
         while len(stack) > k:
-            tag, _, unshown = stack.pop()
+            tag = stack.pop()[0]
             places[tag].pop()
             if walls[-1] == len(stack):
                 walls.pop()
-            unseen -= tag in UNSEEN or unshown
+            unseen -= tag in UNSEEN
             hollow -= tag in HOLLOW
             links -= tag == "a"
 
@@ -120,21 +109,28 @@ def parse(html: str, labelled: bool = False) -> Page:
             break
         if begin > at:
             add(html[at:begin])
-        m = _MARKUP.match(html, begin) or _LOOSE.match(html, begin)
-        if m is None:  # a bare "<" is text, a broken tag at the end is dropped
-            if re.match(r"<[/!?A-Za-z]", html[begin : begin + 2]):
-                end = html.find("<", begin + 1)
-                at = size if end < 0 else end
-            else:
-                add("<")
-                at = begin + 1
+        after = html[begin + 1 : begin + 3]
+        if after[:1] == "!" and (m := _COMMENT.match(html, begin)):
+            at = m.end()
+            if m[0].startswith("<![CDATA["):
+                add(m[0][9:].removesuffix("]]>"))
+            continue
+        if not re.match(r"[!?A-Za-z]|/.", after, re.S):  # a bare "<" is text
+            add("<")
+            at = begin + 1
+            continue
+        if begin > last_end:  # nothing ends any more: a broken tag is dropped
+            end = html.find("<", begin + 1)
+            at = size if end < 0 else end
+            continue
+        m = _TAG.match(html, begin) if quoted else None
+        if m is None and re.match(r"/?[A-Za-z]", after):
+            quoted, m = False, _LOOSE.match(html, begin)
+        if m is None:  # <!doctype>, <?xml?>, </ >
+            at = html.find(">", begin) + 1
             continue
         at = m.end()
         tag = m.group(2)
-        if tag is None:
-            if m.group(0).startswith("<![CDATA["):
-                add(m.group(0)[9:].removesuffix("]]>"))
-            continue
         tag = tag.lower()
         if m.group(1):
             k = last({tag})
@@ -156,7 +152,7 @@ def parse(html: str, labelled: bool = False) -> Page:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 at = end.end() if end else size
             elif tag not in VOID and not m.group(0).endswith("/>"):
-                push(tag, stack[-1][1], _hides(tag, m.group(3)), False)
+                push(tag, stack[-1][1], False)
             continue
         block += 1
         if tag in CLOSES_P:
@@ -170,16 +166,16 @@ def parse(html: str, labelled: bool = False) -> Page:
         if tag in VOID:
             continue
         attributes = m.group(3)
-        names, hidden = [], _hides(tag, attributes)
+        names = []
         if attributes and "=" in attributes:
             names = [t.lower() for found in _NAMES.findall(attributes) for part in found if part for t in _TOKEN.findall(part)]
-        node = Node(tag, stack[-1][1], names, hidden)
+        node = Node(tag, stack[-1][1], names)
         if labelled:
             y = re.search(r"data-y=(\d)", attributes)
             node.label = int(y[1]) if y else -1
         nodes.append(node)
         nodes[node.parent].paragraphs += tag == "p"
-        push(tag, len(nodes) - 1, hidden, True)
+        push(tag, len(nodes) - 1, True)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end.end() if end else size

@@ -12,13 +12,15 @@ _CHROME = {
     "footer": "footer site-footer bottom copyright legal colophon footnav credits".split(),
     "aside": "sidebar aside widget widgets rail secondary side-column related recommended more-stories trending popular promo teaser tags social share sharing author-box".split(),
     "ad": "ad ads advert adverts advertisement sponsor sponsored adsense banner-ad promo promoted dfp outbrain taboola affiliate".split(),
-    "notice": "notice cookie cookies cookie-notice consent gdpr alert warning popup modal overlay paywall newsletter subscribe announcement disclaimer message".split(),
+    "notice": "notice cookie cookies cookie-notice consent gdpr alert warning popup modal overlay paywall newsletter subscribe announcement".split(),
     "form": "form search login signup search-form contact subscribe-form newsletter-form poll survey".split(),
     "comments": "comments comment comment-list respond discussion disqus replies reply responses reader-comments reviews guestbook".split(),
 }
 _CONTENT = "article post entry content main story article-body post-content entry-content page-content body text main-content body-text story-body prose".split()
 _NEUTRAL = "container wrapper row col inner page wrap layout section block box outer grid clearfix site".split()
 
+_ANYWHERE = "message note warning alert tip lead intro highlight caption summary quote link contact social tags notice banner related form comment".split()
+
 _NAMED = re.compile(r' (?:class|id|role)=(?:"[^"]*"|[^\s>]+)')
 
 
@@ -92,7 +94,10 @@ def _body(r: random.Random) -> str:
             text = _words(r, 1, 6, True) if r.random() < short else _words(r, 8, 110, not drone)
             if r.random() < 0.25:
                 text += f" {_link(r)} {_words(r, 3, 20, True)}"
-            out.append(f"<{block} data-y=1>{text}{f'</{block}>' if block == 'div' or r.random() < 0.8 else ''}")
+            named = ""
+            if r.random() < 0.15:  # words that stand on chrome elsewhere, or that no list has, on a paragraph of the article
+                named = f' class="{r.choice(_ANYWHERE) if r.random() < 0.7 else _word(r)}"'
+            out.append(f"<{block} data-y=1{named}>{text}{f'</{block}>' if block == 'div' or r.random() < 0.8 else ''}")
         elif x < 0.70:
             out.append(f"<h{(k := r.randint(2, 4))} data-y=1>{_words(r, 1, 6)}</h{k}>")
         elif x < 0.78:

@@ -15,10 +15,11 @@ invented layouts of ``_labelled_pages``.  The model has a few hundred weights.
 
 Defined results: a null or empty page gives ''; white space inside a block is
 one space, which holds for ``<br>`` too; unclosed and stray tags are tolerated,
-at any depth; scripts, styles, templates, buttons, selections, drawings, what
-stands in for scripts and media that don't run, and elements marked hidden (which
-a browser doesn't show either) are never text, and don't end the block that they
-are in; formulas are text; rows with equal ids are read one by one; the whole page
+at any depth; scripts, styles, templates, frames and the fields of forms are never
+text, and don't end the block that they are in; all else is, whether a browser
+would show it or not (a button's words in a sentence, ``hidden`` paragraphs, what
+stands in for a script or a film); a tag that never ends is dropped, up to the next
+``<``; formulas are text; rows with equal ids are read one by one; the whole page
 is read.
 """
 
@@ -74,7 +75,7 @@ class Model:
         local = [(1.0, 1.0)] * n
         for i in range(1, n):
             node = nodes[i]
-            odds = self.bias + sum(get(x, 0.0) for x in _evidence(node)) - (30.0 if node.hidden else 0.0)
+            odds = self.bias + sum(get(x, 0.0) for x in _evidence(node))
             odds = max(-30.0, min(30.0, odds))
             p = 1.0 / (1.0 + 2.718281828459045**-odds)
             local[i] = (max(1.0 - p, 1e-13), max(p, 1e-13))
@@ -199,7 +200,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
     shared = bounded_batches(pages.sparkSession).sparkContext.broadcast(model or default_model())
     keep = [c for c in keep if c not in ("text", "n_chars")]
     fields = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in keep)
-    out = pages.select(*keep, F.col(html_col).alias("_html")).mapInArrow(_extract(shared), f"{fields}text string")
+    out = pages.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{html_col}`").alias("_html")).mapInArrow(_extract(shared), f"{fields}text string")
     return out.withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
