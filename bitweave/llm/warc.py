@@ -118,10 +118,12 @@ def _header(lines: bytes) -> dict[bytes, bytes]:
 
 
 def candidates(archive: str, data: bytes, keep_payload: bool) -> Iterator[tuple]:
-    """Everything in an archive that looks like a record."""
-    for m in _MAGIC.finditer(data):
-        at, end = m.start(), data.find(b"\r\n\r\n", m.start())
-        if end < 0:
+    """Everything in an archive that looks like a record. A header ends at the first blank line, and holds no second magic."""
+    places, end = [m.start() for m in _MAGIC.finditer(data)], -1
+    for at, following in zip(places, [*places[1:], len(data)], strict=False):
+        if end < at and (end := data.find(b"\r\n\r\n", at)) < 0:
+            return
+        if following < end:
             continue
         field = _header(data[at:end])
         length = _number(field.get(b"content-length"))
