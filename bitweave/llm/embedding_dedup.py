@@ -28,7 +28,8 @@ holds a few dozen vectors of a label, up to ``MOST_CENTRES`` a half: enough for
 
 Defined results: rows whose vector or label or id is null, whose vector is zero,
 empty, or holds null or non-finite components link with nothing; vectors of
-different lengths don't link with each other; -0.0 is 0.0; rows with equal ids are one node; an empty table gives an
+different lengths don't link with each other; -0.0 is 0.0; ids are taken to be unique, and rows that
+share one are read one by one, each with a result of its own; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -141,8 +142,14 @@ def _matrix(data: list[bytes], form: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(data), form).reshape(len(data), -1).astype(np.float64)
 
 
-def _unit(data: list[bytes], form: np.dtype) -> np.ndarray:
+def _scaled(data: list[bytes], form: np.dtype) -> np.ndarray:
+    """The vectors, each by the power of two that brings its largest component to about one: squares neither vanish nor overflow, and no bit is lost."""
     x = _matrix(data, form)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
+def _unit(data: list[bytes], form: np.dtype) -> np.ndarray:
+    x = _scaled(data, form)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -194,7 +201,7 @@ def _compare(threshold: float, form: np.dtype):
             if not held or not seeking:
                 continue
             ids, others = np.array([r[0] for r in seeking]), np.array([r[0] for r in held])
-            x, y = (_matrix([r[2] for r in side], form) for side in (seeking, held))
+            x, y = (_scaled([r[2] for r in side], form) for side in (seeking, held))
             cosine = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1))
             near = (cosine >= threshold) & (ids[:, None] != others)
             counts = near @ np.array([r[1] for r in held], dtype=np.int64)
