@@ -10,7 +10,8 @@ behind the last turn that they need (longest path of any length, by pointer
 jumping along chosen predecessors, only over the conversations where something is
 out of order).  Arguments are validated against
 schemas (tool, param, type, required).  Every message becomes canonical JSON:
-keys sorted at every level, no white space, numbers in their shortest form.
+keys sorted at every level, no white space, numbers in one spelling
+(``plain_numbers``).
 
 One row per message comes out, with its position in the conversation.  Positions
 are ranks inside spans of 256 turns plus the sizes of the spans before, so that a
@@ -57,9 +58,28 @@ def _json_type(value: Column) -> Column:
     )
 
 
+def plain_numbers(raw: Column) -> Column:
+    """JSON text with each number that has a fraction or an exponent in one spelling: digits alone if it is whole, else no zeros at the end.
+
+    Numbers of more than 38 digits are spelled as the double next to them.
+    """
+
+    def spelled(t: Column) -> Column:
+        double, whole, exact = t.try_cast("double"), t.try_cast("decimal(38,0)"), t.try_cast("decimal(38,19)")
+        tidy = F.regexp_replace(F.regexp_replace(F.format_string("%s", exact.cast("string")), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        large = F.abs(double) >= F.lit(1e15)  # such doubles are whole, and most have more digits than a fraction leaves room for
+        text = F.when(large, F.coalesce(whole.cast("string"), double.cast("string"))).when(exact.cast("double") == double, tidy).otherwise(double.cast("string"))
+        return F.when(text.isin("-0", "0"), "0").when(F.abs(double) == F.lit(float("inf")), t).otherwise(F.coalesce(text, t))
+
+    number = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+    tokens = F.regexp_extract_all(raw, F.lit(rf'(?s)"(?:[^"\\]|\\.)*"|{number}|[^"0-9-]+|.'), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("^-?[0-9].*[.eE]|^-0$|[0-9]{39}"), spelled(t)).otherwise(t)), "")
+
+
 def _calls(messages: DataFrame) -> DataFrame:
     """conv, turn, ord, id, tool, arguments (variant), refs."""
     found = messages.where("role = 'assistant' and text like '%<tool_call>%'").select("conv", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(_CALL), F.lit(1))).alias("ord", "raw"))
+    found = found.withColumn("raw", plain_numbers(F.col("raw")))
     parsed = found.select("conv", "turn", "ord", "raw", F.try_parse_json("raw").alias("v")).where("v is not null")
     parsed = parsed.select("conv", "turn", "ord", F.try_variant_get("v", "$.id", "string").alias("id"), F.try_variant_get("v", "$.name", "string").alias("tool"), F.coalesce(F.try_variant_get("v", "$.arguments", "variant"), F.parse_json(F.lit("{}"))).alias("arguments"))
     return parsed.withColumn("refs", F.array_distinct(F.regexp_extract_all(F.to_json("arguments"), F.lit(r'"\$\{([^}"]+)\}"'), F.lit(1))))

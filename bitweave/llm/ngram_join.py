@@ -28,8 +28,8 @@ How it runs
    copies is expanded into pairs.
 
 Defined results: null, empty or blank text has an empty set, size 0, and links
-with nothing; fewer than five words make one shingle of all words; rows with
-equal ids are one node; columns other than id and text are ignored.
+with nothing; fewer than five words make one shingle of all words; ids are
+taken to be unique, and rows that share one are read one by one; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
