@@ -4,7 +4,10 @@ Texts become token sequences in lower case without punctuation, in which numbers
 units after a number and names (capitalised inside a sentence) are typed
 placeholders; the values they stand for are kept as slots.  Windows of eight
 template tokens are hash-joined with the benchmark's, once with names as
-placeholders and once as words.  The windows that match are aligned; an alignment
+placeholders and once as words.  All is done a second time with capitalised words
+that start a sentence as names, too, but for those that the benchmark writes in
+lower case elsewhere ("Alice has 5 pens. Bob has 3."); an item is found if either
+reading finds it.  The windows that match are aligned; an alignment
 counts if its slots are consistent, that is, if each value of the benchmark item
 always stands for one value in the document.  So a question whose numbers, units
 or names were replaced throughout is found, and a text that merely has the same
@@ -75,9 +78,14 @@ _SYMBOL[[ord("%"), ord("$")]] = True
 
 
 class Template(Words):
-    """Canonical tokens of several texts: ``typed`` (hashes, names as placeholders), ``plain`` (names as words), ``slot`` (is a placeholder)."""
+    """Canonical tokens of several texts: ``typed`` (hashes, names as placeholders), ``plain`` (names as words), ``slot`` (is a placeholder).
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):  # noqa: super().__init__ cuts at white space
+    With ``common`` (hashes of words that are no names), a capitalised word that starts a sentence is a name too, and
+    there is no reading of names as words; ``sure`` are the placeholders that there are without it.
+    """
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, common: np.ndarray | None = None):  # noqa: super().__init__ cuts at white space
+        self.wide = common is not None
         n = len(raw)
         self.raw, self.offsets = _FOLD[raw], offsets
         kind = _CLASS[raw]
@@ -97,7 +105,7 @@ class Template(Words):
         m = len(self.start)
         if not m:
             self.typed = self.plain = self.one = self.hash
-            self.slot = self.number = np.zeros(0, bool)
+            self.slot = self.sure = self.number = np.zeros(0, bool)
             return
         number = kind[self.start] == 2
         same = np.zeros(m, bool)
@@ -109,7 +117,11 @@ class Template(Words):
         quiet = np.zeros(m, bool)
         quiet[1:] = np.searchsorted(stops, self.start[1:]) == np.searchsorted(stops, self.end[:-1])
         first = raw[self.start]
-        name = (first >= 65) & (first <= 90) & same & quiet & ~unit
+        capital = (first >= 65) & (first <= 90) & ~unit
+        name = capital & same & quiet
+        self.sure, self.lower = number | unit | name, ~capital & ~number & ~unit
+        if self.wide:
+            name |= capital & (self.end - self.start > 1) & ~np.isin(self.hash, common)
         self.plain = self.hash.copy()
         self.plain[number], self.plain[unit] = _NUMBER, _UNIT
         self.typed = self.plain.copy()
@@ -120,10 +132,10 @@ class Template(Words):
     def windows_of(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(first token, hash) of windows: of all with names as placeholders, and of those that hold a name with names as words."""
         kept = self.hash
-        for tokens in (self.typed, self.plain):
+        for tokens in (self.typed,) if self.wide else (self.typed, self.plain):
             self.hash = tokens
             at, h = self.windows(size)
-            if tokens is self.plain:
+            if tokens is self.plain and not self.wide:
                 names = np.concatenate([[0], np.cumsum(self.typed != self.plain)])
                 named = names[at + size] > names[at] if len(at) else np.zeros(0, bool)
                 at, h = at[named], h[named]
@@ -131,9 +143,15 @@ class Template(Words):
         self.hash = kept
 
 
-def _template(texts: list[str]) -> Template:
+def _template(texts: list[str], common: np.ndarray | None = None) -> Template:
     data = [x.encode() for x in texts]
-    return Template(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64))
+    return Template(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64), common)
+
+
+def lower_words(texts: list[str]) -> np.ndarray:
+    """Hashes of the words that texts write in lower case: no names, where they start a sentence."""
+    t = _template(texts)
+    return np.unique(t.hash[t.lower]) if len(t.hash) else t.hash
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
@@ -157,10 +175,10 @@ def _singular(h: np.ndarray) -> np.ndarray:
 class Benchmark:
     """Template windows of some items, as sorted arrays with a bitmap in front."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
-        self.ids = [i for i, _ in items]
-        self.template = t = _template([x for _, x in items])
-        self.words = np.bincount(t.row, weights=~t.slot, minlength=len(items)).astype(np.int64)
+    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, common: np.ndarray | None = None):
+        self.ids, self.common = [i for i, _ in items], common
+        self.template = t = _template([x for _, x in items], common)
+        self.words = np.bincount(t.row, weights=~t.sure, minlength=len(items)).astype(np.int64)
         self.window = window
         self.sizes = sorted({min(window, int(n)) for n in t.count if n})
         hashes, first = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
@@ -278,7 +296,7 @@ class Benchmark:
         size = min(self.window, n)
         least = n if n < self.window else min(LONG_RUN, max(self.window, SHARE * n))
         own = int(self.words[item])
-        slot, one = self.template.slot[first : first + n], self.template.hash[first : first + n]
+        slot, sure, one = self.template.slot[first : first + n], self.template.sure[first : first + n], self.template.hash[first : first + n]
         thing = np.unique(self.thing[first : first + n], return_inverse=True)[1]
         minds: list[tuple[np.ndarray, np.ndarray]] = []  # what each thing stands for, and which tokens are covered
         for shift, windows in alignments:
@@ -306,7 +324,7 @@ class Benchmark:
                     values, covered = np.zeros(n, _U), piece.copy()
                     values[thing[held]] = value[held]
                     minds.append((values, covered))
-                if covered.sum() >= least and (covered & ~slot).sum() >= min(LEAST_WORDS, own):
+                if covered.sum() >= least and (covered & ~sure).sum() >= min(LEAST_WORDS, own):
                     return int(covered.sum())
         return 0
 
@@ -357,13 +375,16 @@ def _agreeing(windows, size: int, n: int, slot, thing, value, changed, least: fl
 def _judge(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
-        benchmark = shared.value
+        readings = shared.value
         for batch in batches:
             raw, offsets, _ = column_bytes(batch.column("_text"))
             names = [x for x in batch.schema.names if x != "_text"]
             for a, b in slices(raw, offsets, 1 << 20):
-                found = benchmark.judge(Template(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-                items = [sorted({benchmark.ids[i] for i in found.get(k, ())}) for k in range(b - a)]
+                found: dict[int, set[int]] = {}
+                for benchmark in readings:
+                    for k, own in benchmark.judge(Template(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], benchmark.common)).items():
+                        found.setdefault(k, set()).update(benchmark.ids[i] for i in own)
+                items = [sorted(found.get(k, ())) for k in range(b - a)]
                 part = batch.slice(a, b - a)
                 yield pa.record_batch([*(part.column(x) for x in names), pa.array(items, pa.list_(pa.int64()))], names=[*names, "item_ids"])
 
@@ -383,7 +404,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     found = None
     for k in range(parts):
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k) if parts > 1 else items
-        shared = spark.sparkContext.broadcast(Benchmark(sorted((r["id"], r["text"]) for r in own.collect()), window))
+        pairs = sorted((r["id"], r["text"]) for r in own.collect())
+        shared = spark.sparkContext.broadcast([Benchmark(pairs, window), Benchmark(pairs, window, lower_words([x for _, x in pairs]))])
         # later passes read the text again, next to what was found so far
         source = rows if found is None else found.withColumnRenamed("item_ids", "_before").select(*own_names, "_before", "_text")
         names = fields + ("_before array<bigint>, " if found is not None else "") + ("_text string, " if k < parts - 1 else "")

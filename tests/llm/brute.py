@@ -61,17 +61,17 @@ def near_groups(rows, percent=75):
     return {i: (len(s), root[i]) for i, s in sets.items()}
 
 
-def contaminates(item, text, window=8, least_words=5):
-    """Whether one text holds one benchmark item: every window against every window."""
+def contaminates(item, text, window=8, least_words=5, common=None):
+    """Whether one text holds one benchmark item: every window against every window. common: words that are no names at the start of a sentence, where others are."""
     from bitweave.llm.decontamination import LONG_RUN, SHARE, _template
 
-    a, b = _template([item]), _template([text])
+    a, b = _template([item], common), _template([text], common)
     n = len(a.start)
-    size, words = min(window, n), int((~a.slot).sum())
+    size, words = min(window, n), int((~a.sure).sum())
     least = n if n < window else min(LONG_RUN, max(window, SHARE * n))
     if not n:
         return False
-    forms = lambda t: [t.typed.tolist(), t.plain.tolist()]
+    forms = lambda t: [t.typed.tolist()] if t.wide else [t.typed.tolist(), t.plain.tolist()]
     lines = {}
     for own in forms(a):
         for p in range(n - size + 1):
@@ -121,6 +121,6 @@ def contaminates(item, text, window=8, least_words=5):
             else:
                 known, covered = values, set(piece)
                 minds.append((known, covered))
-            if len(covered) >= least and sum(not a.slot[p] for p in covered) >= min(least_words, words):
+            if len(covered) >= least and sum(not a.sure[p] for p in covered) >= min(least_words, words):
                 return True
     return False

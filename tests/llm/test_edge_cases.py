@@ -7,11 +7,13 @@ from itertools import product
 
 import numpy as np
 import pytest
+from brute import contaminates
 from pyspark.sql import functions as F
 
 import bitweave.llm.embedding_dedup as dedup
 from bitweave.llm._dom import blocks, parse
 from bitweave.llm.chat_format import plain_numbers
+from bitweave.llm.decontamination import Benchmark, _template, decontaminate, lower_words
 from bitweave.llm.html_extraction import _evidence, default_model, extract
 from bitweave.llm.warc import candidates
 
@@ -100,3 +102,46 @@ def test_vectors_of_extreme_size_are_compared(spark):
     rows = [(1, [1e-200, 1e-200], 1), (2, [2e-200, 2e-200], 1), (3, [1e200, 1e200], 1), (4, [2e200, 4e200], 1), (5, [1.0, -1.0], 1), (6, [5e-324, 5e-324], 1)]
     got = {x.vec_id: (x.n_links, x.component_id) for x in dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 6: (3, 1), 4: (0, 4), 5: (0, 5)}
+
+
+# -- names at the start of a sentence ---------------------------------------------
+
+PENS = "Alice has 5 pens. Bob has 3 pens. Carol has 2 pens. How many pens do they have?"
+
+
+@pytest.mark.parametrize(("item", "text", "hit"), [
+    (PENS, "Dave has 7 pens. Erin has 4 pens. Frank has 9 pens. How many pens do they have?", True),
+    (PENS, "Note: Dave has 7 pens. Erin has 4 pens. Frank has 9 pens. How many pens do they have? Yes.", True),
+    (PENS, "Dave has 7 pens. Dave has 4 pens. Dave has 9 pens. How many pens do they have?", True),  # three names may stand for one
+    ("Alice bought 5 red pens today.", "Maria bought 5 red pens today.", True),
+    ("Alice bought 5 red pens today.", "Maria bought 9 red pens today.", True),
+    ("Alice bought 5 red pens today.", "Maria sold 5 red pens today.", False),
+    ("Alice met Alice and Alice.", "Maria met Maria and Carla.", False),  # one value can't become two
+    (PENS, "Dave has 7 hats. Erin met 4 cats. Frank saw 9 dogs. How many pens do they have?", False),
+    ("The red pens are on the table near the door. There are 5.", "Some red pens are on the table near the door. Those are 5.", True),
+])
+def test_renamed_questions_are_found(spark, item, text, hit):
+    docs = spark.createDataFrame([(1, text), (None, "nothing of the kind"), (1, "the same id, and clean")], "doc_id long, text string")
+    got = {(r.doc_id, r.contaminated) for r in decontaminate(docs, spark.createDataFrame([(4, item)], "item_id long, text string")).collect()}
+    assert got == {(1, hit), (1, False), (None, False)}
+
+
+def test_judging_names_anywhere_equals_brute_force():
+    for seed in range(5):
+        r = random.Random(seed)
+        names, things = ["Alice", "Bob", "Carol", "Dave", "Mia"], "apples pens books km hours".split()
+
+        def sentence(r=r, names=names, things=things):
+            return [r.choice([*names, "The", "Then", "When", "Old"]), *(r.choice([x, ""]) for x in ["man", "then", "old"]), r.choice(["has", "buys", "when"]), r.choice("2357"), r.choice(things) + r.choice(["", "", "."])]
+
+        items = [" ".join(w for _ in range(r.randint(1, 5)) for w in sentence() if w) for _ in range(6)]
+        texts = []
+        for _ in range(40):
+            swap = dict(zip(names, r.sample(names, 5), strict=True)) | dict(zip("2357", r.choices("2357", k=4), strict=True))
+            words = [swap.get(w, w) if r.random() < 0.95 else r.choice(names) for w in r.choice(items).split()]
+            texts.append(" ".join(["the", *words[r.choice([0, 0, 2]) :], *r.choice(items).split()[: r.randint(0, 9)]]))
+        common = lower_words(items)
+        found = Benchmark(list(enumerate(items)), common=common).judge(_template(texts, common))
+        got = {(k, i) for k, x in found.items() for i in x}
+        want = {(k, i) for k, t in enumerate(texts) for i, x in enumerate(items) if contaminates(x, t, common=common)}
+        assert got == want and 5 < len(want) < len(texts) * len(items)
