@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import psi
+from ..operators import psi, table_functions
 from ..operators.packets import parse_packets
 from ..operators.sequences import number_sequences
 from ..operators.shared import written
@@ -77,8 +77,8 @@ def pes_units(spark: SparkSession, sf: str) -> DataFrame:
     return psi.pes_units(packets).select("pid", "unit", "first_pkt", "last_pkt", "stream_id", "pts90", "dts90", F.length("es").cast("bigint").alias("es_len"))
 
 
-def psi_streams(spark: SparkSession, sf: str) -> DataFrame:
-    """Regions as programs with a table each, nations as their streams: sections packed, reassembled and joined to the PAT."""
+def _programs(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions as programs with a table each, nations as their streams, as packets."""
     word = lambda x: F.lpad(F.hex(x.cast("bigint")), 4, "0")
     region, nation = spark.read.parquet(f"{sf}/region.parquet"), spark.read.parquet(f"{sf}/nation.parquet")
     r, n = F.col("r_regionkey"), F.col("n_nationkey")
@@ -88,12 +88,32 @@ def psi_streams(spark: SparkSession, sf: str) -> DataFrame:
     stream = F.struct(n.alias("n"), F.concat(F.when(n % 2 == 1, "1B").otherwise("0F"), word(n + 0xE200), F.lit("F0060A04656E6700")).alias("x"))
     streams = nation.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(stream)), lambda s: s["x"]), "").alias("x"))
     pmt = region.join(streams, r == F.col("n_regionkey"), "left").select(*row(r + 1, r + 0x100, 2, r + 1, F.concat(F.lit("E200F000"), F.coalesce("x", F.lit("")))))
-    packets = parse_packets(psi.pack_sections(pat.unionByName(pmt)))
-    found = written(psi.sections(packets, [0, *range(0x100, 0x105)]))
+    return parse_packets(psi.pack_sections(pat.unionByName(pmt)))
+
+
+def _streams(found: DataFrame) -> DataFrame:
     listed = psi.pat_entries(found).select("program_number", "pmt_pid")
     return psi.pmt_streams(found).join(listed, ["program_number", "pmt_pid"]).select("program_number", "pmt_pid", "pcr_pid", "es_pid", "stream_type", F.hex("descriptors").alias("descriptors"))
 
 
+def psi_streams(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections packed, reassembled and joined to the PAT."""
+    return _streams(written(psi.sections(_programs(spark, sf), [0, *range(0x100, 0x105)])))
+
+
+def psi_streams_by_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, with the sections from a table function."""
+    table_functions.register(spark)
+    found = spark.sql("SELECT * FROM psi_sections(TABLE({p}) PARTITION BY pid ORDER BY pkt_idx)", p=table_functions.payloads(_programs(spark, sf)))
+    return _streams(written(found))
+
+
+def unit_spans_by_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """Payload units of the events from a table function."""
+    table_functions.register(spark)
+    return spark.sql("SELECT * FROM payload_unit_spans(TABLE({p}) PARTITION BY pid ORDER BY pkt_idx)", p=emap.direct(spark, sf).select("pkt_idx", "pid", "pusi"))
+
+
 def mmt_packet_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Packets per context and packet id: every event is one MMTP packet in header-compressed IP, a file per user."""
     e = spark.read.parquet(f"{sf}/events.parquet")
@@ -123,7 +143,7 @@ def video_sequences(spark: SparkSession, sf: str) -> DataFrame:
     return number_sequences(units, ("stream",)).select("stream", "au_no", "vseq", "cvs")
 
 
-QUERIES = {"mmt_packet_counts": mmt_packet_counts, "tlv_type_counts": tlv_type_counts, "video_sequences": video_sequences, "nal_units": nal_units, "av1_obus": av1_obus, "tlv_packets": tlv_packets, "adts_frames": adts_frames, "mp4_boxes": mp4_boxes, "pes_units": pes_units, "psi_streams": psi_streams}
+QUERIES = {"mmt_packet_counts": mmt_packet_counts, "tlv_type_counts": tlv_type_counts, "video_sequences": video_sequences, "nal_units": nal_units, "av1_obus": av1_obus, "tlv_packets": tlv_packets, "adts_frames": adts_frames, "mp4_boxes": mp4_boxes, "pes_units": pes_units, "psi_streams": psi_streams, "psi_streams_by_sql": psi_streams_by_sql, "unit_spans_by_sql": unit_spans_by_sql}
 
 _LINES = "l AS (SELECT l_orderkey, l_returnflag AS f, l_linenumber AS ln, length(CAST(l_partkey AS VARCHAR)) AS n, row_number() OVER w - 1 AS k FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag))"
 _BEFORE = "OVER (PARTITION BY l_orderkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -156,3 +176,6 @@ ORACLES = {
             CAST(sum(CASE WHEN pcr27 IS NULL THEN 184 ELSE 176 END) - CASE WHEN max(dts90) IS NULL THEN 14 ELSE 19 END AS BIGINT) AS es_len FROM u WHERE unit > 0 GROUP BY pid, unit""",
     "psi_streams": "SELECT r_regionkey + 1 AS program_number, r_regionkey + 256 AS pmt_pid, 512 AS pcr_pid, n_nationkey + 512 AS es_pid, CASE WHEN n_nationkey % 2 = 1 THEN 27 ELSE 15 END AS stream_type, '0A04656E6700' AS descriptors FROM nation JOIN region ON n_regionkey = r_regionkey",
 }
+ORACLES["psi_streams_by_sql"] = ORACLES["psi_streams"]
+ORACLES["unit_spans_by_sql"] = f"""WITH {emap.SQL}, u AS (SELECT *, sum(CAST(pusi AS INT)) OVER (PARTITION BY pid ORDER BY pkt_idx) AS n FROM packets)
+    SELECT pid, CAST(n AS BIGINT) AS unit, min(pkt_idx) AS first_pkt, max(pkt_idx) AS last_pkt, count(*) AS n_packets FROM u WHERE n > 0 GROUP BY pid, n"""
