@@ -126,6 +126,26 @@ def streamed_headers(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(streaming.HEADERS).parquet(sink).withColumn("head", F.decode("head", "UTF-8"))
 
 
+def drained_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Every payload unit: those that the stream closed, and those still open in its state at the end."""
+    source, sink, state = shared_folder(spark), shared_folder(spark), shared_folder(spark)
+    emap.packed(spark, sf).select("pkt_idx", "pid", "pusi", "atc").write.parquet(source)
+    stream = spark.readStream.schema("pkt_idx long, pid int, pusi boolean, atc long").parquet(source)
+    streaming.payload_units(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    closed = spark.read.schema(streaming.UNITS).parquet(sink)
+    return closed.withColumn("open", F.lit(False)).unionByName(streaming.open_units(spark, state).withColumn("open", F.lit(True)))
+
+
+def drained_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 200 bytes of every payload unit, of the last and of shorter ones too."""
+    source, sink, state = shared_folder(spark), shared_folder(spark), shared_folder(spark)
+    emap.direct(spark, sf).select("pkt_idx", "pid", "pusi", "payload").write.parquet(source)
+    stream = spark.readStream.schema("pkt_idx long, pid int, pusi boolean, payload binary").parquet(source)
+    streaming.header_windows(stream, 200).writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(streaming.HEADERS).parquet(sink).unionByName(streaming.open_headers(spark, state))
+    return rows.withColumn("head", F.decode("head", "UTF-8"))
+
+
 def streamed_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Packets per PID and ten minutes of event time, of the windows that the watermark closes."""
     source, sink = shared_folder(spark), shared_folder(spark)
@@ -176,7 +196,7 @@ QUERIES = {
     "dts_hd_frames": dts_hd_frames,
     "file_formats": file_formats, "aiff_fields": aiff_fields,
     "av1_references": av1_references, "mmt_message_checks": mmt_message_checks, "mmt_data_units": mmt_data_units, "mmt_filters": mmt_filters, "mmt_events": mmt_events, "mmt_access": mmt_access,
-    "pes_filters": pes_filters, "streamed_headers": streamed_headers, "streamed_windows": streamed_windows,
+    "pes_filters": pes_filters, "streamed_headers": streamed_headers, "streamed_windows": streamed_windows, "drained_units": drained_units, "drained_headers": drained_headers,
 }
 
 _CRC = """t AS (SELECT list(list_reduce(list_prepend(CAST(i * 16777216 AS UBIGINT), CAST(range(8) AS UBIGINT[])), lambda r, k: CASE WHEN r >= 2147483648 THEN xor((r * 2) & 4294967295, CAST(79764919 AS UBIGINT)) ELSE r * 2 END) ORDER BY i) AS crc FROM range(256) r(i))"""
@@ -216,6 +236,12 @@ ORACLES = {
     "streamed_headers": """WITH p AS (SELECT event_id AS k, CAST(256 + user_id % 16 AS INT) AS pid, props, event_type = 'signup' AS pusi FROM events), u AS (SELECT *, sum(CAST(pusi AS INT)) OVER (PARTITION BY pid ORDER BY k) AS unit FROM p),
         g AS (SELECT pid, CAST(unit AS BIGINT) AS unit, min(k) AS first_pkt, string_agg(props, '' ORDER BY k) AS whole, max(unit) OVER (PARTITION BY pid) AS newest FROM u WHERE unit > 0 GROUP BY pid, u.unit)
         SELECT pid, unit, first_pkt, whole[1:24] AS head FROM g WHERE length(whole) >= 24 OR unit < newest""",
+    "drained_units": f"""WITH {emap.SQL}, d AS (SELECT *, (atc - lag(atc) OVER w + 1073741824) % 1073741824 AS step, sum(CAST(pusi AS INT)) OVER w AS unit FROM packets WINDOW w AS (PARTITION BY pid ORDER BY pkt_idx)),
+        r AS (SELECT *, CAST(sum(coalesce(step, 0)) OVER (PARTITION BY pid ORDER BY pkt_idx) AS BIGINT) AS t FROM d),
+        u AS (SELECT pid, CAST(unit AS BIGINT) AS unit, min(pkt_idx) AS first_pkt, max(pkt_idx) AS last_pkt, count(*) AS n_packets, min(t) AS t FROM r WHERE unit > 0 GROUP BY pid, unit)
+        SELECT pid, unit, first_pkt, last_pkt, n_packets, lead(t) OVER w - t AS elapsed27, lead(t) OVER w IS NULL AS open FROM u WINDOW w AS (PARTITION BY pid ORDER BY unit)""",
+    "drained_headers": """WITH p AS (SELECT event_id AS k, CAST(256 + user_id % 16 AS INT) AS pid, props, event_type = 'signup' AS pusi FROM events), u AS (SELECT *, sum(CAST(pusi AS INT)) OVER (PARTITION BY pid ORDER BY k) AS unit FROM p)
+        SELECT pid, CAST(unit AS BIGINT) AS unit, min(k) AS first_pkt, string_agg(props, '' ORDER BY k)[1:200] AS head FROM u WHERE unit > 0 GROUP BY pid, u.unit""",
     "streamed_windows": """WITH w AS (SELECT epoch_us(ts) // 600000000 * 600000000 AS start_us, CAST(256 + user_id % 16 AS INT) AS pid, count(*) AS n FROM events GROUP BY ALL)
         SELECT start_us, pid, n AS n_packets, n * 188 AS n_bytes FROM w WHERE start_us + 600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 1800000000 FROM events)""",
 }

@@ -1,8 +1,12 @@
 """Streaming: payload units closed by the next start, version changes, header windows, and windowed statistics.
 
-The first three keep per-PID state and are closed by data, not by time.  The last
-one adds event time and watermarks, which packet files have no use for, as an
-extension for live sources.
+The first three keep per-PID state and are closed by data, not by time.  What they
+still hold when a stream ends (or pauses) is read from the state in the query's
+checkpoint, by ``open_units`` and ``open_headers``: what came out and what is open
+are together the batch result, however the stream was cut into batches.  Reading
+changes nothing, so the query may go on afterwards.  The last one adds event time
+and watermarks, which packet files have no use for, as an extension for live
+sources.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -43,6 +47,18 @@ def payload_units(packets: DataFrame) -> DataFrame:
     return rows.groupBy("pid").applyInPandasWithState(_advance, UNITS, state, "append", GroupStateTimeout.NoTimeout)
 
 
+def _held(spark: SparkSession, checkpoint: str, batch: int | None) -> DataFrame:
+    """The state of each PID after a batch (the last one that was committed if none is named), read by Spark's state source in as many tasks as it has partitions."""
+    reader = spark.read.format("statestore").option("path", checkpoint)
+    return (reader if batch is None else reader.option("batchId", batch)).load().select("key.pid", "value.groupState.*").where("unit > 0")
+
+
+def open_units(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """The unit of each PID that ``payload_units`` has begun and no later start has closed; elapsed27 is null, as nothing follows."""
+    columns = (F.col(a).alias(b) for a, b in (("first", "first_pkt"), ("last", "last_pkt"), ("n", "n_packets")))
+    return _held(spark, checkpoint, batch).select("pid", "unit", *columns, F.lit(None).cast("bigint").alias("elapsed27"))
+
+
 def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     (known,) = state.get if state.exists else (-1,)
     out = []
@@ -89,6 +105,11 @@ def header_windows(packets: DataFrame, size: int = 1024) -> DataFrame:
     return rows.groupBy("pid").applyInPandasWithState(collect, HEADERS, "unit long, first long, held binary, done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def open_headers(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """What ``header_windows`` has of units that are shorter than a window so far."""
+    return _held(spark, checkpoint, batch).where("not done").select("pid", "unit", F.col("first").alias("first_pkt"), F.col("held").alias("head"))
+
+
 def windowed_counts(packets: DataFrame, time_col: str = "ts", window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Extension: packets and bytes per PID and tumbling window of event time, late packets up to the watermark."""
     rows = packets.withWatermark(time_col, late)
