@@ -5,32 +5,44 @@ from __future__ import annotations
 import re
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .literals import parse_int
 
 
+def codebook_rows(texts: DataFrame, text: str, by: tuple[str, ...] = (), radix: tuple[int, int, int] = (10, 10, 16)) -> DataFrame:
+    """by, value, bit_len, codeword of many codebooks, each the text of one row: three numbers a code, side by side in any layout, between any of nine delimiters.
+
+    ``by`` names the book and must not repeat.  Numbers are put together inside
+    their row, without a shuffle; an incomplete code at the end is left out.
+    """
+    words = F.filter(F.split(F.regexp_replace(text, r"[\s,;:|(){}]+", " "), " "), lambda w: w != "")
+    rows = texts.select(*by, words.alias("_w")).withColumn("_k", F.explode(F.when(F.size("_w") >= 3, F.sequence(F.lit(0), F.floor(F.size("_w") / 3) * 3 - 3, F.lit(3)))))
+
+    def number(offset: int, base: int) -> Column:
+        word = F.get("_w", F.col("_k") + offset)
+        return F.when(word.startswith("-"), F.concat(F.lit("-"), F.conv(F.substring(word, 2, 64), base, 10))).otherwise(F.conv(F.regexp_replace(word, "^0x", ""), base, 10)).cast("bigint")
+
+    return rows.select(*by, number(0, radix[0]).alias("value"), number(1, radix[1]).cast("int").alias("bit_len"), number(2, radix[2]).alias("codeword"))
+
+
 def read_codebook(spark: SparkSession, path: str, radix: tuple[int, int, int] = (10, 10, 16)) -> DataFrame:
-    """value, bit_len, codeword from text that holds three numbers a code, side by side in any layout, between any of nine delimiters."""
-    whole = spark.read.text(path, wholetext=True)
-    words = whole.select(F.posexplode(F.split(F.trim(F.regexp_replace("value", r"[\s,;:|(){}]+", " ")), " ")).alias("k", "word")).where("word <> ''")
-    triples = words.select(F.expr("k div 3").alias("row"), (F.col("k") % 3).alias("column"), "word")
-    flat = triples.groupBy("row").agg(*(F.max(F.when(F.col("column") == i, F.col("word"))).alias(c) for i, c in enumerate(("value", "bit_len", "codeword"))))
-    number = lambda c, base: (F.when(F.col(c).startswith("-"), F.concat(F.lit("-"), F.conv(F.substring(c, 2, 64), base, 10))).otherwise(F.conv(F.regexp_replace(c, "^0x", ""), base, 10))).cast("bigint")
-    return flat.where("codeword is not null").select(number("value", radix[0]).alias("value"), number("bit_len", radix[1]).cast("int").alias("bit_len"), number("codeword", radix[2]).alias("codeword"))
+    """``codebook_rows`` of one file."""
+    return codebook_rows(spark.read.text(path, wholetext=True), "value", (), radix)
 
 
-def codebook_stats(book: DataFrame) -> DataFrame:
-    """n_codes, n_distinct, min_len, max_len, kraft (sum of 2**(60 - length), 2**60 being a complete code), n_prefix_clashes, n_nodes."""
+def codebook_stats(book: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per book: n_codes, n_distinct, min_len, max_len, kraft (sum of 2**(60 - length), 2**60 being a complete code), n_prefix_clashes, n_nodes."""
     code = F.lpad(F.bin("codeword"), 64, "0")
-    rows = book.select("value", "bit_len", F.substring(code, F.lit(65) - F.col("bit_len"), F.col("bit_len")).alias("bits"))
-    base = rows.agg(F.count(F.lit(1)).alias("n_codes"), F.countDistinct("bits").alias("n_distinct"), F.min("bit_len").alias("min_len"), F.max("bit_len").alias("max_len"), F.sum(F.expr("cast(shiftleft(cast(1 as bigint), 60 - bit_len) as decimal(38,0))")).cast("bigint").alias("kraft"))
-    prefixes = rows.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("bit_len") - 1), lambda n: F.substring(F.col("bits"), F.lit(1), n))).alias("prefix"))
+    rows = book.select(*by, "bit_len", F.substring(code, F.lit(65) - F.col("bit_len"), F.col("bit_len")).alias("bits"))
+    base = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_codes"), F.countDistinct("bits").alias("n_distinct"), F.min("bit_len").alias("min_len"), F.max("bit_len").alias("max_len"), F.sum(F.expr("cast(shiftleft(cast(1 as bigint), 60 - bit_len) as decimal(38,0))")).cast("bigint").alias("kraft"))
+    prefixes = rows.select(*by, F.explode(F.transform(F.sequence(F.lit(0), F.col("bit_len") - 1), lambda n: F.substring(F.col("bits"), F.lit(1), n))).alias("bits"))
     inner = prefixes.distinct()
-    clashes = rows.join(inner, rows["bits"] == inner["prefix"], "left_semi").agg(F.count(F.lit(1)).alias("n_prefix_clashes"))
-    nodes = inner.agg(F.count(F.lit(1)).alias("n_inner"))
-    return base.join(clashes).join(nodes).select("n_codes", "n_distinct", "min_len", "max_len", "kraft", "n_prefix_clashes", (F.col("n_inner") + F.col("n_distinct")).alias("n_nodes"))  # one row each
+    clashes = rows.join(inner, [*by, "bits"], "left_semi").groupBy(*by).agg(F.count(F.lit(1)).alias("n_prefix_clashes"))
+    nodes = inner.groupBy(*by).agg(F.count(F.lit(1)).alias("n_inner"))
+    both = base.join(clashes, list(by), "left").join(nodes, list(by), "left") if by else base.join(clashes).join(nodes)  # without a key one row each
+    return both.select(*by, "n_codes", "n_distinct", "min_len", "max_len", "kraft", F.coalesce("n_prefix_clashes", F.lit(0)).alias("n_prefix_clashes"), (F.col("n_inner") + F.col("n_distinct")).alias("n_nodes"))
 
 
 class Codebook:

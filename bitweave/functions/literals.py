@@ -1,10 +1,15 @@
-"""Plan-time parsing of numbers and values given as text."""
+"""Numbers and values given as text: of a table's column, as Column expressions, and of options, when a plan is made."""
 
 from __future__ import annotations
 
 import re
 from fractions import Fraction
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .scalars import gcd
+
 _DIGITS = {2: "[01]+", 8: "[0-7]+", 10: r"\d+", 16: "[0-9a-fA-F]+"}
 
 
@@ -48,3 +53,44 @@ def split_set(text: str, delimiters: str = ",;.:") -> list[str]:
     """Parts between any of the delimiters; empty middle parts stay, an empty tail goes."""
     parts = re.split(f"[{re.escape(delimiters)}]", text)
     return parts[:-1] if parts and parts[-1] == "" else parts
+
+
+# -- columns ------------------------------------------------------------------
+
+# Form, base, and the most digits that surely fit 64 bits, in the order in which forms are tried.
+_FORMS = [("0x([0-9a-f]+)", 16), ("([0-9a-f]+)h", 16), ("0b([01]+)", 2), ("([01]+)b", 2), ("0o?([0-7]+)", 8), ("([0-7]+)o", 8), ("([0-9]+)", 10), ("([0-9a-f]+)", 16)]
+_MOST = {2: 64, 8: 21, 10: 19, 16: 16}
+
+
+def int_value(text: Column, radix: int | None = None) -> Column:
+    """``parse_int`` of a column as a long: null where the text is null, no number, or outside -(2**63 - 1) .. 2**63 - 1."""
+    low = F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    body = F.regexp_replace(low, "^[+-]", "")
+    forms = [x for x in _FORMS if radix in (None, x[1])] + ([(f"({_DIGITS[radix].replace('A-F', '')})", radix)] if radix else [])
+    found = F.lit(None).cast("bigint")
+    for form, base in reversed(forms):
+        digits = F.regexp_replace(F.regexp_extract(body, f"^{form}$", 1), "^0+(?=.)", "")
+        fits = F.when(F.length(digits) <= _MOST[base], digits)
+        value = (fits if base == 10 else F.conv(fits, base, 10)).try_cast("bigint")
+        found = F.when(body.rlike(f"^{form}$"), value).otherwise(found)
+    return F.when(low.startswith("-"), -found).otherwise(found)
+
+
+def rational_value(text: Column) -> Column:
+    """``parse_rational`` of a column: a struct (n, d) in lowest terms, d > 0; null where the text is none, d is 0, or a part has more than 18 digits."""
+    form = r"^\s*([+-]?)([0-9]+)(?:\.([0-9]+))?\s*(?:[/:]\s*([0-9]+))?\s*$"
+    part = lambda k: F.regexp_extract(text, form, k)
+    digits = F.regexp_replace(F.concat(part(2), part(3)), "^0+(?=.)", "")
+    scale = F.rpad(F.lit("1"), F.length(part(3)) + 1, F.lit("0"))
+    below = F.regexp_replace(F.concat(F.when(part(4) == "", "1").otherwise(part(4)), F.substring(scale, F.lit(2), F.length(part(3)))), "^0+(?=.)", "")
+    number = lambda x: F.when(F.length(x) <= 18, x).try_cast("bigint")
+    n, d = number(digits), number(below)
+    common = F.greatest(gcd(d, n), F.when(n == 0, d), F.lit(1))
+    over = lambda x: F.call_function("div", x, common)
+    return F.when(text.rlike(form) & n.isNotNull() & (d > 0), F.struct(over(F.when(part(1) == "-", -n).otherwise(n)).alias("n"), over(d).alias("d")))
+
+
+def split_parts(text: Column, delimiters: str = ",;.:") -> Column:
+    """``split_set`` of a column: parts between any of the delimiters; empty middle parts stay, one empty part at the end goes."""
+    parts = F.split(text, f"[{re.escape(delimiters)}]", -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)

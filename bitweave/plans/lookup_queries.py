@@ -27,7 +27,10 @@ def code_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def name_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return names.names(spark).groupBy("dictionary").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("code").alias("n_codes"))
+    """Per dictionary, how many lines have a code that it names, and how many of its codes occur; lines are counted by code before the join."""
+    lines = _read(spark, sf, "lineitem").groupBy((F.col("l_partkey") % 300).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    known = names.names(spark).join(lines, "code", "left")
+    return known.groupBy("dictionary").agg(F.count(F.lit(1)).alias("n_codes"), F.count("n").alias("n_used"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_lines"), F.max_by("name", F.struct("n", "code")).alias("most"))
 
 
 def clock_gaps(spark: SparkSession, sf: str) -> DataFrame:
@@ -245,7 +248,7 @@ ORACLES = {
         24 AS initial_delay_len, 20 AS removal_delay_len, 16 AS output_delay_len, 24 AS time_offset_len FROM customer""",
     "code_names": f"""WITH t AS (SELECT l_partkey % 24 AS code, count(*) AS n FROM lineitem GROUP BY 1)
         SELECT t.code, n, a.name AS h264, b.name AS av1 FROM t LEFT JOIN {_names_sql("h264")} a(code, name) ON a.code = t.code LEFT JOIN {_names_sql("av1")} b(code, name) ON b.code = t.code""",
-    "name_counts": "SELECT * FROM (VALUES " + ", ".join(f"('{d}', CAST({len(codes)} AS BIGINT), CAST({len(codes)} AS BIGINT))" for d, codes in _DICTIONARIES.items()) + ") t(dictionary, n, n_codes)",
+    "name_counts": "WITH l AS (SELECT l_partkey % 300 AS code, count(*) AS n FROM lineitem GROUP BY 1), d AS (" + " UNION ALL ".join(f"SELECT '{d}' AS dictionary, * FROM {_names_sql(d)} x(code, name)" for d in _DICTIONARIES) + ") SELECT dictionary, count(*) AS n_codes, count(n) AS n_used, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_lines, arg_max(name, CAST(coalesce(n, -1) AS HUGEINT) * 10000000000 + code) AS most FROM d LEFT JOIN l USING (code) GROUP BY dictionary",
     "clock_gaps": f"""WITH {emap.SQL}, p AS (SELECT pkt_idx, pid, pcr27, lag(pcr27) OVER (PARTITION BY pid ORDER BY pkt_idx) AS before27 FROM packets WHERE pcr27 IS NOT NULL), g AS (SELECT *, (pcr27 - before27 + 2576980377600) % 2576980377600 AS gap27 FROM p)
         SELECT pkt_idx, pid, before27, pcr27, gap27 FROM g WHERE gap27 > 388800000""",
     "unit_edges": f"""WITH {emap.SQL}, d AS (SELECT *, (atc - lag(atc) OVER (ORDER BY pkt_idx) + 1073741824) % 1073741824 AS step FROM packets),

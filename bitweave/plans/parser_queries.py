@@ -292,12 +292,11 @@ def ntp_times(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def codebook_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """The first 200 codes of ue(v), written as text with mixed delimiters and read back."""
-    at = shared_folder(spark)
-    book = huffman.exp_golomb(spark, 200)
-    line = F.concat(F.lit("{"), F.col("value").cast("string"), F.when(F.col("value") % 2 == 0, ", ").otherwise(" | "), F.col("bit_len").cast("string"), F.lit(";\t0x"), F.lower(F.hex("codeword")), F.lit("}"))
-    book.coalesce(1).select(line.alias("value")).write.text(at)
-    return huffman.read_codebook(spark, at)
+    """A book per customer, the text of a code per order with mixed delimiters, read back."""
+    k = F.col("o_orderkey")
+    line = F.concat(F.lit("{"), k.cast("string"), F.when(k % 2 == 0, ", ").otherwise(" | "), (F.length(F.bin(k + 1)) * 2 - 1).cast("string"), F.lit(";\t0x"), F.lower(F.hex(k + 1)), F.lit("}\n"))
+    texts = _read(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(line), "").alias("book"))
+    return huffman.codebook_rows(texts, "book", ("o_custkey",))
 
 
 def uris(spark: SparkSession, sf: str) -> DataFrame:
@@ -314,13 +313,15 @@ def swapped_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return _read(spark, sf, "orders").select("o_orderkey", text.swap_bytes(x % 65536, 2).alias("two"), text.swap_bytes(x, 4).alias("four"), text.swap_bytes(x * 65536, 6).alias("six"))
 
 
-_SETS = ["a,b;c", "a,,b", "a,", "", ".x:y.", "no delimiter"]
-_RATIONALS = ["30000/1001", "25", "29.97", "60:1", "x", "1/0"]
-
-
 def split_sets(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [("set", x, "|".join(literals.split_set(x))) for x in _SETS] + [("rational", x, None if (v := literals.parse_rational(x)) is None else f"{v.numerator}/{v.denominator}") for x in _RATIONALS]
-    return spark.createDataFrame(rows, "kind string, text string, value string")
+    """Addresses of pages, some with delimiters after them, in parts; and numbers of parts as fractions."""
+    pages = _read(spark, sf, "pages").select(F.lit("set").alias("kind"), F.col("page_id").alias("id"), F.concat("url", F.element_at(F.array(*map(F.lit, ("", ".", ",,"))), (F.col("page_id") % 3 + 1).cast("int"))).alias("text"))
+    k = F.col("p_partkey")
+    forms = [F.concat((k * 1000).cast("string"), F.lit("/1001")), F.col("p_size").cast("string"), F.concat(F.lit(" -"), F.col("p_retailprice").cast("decimal(12,3)").cast("string")), F.concat(F.col("p_size").cast("string"), F.lit(" : "), (k % 4).cast("string")), F.col("p_name")]
+    parts = _read(spark, sf, "part").select(F.lit("rational").alias("kind"), k.alias("id"), F.element_at(F.array(*forms), (k % 5 + 1).cast("int")).alias("text"))
+    number = literals.rational_value(F.col("text"))
+    sets = pages.withColumn("value", F.array_join(literals.split_parts(F.col("text")), "|"))
+    return sets.unionByName(parts.withColumn("value", F.concat(number["n"].cast("string"), F.lit("/"), number["d"].cast("string"))))
 
 
 # -- streaming ----------------------------------------------------------------
@@ -401,7 +402,7 @@ ORACLES = {
         SELECT user_id, event_id AS seq, packet_id, q AS mpu_seq, CASE WHEN q % 2 = 0 THEN CAST(((q * 10 + 3900000000 + packet_id) * 90000 + q * 80000003 * 90000 // 4294967296) % 8589934592 AS BIGINT) END AS present90 FROM t""",
     "ntp_times": """WITH t AS (SELECT event_id, event_id * 37 + 3900000000 AS s, CAST(event_id AS HUGEINT) * 2654435761 % 4294967296 AS f FROM events)
         SELECT event_id, CAST(s * 10000000 + f * 10000000 // 4294967296 AS BIGINT) AS hns, CAST((s * 90000 + f * 90000 // 4294967296) % 8589934592 AS BIGINT) AS t90k FROM t""",
-    "codebook_scan": "SELECT i AS value, CAST(2 * length(bin(i + 1)) - 1 AS INT) AS bit_len, i + 1 AS codeword FROM range(200) t(i)",
+    "codebook_scan": "SELECT o_custkey, o_orderkey AS value, CAST(2 * length(bin(o_orderkey + 1)) - 1 AS INT) AS bit_len, o_orderkey + 1 AS codeword FROM orders",
     "uris": f"""WITH u AS (SELECT page_id, url || '%C3%A9+%20' AS url FROM pages), p AS (SELECT *, {", ".join(f"regexp_extract(url, '{_URI}', {k}) AS g{k}" for k in range(1, 10))} FROM u)
         SELECT page_id, CASE WHEN g1 <> '' THEN g2 END AS scheme, CASE WHEN g3 <> '' THEN g4 END AS authority, g5 AS path, CASE WHEN g6 <> '' THEN g7 END AS query, CASE WHEN g8 <> '' THEN g9 END AS fragment, true AS same,
             url_decode(url) AS decoded, url LIKE 'https://%' AS secure, false AS upper, true AS tail FROM p""",
@@ -409,7 +410,12 @@ ORACLES = {
         SELECT o_orderkey, """
     + ", ".join(f"CAST('0x' || {' || '.join(f'substr({c}, {2 * k + 1}, 2)' for k in reversed(range(n)))} AS BIGINT) AS {c}" for c, n in (("two", 2), ("four", 4), ("six", 6)))
     + " FROM h",
-    "split_sets": "SELECT * FROM (VALUES ('set', 'a,b;c', 'a|b|c'), ('set', 'a,,b', 'a||b'), ('set', 'a,', 'a'), ('set', '', ''), ('set', '.x:y.', '|x|y'), ('set', 'no delimiter', 'no delimiter'), ('rational', '30000/1001', '30000/1001'), ('rational', '25', '25/1'), ('rational', '29.97', '2997/100'), ('rational', '60:1', '60/1'), ('rational', 'x', NULL), ('rational', '1/0', NULL)) t(kind, text, value)",
+    "split_sets": """WITH t AS (SELECT page_id, url || ['', '.', ',,'][page_id % 3 + 1] AS text FROM pages),
+        p AS (SELECT p_partkey AS k, p_size AS z, CAST(p_retailprice AS DECIMAL(12, 3)) AS price, p_name FROM part),
+        r AS (SELECT k, CASE k % 5 WHEN 0 THEN k * 1000 || '/1001' WHEN 1 THEN CAST(z AS VARCHAR) WHEN 2 THEN ' -' || price WHEN 3 THEN z || ' : ' || k % 4 ELSE p_name END AS text,
+            CASE k % 5 WHEN 0 THEN k * 1000 WHEN 1 THEN z WHEN 2 THEN -CAST(price * 1000 AS BIGINT) WHEN 3 THEN z END AS n, CASE k % 5 WHEN 0 THEN 1001 WHEN 1 THEN 1 WHEN 2 THEN 1000 WHEN 3 THEN nullif(k % 4, 0) END AS d FROM p)
+        SELECT 'set' AS kind, page_id AS id, text, regexp_replace(regexp_replace(text, '[,;.:]$', ''), '[,;.:]', '|', 'g') AS value FROM t
+        UNION ALL SELECT 'rational', k, text, n // gcd(abs(n), d) || '/' || d // gcd(abs(n), d) FROM r""",
     "streamed_units": f"""WITH {emap.SQL}, d AS (SELECT *, (atc - lag(atc) OVER w + 1073741824) % 1073741824 AS step, sum(CAST(pusi AS INT)) OVER w AS unit FROM packets WINDOW w AS (PARTITION BY pid ORDER BY pkt_idx)),
         r AS (SELECT *, CAST(sum(coalesce(step, 0)) OVER (PARTITION BY pid ORDER BY pkt_idx) AS BIGINT) AS t FROM d),
         u AS (SELECT pid, CAST(unit AS BIGINT) AS unit, min(pkt_idx) AS first_pkt, max(pkt_idx) AS last_pkt, count(*) AS n_packets, min(t) AS t FROM r WHERE unit > 0 GROUP BY pid, unit),

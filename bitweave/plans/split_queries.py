@@ -66,7 +66,7 @@ QUERIES = {"stream_crcs": stream_crcs, "user_crcs": user_crcs, "tlv_split_scan":
 
 
 
-def _crc_sql(by: str, names: list[str], standard: bool) -> str:
+def crc_sql(by: str, names: list[str], standard: bool) -> str:
     """Byte by byte over each whole stream, in registers of which the check has the top bits."""
     rows = []
     for name in names:
@@ -85,8 +85,8 @@ def _crc_sql(by: str, names: list[str], standard: bool) -> str:
 
 _W = "OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag ROWS UNBOUNDED PRECEDING)"
 ORACLES = {
-    "stream_crcs": _crc_sql("", list(crc.parameters()), False),
-    "user_crcs": _crc_sql("user_id", ["crc-32", "crc-16-maxim", "crc-64-we"], True),
+    "stream_crcs": crc_sql("", list(crc.parameters()), False),
+    "user_crcs": crc_sql("user_id", ["crc-32", "crc-16-maxim", "crc-64-we"], True),
     "tlv_split_scan": f"""WITH l AS (SELECT *, CAST(strlen(CAST(l_partkey AS VARCHAR)) AS BIGINT) AS n, CAST(CASE WHEN l_linenumber = 3 THEN 5 ELSE 0 END AS BIGINT) AS gap FROM lineitem)
         SELECT row_number() {_W} - 1 AS idx, CAST(sum(gap + 4 + n) {_W} - 4 - n AS BIGINT) AS byte_off, 4 + n AS byte_len, gap AS skipped, CAST(CASE l_returnflag WHEN 'N' THEN 3 WHEN 'R' THEN 2 ELSE 255 END AS INTEGER) AS type, n AS len FROM l""",
     "ps_split_scan": f"""WITH l AS (SELECT *, CAST(6 + 3 + 6 + 4 AS BIGINT) AS n, unnest(CASE WHEN l_linenumber = 1 THEN [0, 1] ELSE [1] END) AS k FROM lineitem),

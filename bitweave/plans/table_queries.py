@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clocks, crc, huffman, scalars
-from ..functions.literals import parse_int
+from ..functions.literals import int_value
 from ..operators import samples, timing
 from . import emap
+from .split_queries import crc_sql
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -36,7 +37,10 @@ def mp4_decode_times(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def crc_checks(spark: SparkSession, sf: str) -> DataFrame:
-    return crc.catalogue(spark).select("name", "width", "check", "check_standard")
+    """The catalogue, with each variant's check, as published, of the properties of all events of a type."""
+    events = _read(spark, sf, "events").select("event_type", "event_id", F.col("props").cast("binary").alias("_data"))
+    found = crc.crc_in_order(events, "_data", "event_id", ("event_type",), standard=True)
+    return found.join(F.broadcast(crc.catalogue(spark).select("name", "width", "reflected")), "name")  # 41 rows
 
 
 def crc_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,7 +50,11 @@ def crc_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def huffman_codebook_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return huffman.codebook_stats(huffman.exp_golomb(spark, 500))
+    """A codebook per customer: an exponential Golomb code per order, some cut short, so that codes repeat and clash."""
+    m, cut = F.col("o_orderkey") % 50, (F.col("o_orderkey") % 7 == 0) & (F.col("o_orderkey") % 50 > 0)
+    size = (F.length(F.bin(m + 1)) * 2 - 1).cast("int")
+    book = _read(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("value"), F.when(cut, size - 1).otherwise(size).alias("bit_len"), F.when(cut, F.shiftright(m + 1, 1)).otherwise(m + 1).alias("codeword"))
+    return huffman.codebook_stats(book, ("o_custkey",))
 
 
 def huffman_spectrum(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,12 +127,12 @@ def ellipsis(spark: SparkSession, sf: str) -> DataFrame:
     return _read(spark, sf, "part").select("p_partkey", scalars.ellipsis(F.col("p_name"), 12).alias("short"), scalars.gcd(F.col("p_partkey"), F.col("p_size")).alias("gcd"), scalars.mjd_date(F.col("p_partkey") + 50_000).cast("string").alias("day"), scalars.seconds_since(1904, F.col("p_partkey") * 1_000_003 + 2_000_000_000).alias("at"))
 
 
-_LITERALS = ["10", "010", "0x1F", "1Fh", "0b101", "101b", "17o", "ff", "-12", "zz"]
-
-
 def int_literals(spark: SparkSession, sf: str) -> DataFrame:
-    values = ", ".join(f"('{x}', {'NULL' if (v := parse_int(x)) is None else v})" for x in _LITERALS)
-    return spark.sql(f"SELECT text, CAST(value AS BIGINT) AS value FROM VALUES {values} AS t(text, value)")
+    """Each order's key in one of ten forms, or its priority, which is no number."""
+    k, octal = F.col("o_orderkey"), F.conv(F.col("o_orderkey").cast("string"), 10, 8)
+    forms = [k.cast("string"), F.concat(F.lit("0"), octal), F.concat(F.lit("0x"), F.hex(k)), F.concat(F.hex(k), F.lit("h")), F.concat(F.lit("0b"), F.bin(k)), F.concat(F.bin(k), F.lit("b")), F.concat(octal, F.lit("o")), F.lower(F.hex(k)), F.concat(F.lit(" -"), k.cast("string")), F.concat(F.lit("+0X"), F.hex(k)), F.col("o_orderpriority")]
+    text = F.element_at(F.array(*forms), (k % 11 + 1).cast("int"))
+    return _read(spark, sf, "orders").select("o_orderkey", text.alias("text")).select("o_orderkey", "text", int_value(F.col("text")).alias("value"), int_value(F.col("text"), 16).alias("hex_value"))
 
 
 QUERIES = {
@@ -133,10 +141,6 @@ QUERIES = {
     "clock_sync": clock_sync, "scalar_text": ellipsis, "int_literals": int_literals,
 }
 
-# Published checks of "123456789", and those that the parameter rows give themselves where they differ.
-_CHECKS = "F4 15 7E A1 A1 D0 25 BB3D FEE8 9ECF 007E EA82 C2B7 D64E 44C2 6F91 63D0 D0DB 0FB3 B4C8 906E 31C3 4B37 2189 29B1 E5CC 21CF02 7979BD 1F23B8 CBF43926 FC891918 E3069283 87315576 0376E6E7 765E7680 3010BF7F 340BC6D9 BD0BE338 46A5A9388A5BEFFE 62EC59E3F1A4F00A CAA717168609F281".split()
-_OWN = "F4 15 7E A4 A1 D0 25 BB3D FEE8 9ECF 1ED5 95E3 4449 CE3C B4C8 6F91 DB52 D0DB 0FB3 44C2 DE76 31C3 4B37 2189 29B1 E5CC 21CF02 7979BD 1F23B8 CBF43926 0376E6E7 A71C05DF 69EA3735 0376E6E7 FC891918 3010BF7F 340BC6D9 BD0BE338 46A5A9388A5BEFFE 93BF20A0F4B68CB8 CAA717168609F281".split()
-_UE = "SELECT i, i + 1 AS code, 2 * length(bin(i + 1)) - 1 AS n FROM range(500) t(i)"
 
 
 
@@ -158,10 +162,12 @@ ORACLES = {
     "mp4_decode_times": """WITH r AS (SELECT o_custkey AS track, o_orderkey AS run, o_orderkey % 3 AS n, o_orderkey % 7 * 512 AS delta FROM orders),
         x AS (SELECT track, run, delta, unnest(range(n)) AS k FROM r)
         SELECT track, row_number() OVER w AS sample, CAST(coalesce(sum(delta) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS dts FROM x WINDOW w AS (PARTITION BY track ORDER BY run, k)""",
-    "crc_checks": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {w}, '{own}', '{check}')" for (n, (w, *_)), own, check in zip(crc.parameters().items(), _OWN, _CHECKS, strict=True)) + ") t(name, width, \"check\", check_standard)",
-    "huffman_codebook_stats": f"""WITH c AS ({_UE}), p AS (SELECT DISTINCT substr(lpad(bin(code), CAST(n AS INT), '0'), 1, CAST(k AS INT)) AS prefix FROM c, range(100) t(k) WHERE k < n)
-        SELECT count(*) AS n_codes, count(DISTINCT lpad(bin(code), CAST(n AS INT), '0')) AS n_distinct, CAST(min(n) AS INT) AS min_len, CAST(max(n) AS INT) AS max_len,
-            CAST(sum(CAST(1 AS HUGEINT) << CAST(60 - n AS INT)) AS BIGINT) AS kraft, CAST(0 AS BIGINT) AS n_prefix_clashes, (SELECT count(*) FROM p) + count(*) AS n_nodes FROM c""",
+    "crc_checks": "SELECT c.*, width, reflected FROM (" + crc_sql("event_type", list(crc.parameters()), True) + ") c JOIN (VALUES " + ", ".join(f"('{n}', {w}, {str(r).lower()})" for n, (w, _, _, _, r) in crc.parameters().items()) + ") t(name, width, reflected) USING (name)",
+    "huffman_codebook_stats": """WITH o AS (SELECT o_custkey AS c, o_orderkey % 50 + 1 AS m, o_orderkey % 7 = 0 AND o_orderkey % 50 > 0 AS cut FROM orders),
+        b AS (SELECT c, lpad(bin(m), CAST(2 * length(bin(m)) - 1 AS INT), '0') AS whole, cut FROM o), x AS (SELECT c, CASE WHEN cut THEN left(whole, length(whole) - 1) ELSE whole END AS bits FROM b),
+        p AS (SELECT DISTINCT c, left(bits, CAST(k AS INT)) AS bits FROM x, range(100) t(k) WHERE k < length(bits)), n AS (SELECT c, count(*) AS n FROM p GROUP BY c)
+        SELECT c AS o_custkey, count(*) AS n_codes, count(DISTINCT bits) AS n_distinct, CAST(min(length(bits)) AS INT) AS min_len, CAST(max(length(bits)) AS INT) AS max_len, CAST(sum(CAST(1 AS HUGEINT) << CAST(60 - length(bits) AS INT)) AS BIGINT) AS kraft,
+            count(*) FILTER (EXISTS (SELECT 1 FROM p WHERE p.c = x.c AND p.bits = x.bits)) AS n_prefix_clashes, any_value(n.n) + count(DISTINCT bits) AS n_nodes FROM x JOIN n USING (c) GROUP BY c""",
     "huffman_spectrum": """SELECT p_partkey, CAST(p_partkey % 81 // 27 - 1 AS INT) AS w, CAST(p_partkey % 27 // 9 - 1 AS INT) AS x, CAST(p_partkey % 9 // 3 - 1 AS INT) AS y, CAST(p_partkey % 3 - 1 AS INT) AS z,
         CAST(p_partkey % 81 % 64 // 8 AS INT) AS pair_y, CAST(p_partkey % 81 % 64 % 8 AS INT) AS pair_z FROM part""",
     "hex_view": """WITH h AS (SELECT page_id, hex(encode(html)) AS x FROM pages), l AS (SELECT page_id, x, unnest(range(0, length(x), 32)) AS k FROM h)
@@ -193,5 +199,7 @@ ORACLES = {
     "clock_sync": f"WITH {emap.SQL}, d AS (SELECT pkt_idx, pts90, (pts90 - coalesce(dts90, 8589930000) + 8589934592) % 8589934592 AS d FROM packets WHERE pts90 IS NOT NULL) SELECT pkt_idx, CASE WHEN d >= 4294967296 THEN d - 8589934592 ELSE d END AS diff90, pts90 >> 9 = (pts90 + 511) >> 9 AS close FROM d",
     "scalar_text": """SELECT p_partkey, CASE WHEN length(p_name) + 3 <= 12 THEN p_name ELSE left(p_name, 9) || '...' END AS short, CAST(CASE WHEN p_size = 0 THEN 0 ELSE gcd(p_partkey, p_size) END AS BIGINT) AS gcd,
         CAST(DATE '1858-11-17' + CAST(p_partkey + 50000 AS INT) AS VARCHAR) AS day, strftime(TIMESTAMP '1904-01-01' + to_seconds(p_partkey * 1000003 + 2000000000), '%Y-%m-%d %H:%M:%S') AS at FROM part""",
-    "int_literals": "SELECT text, CAST(value AS BIGINT) AS value FROM (VALUES ('10', 10), ('010', 8), ('0x1F', 31), ('1Fh', 31), ('0b101', 5), ('101b', 5), ('17o', 15), ('ff', 255), ('-12', -12), ('zz', NULL)) t(text, value)",
+    "int_literals": """WITH t AS (SELECT o_orderkey AS k, [CAST(o_orderkey AS VARCHAR), '0' || to_base(o_orderkey, 8), '0x' || hex(o_orderkey), hex(o_orderkey) || 'h', '0b' || bin(o_orderkey), bin(o_orderkey) || 'b', to_base(o_orderkey, 8) || 'o', lower(hex(o_orderkey)), ' -' || o_orderkey, '+0X' || hex(o_orderkey), o_orderpriority][o_orderkey % 11 + 1] AS text FROM orders)
+        SELECT k AS o_orderkey, text, CASE k % 11 WHEN 8 THEN -k WHEN 10 THEN NULL WHEN 7 THEN CASE WHEN text = '0' THEN 0 WHEN regexp_full_match(text, '[0-9]+') THEN CAST(text AS BIGINT) WHEN regexp_full_match(text, '[01]+b') THEN CAST(list_sum(list_transform(range(1, length(text)), lambda i: CAST(text[i] AS BIGINT) << (length(text) - 1 - i))) AS BIGINT) ELSE k END ELSE k END AS value,
+            CASE WHEN k % 11 IN (2, 3, 7, 9) THEN k WHEN k % 11 IN (0, 1, 4, 5) THEN CAST('0x' || text AS BIGINT) WHEN k % 11 = 8 THEN -CAST('0x' || text[3:] AS BIGINT) END AS hex_value FROM t""",
 }
