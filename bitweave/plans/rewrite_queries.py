@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import rewrite
-from ..operators.shared import written
+from ..operators import locator_index, rewrite
+from ..operators.locator import compile_locator
+from ..operators.shared import shared_folder, written
+from . import tree_queries
 
 _LIMIT = 20_000
 
@@ -44,9 +46,71 @@ def box_removal(spark: SparkSession, sf: str) -> DataFrame:
     return new.join(sums, ["file", "box"], "left").select("file", "box", "kind", "new_offset", "new_size", "new_header", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("offsets", F.lit(0)).alias("offsets"))
 
 
-QUERIES = {"box_removal": box_removal}
+# -- locators -----------------------------------------------------------------
 
+_ORDER = {"cvs": ("c_custkey",), "au": ("c_custkey", "o_orderkey"), "nu": ("c_custkey", "o_orderkey", "l_linenumber")}
+_SPLIT_ROWS = 2_000
+
+
+def _index(spark: SparkSession, sf: str) -> str:
+    at = shared_folder(spark)
+    locator_index.write_index(tree_queries._elements(spark, sf), "nal", _ORDER, at, tree_queries._FLAGS, _SPLIT_ROWS)
+    return at
+
+
+def locator_by_index(spark: SparkSession, sf: str) -> DataFrame:
+    """What each of the locators finds in the indexed elements."""
+    at, out = _index(spark, sf), None
+    for name, uri in tree_queries._LOCATORS.items():
+        line = F.col("l_linenumber") if compile_locator(uri, "nal")[-1].level == "nu" else F.lit(None).cast("int")
+        found = locator_index.locate_by_index(spark, at, uri, "nal").select(F.lit(name).alias("locator"), "c_custkey", "o_orderkey", line.alias("l_linenumber"), "uri").distinct()
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def locator_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Of how many splits and rows each locator reads how many."""
+    at, out = _index(spark, sf), None
+    whole = spark.read.parquet(f"{at}/splits").agg(F.count(F.lit(1)).alias("n_splits"), F.sum("n_rows").alias("n_rows"))
+    for name, uri in tree_queries._LOCATORS.items():
+        read = locator_index.needed_splits(spark, at, uri, "nal").agg(F.lit(name).alias("locator"), F.count(F.lit(1)).alias("n_read"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows_read"))
+        out = read if out is None else out.unionByName(read)
+    return out.join(whole)  # one row
+
+
+QUERIES = {"box_removal": box_removal, "locator_by_index": locator_by_index, "locator_splits": locator_splits}
+
+_AU_IN_STREAM = f"WITH {tree_queries._ITEMS}, a AS (SELECT c_custkey, o_orderkey, row_number() OVER (ORDER BY c_custkey, o_orderkey) - 1 AS k FROM (SELECT DISTINCT c_custkey, o_orderkey FROM items)) SELECT c_custkey, o_orderkey, 'au' || k AS uri FROM a WHERE k BETWEEN 50 AND 120"
+
+
+def _all_located() -> str:
+    out = []
+    for name in tree_queries._LOCATORS:
+        sql = _AU_IN_STREAM if name == "locator_au_in_stream" else tree_queries.ORACLES[name]
+        line = "NULL" if name in ("locator_au_in_stream", "locator_au_in_cvs") else "l_linenumber"
+        out.append(f"SELECT '{name}' AS locator, c_custkey, o_orderkey, {line} AS l_linenumber, uri FROM ({sql})")
+    return " UNION ALL ".join(out)
+
+
+#: Each locator as a test of a split's least and greatest ordinals.
+_READS = {
+    "locator_nu_in_au_in_cvs": "nu1 >= 1 AND nu0 <= 1 AND au0 <= 3 AND c1 >= 10 AND c0 <= 40",
+    "locator_au_in_stream": "g1 >= 50 AND g0 <= 120",
+    "locator_au_in_cvs": "au1 >= 1 AND au0 <= 1 AND c0 <= 30",
+    "locator_open_end": "nu1 >= 3 AND c0 <= 5",
+    "locator_complement": "(nu0 < 1 OR nu1 > 2) AND au0 <= 1 AND c1 >= 7 AND c0 <= 7",
+    "locator_double_complement": "n0 <= 0 AND c0 < 10",
+    "locator_subset_vcl": "v0 <= 1 AND au1 >= 2 AND au0 <= 2 AND c1 >= 3 AND c0 <= 60",
+    "locator_subset_idr": "i1 >= 0 AND c1 >= 20 AND c0 <= 20",
+}
 ORACLES = {
+    "locator_by_index": _all_located(),
+    "locator_splits": f"""WITH {tree_queries._ITEMS}, x AS (SELECT *, (row_number() OVER (ORDER BY c_custkey, o_orderkey, l_linenumber) - 1) // {_SPLIT_ROWS} AS split, dense_rank() OVER (ORDER BY c_custkey) - 1 AS c, dense_rank() OVER (ORDER BY c_custkey, o_orderkey) - 1 AS g,
+          dense_rank() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 AS au, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey, l_linenumber) - 1 AS n, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) - 1 AS nu,
+          CASE WHEN vcl THEN count(*) FILTER (vcl) OVER w - 1 END AS v, CASE WHEN idr THEN count(*) FILTER (idr) OVER w - 1 END AS i FROM items WINDOW w AS (PARTITION BY o_orderkey ORDER BY l_linenumber)),
+        s AS (SELECT split, count(*) AS rows, {", ".join(f"min({k}) AS {k}0, max({k}) AS {k}1" for k in ("c", "g", "au", "n", "nu", "v", "i"))} FROM x GROUP BY split)
+        """
+    + " UNION ALL ".join(f"SELECT '{name}' AS locator, count(*) FILTER ({test}) AS n_read, CAST(coalesce(sum(rows) FILTER ({test}), 0) AS BIGINT) AS rows_read, count(*) AS n_splits, CAST(sum(rows) AS BIGINT) AS n_rows FROM s" for name, test in _READS.items()),
     "box_removal": f"""WITH RECURSIVE l AS (SELECT l_orderkey AS o, l_partkey + 1 AS z, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem),
         t AS (SELECT o_custkey AS f, o_orderkey AS o, length(o_orderpriority) AS note, o_orderkey % 11 = 5 AS gone, o_orderkey % 3 = 0 AS bare, coalesce((SELECT count(*) FROM l WHERE l.o = o_orderkey), 0) AS n, coalesce((SELECT sum(z) FROM l WHERE l.o = o_orderkey), 0) AS bytes FROM orders),
         d AS (SELECT *, sum(bytes) OVER (PARTITION BY f ORDER BY o) - bytes AS place FROM t),
