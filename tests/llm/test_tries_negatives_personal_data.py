@@ -269,3 +269,14 @@ def test_filter_never_loses_a_term(spark):
     terms = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
     held = personal.Filter(spark.createDataFrame([(int(t),) for t in terms], "term long"), 5000)
     assert held.may_hold(terms).all() and held.may_hold(-terms).mean() < 0.1
+
+
+def test_op13_counts_each_kind_wherever_it_stands(spark, tmp_path):
+    texts = ["mail a@b.co or c@d.org, call +1 (555) 123-4567", "4111 1111 1111 1111", "10.0.0.1 and 1.2.3.4.5.6.7.8 é a@b.co", "nothing", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {x.doc_id: x for x in personal.op13_personal_data(spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        spans = personal.base_spans(text or "")
+        x, base = rows[k], ",".join(f"{personal.KINDS[kind]}:{a}:{b}" for kind, a, b in spans)
+        assert [x.n_email, x.n_ip, x.n_card, x.n_phone] == [sum(s[0] == kind for s in spans) for kind in range(4)]
+        assert x.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
