@@ -29,6 +29,11 @@ def ticks_to_ms(ticks27: Column) -> Column:
     return F.concat(whole.cast("bigint").cast("string"), F.lit("."), F.lpad(rest.cast("bigint").cast("string"), 3, "0"))
 
 
+def _whole(a: Column, b: Column) -> Column:
+    """Whole quotient of non-negative numbers. A quotient of decimals is rounded to six places, which can lift it to the next number."""
+    return F.call_function("div", a, b).cast("bigint")
+
+
 def convert(ticks: Column, source: str, target: str) -> Column:
     """Integer conversion between clock rates, truncating, in 38-digit arithmetic."""
     a, b = RATES[source], RATES[target]
@@ -44,16 +49,16 @@ def signed_difference(a: Column, b: Column, wrap: int) -> Column:
 def rate_bps(n_bytes: Column, ticks27: Column) -> Column:
     """Bits per second of bytes sent during some 27 MHz ticks; null where no time passed."""
     product = n_bytes.cast("decimal(38,0)") * (8 * 27_000_000)
-    return F.when(ticks27 > 0, F.floor(product / ticks27.cast("decimal(20,0)")).cast("bigint"))
+    return F.when(ticks27 > 0, _whole(product, ticks27.cast("decimal(38,0)")))
 
 
 def ntp_to_hns(seconds: Column, fraction: Column) -> Column:
     """100 ns units of an NTP timestamp."""
-    return seconds * 10_000_000 + F.floor(fraction.cast("decimal(38,0)") * 10_000_000 / (1 << 32)).cast("bigint")
+    return seconds * 10_000_000 + F.shiftright(fraction.cast("bigint") * 10_000_000, 32)
 
 
 def ntp_to_90k(seconds: Column, fraction: Column) -> Column:
-    return F.pmod(seconds * 90_000 + F.floor(fraction.cast("decimal(38,0)") * 90_000 / (1 << 32)).cast("bigint"), F.lit(PTS_WRAP))
+    return F.pmod(seconds * 90_000 + F.shiftright(fraction.cast("bigint") * 90_000, 32), F.lit(PTS_WRAP))
 
 
 def same_pts(a: Column, b: Column) -> Column:
