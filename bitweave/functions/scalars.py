@@ -36,10 +36,15 @@ def gcd(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0).cast("bigint")).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["a"]))
 
 
+def _bare_year(text: Column) -> Column:
+    """Spark writes years of five digits with a plus sign."""
+    return F.ltrim(text, F.lit("+"))
+
+
 def seconds_since(base_year: int, seconds: Column) -> Column:
     """UTC date and time of seconds since the start of 1904 or 1900."""
     epoch = {1904: 2_082_844_800, 1900: 2_208_988_800}[base_year]
-    return F.date_format(F.to_utc_timestamp(F.from_utc_timestamp(F.timestamp_seconds(seconds - epoch), "UTC"), "UTC"), "yyyy-MM-dd HH:mm:ss")
+    return _bare_year(F.date_format(F.to_utc_timestamp(F.from_utc_timestamp(F.timestamp_seconds(seconds - epoch), "UTC"), "UTC"), "yyyy-MM-dd HH:mm:ss"))
 
 
 def mjd_date(mjd: Column) -> Column:
@@ -47,6 +52,11 @@ def mjd_date(mjd: Column) -> Column:
     return F.date_add(F.lit("1858-11-17").cast("date"), mjd.cast("int"))
 
 
+def mjd_text(mjd: Column) -> Column:
+    """The same as year-month-day, also beyond the year 9999."""
+    return _bare_year(mjd_date(mjd).cast("string"))
+
+
 def hex_lines(data: Column, width: int = 16) -> Column:
     """Rows of a hex view: array of (at, hex, text). Each view is made once for the whole object and cut into lines."""
     digits = F.regexp_extract_all(F.hex(data), F.lit(f".{{1,{2 * width}}}"), F.lit(0))
