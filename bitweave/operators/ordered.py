@@ -2,12 +2,12 @@
 
 Rows are cut into spans of 65,536 positions.  Inside a span an ordinary window
 does the work; across spans only one summary row each is ordered (a stream of
-500 billion packets has 8 million of them), and its result is joined back.
+500 billion packets has 8 million of them), and what comes of it leads its span.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -15,55 +15,65 @@ from .shared import written
 SPAN = 1 << 16
 
 
-def _spans(df: DataFrame, order: str, span: int) -> DataFrame:
-    return df.withColumn("_span", F.floor(F.col(order) / span))
+def _spans(df: DataFrame, order: str, span: int, by: list[str], large: DataFrame | None) -> DataFrame:
+    """Adds _span: by position, or 0 for all rows of a group that isn't among the large ones."""
+    if large is None or not by:
+        return df.withColumn("_span", F.floor(F.col(order) / span))
+    marks = large.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), F.lit(True).alias("_large"))
+    same = F.lit(True)
+    for i, k in enumerate(by):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rows = df.join(F.broadcast(marks), same, "left").drop(*(f"_k{i}" for i in range(len(by))))
+    return rows.withColumn("_span", F.when(F.col("_large"), F.floor(F.col(order) / span)).otherwise(F.lit(0).cast("bigint"))).drop("_large")
 
 
-def _back(df: DataFrame, ends: DataFrame, by: list[str]) -> DataFrame:
-    """Joins a summary row to each row of its span; partition columns may be null."""
-    keys = [*by, "_span"]
-    ends = ends.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in ends.columns if c not in keys))
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)] + [F.col("_span") == F.col(f"_k{len(by)}")]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
-    return df.join(ends, on, "left").drop(*(f"_k{i}" for i in range(len(keys))))
+def _led(rows: DataFrame, carried: DataFrame, by: list[str]) -> tuple[DataFrame, WindowSpec]:
+    """The rows, each span led by the row that is carried into it (not _own), and the window that reads them in order.
+
+    Spans with none before them get no such row.  The rows are shuffled once, for the window, and joined with nothing.
+    """
+    both = rows.withColumn("_own", F.lit(True)).unionByName(carried.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    return both, Window.partitionBy(*by, "_span")
 
 
 def with_lag(df: DataFrame, columns: dict[str, str], order: str, by: tuple[str, ...] = (), span: int = SPAN) -> DataFrame:
     """Adds, for {new: old}, the old column's value on the row before."""
     by = list(by)
-    rows = _spans(df, order, span)
     pack = F.struct(*(F.col(old).alias(new) for new, old in columns.items()))
-    rows = rows.withColumn("_before", F.lag(pack).over(Window.partitionBy(*by, "_span").orderBy(order)))
-    ends = rows.groupBy(*by, "_span").agg(F.max_by(pack, F.col(order)).alias("_end"))
-    ends = ends.withColumn("_carry", F.lag("_end").over(Window.partitionBy(*by).orderBy("_span"))).drop("_end")
-    out = _back(rows, ends, by).withColumn("_value", F.coalesce("_before", "_carry"))
+    rows = _spans(df, order, span, by, None).withColumn("_pack", pack)
+    ends = rows.groupBy(*by, "_span").agg(F.max_by("_pack", F.col(order)).alias("_end"))
+    carried = ends.select(*by, "_span", F.lag("_end").over(Window.partitionBy(*by).orderBy("_span")).alias("_pack")).where("_pack is not null")
+    both, w = _led(rows, carried, by)
+    out = both.withColumn("_value", F.lag("_pack").over(w.orderBy("_own", order))).where("_own")
     return out.select(*df.columns, *(F.col(f"_value.{new}").alias(new) for new in columns))
 
 
-def with_running_sum(df: DataFrame, columns: dict[str, Column], order: str, by: tuple[str, ...] = (), span: int = SPAN) -> DataFrame:
-    """Adds, for {new: expression}, the sum of the expression up to and with each row."""
+def _running(df: DataFrame, columns: dict[str, Column], order: str, by: tuple[str, ...], span: int, large: DataFrame | None, total, upto) -> DataFrame:
+    """Adds, for {new: expression}, ``upto`` of it up to and with each row; ``total`` sums up a span in the same way."""
     by = list(by)
-    rows = _spans(df, order, span).select("*", *(x.alias(f"_x_{new}") for new, x in columns.items()))
-    w = Window.partitionBy(*by, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = rows.groupBy(*by, "_span").agg(*(F.sum(f"_x_{new}").alias(f"_t_{new}") for new in columns))
-    before = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_span", *(F.coalesce(F.sum(f"_t_{new}").over(before), F.lit(0)).alias(f"_b_{new}") for new in columns))
-    out = _back(rows.select("*", *(F.coalesce(F.sum(f"_x_{new}").over(w), F.lit(0)).alias(f"_w_{new}") for new in columns)), totals, by)
-    return out.select(*df.columns, *((F.col(f"_w_{new}") + F.col(f"_b_{new}")).alias(new) for new in columns))
+    rows = _spans(df, order, span, by, large).select("*", *(x.alias(f"_x_{new}") for new, x in columns.items()))
+    ends = rows.groupBy(*by, "_span").agg(*(total(f"_x_{new}").alias(f"_t_{new}") for new in columns))
+    spans = Window.partitionBy(*by).orderBy("_span")
+    before = spans.rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*by, "_span", F.lag(F.lit(True)).over(spans).alias("_follows"), *(upto(f"_t_{new}").over(before).alias(f"_x_{new}") for new in columns)).where("_follows").drop("_follows")
+    both, w = _led(rows, carried, by)
+    w = w.orderBy("_own", order).rowsBetween(Window.unboundedPreceding, 0)
+    return both.select("*", *(upto(f"_x_{new}").over(w).alias(f"_w_{new}") for new in columns)).where("_own")
+
+
+def with_running_sum(df: DataFrame, columns: dict[str, Column], order: str, by: tuple[str, ...] = (), span: int = SPAN, large: DataFrame | None = None) -> DataFrame:
+    """Adds, for {new: expression}, the sum of the expression up to and with each row.
+
+    large: the groups of ``by`` that are cut into spans, where they are known; others are ordered whole, wherever their positions lie.
+    """
+    out = _running(df, columns, order, by, span, large, F.sum, F.sum)
+    return out.select(*df.columns, *(F.coalesce(F.col(f"_w_{new}"), F.lit(0)).alias(new) for new in columns))
 
 
 def with_running_max(df: DataFrame, columns: dict[str, Column], order: str, by: tuple[str, ...] = (), span: int = SPAN) -> DataFrame:
     """Adds, for {new: expression}, the largest value of the expression up to and with each row; nulls count for nothing."""
-    by = list(by)
-    rows = _spans(df, order, span).select("*", *(x.alias(f"_x_{new}") for new, x in columns.items()))
-    w = Window.partitionBy(*by, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    tops = rows.groupBy(*by, "_span").agg(*(F.max(f"_x_{new}").alias(f"_t_{new}") for new in columns))
-    before = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(*by, "_span", *(F.max(f"_t_{new}").over(before).alias(f"_b_{new}") for new in columns))
-    out = _back(rows.select("*", *(F.max(f"_x_{new}").over(w).alias(f"_w_{new}") for new in columns)), tops, by)
-    return out.select(*df.columns, *(F.greatest(f"_w_{new}", f"_b_{new}").alias(new) for new in columns))
+    out = _running(df, columns, order, by, span, None, F.max, F.max)
+    return out.select(*df.columns, *(F.col(f"_w_{new}").alias(new) for new in columns))
 
 
 def with_rank(df: DataFrame, new: str, order: list[str]) -> DataFrame:
@@ -78,11 +88,6 @@ def with_rank(df: DataFrame, new: str, order: list[str]) -> DataFrame:
 
 def with_last_known(df: DataFrame, columns: dict[str, Column], order: str, by: tuple[str, ...] = (), span: int = SPAN) -> DataFrame:
     """Adds, for {new: expression}, the latest non-null value up to and with each row: a backward as-of lookup."""
-    by = list(by)
-    rows = _spans(df, order, span).select("*", *(x.alias(f"_x_{new}") for new, x in columns.items()))
-    w = Window.partitionBy(*by, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ends = rows.groupBy(*by, "_span").agg(*(F.max_by(f"_x_{new}", F.when(F.col(f"_x_{new}").isNotNull(), F.col(order))).alias(f"_e_{new}") for new in columns))
-    before = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(*by, "_span", *(F.last(f"_e_{new}", ignorenulls=True).over(before).alias(f"_b_{new}") for new in columns))
-    out = _back(rows.select("*", *(F.last(f"_x_{new}", ignorenulls=True).over(w).alias(f"_w_{new}") for new in columns)), ends, by)
-    return out.select(*df.columns, *(F.coalesce(f"_w_{new}", f"_b_{new}").alias(new) for new in columns))
+    latest = lambda x: F.max_by(x, F.when(F.col(x).isNotNull(), F.col(order)))
+    out = _running(df, columns, order, by, span, None, latest, lambda x: F.last(x, ignorenulls=True))
+    return out.select(*df.columns, *(F.col(f"_w_{new}").alias(new) for new in columns))
