@@ -26,11 +26,11 @@ LIMIT = 1 << 32
 _ENTRIES = 1024
 
 
-def shifted(points: DataFrame, edits: DataFrame, by: tuple[str, ...] = (), at: str = "at", span: int = SPAN) -> DataFrame:
+def shifted(points: DataFrame, edits: DataFrame, by: tuple[str, ...] = (), at: str = "at", span: int = SPAN, large: DataFrame | None = None) -> DataFrame:
     """Adds shift: the sum of delta over edits (by, at, delta) of the point's file at or before its place."""
     marks = points.select(*by, (F.col(at) * 2 + 1).alias("_o"), F.lit(0).cast("bigint").alias("_d"), F.struct(*points.columns).alias("_p"))
     moves = edits.select(*by, (F.col("at") * 2).alias("_o"), F.col("delta").cast("bigint").alias("_d"), F.lit(None).cast(marks.schema["_p"].dataType).alias("_p"))
-    return with_running_sum(marks.unionByName(moves), {"shift": F.col("_d")}, "_o", by, span).where("_p is not null").select("_p.*", "shift")
+    return with_running_sum(marks.unionByName(moves), {"shift": F.col("_d")}, "_o", by, span, large).where("_p is not null").select("_p.*", "shift")
 
 
 def _edits(rows: DataFrame, by: tuple[str, ...], *changes: tuple[Column, Column]) -> DataFrame:
@@ -49,27 +49,30 @@ def without_boxes(boxes: DataFrame, removed: DataFrame, chunks: DataFrame, by: t
     are removed.  edits: by, at, delta.
     """
     on = [*by, "box"]
+    large = None
+    if by:  # places are far apart, so only files of many rows are cut by them: a box has two ends and at most three edits
+        rows = boxes.select(*by, F.lit(5).alias("_n")).unionByName(chunks.select(*by, F.lit(1).alias("_n")))
+        large = written(rows.groupBy(*by).agg(F.sum("_n").alias("_n")).where(F.col("_n") > span).select(*by))
     marked = written(boxes.select(*on, "kind", "offset", "size", "header").join(removed.select(*on).distinct().withColumn("_gone", F.lit(True)), on, "left"))
     gone = marked.where("_gone")
     # a box is inside a removed one if more of these have begun before it than have ended by then
     inside = _edits(gone, by, (F.col("offset") + 1, F.lit(1)), (F.col("offset") + F.col("size"), F.lit(-1)))
-    marked = written(shifted(marked, inside, by, "offset", span).where("shift = 0").drop("shift"))
+    marked = written(shifted(marked, inside, by, "offset", span, large).where("shift = 0").drop("shift"))
     edits = written(_edits(marked.where("_gone"), by, (F.col("offset") + F.col("size"), -F.col("size"))))
     lost = _edits(marked.where("_gone"), by, (F.col("offset"), F.lit(1)), (F.col("offset") + F.col("size"), F.lit(-1)))
     kept = marked.where("_gone is null").drop("_gone")
     tables = kept.where("kind in ('stco', 'co64')").select(*on)
-    chunks = written(shifted(chunks.select(*on, "k", "chunk_offset").join(tables, on), lost, by, "chunk_offset", span).withColumnRenamed("shift", "_lost"))
+    chunks = written(shifted(chunks.select(*on, "k", "chunk_offset").join(tables, on), lost, by, "chunk_offset", span, large).withColumnRenamed("shift", "_lost"))
     ends = kept.select(*on, "kind", "offset", "size", "header", F.explode(F.array(F.lit(False), F.lit(True))).alias("_end"))
     ends = written(ends.withColumn("_at", F.when(F.col("_end"), F.col("offset") + F.col("size")).otherwise(F.col("offset"))))
-    counts = chunks.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     wide = None
     while True:
-        places = shifted(ends, edits, by, "_at", span)
-        moved = shifted(chunks, edits, by, "chunk_offset", span).withColumn("new_chunk_offset", F.when(F.col("_lost") == 0, F.col("chunk_offset") + F.col("shift"))).drop("shift")
+        places = shifted(ends, edits, by, "_at", span, large)
+        moved = shifted(chunks, edits, by, "chunk_offset", span, large).withColumn("new_chunk_offset", F.when(F.col("_lost") == 0, F.col("chunk_offset") + F.col("shift"))).drop("shift")
         rows = places.groupBy(*on, "kind", "offset", "size", "header").agg(F.max(F.when(~F.col("_end"), F.col("shift"))).alias("_a"), F.max(F.when(F.col("_end"), F.col("shift"))).alias("_b"))
         rows = rows.select(*on, "kind", "offset", "size", "header", (F.col("offset") + F.col("_a")).alias("new_offset"), (F.col("size") + F.col("_b") - F.col("_a")).alias("new_size"))
-        top = moved.groupBy(*on).agg(F.max("new_chunk_offset").alias("_top"))
-        rows = rows.join(top, on, "left").join(counts, on, "left")
+        top = moved.groupBy(*on).agg(F.max("new_chunk_offset").alias("_top"), F.count(F.lit(1)).alias("_n"))
+        rows = rows.join(top, on, "left")
         if wide is not None:
             rows = rows.join(wide, [*on], "left")
         else:

@@ -5,7 +5,7 @@ import struct
 
 import pytest
 
-from bitweave.operators.rewrite import without_boxes, write_without
+from bitweave.operators.rewrite import shifted, without_boxes, write_without
 from bitweave.sources import containers
 
 
@@ -93,3 +93,11 @@ def test_nested_removals_lost_chunks_and_several_files(spark):
     assert sorted((r["file"], r["box"], r["new_offset"], r["new_size"]) for r in new.collect()) == [("a", 1, 0, 50), ("a", 4, 8, 32), ("a", 5, 50, 60), ("b", 1, 0, 20), ("b", 2, 20, 30)]
     assert sorted((r["file"], r["k"], r["new_chunk_offset"]) for r in moved.collect()) == [("a", 0, 58), ("a", 1, None), ("a", 2, 109), ("b", 0, 28)]
     assert sorted((r["file"], r["at"], r["delta"]) for r in edits.collect()) == [("a", 58, -50), ("a", 200, -40)]
+
+
+def test_places_far_apart_make_no_spans_in_small_groups(spark):
+    points = spark.createDataFrame([(f, k * 10**9) for f in range(20) for k in range(30)], "file long, at long")
+    edits = spark.createDataFrame([(f, k * 10**9, f + 1) for f in range(20) for k in (3, 7)], "file long, at long, delta long")
+    for large in (points.select("file").where("false"), points.select("file").where("file = 4").distinct()):
+        got = shifted(points, edits, ("file",), "at", 100, large).collect()
+        assert sorted(map(tuple, got)) == sorted((f, k * 10**9, (f + 1) * ((k >= 3) + (k >= 7))) for f in range(20) for k in range(30))
