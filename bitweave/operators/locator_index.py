@@ -3,8 +3,8 @@
 The elements are stored in stream order, cut into splits, each row with its ordinal
 inside every level above; a small table has the least and greatest ordinal of each
 split.  A locator becomes one range test a level.  On the small table the tests
-name the splits that can hold such elements; Spark reads only their folders, by
-partition pruning while the query runs, and on the rows the same tests select.
+name the splits that can hold such elements; Spark reads only their folders (of one
+split, or of neighbours where there are more than ``FOLDERS``), by partition pruning while the query runs, and on the rows the same tests select.
 Nothing is ranked again, so a lookup shuffles nothing but that small table.
 """
 
@@ -22,6 +22,10 @@ def _name(inside: str | None, name: str) -> str:
     return f"_in_{inside or 'stream'}_{name}"
 
 
+#: Folders of an index at most; each has equally many splits, next to one another.
+FOLDERS = 1024
+
+
 def _stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/elements")
 
@@ -39,6 +43,7 @@ def write_index(elements: DataFrame, scheme: str, order: dict[str, tuple[str, ..
     columns = list(order[levels[-1]])
     flags = subset_flags or {}
     rows = written(with_rank(elements, "_row", columns).withColumn("_row", F.col("_row").cast("bigint")))
+    each = -(-rows.count() // (split_rows * FOLDERS)) or 1  # splits of a folder
     rows = with_lag(rows.withColumn("_key", F.struct(*columns)), {"_before": "_key"}, "_row", (), span)
     starts = {}
     for level in levels:
@@ -60,11 +65,12 @@ def write_index(elements: DataFrame, scheme: str, order: dict[str, tuple[str, ..
     rows = rows.withColumns({_name(a, b): F.col(f"_g_{b}") - 1 - (F.col(_name(a, b)) if a else F.lit(0)) for a, b in pairs})
     rows = rows.withColumns({_name(a, b): F.when(F.coalesce(F.col(flags[b]), F.lit(False)), F.col(_name(a, b))) for a, b in pairs if b in flags})
     rows = rows.select(*elements.columns, *(_name(a, b) for a, b in pairs), "_row", F.expr(f"_row div {split_rows}").alias("_split"))
-    rows.repartitionByRange("_split").sortWithinPartitions("_split", "_row").write.partitionBy("_split").parquet(f"{path}/elements")
+    rows = rows.withColumn("_part", F.expr(f"_split div {each}"))
+    rows.repartitionByRange("_split").sortWithinPartitions("_part", "_split", "_row").write.partitionBy("_part").parquet(f"{path}/elements")
     rows.limit(0).write.parquet(f"{path}/columns")  # what the rows are, also where there are none
     stored = _stored(elements.sparkSession, path)
     ends = [x for a, b in pairs for x in (F.min(_name(a, b)).alias(f"{_name(a, b)}_min"), F.max(_name(a, b)).alias(f"{_name(a, b)}_max"))]
-    stored.groupBy("_split").agg(F.count(F.lit(1)).alias("n_rows"), *ends).write.parquet(f"{path}/splits")
+    stored.groupBy("_split", "_part").agg(F.count(F.lit(1)).alias("n_rows"), *ends).write.parquet(f"{path}/splits")
 
 
 def _tests(uri: str, scheme: str, columns: list[str]) -> list[tuple[Selector, str]]:
@@ -95,11 +101,11 @@ def _can_hold(s: Selector, low: Column, high: Column) -> Column:
 
 
 def needed_splits(spark: SparkSession, path: str, uri: str, scheme: str) -> DataFrame:
-    """_split, n_rows of the splits that can hold what a locator names: no other split has any."""
+    """_split, _part (its folder), n_rows of the splits that can hold what a locator names: no other split has any."""
     splits = spark.read.parquet(f"{path}/splits")
     for s, c in _tests(uri, scheme, [x[:-4] for x in splits.columns if x.endswith("_min")]):
         splits = splits.where(_can_hold(s, F.col(f"{c}_min"), F.col(f"{c}_max")))
-    return splits.select("_split", "n_rows")
+    return splits.select("_split", "_part", "n_rows")
 
 
 def locate_by_index(spark: SparkSession, path: str, uri: str, scheme: str) -> DataFrame:
@@ -108,6 +114,6 @@ def locate_by_index(spark: SparkSession, path: str, uri: str, scheme: str) -> Da
     tests = _tests(uri, scheme, rows.columns)
     for s, c in tests:
         rows = rows.where(s.accepts(F.col(c)))
-    rows = rows.join(needed_splits(spark, path, uri, scheme).select("_split"), "_split", "left_semi")
+    rows = rows.join(needed_splits(spark, path, uri, scheme).select("_part", "_split"), ["_part", "_split"], "left_semi")
     shown = F.concat_ws(".", *(F.concat(F.lit(s.name), F.col(c).cast("string")) for s, c in reversed(tests)))
-    return rows.withColumn("uri", shown).drop("_split", "_row", *(c for c in rows.columns if c.startswith("_in_")))
+    return rows.withColumn("uri", shown).drop("_part", "_split", "_row", *(c for c in rows.columns if c.startswith("_in_")))

@@ -6,13 +6,14 @@ candidate) says where the scan would go on after it, hence where it would leave
 the range: a scan that comes in at any byte takes the first candidate from there.
 A range is thus a map from entries to exits, constant between candidates and, as
 scans that start apart soon fall into step, of a few pieces only.  Such maps
-compose.  The scan has three levels: ranges, blocks of ``BLOCK`` ranges, the
-stream; maps go up (each level's exits from the one below), entries come down, and
-a range that knows its entry keeps the candidates that the scan really visits.
+compose.  The scan has levels: ranges, blocks of ``FAN`` ranges, blocks of ``FAN``
+such blocks, up to the stream; maps go up (each level's exits from the one below),
+entries come down, and a range that knows its entry keeps the candidates that the
+scan really visits.
 
 Bytes are read once, by as many tasks as there are ranges; only candidates, pieces
 and entries are shuffled.  No task sees more than the candidates of one range, the
-pieces of one block, or one map a block.
+pieces of the ``FAN`` parts of one block.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from .ordered import with_lag, with_last_known, with_rank
 from .shared import written
 
 BLOCK = 1024
+FAN = 32
 
 #: (data with bytes ahead, own bytes, bytes from its start to the stream's end) to (places of candidates below own, where the scan goes on after each, columns of the grammar).
 Grammar = Callable[[np.ndarray, int, int], tuple[np.ndarray, np.ndarray, list]]
@@ -37,21 +39,20 @@ Grammar = Callable[[np.ndarray, int, int], tuple[np.ndarray, np.ndarray, list]]
 
 def exits(places: np.ndarray, after: np.ndarray, end: int) -> np.ndarray:
     """Where a scan that takes the candidate at each place leaves [.., end); places ascend, and after[k] > places[k]."""
-    n, out = len(places), after.copy()
-    following = np.searchsorted(places, after)
+    n, out, following = len(places), after.tolist(), np.searchsorted(places, after).tolist()
     for k in range(n - 1, -1, -1):
-        if after[k] < end:
+        if out[k] < end:
             out[k] = out[following[k]] if following[k] < n else end
-    return out
+    return np.array(out, after.dtype)
 
 
-def walk(places: list[int], after: list[int], entry: int, end: int) -> Iterator[tuple[int, int]]:
+def walk(places: np.ndarray, after: np.ndarray, entry: int, end: int) -> Iterator[tuple[int, int]]:
     """(index of each candidate that a scan from ``entry`` takes, where it came from)."""
-    k = int(np.searchsorted(places, entry))
-    while k < len(places) and places[k] < end:
+    k, n = int(np.searchsorted(places, entry)), int(np.searchsorted(places, end))
+    following, after = np.searchsorted(places, after).tolist(), after.tolist()
+    while k < n:
         yield k, entry
-        entry = after[k]
-        k = int(np.searchsorted(places[k:], entry)) + k
+        entry, k = after[k], following[k]
 
 
 def _telling(out: np.ndarray) -> np.ndarray:
@@ -78,7 +79,7 @@ def _candidates(grammar: Grammar, schema: pa.Schema):
 
 
 def _sorted(table: pa.Table, column: str) -> pa.Table:
-    return table.take(pa.compute.sort_indices(table.column(column))) if table.num_rows else table
+    return table.sort_by(column) if table.num_rows else table
 
 
 _MAPS = pa.schema([("block", pa.int64()), ("at", pa.int64()), ("exit", pa.int64())])
@@ -111,21 +112,32 @@ def _block_entries(size: int):
     return run
 
 
-_SPLITS = pa.schema([("split", pa.int64()), ("entry", pa.int64())])
-
-
 def _split_entries(size: int):
     def run(pieces: pa.Table, entries: pa.Table) -> pa.Table:
         if not entries.num_rows or not pieces.num_rows:
-            return _SPLITS.empty_table()
+            return _ENTRIES.empty_table()
         pieces = _sorted(pieces, "at")
         at, after = pieces.column("at").to_numpy(), pieces.column("exit").to_numpy()
         found = [(int(at[k]) // size, entry) for k, entry in walk(at, after, entries.column("entry")[0].as_py(), np.iinfo(np.int64).max)]
-        return pa.table([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=_SPLITS)
+        return pa.table([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=_ENTRIES)
 
     return run
 
 
+def _entries(pieces: DataFrame, size: int) -> DataFrame:
+    """split, entry of the ranges of ``size`` bytes that a scan from byte 0 comes into. pieces: at, exit of the ranges' maps."""
+    inside = lambda maps, n: maps.select(F.expr(f"at div {n}").alias("block"), "at", "exit").groupBy("block")
+    last, levels = pieces.agg(F.max("at")).first()[0] or 0, [pieces]
+    while last // size >= FAN:
+        size *= FAN
+        levels.append(written(inside(levels[-1], size).applyInArrow(_compose(size), "block long, at long, exit long").select("at", "exit")))
+    entries = inside(levels.pop(), size * FAN).applyInArrow(_block_entries(size), "block long, entry long")  # one group
+    for maps in reversed(levels):
+        entries = inside(maps, size).cogroup(entries.groupBy("block")).applyInArrow(_split_entries(size // FAN), "block long, entry long")
+        size //= FAN
+    return entries.withColumnRenamed("block", "split")
+
+
 def _visited(schema: pa.Schema):
     def run(candidates: pa.Table, entries: pa.Table) -> pa.Table:
         if not entries.num_rows or not candidates.num_rows:
@@ -148,10 +160,7 @@ def split_scan(chunks: DataFrame, grammar: Grammar, ddl: str, split_bytes: int)
     fields = T.StructType.fromDDL(ddl).fields
     schema, kept = T.StructType([*_OWN, *fields]), T.StructType([_OWN[0], _OWN[1], _OWN[2], *fields])
     candidates = written(chunks.mapInArrow(_candidates(grammar, to_arrow_schema(schema)), schema))
-    pieces = candidates.where("telling").select(F.expr(f"split div {BLOCK}").alias("block"), "at", "exit")
-    maps = pieces.groupBy("block").applyInArrow(_compose(split_bytes * BLOCK), "block long, at long, exit long")
-    blocks = maps.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(_block_entries(split_bytes * BLOCK), "block long, entry long")  # one map a block
-    splits = pieces.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_split_entries(split_bytes), "split long, entry long")
+    splits = _entries(candidates.where("telling").select("at", "exit"), split_bytes)
     packets = written(candidates.drop("exit", "telling").groupBy("split").cogroup(splits.groupBy("split")).applyInArrow(_visited(to_arrow_schema(kept)), kept))
 
     inside = Window.partitionBy("split").orderBy("at")

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 
+from bitweave.operators import locator_index
 from bitweave.operators.locator import LocatorError, locate
 from bitweave.operators.locator_index import locate_by_index, needed_splits, write_index
 
@@ -83,3 +84,15 @@ def test_an_empty_stream(spark, tmp_path):
     write_index(empty, "nal", ORDER, str(tmp_path), FLAGS)
     assert needed_splits(spark, str(tmp_path), "nu0", "nal").count() == 0
     assert locate_by_index(spark, str(tmp_path), "nu0.au", "nal").count() == 0
+
+
+def test_folders_are_bounded(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(locator_index, "FOLDERS", 3)
+    rows = spark.createDataFrame([(c, a, k) for c in range(6) for a in range(3) for k in range(4)], "c long, a long, k long")
+    at, order = str(tmp_path / "index"), {"cvs": ("c",), "au": ("c", "a"), "nu": ("c", "a", "k")}
+    write_index(rows, "nal", order, at, None, 5)
+    assert len([x for x in os.listdir(f"{at}/elements") if x.startswith("_part=")]) == 3 and spark.read.parquet(f"{at}/splits").count() == 15
+    got = locate_by_index(spark, at, "nu1.au2.cvs3-4", "nal").collect()
+    assert sorted((x.c, x.a, x.k) for x in got) == [(3, 2, 1), (4, 2, 1)]

@@ -188,3 +188,24 @@ def test_file_check_does_not_depend_on_ranges(spark, stream):
     want = {n: format(crc.crc(data, n), f"0{crc.parameters()[n][0] // 4}X") for n in ("crc-16", "crc-32", "crc-64-jones", "crc-8-wcdma")}
     for size in (999, 1 << 20):
         assert {x.name: x.check for x in crc.file_crc(spark, path, tuple(want), size).collect()} == want
+
+
+@pytest.mark.parametrize("fan", [2, 3, 32])
+def test_entries_do_not_depend_on_levels(spark, monkeypatch, fan):
+    r, size = random.Random(fan), 10
+    monkeypatch.setattr(split_scan, "FAN", fan)
+    places = np.array(sorted(r.sample(range(400), 130)))
+    after = places + np.array([r.randint(1, 60) for _ in places])
+    pieces = []
+    for k in range(40):
+        own = (places >= k * size) & (places < (k + 1) * size)
+        pieces += zip(places[own].tolist(), split_scan.exits(places[own], after[own], (k + 1) * size).tolist(), strict=True)
+    want, entry = {}, 0
+    for p, stop in zip(places.tolist(), after.tolist(), strict=True):
+        if p >= entry:
+            want.setdefault(p // size, entry)
+            entry = stop
+    got = split_scan._entries(spark.createDataFrame(pieces, "at long, exit long"), size).collect()
+    # a range's entry may be given as any place from which its first packet is the same
+    first = lambda e: int(places[np.searchsorted(places, e)])
+    assert {x.split: first(x.entry) for x in got} == {k: first(e) for k, e in want.items()}
