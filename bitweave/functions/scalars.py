@@ -42,9 +42,13 @@ def _bare_year(text: Column) -> Column:
 
 
 def seconds_since(base_year: int, seconds: Column) -> Column:
-    """UTC date and time of seconds since the start of 1904 or 1900."""
+    """UTC date and time of seconds since the start of 1904 or 1900.
+
+    Whole numbers are exact; doubles become microseconds as a double holds them, from 2**59 on to the nearest 128 or more.
+    """
     epoch = {1904: 2_082_844_800, 1900: 2_208_988_800}[base_year]
-    return _bare_year(F.date_format(F.to_utc_timestamp(F.from_utc_timestamp(F.timestamp_seconds(seconds - epoch), "UTC"), "UTC"), "yyyy-MM-dd HH:mm:ss"))
+    at = F.timestamp_micros(F.unix_micros(F.timestamp_seconds(seconds)) - epoch * 1_000_000)
+    return _bare_year(F.date_format(F.to_utc_timestamp(F.from_utc_timestamp(at, "UTC"), "UTC"), "yyyy-MM-dd HH:mm:ss"))
 
 
 def mjd_date(mjd: Column) -> Column:

@@ -76,3 +76,19 @@ def test_queries_of_large_keys_equal_their_sql(spark, tmp_path, name):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
     want = con.sql(ORACLES[name])
     assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).select(want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_seconds_that_a_double_cannot_hold_in_microseconds(spark, tmp_path):
+    import duckdb
+
+    from bitweave.catalog import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT CAST(k AS BIGINT) AS p_partkey, 'part ' || k AS p_name, CAST(k % 50 AS INT) AS p_size FROM (SELECT unnest([574463, 574467, 1199999, 2400001, 7199998]) + i AS k FROM range(-9, 10) r(i))) TO '{tmp_path}/part.parquet'")
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    want = con.sql(ORACLES["scalar_text"])
+    assert sorted(map(tuple, QUERIES["scalar_text"](spark, str(tmp_path)).select(want.columns).collect())) == sorted(want.fetchall())
+    # whole numbers stay exact
+    s = 574463 * 1_000_003 + 2_000_000_000
+    whole = spark.createDataFrame([(s,)], "s long").select(scalars.seconds_since(1904, F.col("s")), scalars.seconds_since(1904, F.col("s").cast("double"))).first()
+    assert tuple(whole) == ("20171-06-09 09:49:49", "20171-06-09 09:49:48")
