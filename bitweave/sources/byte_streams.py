@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,16 @@ def parts_of(path: str) -> list[tuple[str, int]]:
 # -- the sink -----------------------------------------------------------------------
 
 
+def joined(values: pa.Array) -> memoryview:
+    """The bytes of a binary column one after the other, as they lie in memory; nulls have none."""
+    values = values.drop_null().cast(pa.large_binary())
+    _, offsets, data = values.buffers()
+    if not len(values) or data is None:
+        return memoryview(b"")
+    ends = np.frombuffer(offsets, np.int64, len(values) + 1, 8 * values.offset)
+    return memoryview(data)[int(ends[0]) : int(ends[-1])]
+
+
 @dataclass
 class Attempt(WriterCommitMessage):
     """What one accepted attempt of a task has written, and where."""
@@ -67,10 +78,9 @@ class OrderedWriter(DataSourceArrowWriter):
         name, n = f"{task.partitionId():06d}-{uuid.uuid4().hex}", 0
         with system.open_output_stream(f"{at}/{self.attempts}/{name}") as f:
             for batch in iterator:
-                for x in batch.column(0):
-                    if x.is_valid:
-                        n += x.as_buffer().size
-                        f.write(x.as_buffer())
+                data = joined(batch.column(0))
+                n += len(data)
+                f.write(data)
         return Attempt(task.partitionId(), name, n)
 
     def commit(self, messages: list[Attempt | None]) -> None:
@@ -111,23 +121,39 @@ def write_stream(rows: DataFrame, path: str, order: list[str], data: str, overwr
 # -- the reader -----------------------------------------------------------------------
 
 
-class Range(InputPartition):
+#: A task reads ranges of so many bytes in all, or one; where ranges are few, tasks take fewer.
+TASK_BYTES = 16 << 20
+
+
+@dataclass
+class Range:
     """Bytes [start, start + own) of a stream and up to ``ahead`` bytes more; pieces: (path, first byte, bytes)."""
 
-    def __init__(self, split: int, start: int, own: int, total: int, pieces: list[tuple[str, int, int]]):
-        self.split, self.start, self.own, self.total, self.pieces = split, start, own, total, pieces
+    split: int
+    start: int
+    own: int
+    total: int
+    pieces: list[tuple[str, int, int]]
+
+
+class Ranges(InputPartition):
+    """What one task reads, range after range."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
 
 
 class RangeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.size, self.ahead = int(options.get("split_bytes", 64 << 20)), int(options.get("ahead", 0))
+        self.tasks = int(options.get("tasks", 1))
         wanted = options.get("splits", "")
         self.wanted = {int(x) for x in wanted.split(",")} if wanted else None
         if self.size < 1 or self.size + self.ahead >= 1 << 31:
             raise ValueError("split_bytes must be from 1 to 2 GB")
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         files, base = [], 0
         for path, size in parts_of(self.path):
             files.append((path, base, base + size))
@@ -144,21 +170,29 @@ class RangeReader(DataSourceReader):
                     pieces.append((path, max(low, start) - low, min(high, end) - max(low, start)))
             if self.wanted is None or split in self.wanted:
                 out.append(Range(split, start, min(self.size, base - start), base, pieces))
-        return out or [Range(0, 0, 0, 0, [])]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.own:
-            return
-        data = []
-        for path, first, n in partition.pieces:
-            system, at = opened(path)
-            with system.open_input_file(at) as f:
-                got = f.read_at(n, first)
-            if len(got) != n:
-                raise OSError(f"{path}: {len(got)} of {n} bytes at {first}")
-            data.append(got)
-        longs = [pa.array([x], pa.int64()) for x in (partition.split, partition.start, partition.own, partition.total)]
-        yield pa.record_batch([*longs, pa.array([b"".join(data) if len(data) > 1 else data[0]], pa.binary())], names=["split", "start", "own", "total", "data"])
+        each = max(1, min(TASK_BYTES // self.size, len(out) // self.tasks))
+        return [Ranges(out[k : k + each]) for k in range(0, len(out), each)] or [Ranges([])]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        name = f = None
+        try:
+            for x in partition.ranges:
+                data = []
+                for path, first, n in x.pieces:
+                    if path != name:
+                        if f:
+                            f.close()
+                        system, at = opened(path)
+                        name, f = path, system.open_input_file(at)
+                    got = f.read_at(n, first)
+                    if len(got) != n:
+                        raise OSError(f"{path}: {len(got)} of {n} bytes at {first}")
+                    data.append(got)
+                longs = [pa.array([v], pa.int64()) for v in (x.split, x.start, x.own, x.total)]
+                yield pa.record_batch([*longs, pa.array([b"".join(data) if len(data) > 1 else data[0]], pa.binary())], names=["split", "start", "own", "total", "data"])
+        finally:
+            if f:
+                f.close()
 
 
 class ByteStream(DataSource):
@@ -181,7 +215,7 @@ class ByteStream(DataSource):
 
 
 def read_ranges(spark: SparkSession, path: str, split_bytes: int = 64 << 20, ahead: int = 0, splits: list[int] | None = None) -> DataFrame:
-    """A row for each byte range of a stream, or for those of ``splits`` only."""
+    """A row for each byte range of a stream, or for those of ``splits`` only. Small ranges share tasks."""
     spark.dataSource.register(ByteStream)
-    reader = spark.read.format("byte_stream").option("split_bytes", split_bytes).option("ahead", ahead)
+    reader = spark.read.format("byte_stream").option("split_bytes", split_bytes).option("ahead", ahead).option("tasks", 4 * spark.sparkContext.defaultParallelism)
     return (reader if splits is None else reader.option("splits", ",".join(map(str, splits)))).load(path)

@@ -8,11 +8,12 @@ import textwrap
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bitweave.functions import crc
 from bitweave.operators import split_scan
-from bitweave.sources import containers, video
+from bitweave.sources import byte_streams, containers, video
 from bitweave.sources.byte_streams import MARK, parts_of, read_ranges, write_stream
 
 SIZES = [5, 64, 1000, 1 << 22]
@@ -161,6 +162,23 @@ def test_ranges_are_the_stream(spark, stream):
     assert [r.split for r in read_ranges(spark, path, 97, splits=[3, 5]).orderBy("split").collect()] == [3, 5]
 
 
+def test_small_ranges_share_tasks(spark, stream):
+    data = bytes(random.Random(9).randrange(256) for _ in range(10_000))
+    path = stream(data, 7)
+    ranges = read_ranges(spark, path, 10, ahead=3)
+    assert ranges.rdd.getNumPartitions() <= 5 * spark.sparkContext.defaultParallelism
+    rows = ranges.orderBy("start").collect()
+    assert [r.split for r in rows] == list(range(1000)) and all(bytes(r.data) == data[r.start : r.start + r.own + 3] for r in rows)
+
+
+def test_bytes_of_a_column_are_joined():
+    values = [b"a", None, b"", b"bcd", None, b"e" * 300, b"f"]
+    for a in range(8):
+        for b in range(a, 8):
+            for kind in (pa.binary(), pa.large_binary()):
+                assert bytes(byte_streams.joined(pa.array(values, kind)[a:b])) == b"".join(x or b"" for x in values[a:b])
+
+
 # -- checks -------------------------------------------------------------------------
 
 
