@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import bitmaps, fragments, slots
+from ..operators.shared import written
 
 
 def _packets(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,6 +41,7 @@ def fragment_samples(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as fragments, lines as runs, with whatever a line lacks left out."""
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("run", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
     lines = lines.select(F.col("l_orderkey").alias("fragment"), (F.col("l_suppkey") % 2).alias("traf"), "run", F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), (F.col("l_quantity") % 3).cast("int").alias("last"))
+    lines = written(lines)  # read three times
     o = F.col("fragment")
     tracks = lines.select("fragment", "traf").distinct().select(
         "fragment", "traf", (F.col("traf") + 1).alias("track_id"), (o * 100_000).alias("fragment_at"), F.when(o % 5 == 0, o * 100_000 + 50 + F.col("traf")).alias("base_offset"), (o % 3 == 0).alias("from_fragment"),

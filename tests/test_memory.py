@@ -68,6 +68,44 @@ def plain_samples(defaults, tracks, runs, samples):
     return sorted(out)
 
 
+@pytest.fixture
+def small_batches(spark):
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, x in conf.items():
+        spark.conf.set(k, x)
+    yield
+    for k, x in before.items():
+        spark.conf.set(k, x)
+
+
+def test_fragments_by_ranges_and_batches(spark, small_batches):
+    """Four ranges of several batches each, samples without a header or run, headers without samples; everything is shuffled once."""
+    r = random.Random(4)
+    some = lambda *x: r.choice([None, *x])
+    defaults = [(1, 10, 5, 1, 1), (2, None, None, None, 2)]
+    tracks, runs, samples = [], [], []
+    for fragment in range(0, 80, 2):
+        for traf in range(r.randint(1, 3)):
+            time = some(fragment * 500) if r.random() < 0.1 else None
+            tracks.append((fragment, traf, r.choice([1, 2, 3]), fragment * 10_000, some(fragment * 10_000 + 77), some(True, False), some(30), some(8), some(9), some(4), time))
+            for run in range(r.randint(0, 4)):
+                runs.append((fragment, traf, run, some(0, 300 + run, 40), some(99)))
+                samples += [(fragment, traf, run, k, some(3, 4), some(11, 12), some(0, 2), some(1, -1)) for k in range(r.randint(1, 9))]
+    lost = [(1, 0, 0, 0, 5, 5, 5, 5), (4, 7, 0, 0, 5, 5, 5, 5), (4, 0, 9, 0, 5, 5, 5, 5), (None, 0, 0, 0, 5, 5, 5, 5), (1, 0, 1, 0, 5, 5, 5, 5)]
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl).repartition(3)
+    stages = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("fragments", "")
+    got = fragments.fragment_samples(
+        frame(defaults, "track_id long, duration long, size long, flags int, description int"),
+        frame(tracks, "fragment long, traf int, track_id long, fragment_at long, base_offset long, from_fragment boolean, duration long, size long, flags int, description int, decode_time long"),
+        frame([*runs, (1, 0, 1, 7, 7)], "fragment long, traf int, run int, data_offset long, first_flags int"),
+        frame(samples + lost, "fragment long, traf int, run int, k int, duration long, size long, flags int, offset long"),
+    )
+    assert sorted(map(tuple, got.collect())) == plain_samples(defaults, tracks, runs, samples)
+    assert len(stages.getJobIdsForGroup("fragments")) <= 8  # each ordered pass of its own took some of them
+
+
 @pytest.mark.parametrize("seed, span", [(1, 7), (2, 1 << 16), (3, 40)])
 def test_fragments_equal_a_sequential_reader(spark, seed, span):
     r = random.Random(seed)
