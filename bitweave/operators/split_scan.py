@@ -197,41 +197,30 @@ def tlv_grammar(data: np.ndarray, own: int, left: int) -> tuple[np.ndarray, np.n
 PS_AHEAD = 6 + 3 + 255 + 1
 PS_FIELDS = "stream_id int, scr long, pts long, dts long, sub_stream int, payload_at int"
 # Stream ids without a PES header (ISO/IEC 13818-1 table 2-21).
-_BARE = {0xBB, 0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xFF, 0xF2, 0xF8}
-
-
-def _stamp(b: bytes) -> int | None:
-    return (b[0] >> 1 & 7) << 30 | (b[1] << 7 | b[2] >> 1) << 15 | b[3] << 7 | b[4] >> 1 if len(b) == 5 else None
+_BARE = np.zeros(256, bool)
+_BARE[[0xBB, 0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xFF, 0xF2, 0xF8]] = True
 
 
 def ps_grammar(data: np.ndarray, own: int, left: int) -> tuple[np.ndarray, np.ndarray, list]:
     """Packs, program ends and packets of a program stream by start code; the last packet may break off at the stream's end."""
-    n = max(0, min(own, len(data) - 3))
-    starts = np.flatnonzero((data[:n] == 0) & (data[1 : n + 1] == 0) & (data[2 : n + 2] == 1) & (data[3 : n + 3] >= 0xB9))
-    raw, at, after, rows = data.tobytes(), [], [], []
-    for p in starts.tolist():
-        sid, scr, pts, dts, sub, body = raw[p + 3], None, None, None, None, None
-        if sid == 0xB9:
-            size = 4
-        elif sid == 0xBA:
-            if p + 14 > len(raw) or raw[p + 4] >> 6 != 1:
-                continue
-            v = int.from_bytes(raw[p + 4 : p + 10], "big")
-            scr = ((v >> 43 & 7) << 30 | (v >> 27 & 0x7FFF) << 15 | v >> 11 & 0x7FFF) * 300 + (v >> 1 & 0x1FF)
-            size = 14 + (raw[p + 13] & 7)
-        else:
-            size, body = 6 + int.from_bytes(raw[p + 4 : p + 6], "big"), 6
-            if sid not in _BARE and p + 9 <= len(raw) and raw[p + 6] >> 6 == 2:
-                flags, body = raw[p + 7] >> 6, 9 + raw[p + 8]
-                pts = _stamp(raw[p + 9 : p + 14]) if flags & 2 else None
-                dts = _stamp(raw[p + 14 : p + 19]) if flags == 3 else None
-            sub = raw[p + body] if sid == 0xBD and p + body < len(raw) else None
-        at.append(p)
-        after.append(min(left, p + size))
-        rows.append((sid, scr, pts, dts, sub, body))
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)]
-    return np.array(at, np.int64), np.array(after, np.int64), columns
+    have, n = len(data), max(0, min(own, len(data) - 3))
+    at = np.flatnonzero((data[:n] == 0) & (data[1 : n + 1] == 0) & (data[2 : n + 2] == 1) & (data[3 : n + 3] >= 0xB9))
+    byte = lambda k: data[np.minimum(at + k, have - 1)].astype(np.int64)
+    stamp = lambda k: (byte(k) >> 1 & 7) << 30 | (byte(k + 1) << 7 | byte(k + 2) >> 1) << 15 | byte(k + 3) << 7 | byte(k + 4) >> 1
+    at = at[(byte(3) != 0xBA) | (at + 14 <= have) & (byte(4) >> 6 == 1)]
+    sid = byte(3)
+    pack, packet = sid == 0xBA, sid > 0xBA
+    v = byte(4) << 40 | byte(5) << 32 | byte(6) << 24 | byte(7) << 16 | byte(8) << 8 | byte(9)
+    scr = ((v >> 43 & 7) << 30 | (v >> 27 & 0x7FFF) << 15 | v >> 11 & 0x7FFF) * 300 + (v >> 1 & 0x1FF)
+    said = np.where(at + 6 <= have, byte(4) << 8 | byte(5), np.where(at + 5 <= have, byte(4), 0))
+    size = np.where(packet, 6 + said, np.where(pack, 14 + (byte(13) & 7), 4))
+    header, flags = packet & ~_BARE[sid] & (at + 9 <= have) & (byte(6) >> 6 == 2), byte(7) >> 6
+    body = np.where(header, 9 + byte(8), 6)
+    found = {  # value, where there is one
+        "scr": (scr, pack), "pts": (stamp(9), header & (flags & 2 > 0) & (at + 14 <= have)), "dts": (stamp(14), header & (flags == 3) & (at + 19 <= have)),
+        "sub_stream": (byte(body).astype(np.int32), (sid == 0xBD) & (at + body < have)), "payload_at": (body.astype(np.int32), packet),
+    }
+    return at, np.minimum(left, at + size), [sid.astype(np.int32), *(pa.array(x, mask=~there) for x, there in found.values())]
 
 
 START_AHEAD = 3
